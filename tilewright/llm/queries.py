@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from tilewright.llm.mixing import OP9_SQL, op9_mixing
 from tilewright.llm.packing import op10_packing
+from tilewright.llm.secrets import op6_secrets
+from tilewright.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {"op9_mixing": op9_mixing, "op10_packing": op10_packing}
+    return {"op2_warc": op2_warc, "op6_secrets": op6_secrets, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op9_mixing": OP9_SQL}
