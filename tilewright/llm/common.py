@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # A word is a maximal run of characters other than space and the five ASCII control separators.
@@ -103,4 +102,20 @@ def min_label(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
 
 
-LONG = T.LongType()
+def in_blocks(posts: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
+    """posts with block, lo, hi: groups of more than `limit` rows are dealt out as pairs of blocks.
+
+    Each row of a large group is in one block and comes once for every pair of blocks (lo <= hi) that
+    holds it, so all pairs of its rows can be looked at by tasks of bounded size. Smaller groups are block
+    0 of pair (0, 0). The table of large groups is broadcast only if it is short.
+    """
+    large = posts.groupBy(*keys).count().where(F.col("count") > limit)
+    large = materialise(large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("count") / limit).cast("int").alias("_blocks")), "large")
+    short = large.count() <= 10_000
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+    out = posts.join(F.broadcast(large) if short else large, same, "left")
+    blocks = F.coalesce("_blocks", F.lit(1))
+    out = out.withColumn("block", F.pmod(F.xxhash64(member), blocks).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    out = out.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
+    return out.select(*posts.columns, "block", "lo", "hi")
