@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tilewright.llm.ann import op5_ann
 from tilewright.llm.mixing import OP9_SQL, op9_mixing
+from tilewright.llm.near_texts import op4_near_texts
 from tilewright.llm.near_vectors import op3_near_vectors
 from tilewright.llm.packing import op10_packing
 from tilewright.llm.secrets import op6_secrets
@@ -12,7 +13,7 @@ from tilewright.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {"op2_warc": op2_warc, "op3_near_vectors": op3_near_vectors, "op5_ann": op5_ann, "op6_secrets": op6_secrets, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
+    return {"op2_warc": op2_warc, "op3_near_vectors": op3_near_vectors, "op4_near_texts": op4_near_texts, "op5_ann": op5_ann, "op6_secrets": op6_secrets, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
