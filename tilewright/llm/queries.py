@@ -8,12 +8,14 @@ from tilewright.llm.near_texts import op4_near_texts
 from tilewright.llm.near_vectors import op3_near_vectors
 from tilewright.llm.packing import op10_packing
 from tilewright.llm.secrets import op6_secrets
+from tilewright.llm.substring import op1_substring
+from tilewright.llm.suffixes import op7_suffixes
 from tilewright.llm.toxicity import op8_toxicity
 from tilewright.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {"op2_warc": op2_warc, "op3_near_vectors": op3_near_vectors, "op4_near_texts": op4_near_texts, "op5_ann": op5_ann, "op6_secrets": op6_secrets, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
+    return {"op1_substring": op1_substring, "op2_warc": op2_warc, "op3_near_vectors": op3_near_vectors, "op4_near_texts": op4_near_texts, "op5_ann": op5_ann, "op6_secrets": op6_secrets, "op7_suffixes": op7_suffixes, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
