@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tilewright.llm.common import materialise
 from tilewright.llm.hashing import mix64, prefix_hash, span_hash, texts_of
 
 DIM_BITS = 22
+SCORE = "_toxicity_score"
 # Bytes of words: ASCII letters and digits and every byte above 127; all else separates words.
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -98,13 +100,11 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and score, 0 to 1, from the whole text; the sparse weights are broadcast (at most 2^22)."""
+    """Columns `keep` of docs and SCORE, 0 to 1, from the whole text; the sparse weights are broadcast (at most 2^22)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    out = StructType([*schema.fields, StructField("score", DoubleType())])
+    out = StructType([*schema.fields, StructField(SCORE, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((1 << DIM_BITS) + 1)
@@ -115,7 +115,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> Dat
                 at = features(text)
                 at = np.unique(at[dense[at] != 0])
                 scores.append(1.0 / (1.0 + np.exp(-np.clip(dense[at].sum() + dense[1 << DIM_BITS], -35, 35))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], [*keep, SCORE])
 
     return docs.select(*keep, F.col("text").alias("_score_text")).mapInArrow(run, out)
 
@@ -134,4 +134,4 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train_on_fold(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, model, ["doc_id"])
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.7).cast("int").alias("predicted"))
