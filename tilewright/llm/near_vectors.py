@@ -26,12 +26,13 @@ def codes(x: np.ndarray, tables: int, polytopes: int, probes: int) -> np.ndarray
     nearest axis where that costs least.
     """
     out = np.zeros((len(x), tables, 1 + probes), np.int64)
-    ways = np.array(list(itertools.product(range(3), repeat=polytopes)))
+    choices = min(3, 1 << max(0, int(x.shape[1] - 1).bit_length()))
+    ways = np.array(list(itertools.product(range(choices), repeat=polytopes)))
     for t in range(tables):
         axis, loss = [], []
         for k in range(polytopes):
             y = rotate(x, seed=t * 64 + k)
-            best = np.argsort(-np.abs(y), axis=1)[:, :3]
+            best = np.argsort(-np.abs(y), axis=1)[:, :choices]
             top = np.take_along_axis(y, best, 1)
             axis.append(best * 2 + (top < 0))
             loss.append((np.abs(top[:, :1]) - np.abs(top)) ** 2)
