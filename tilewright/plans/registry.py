@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+MODULES = ("addressing",)
+
+
+def _all(kind: str) -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= getattr(importlib.import_module(f"tilewright.plans.{name}"), kind)
+    return found
 
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
+
+
+def flagship(spark, sf_dir):
+    """Bundles of every anchor: sizes and digests."""
+    return queries()["bundle_assemble"](spark, sf_dir)
