@@ -117,7 +117,7 @@ CTE = {
     "tiles": """SELECT doc_id, z, ((164 + doc_id // 340) * side + slot % side)::BIGINT AS x, (357 * side + slot // side)::BIGINT AS y,
         CASE WHEN doc_id % 5 <> 0 THEN text END AS payload, lang, n_chars, slot::BIGINT AS slot, 164 + doc_id // 340 AS x10 FROM slotted""",
     "pixels": "SELECT 7 AS z, event_id % 128 AS gx, event_id // 128 AS gy, round_even(value * 10 - 500, 0)::INTEGER AS metres FROM events WHERE event_id < 131072",
-    "requests": """SELECT e.event_id, user_id AS client, epoch_ms(ts) AS ms,
+    "requests": """SELECT e.event_id, user_id AS client, epoch_us(ts) // 1000 AS ms,
         CASE event_type WHEN 'view' THEN 'coarse' WHEN 'click' THEN 'bundle3' WHEN 'signup' THEN 'bundle2' WHEN 'purchase' THEN 'terrain' ELSE 'terrain_bundle' END AS kind,
         CASE WHEN e.event_id % 97 = 0 THEN 'bad' ELSE z::VARCHAR END AS z,
         (CASE WHEN z BETWEEN 11 AND 14 AND event_type IN ('click', 'signup', 'error') THEN x >> (z - 10) ELSE x END)::VARCHAR AS x,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("addressing",)
+MODULES = ("addressing", "requests")
 
 
 def _all(kind: str) -> dict:
