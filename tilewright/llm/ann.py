@@ -13,7 +13,7 @@ from tilewright.llm.vectors import matrix, rotate, valid
 
 # Rows the index is fitted on, lists at most, rows of a shard and queries of a task.
 FIT_ROWS, MOST_LISTS, SHARD, QUERIES = 16_384, 4_096, 8_192, 4_096
-COLUMNS = 16
+COLUMNS, QUERY_ROWS = 16, 128
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -60,65 +60,62 @@ def distances(queries: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def scan_shard(base: pa.Table, queries: pa.Table, k: int, spread: float = 2.1) -> pa.Table:
     """The k best of a shard's rows in the probed lists of each query.
 
-    Lists are taken from the nearest on. Distances grow by blocks of rotated columns; after each block a
-    candidate whose partial distance, scaled to all columns, exceeds the k-th best by more than the test
-    allows (spread / sqrt(columns seen)) is abandoned. Survivors are scored on the original vectors.
+    Distances grow by blocks of rotated columns. The first block picks 4 * k rows whose exact distances
+    bound the k-th best; after each block a candidate whose partial distance, scaled to all columns,
+    exceeds that bound by more than the test allows (spread / sqrt(columns seen)) is abandoned. While
+    many candidates are alive, a block is one matrix product; after that, only survivors are gathered.
+    They are scored on the original vectors.
     """
-    out_q, out_v, out_s = [], [], []
+    out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if len(base) and len(queries):
-        ids, lists = base["vec_id"].to_numpy(), base["list"].to_numpy()
-        order = np.argsort(lists, kind="stable")
-        ids, lists, x = ids[order], lists[order], matrix(base["embedding"])[order]
+        ids, x = base["vec_id"].to_numpy(), matrix(base["embedding"])
+        lists, of = np.unique(base["list"].to_numpy(), return_inverse=True)
         most = float(np.sqrt((x * x).sum(1).max()))
-        # d = |q|^2 + most^2 - 2 q.x in the lifted space, which a rotation keeps
+        # the squared distance is |q|^2 + most^2 - 2 q.x in the lifted space, and a rotation keeps it
         rot = rotate(lifted(x, most), 7)
-        q = matrix(queries["embedding"])
-        qrot = rotate(np.concatenate([q, np.zeros((len(q), 1))], axis=1), 7)
         d = rot.shape[1]
-        blocks = [np.ascontiguousarray(rot[:, c : c + COLUMNS]) for c in range(0, d, COLUMNS)]
-        starts = {int(lists[i]): i for i in np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])}
-        ends = dict(zip(starts, [*list(starts.values())[1:], len(lists)], strict=True))
-        for r, (qid, probes) in enumerate(zip(queries["query_id"].to_pylist(), queries["lists"].to_pylist(), strict=True)):
-            spans = [np.arange(starts[p], ends[p]) for p in probes if p in starts]
-            if not spans:
-                continue
-            rows, head = np.concatenate(spans), 0
-            best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-            while head < len(rows):
-                at = rows[head : head + (4 * k if head == 0 else 2048)]
-                head += len(at)
-                at = at[ids[at] != qid]
-                limit = best_d[-1] if len(best_d) >= k else np.inf
-                part = np.zeros(len(at))
-                for b, block in enumerate(blocks):
-                    diff = block[at] - qrot[r, b * COLUMNS : (b + 1) * COLUMNS]
-                    part += (diff * diff).sum(1)
-                    seen = min(d, (b + 1) * COLUMNS)
-                    bound = limit if seen >= d else limit * (1 + spread / np.sqrt(seen)) ** 2 * seen / d
-                    keep = part <= bound * (1 + 1e-9) + 1e-12
-                    at, part = at[keep], part[keep]
-                    if not len(at):
-                        break
-                if len(at):
-                    best_d, best_i = np.concatenate([best_d, part]), np.concatenate([best_i, at])
-                    if len(best_d) > k:
-                        # ties with the k-th stay: they are settled on exact scores
-                        edge = np.partition(best_d, k - 1)[k - 1] * (1 + 1e-9) + 1e-12
-                        keep = best_d <= edge
-                        best_d, best_i = best_d[keep], best_i[keep]
-                    by = np.argsort(best_d, kind="stable")
-                    best_d, best_i = best_d[by], best_i[by]
-                    if len(best_d) > 8 * k:
-                        exact = (x[best_i] * q[r]).sum(1)
-                        by = np.lexsort((ids[best_i], -exact))[: 2 * k]
-                        best_d, best_i = np.sort(best_d[by]), best_i[by][np.argsort(best_d[by], kind="stable")]
-            exact = (x[best_i] * q[r]).sum(1)
-            by = np.lexsort((ids[best_i], -exact))[:k]
-            out_q += [qid] * len(by)
-            out_v.append(ids[best_i][by])
-            out_s.append(exact[by])
-    none = [np.zeros(0)]
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(np.concatenate(out_v or none).astype(np.int64)), "score": pa.array(np.concatenate(out_s or none), pa.float64())})
+        norms = [(rot[:, c : c + COLUMNS] ** 2).sum(1) for c in range(0, d, COLUMNS)]
+        qids, q = queries["query_id"].to_numpy(), matrix(queries["embedding"])
+        probed = np.zeros((len(q), len(lists)), bool)
+        for i, probes in enumerate(queries["lists"].to_pylist()):
+            at = np.minimum(np.searchsorted(lists, probes), len(lists) - 1)
+            probed[i, at[lists[at] == probes]] = True
+        for r in range(0, len(q), QUERY_ROWS):
+            qr, qi = q[r : r + QUERY_ROWS], qids[r : r + QUERY_ROWS]
+            turned = rotate(np.concatenate([qr, np.zeros((len(qr), 1))], axis=1), 7)
+            alive = probed[r : r + QUERY_ROWS][:, of] & (ids[None, :] != qi[:, None])
+            part, limit, pairs = np.zeros(alive.shape), np.full(len(qr), np.inf), None
+            for b, c in enumerate(range(0, d, COLUMNS)):
+                xb, qb = rot[:, c : c + COLUMNS], turned[:, c : c + COLUMNS]
+                seen = min(d, c + COLUMNS)
+                if pairs is None:
+                    part += norms[b][None, :] + (qb * qb).sum(1)[:, None] - 2 * qb @ xb.T
+                    if b == 0 and alive.shape[1] > 4 * k:
+                        near = np.argpartition(np.where(alive, part, np.inf), 4 * k, axis=1)[:, : 4 * k]
+                        exact = np.einsum("qnd,qd->qn", x[near], qr)
+                        exact[~np.take_along_axis(alive, near, 1)] = -np.inf
+                        limit = (qr * qr).sum(1) + most * most - 2 * np.partition(exact, -k, axis=1)[:, -k]
+                    bound = limit * (1 if seen >= d else (1 + spread / np.sqrt(seen)) ** 2 * seen / d) * (1 + 1e-9) + 1e-9
+                    alive &= part <= bound[:, None]
+                    if np.count_nonzero(alive) < 0.05 * alive.size:
+                        at, of_x = np.nonzero(alive)
+                        pairs = at, of_x, part[at, of_x]
+                else:
+                    at, of_x, have = pairs
+                    have = have + ((xb[of_x] - qb[at]) ** 2).sum(1)
+                    bound = limit * (1 if seen >= d else (1 + spread / np.sqrt(seen)) ** 2 * seen / d) * (1 + 1e-9) + 1e-9
+                    keep = have <= bound[at]
+                    pairs = at[keep], of_x[keep], have[keep]
+            at, of_x = pairs[:2] if pairs is not None else np.nonzero(alive)
+            exact = np.concatenate([(x[of_x[i : i + 65_536]] * qr[at[i : i + 65_536]]).sum(1) for i in range(0, len(at), 65_536)] or [np.zeros(0)])
+            by = np.lexsort((ids[of_x], -exact, at))
+            at, of_x, exact = at[by], of_x[by], exact[by]
+            first = np.searchsorted(at, np.arange(len(qr)))
+            best = np.arange(len(at)) - first[at] < k
+            out_q.append(qi[at[best]])
+            out_v.append(ids[of_x[best]])
+            out_s.append(exact[best])
+    return pa.table({"query_id": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_v)), "score": pa.array(np.concatenate(out_s))})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
