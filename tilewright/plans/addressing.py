@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from tilewright.functions import addressing as A
 from tilewright.plans.fixtures import POINTS, TILES, tiled_points, tiles, with_tables
 
-Z, X, Y = F.col("z"), F.col("x"), F.col("y")
+
+def zxy():
+    return F.col("z"), F.col("x"), F.col("y")
+
 
 
 def lonlat_to_tile(spark, d):
@@ -15,22 +18,26 @@ def lonlat_to_tile(spark, d):
 
 
 def tile_bounds(spark, d):
-    b = A.tile_bounds(Z, X, Y)
+    z, x, y = zxy()
+    b = A.tile_bounds(z, x, y)
     return tiled_points(spark, d).select("event_id", *[F.round(c, 6).alias(k) for k, c in b.items()])
 
 
 def tile_owner_cell(spark, d):
-    lat, lon = A.tile_owner_cell(Z, X, Y)
+    z, x, y = zxy()
+    lat, lon = A.tile_owner_cell(z, x, y)
     return tiled_points(spark, d).select("event_id", lat.alias("lat"), lon.alias("lon"))
 
 
 def tile_parent(spark, d):
-    up = lambda n: A.ancestor(X, F.lit(n))
-    return tiled_points(spark, d).select("event_id", (Z - 1).alias("pz"), up(1).alias("px"), A.ancestor(Y, F.lit(1)).alias("py"), up(3).alias("x3"), A.ancestor(Y, F.lit(3)).alias("y3"))
+    z, x, y = zxy()
+    up = lambda n: A.ancestor(x, F.lit(n))
+    return tiled_points(spark, d).select("event_id", (z - 1).alias("pz"), up(1).alias("px"), A.ancestor(y, F.lit(1)).alias("py"), up(3).alias("x3"), A.ancestor(y, F.lit(3)).alias("y3"))
 
 
 def anchor_quantize(spark, d):
-    x10, y10 = A.anchor(Z, X, Y)
+    z, x, y = zxy()
+    x10, y10 = A.anchor(z, x, y)
     return tiled_points(spark, d).where("z >= 10").select("event_id", x10.alias("x10"), y10.alias("y10"))
 
 
@@ -39,26 +46,31 @@ def anchor_demand(spark, d):
 
 
 def bundle_slot(spark, d):
-    return tiles(spark, d).select("z", "x", "y", A.bundle_slot(Z, X, Y).alias("slot"))
+    z, x, y = zxy()
+    return tiles(spark, d).select("z", "x", "y", A.bundle_slot(z, x, y).alias("slot"))
 
 
 def tile_hilbert_id(spark, d):
-    return tiled_points(spark, d).select("event_id", A.hilbert_id(Z, X, Y).alias("tile_id"))
+    z, x, y = zxy()
+    return tiled_points(spark, d).select("event_id", A.hilbert_id(z, x, y).alias("tile_id"))
 
 
 def hilbert_id_to_tile(spark, d):
-    out = tiles(spark, d).select(A.hilbert_id(Z, X, Y).alias("tile_id")).withColumn("z", A.hilbert_zoom(F.col("tile_id")))
-    return out.withColumn("t", A.hilbert_tile(F.col("tile_id"), Z)).select("tile_id", "z", "t.x", "t.y")
+    z, x, y = zxy()
+    out = tiles(spark, d).select(A.hilbert_id(z, x, y).alias("tile_id")).withColumn("z", A.hilbert_zoom(F.col("tile_id")))
+    return out.withColumn("t", A.hilbert_tile(F.col("tile_id"), z)).select("tile_id", "z", "t.x", "t.y")
 
 
 def valid_xyz(spark, d):
-    return tiled_points(spark, d).select("event_id", A.valid_xyz(Z, X, Y).alias("valid"), A.valid_xyz(Z - 3, X, Y).alias("valid_coarser"))
+    z, x, y = zxy()
+    return tiled_points(spark, d).select("event_id", A.valid_xyz(z, x, y).alias("valid"), A.valid_xyz(z - 3, x, y).alias("valid_coarser"))
 
 
 def tile_pyramid_rollup(spark, d):
     """Counts and mean latitude of points for every ancestor, level by level: each level sums the one below."""
-    p = tiled_points(spark, d).where(A.valid_xyz(Z, X, Y))
-    levels = p.withColumn("up", F.explode(F.sequence(F.lit(0), Z))).select((Z - F.col("up")).alias("z"), A.ancestor(X, F.col("up")).alias("x"), A.ancestor(Y, F.col("up")).alias("y"))
+    z, x, y = zxy()
+    p = tiled_points(spark, d).where(A.valid_xyz(z, x, y))
+    levels = p.withColumn("up", F.explode(F.sequence(F.lit(0), z))).select((z - F.col("up")).alias("z"), A.ancestor(x, F.col("up")).alias("x"), A.ancestor(y, F.col("up")).alias("y"))
     return levels.groupBy("z", "x", "y").agg(F.count("*").alias("points"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("addressing", "requests")
+MODULES = ("addressing", "requests", "bundles", "rasters", "streams")
 
 
 def _all(kind: str) -> dict:
