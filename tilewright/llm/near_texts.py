@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialise(posts.groupBy("task").applyInArrow(candidates, "cluster long, coord int, doc long"), "candidates")
     tasks = max(1, members.count() // 2_048)
     owned = members.groupBy("doc").agg(F.collect_list(F.struct("cluster", "coord")).alias("_in"))
-    first = texts.join(owned, texts["doc_id"] == owned["doc"]).select("doc", "text", "_in")
+    # always by shuffle: the members grow with the corpus
+    first = texts.join(owned.hint("merge"), texts["doc_id"] == owned["doc"]).select("doc", "text", "_in")
     group = first.select("doc", "text", F.explode("_in").alias("_g")).select("doc", "text", "_g.cluster", "_g.coord")
     group = group.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("int"))
     edges = group.groupBy("task").applyInArrow(confirm, "a long, b long")
