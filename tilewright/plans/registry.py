@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("addressing", "requests", "bundles", "rasters", "streams")
+MODULES = ("addressing", "requests", "bundles", "rasters", "streams", "archives")
 
 
 def _all(kind: str) -> dict:

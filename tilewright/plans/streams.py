@@ -27,7 +27,7 @@ def _source(spark, d, path):
 def token_bucket_stream(spark, d):
     path = scratch_path(spark, "bucket")
     out = S.token_bucket(_source(spark, d, path), RATE, BURST)
-    S.drain(out, path, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), 8)
+    S.drain(out, path, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"))
     return spark.read.parquet(f"{path}/out").select("client", "event_id", "allowed")
 
 
@@ -35,14 +35,14 @@ def bucket_eviction(spark, d):
     """The same stream with idle state dropped after a full refill's time: no decision changes."""
     path = scratch_path(spark, "evict")
     out = S.token_bucket(_source(spark, d, path), RATE, BURST, ttl_ms=max(600_000, BURST // RATE))
-    S.drain(out, path, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), 8)
+    S.drain(out, path, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), timed=True)
     return spark.read.parquet(f"{path}/out").select("client", "event_id", "allowed")
 
 
 def request_counters_stream(spark, d):
     path = scratch_path(spark, "counters")
     out = S.counters(_source(spark, d, path))
-    S.drain(out, path, "complete", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out"), 8)
+    S.drain(out, path, "complete", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out"))
     return spark.read.parquet(f"{path}/out")
 
 
@@ -56,8 +56,8 @@ def build_queue_stream(spark, d):
         new = df.drop("ts").join(built.select("key"), "key", "left_anti").dropDuplicates(["key"])
         new.write.mode("overwrite").parquet(f"{path}/out/batch={n:06d}")
 
-    S.drain(S.build_queue(_source(spark, d, path), CODEC, VERSION, DIGEST), path, "append", build, 8)
-    return spark.read.schema(schema).parquet(f"{path}/out")
+    S.drain(S.build_queue(_source(spark, d, path), CODEC, VERSION, DIGEST), path, "append", build)
+    return spark.read.schema(schema).parquet(f"{path}/out").select("key", "x10", "y10", "stage_zoom", "part")
 
 
 QUERIES = {f.__name__: f for f in (token_bucket_stream, bucket_eviction, request_counters_stream, build_queue_stream)}

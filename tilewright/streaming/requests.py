@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -70,14 +71,24 @@ def build_queue(stream: DataFrame, codec: str, version: str, digest: str, delay:
     return asked.select("ts", key.alias("key"), F.col("x").alias("x10"), F.col("y").alias("y10"), "stage_zoom", "part").dropDuplicatesWithinWatermark(["key"])
 
 
-def drain(stream: DataFrame, path: str, mode: str, into: Callable[[DataFrame, int], None], partitions: int) -> None:
-    """Run a stream over all that is there now, with its checkpoint beside the output."""
+def drain(stream: DataFrame, path: str, mode: str, into: Callable[[DataFrame, int], None], timed: bool = False) -> None:
+    """Run a stream over all that is there now, with its checkpoint beside the output.
+
+    timed: state expires by processing time; such a query always has a next batch, so it is stopped once
+    all that is there has been processed.
+    """
     spark = stream.sparkSession
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        query = stream.writeStream.outputMode(mode).foreachBatch(into).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        writer = stream.writeStream.outputMode(mode).foreachBatch(into).option("checkpointLocation", f"{path}/checkpoint")
+        if timed:
+            query = writer.start()
+            while query.isActive and (not query.lastProgress or query.lastProgress["numInputRows"] > 0):
+                time.sleep(0.5)
+            query.stop()
+        else:
+            writer.trigger(availableNow=True).start().awaitTermination()
     finally:
         if kept is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
