@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows of a null doc_id belong to no component and stay.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = materialise(kept, "kept")
+    kept = materialise(kept, "kept").hint("merge")  # grows with the corpus: never broadcast
     out = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
     if not kept.where("_n > 1").isEmpty():
         once = docs.join(kept.where("_n = 1"), docs["doc_id"] == F.col("_id"), "left_semi")

@@ -81,7 +81,7 @@ def mix(
 def emit_copies(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of docs as often as mix() says, with the columns of docs."""
     cols = docs.columns
-    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("copies").alias("_copies")).distinct()
+    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("copies").alias("_copies")).distinct().hint("merge")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_src"))
     out = docs.join(plan, same)
     return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in cols])
