@@ -173,5 +173,9 @@ SQL = {
     "layer_report": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, round(sum(bytes) / sum(sum(bytes)) OVER (PARTITION BY z), 9) AS share FROM layers GROUP BY z, layer"),
     "layer_rank": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, row_number() OVER (PARTITION BY z ORDER BY sum(bytes) DESC, layer) AS rank FROM layers GROUP BY z, layer"),
     "explode_landcover": with_tables("landcover", "SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL"),
+    "scan_bundle_streams": with_tables(TILES + " layers", ALL + f"""SELECT x10, y10, zoom AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom = 13 GROUP BY ALL
+        UNION ALL SELECT x10, 357, 14, part, 256, count(DISTINCT (x, y)), sum(raw)::BIGINT FROM (
+          SELECT x // 16 AS x10, x, y, CASE WHEN layer IN ('poi', 'housenumber') THEN 2 ELSE 1 END AS part, body + 1 + CASE WHEN body < 128 THEN 1 ELSE 2 END AS raw FROM (
+            SELECT *, 2 + length(layer) + 8 + 7 + 5 + CASE WHEN bytes = 0 THEN 0 WHEN bytes < 128 THEN bytes + 3 ELSE bytes + 4 END + 2 AS body FROM layers WHERE z = 14)) GROUP BY ALL"""),
     "split_roundtrip": with_tables(TILES, "SELECT true AS equal, count(DISTINCT (x, y)) AS tiles FROM tiles WHERE z = 14"),
 }
