@@ -50,6 +50,10 @@ def serving_eligible(manifests: DataFrame) -> DataFrame:
 
 
 def retention(releases: DataFrame, keep: int) -> DataFrame:
-    """releases (dataset, version, mtime, active) with keep: the newest N of the dataset, and the active one."""
+    """The releases (dataset, version, mtime, active) that stay: the newest N of each dataset and the active one.
+
+    The filter on the rank lets each task keep N rows of a dataset before the shuffle.
+    """
     newest = Window.partitionBy("dataset").orderBy(F.desc("mtime"), F.desc("version"))
-    return releases.withColumn("keep", (F.row_number().over(newest) <= max(1, keep)) | F.col("active"))
+    top = releases.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= max(1, keep)).drop("_k")
+    return top.unionByName(releases.where("active").join(top.select("dataset", "version"), ["dataset", "version"], "left_anti").select(*releases.columns))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.functions import gates as G
 
 # Token amounts are held as whole millionths, so that batch, stream and SQL agree to the last unit.
 UNIT = 1_000_000
-# A client of more requests than this is folded by sessions of its own rows in order, not in one array.
-SPLIT_CLIENT = 100_000
 
 # Counter names by kind and outcome.
 COUNTERS = {
@@ -42,9 +41,13 @@ def token_bucket(requests: DataFrame, rate: int, burst: int) -> DataFrame:
 
     requests has client, ms, event_id and cost (tokens); rate and burst are in units of a token (rate: a
     millisecond). A bucket starts full; it refills by elapsed time up to burst, and a request is allowed
-    if it holds its cost, which is taken only then. A step back in time refills nothing and keeps the
-    clock. The fold is inherently ordered within a client; clients are dealt over tasks.
+    if it holds its cost, which is taken only then. A gap that refills a bucket whatever it holds starts a
+    busy period of its own, so what is gathered in one row is a busy period, not all of a client; the
+    periods are found by a sort that can spill.
     """
+    order = Window.partitionBy("client").orderBy("ms", "event_id")
+    fresh = F.coalesce((F.col("ms") - F.lag("ms").over(order)) * rate >= burst, F.lit(True)).cast("long")
+    requests = requests.withColumn("_fresh", fresh).withColumn("_period", F.sum("_fresh").over(order))
     rows = F.array_sort(F.collect_list(F.struct("ms", "event_id", "cost")))
     start = F.struct(F.lit(burst).cast("long").alias("tokens"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
 
@@ -58,7 +61,7 @@ def token_bucket(requests: DataFrame, rate: int, burst: int) -> DataFrame:
             F.array_append(acc["out"], F.struct(r["event_id"].alias("event_id"), ok.alias("allowed"))).alias("out"),
         )
 
-    folded = requests.groupBy("client").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("o"))
+    folded = requests.groupBy("client", "_period").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("o"))
     return folded.select("client", F.explode("o").alias("o")).select("client", "o.event_id", "o.allowed")
 
 

@@ -197,7 +197,7 @@ def zoom_range_check(spark, d):
 
 
 def retention_plan(spark, d):
-    return catalog.retention(X.releases(spark, d), 2).where("keep").select("dataset", "seq", "active")
+    return catalog.retention(X.releases(spark, d), 2).select("dataset", "seq", "active")
 
 
 def content_type(spark, d):
