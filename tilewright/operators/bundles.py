@@ -219,14 +219,18 @@ def explode_features(tiles: DataFrame, layer: str) -> DataFrame:
 
 def encode_tiles(rows: DataFrame) -> DataFrame:
     """Vector tiles from (z, x, y, layer, class, bytes) rows: a layer for each name, features of its classes."""
+    tiles = rows.groupBy("z", "x", "y").agg(F.collect_list(F.struct("layer", "class", "bytes")).alias("parts"))
 
-    def build(t: pa.Table) -> pa.Table:
-        by: dict = {}
-        for layer, cls, size in zip(t["layer"].to_pylist(), t["class"].to_pylist(), t["bytes"].to_pylist(), strict=True):
-            feats, filler = by.setdefault(layer, ([], [0]))
-            feats.append({"class": cls} if cls is not None else {})
-            filler[0] += size or 0
-        tile = b"".join(V.encode_layer(n, sorted(f, key=str), s[0]) for n, (f, s) in sorted(by.items()))
-        return pa.table({"z": t["z"].slice(0, 1).cast(pa.int32()), "x": t["x"].slice(0, 1), "y": t["y"].slice(0, 1), "payload": pa.array([tile], pa.binary()), "gzipped": pa.array([False])})
-
-    return rows.groupBy("z", "x", "y").applyInArrow(build, "z int, x long, y long, payload binary, gzipped boolean")
+    def build(batches):
+        for b in batches:
+            out = []
+            for parts in b.column("parts").to_pylist():
+                by: dict = {}
+                for p in parts:
+                    feats, filler = by.setdefault(p["layer"], ([], [0]))
+                    feats.append({"class": p["class"]} if p["class"] is not None else {})
+                    filler[0] += p["bytes"] or 0
+                out.append(b"".join(V.encode_layer(n, sorted(f, key=str), s[0]) for n, (f, s) in sorted(by.items())))
+            yield pa.RecordBatch.from_arrays([b.column("z").cast(pa.int32()), b.column("x"), b.column("y"), pa.array(out, pa.binary()), pa.array([False] * len(out))], ["z", "x", "y", "payload", "gzipped"])
+
+    return tiles.mapInArrow(build, "z int, x long, y long, payload binary, gzipped boolean")
