@@ -37,9 +37,10 @@ def tiles(spark, d, payload: str = "text") -> DataFrame:
 
 
 def pixels(spark, d) -> DataFrame:
+    """Pixels of zoom 7 in tiles of 8 x 8: events wrap around after 128 x 1024 pixels, the highest stays."""
     e = F.col("event_id")
-    out = table(spark, d, "events").where("event_id < 131072")
-    return out.select(F.lit(7).alias("z"), (e % 128).alias("gx"), F.floor(e / 128).alias("gy"), F.rint(F.col("value") * 10 - 500).cast("int").alias("metres"))
+    out = table(spark, d, "events").select((e % 128).alias("gx"), (F.floor(e / 128) % 1024).alias("gy"), F.rint(F.col("value") * 10 - 500).cast("int").alias("metres"))
+    return out.groupBy("gx", "gy").agg(F.max("metres").alias("metres")).select(F.lit(7).alias("z"), "gx", "gy", "metres")
 
 
 def requests(spark, d) -> DataFrame:
@@ -116,7 +117,7 @@ CTE = {
     "slotted": "SELECT *, (1 << (z - 10))::BIGINT AS side, s - CASE WHEN s < 4 THEN 0 WHEN s < 20 THEN 4 WHEN s < 84 THEN 20 ELSE 84 END AS slot FROM placed",
     "tiles": """SELECT doc_id, z, ((164 + doc_id // 340) * side + slot % side)::BIGINT AS x, (357 * side + slot // side)::BIGINT AS y,
         CASE WHEN doc_id % 5 <> 0 THEN text END AS payload, lang, n_chars, slot::BIGINT AS slot, 164 + doc_id // 340 AS x10 FROM slotted""",
-    "pixels": "SELECT 7 AS z, event_id % 128 AS gx, event_id // 128 AS gy, round_even(value * 10 - 500, 0)::INTEGER AS metres FROM events WHERE event_id < 131072",
+    "pixels": "SELECT 7 AS z, event_id % 128 AS gx, (event_id // 128) % 1024 AS gy, max(round_even(value * 10 - 500, 0)::INTEGER) AS metres FROM events GROUP BY ALL",
     "requests": """SELECT e.event_id, user_id AS client, epoch_us(ts) // 1000 AS ms,
         CASE event_type WHEN 'view' THEN 'coarse' WHEN 'click' THEN 'bundle3' WHEN 'signup' THEN 'bundle2' WHEN 'purchase' THEN 'terrain' ELSE 'terrain_bundle' END AS kind,
         CASE WHEN e.event_id % 97 = 0 THEN 'bad' ELSE z::VARCHAR END AS z,
