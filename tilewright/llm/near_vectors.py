@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tilewright.llm.common import materialise, min_label
 from tilewright.llm.hashing import mix64
@@ -90,7 +91,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * c[0].size, pa.int32()), pa.array(c.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, flat], [*part.schema.names, "codes"])
 
-    coded = classes.mapInArrow(post, "label int, embedding array<float>, rep long, n long, codes array<long>")
+    coded = classes.mapInArrow(post, StructType([*classes.schema.fields, StructField("codes", ArrayType(LongType()))]))
     wide = 1 + probes
     posts = coded.select("*", F.posexplode("codes").alias("at", "code")).withColumn("table", (F.col("at") / wide).cast("int")).withColumn("own", F.col("at") % wide == 0)
     posts = posts.drop("at").dropDuplicates(["rep", "table", "code"]) if probes > 2 * polytopes else posts.drop("at")
@@ -117,7 +118,8 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
 
 def verify(t: pa.Table, threshold: float, tables: int, wide: int) -> pa.Table:
     """Counts and spanning edges of the links of a task's buckets."""
-    label, table, code = (t[c].to_numpy() for c in ("label", "table", "code"))
+    label = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
+    table, code = t["table"].to_numpy(), t["code"].to_numpy()
     lo, hi, block, own, rep, n = (t[c].to_numpy() for c in ("lo", "hi", "block", "own", "rep", "n"))
     vec, code_all = t["embedding"].combine_chunks(), matrix_int(t["codes"]).reshape(len(t), tables, wide)
     order = np.lexsort((block, hi, lo, code, table, label))
