@@ -50,12 +50,20 @@ def spans(text: Column, pattern: str, found: Column, keep, kind: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(empty)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution (a public rational approximation, error below 1e-7)."""
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) * F.lit(0.3989422804014327) * poly
-    return F.when(z >= 0, tail).otherwise(F.lit(1.0) - tail)
+
+    def tail(t: Column) -> Column:
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-z * z / 2) * F.lit(0.3989422804014327) * poly
+
+    near = let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * F.abs(z)), tail)
+    return F.when(z >= 0, near).otherwise(F.lit(1.0) - near)
 
 
 def p_value(token: Column) -> Column:
@@ -65,32 +73,41 @@ def p_value(token: Column) -> Column:
     lag-1 correlation of the code values; the least of the three, times three. A token that fits no
     encoding has p-value 0, as has one of a single half of the alphabet.
     """
-    body = F.regexp_replace(token, "=+$", "")
-    out = F.lit(0.0)
-    for fits, alphabet in reversed(ALPHABETS.values()):
-        k = len(alphabet)
-        n = F.length(body).cast("double")
-        count = lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double")  # noqa: B023,E731
-        squares = F.aggregate(F.array(*[F.lit(c) for c in alphabet]), F.lit(0.0), lambda acc, c: acc + count(c) * count(c))  # noqa: B023
-        chi = squares * k / n - n
-        df = k - 1
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-        bits = F.translate(body, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
-        ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
-        turns = lambda x: (F.length(bits) - F.length(F.replace(bits, F.lit(x), F.lit("")))).cast("double") / 2  # noqa: B023,E731
-        mean = ones * (n - ones) * 2 / n + 1
+
+    def battery(x: Column) -> Column:
+        v, k = x["codes"], x["k"].cast("double")
+        n = F.size(v).cast("double")
+        count = lambda c: F.size(F.filter(v, lambda y: y == c)).cast("double")
+        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda acc, c: acc + let(count(c), lambda m: m * m))
+        high = F.transform(v, lambda y: (y > k / 2).cast("int"))
+        ones = F.aggregate(high, F.lit(0.0), lambda acc, y: acc + y)
+        pairs = lambda w, f: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), f)
+        turns = F.aggregate(pairs(high, lambda a, c: (a != c).cast("int")), F.lit(0.0), lambda acc, y: acc + y)
+        centred = F.transform(v, lambda y: y.cast("double") - (k + 1) / 2)
+        cross = F.aggregate(pairs(centred, lambda a, c: a * c), F.lit(0.0), lambda acc, y: acc + y)
+        power = F.aggregate(centred, F.lit(0.0), lambda acc, y: acc + y * y)
+        sums = F.struct(n.alias("n"), k.alias("k"), squares.alias("squares"), ones.alias("ones"), turns.alias("turns"), cross.alias("cross"), power.alias("power"))
+        return let(sums, scores)
+
+    def scores(x: Column) -> Column:
+        n, k, df = x["n"], x["k"], x["k"] - 1
+        chi = x["squares"] * k / n - n
+        spread = F.lit(2.0) / (df * 9)
+        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
+        mean = x["ones"] * (n - x["ones"]) * 2 / n + 1
         var = (mean - 1) * (mean - 2) / (n - 1)
-        z_runs = (turns("01") + turns("10") + 1 - mean) / F.sqrt(var)
-        codes = F.transform(F.split(body, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - (k + 1) / 2)  # noqa: B023
-        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * b)
-        cross = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
-        power = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x * x)
-        z_serial = (cross / power + 1 / (n - 1)) * F.sqrt(n)
-        two = lambda z: upper_tail(F.abs(z)) * 2
-        p = F.least(upper_tail(z_chi), two(z_runs), two(z_serial)) * 3
-        p = F.when((n < STRATA[0]) | (var <= 0) | (power <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), p))
-        out = F.when(body.rlike(fits), p).otherwise(out)
-    return out
+        z_runs = F.abs((x["turns"] + 1 - mean) / F.sqrt(var))
+        z_serial = F.abs((x["cross"] / x["power"] + F.lit(1.0) / (n - 1)) * F.sqrt(n))
+        least = F.least(let(z_chi, upper_tail), let(z_runs, upper_tail) * 2, let(z_serial, upper_tail) * 2)
+        return F.when((n < STRATA[0]) | (var <= 0) | (x["power"] <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), least * 3))
+
+    def encoded(body: Column) -> Column:
+        alphabet = F.lit(None).cast("string")
+        for fits, letters in reversed(ALPHABETS.values()):
+            alphabet = F.when(body.rlike(fits), letters).otherwise(alphabet)
+        return let(alphabet, lambda a: F.struct(F.length(a).alias("k"), F.transform(F.split(body, ""), lambda c: F.instr(a, c)).alias("codes")))
+
+    return F.coalesce(let(let(F.regexp_replace(token, "=+$", ""), encoded), battery), F.lit(0.0))
 
 
 def stratum(token: Column) -> Column:
