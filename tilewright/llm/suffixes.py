@@ -71,10 +71,11 @@ def suffix_order(t: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     np.add.at(mark, at, 1)
     np.add.at(mark, until[at] + 1, -1)
     need = np.cumsum(mark[:-1]) > 0
-    direct[-1:] = True  # the last place has no successor
     first = sort_directly(words_at(padded), np.flatnonzero(need & direct), WINDOW + 8)
     start = np.searchsorted(t[first], np.arange(257))
     put: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if n and need[-1]:  # the last place is induced from the end of the text, which is smaller than every byte
+        put[t[-1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         level = np.concatenate(put[c]) if put[c] else np.zeros(0, np.int64)
