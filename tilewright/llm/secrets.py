@@ -15,10 +15,17 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ of 24 or more
 KINDS = ("assign", "access", "hex", "random")
 
 # Tokens that the battery looks at, the encodings it infers (first that fits) and its levels.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+PADDING = r"(?:={1,6}(?![A-Za-z0-9+/_=-]))?"  # of the end; within a token '=' stands between a name and a value
+TOKEN = r"[A-Za-z0-9+/_-]{20,}" + PADDING
+MIXED = r"[+/].*[_-]|[_-].*[+/]"  # fits no encoding
+PARTS = tuple(c + "{20,}" + PADDING for c in ("[A-Za-z0-9_-]", "[A-Za-z0-9+/]", "[A-Za-z0-9]"))
 ALPHABETS = {
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
+    "upper hex": ("^[0-9A-F]+$", "0123456789ABCDEF"),
     "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "lower base32": ("^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    "base36": ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "lower base36": ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     "base62": ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     "base64": ("^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     "base64url": ("^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -50,6 +57,17 @@ def spans(text: Column, pattern: str, found: Column, keep, kind: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(empty)
 
 
+def parts(token: Column) -> Column:
+    """The token's span, or, of one that fits no encoding, the spans of its parts between separators.
+
+    Parts are the longest runs of base64url, of base64 and of letters and digits, so they may overlap.
+    """
+    every = lambda m: F.lit(True)
+    inner = F.array_distinct(F.concat(*[spans(token["token"], p, matches(token["token"], p), every, "random") for p in PARTS]))
+    moved = F.transform(inner, lambda s: F.struct((token["start"] + s["start"]).alias("start"), s["kind"].alias("kind"), (token["start"] + s["end"]).alias("end"), s["token"].alias("token")))
+    return F.when(token["token"].rlike(MIXED), moved).otherwise(F.array(token))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -99,7 +117,7 @@ def p_value(token: Column) -> Column:
         z_runs = F.abs((x["turns"] + 1 - mean) / F.sqrt(var))
         z_serial = F.abs((x["cross"] / x["power"] + F.lit(1.0) / (n - 1)) * F.sqrt(n))
         least = F.least(let(z_chi, upper_tail), let(z_runs, upper_tail) * 2, let(z_serial, upper_tail) * 2)
-        return F.when((n < STRATA[0]) | (var <= 0) | (x["power"] <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), least * 3))
+        return F.when(k.isNull() | (n < STRATA[0]) | (var <= 0) | (x["power"] <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), least * 3))
 
     def encoded(body: Column) -> Column:
         alphabet = F.lit(None).cast("string")
@@ -127,7 +145,7 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     long = lambda m: F.length(m) >= 20
     found = found.select(
         *keep, spans(t, ASSIGN, F.col("_a"), value, "assign").alias("_a"), spans(t, ACCESS, F.col("_k"), long, "access").alias("_k"),
-        spans(t, HEX, F.col("_h"), lambda m: F.lit(True), "hex").alias("_h"), spans(t, TOKEN, F.col("_r"), lambda m: F.lit(True), "random").alias("_r"),
+        spans(t, HEX, F.col("_h"), lambda m: F.lit(True), "hex").alias("_h"), F.flatten(F.transform(spans(t, TOKEN, F.col("_r"), lambda m: F.lit(True), "random"), parts)).alias("_r"),
     )
     base = F.concat("_a", "_k", "_h")
     found = found.select(*keep, base.alias("base"), F.col("_r"))
