@@ -94,10 +94,10 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
     coded = classes.mapInArrow(post, StructType([*classes.schema.fields, StructField("codes", ArrayType(LongType()))]))
     wide = 1 + probes
     posts = coded.select("*", F.posexplode("codes").alias("at", "code")).withColumn("table", (F.col("at") / wide).cast("int")).withColumn("own", F.col("at") % wide == 0)
-    posts = posts.drop("at").dropDuplicates(["rep", "table", "code"]) if probes > 2 * polytopes else posts.drop("at")
+    # few components have fewer codes than there are probes: a code of a table is posted once, the own one first
+    posts = posts.where(F.array_position(F.slice("codes", F.col("table") * wide + 1, wide), F.col("code")) == F.col("at") % wide + 1).drop("at")
     keys = ["label", "table", "code"]
-    large = coded.select("label", F.posexplode("codes").alias("at", "code")).select("label", (F.col("at") / wide).cast("int").alias("table"), "code")
-    large = large.groupBy(keys).count().where(F.col("count") > BLOCK).select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    large = posts.select(*keys).groupBy(keys).count().where(F.col("count") > BLOCK).select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     posts = posts.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     posts = posts.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
