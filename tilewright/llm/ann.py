@@ -14,6 +14,7 @@ from tilewright.llm.vectors import matrix, rotate, valid
 # Rows the index is fitted on, lists at most, rows of a shard and queries of a task.
 FIT_ROWS, MOST_LISTS, SHARD, QUERIES = 16_384, 4_096, 8_192, 4_096
 COLUMNS, QUERY_ROWS = 16, 128
+HELD = 32  # the lists that a query probes hold this many times k rows at least
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -64,7 +65,8 @@ def scan_shard(base: pa.Table, queries: pa.Table, k: int, spread: float = 2.1) -
     bound the k-th best; after each block a candidate whose partial distance, scaled to all columns,
     exceeds that bound by more than the test allows (spread / sqrt(columns seen)) is abandoned. While
     many candidates are alive, a block is one matrix product; after that, only survivors are gathered.
-    They are scored on the original vectors.
+    They are scored on the original vectors. The k rows that set the bound are never abandoned, so a shard
+    gives k rows, or all its candidates.
     """
     out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if len(base) and len(queries):
@@ -85,6 +87,7 @@ def scan_shard(base: pa.Table, queries: pa.Table, k: int, spread: float = 2.1) -
             turned = rotate(np.concatenate([qr, np.zeros((len(qr), 1))], axis=1), 7)
             alive = probed[r : r + QUERY_ROWS][:, of] & (ids[None, :] != qi[:, None])
             part, limit, pairs = np.zeros(alive.shape), np.full(len(qr), np.inf), None
+            sure = np.zeros(alive.shape, bool)
             for b, c in enumerate(range(0, d, COLUMNS)):
                 xb, qb = rot[:, c : c + COLUMNS], turned[:, c : c + COLUMNS]
                 seen = min(d, c + COLUMNS)
@@ -94,9 +97,12 @@ def scan_shard(base: pa.Table, queries: pa.Table, k: int, spread: float = 2.1) -
                         near = np.argpartition(np.where(alive, part, np.inf), 4 * k, axis=1)[:, : 4 * k]
                         exact = np.einsum("qnd,qd->qn", x[near], qr)
                         exact[~np.take_along_axis(alive, near, 1)] = -np.inf
-                        limit = (qr * qr).sum(1) + most * most - 2 * np.partition(exact, -k, axis=1)[:, -k]
+                        best = np.argpartition(exact, -k, axis=1)[:, -k:]
+                        limit = (qr * qr).sum(1) + most * most - 2 * np.take_along_axis(exact, best, 1).min(1)
+                        np.put_along_axis(sure, np.take_along_axis(near, best, 1), True, 1)
+                        sure &= alive
                     bound = limit * (1 if seen >= d else (1 + spread / np.sqrt(seen)) ** 2 * seen / d) * (1 + 1e-9) + 1e-9
-                    alive &= part <= bound[:, None]
+                    alive &= (part <= bound[:, None]) | sure
                     if np.count_nonzero(alive) < 0.05 * alive.size:
                         at, of_x = np.nonzero(alive)
                         pairs = at, of_x, part[at, of_x]
@@ -104,7 +110,7 @@ def scan_shard(base: pa.Table, queries: pa.Table, k: int, spread: float = 2.1) -
                     at, of_x, have = pairs
                     have = have + ((xb[of_x] - qb[at]) ** 2).sum(1)
                     bound = limit * (1 if seen >= d else (1 + spread / np.sqrt(seen)) ** 2 * seen / d) * (1 + 1e-9) + 1e-9
-                    keep = have <= bound[at]
+                    keep = (have <= bound[at]) | sure[at, of_x]
                     pairs = at[keep], of_x[keep], have[keep]
             at, of_x = pairs[:2] if pairs is not None else np.nonzero(alive)
             exact = np.concatenate([(x[of_x[i : i + 65_536]] * qr[at[i : i + 65_536]]).sum(1) for i in range(0, len(at), 65_536)] or [np.zeros(0)])
@@ -124,7 +130,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     vectors and queries have vec_id and embedding; other columns are ignored. A query's own vec_id is no
     candidate. Null ids, and vectors that are null, zero, hold null or non-finite components or are not of
     the most common length, take no part. Ties go to the smaller vec_id; a query with fewer than k
-    candidates gets them all from the lists it probes, and probes all lists while there are under 32 * k rows.
+    candidates gets them all: it goes down its ranked lists until they hold 32 * k rows that are not its own.
     Every row is indexed; centroids come from a bounded sample. Crowded lists are dealt out over many
     shards, and many queries of a shard over many tasks.
     """
@@ -140,8 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = asked.where(F.col("query_id").isNotNull() & valid("embedding") & (F.size("embedding") == d))
     sample = matrix(base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()["embedding"])
     centroids, probe, most = fit(sample, rows, k)
-    if rows < 32 * k:
-        probe = len(centroids)
+    own = base.groupBy("vec_id").count().agg(F.max("count")).first()[0]  # rows of one vec_id, at most
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((centroids, probe, most))
 
@@ -177,14 +182,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     def probing(batches):
         c, n, _ = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            near = np.argsort(distances(matrix(b.column("embedding")), c), axis=1, kind="stable")[:, :n]
+        size = np.array([counts.get(p, 0) for p in range(len(c))])
+        for b in (b.slice(i, 1_024) for b in batches for i in range(0, len(b), 1_024)):
+            near = np.argsort(distances(matrix(b.column("embedding")), c), axis=1, kind="stable")
+            enough = np.maximum(n, (np.cumsum(size[near], axis=1) < HELD * k + own).sum(1) + 1)
             take, shard, lists = [], [], []
-            for i, probes in enumerate(near.tolist()):
+            for i, probes in enumerate(near):
                 mine = {}
-                for p in probes:
+                for p in probes[: enough[i]].tolist():
                     for s in of_list.value.get(p, ()):
                         mine.setdefault(s, []).append(p)
                 take += [i] * len(mine)
