@@ -20,16 +20,17 @@ def length_bin(n: F.Column) -> F.Column:
     return F.when(n <= FINE, n).otherwise(up).cast("long")
 
 
-def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int, sums: np.ndarray | None = None) -> list[int]:
     """Boundaries (upper ends) of at most `buckets` buckets with the least padding.
 
-    Padding of a bucket (i, j] is count * length_j - sum of lengths. O(buckets * n^2) over n bins.
+    Padding of a bucket (i, j] is count * length_j - sum of lengths. O(buckets * n^2) over n bins. lengths
+    are the longest of each bin; sums, of the lengths in each bin, may be left out where all are equal.
     """
     n = len(lengths)
     if n == 0:
         return []
     c = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    s = np.concatenate([[0], np.cumsum(counts * lengths)]).astype(np.float64)
+    s = np.concatenate([[0], np.cumsum(counts * lengths if sums is None else sums)]).astype(np.float64)
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
     back = []
@@ -51,11 +52,11 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return sorted(ends)
 
 
-def histogram(sized: DataFrame, length: str = "n_tokens") -> tuple[np.ndarray, np.ndarray]:
-    """Global histogram over length bins; its row count is bounded by length_bin()."""
-    rows = sized.where(F.col(length) > 0).groupBy(length_bin(F.col(length)).alias("bin")).agg(F.count("*").alias("n")).collect()
+def histogram(sized: DataFrame, length: str = "n_tokens") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(longest, count, sum of lengths) of each length bin of the whole table; length_bin() bounds the number of bins."""
+    rows = sized.where(F.col(length) > 0).groupBy(length_bin(F.col(length)).alias("bin")).agg(F.max(length).alias("most"), F.count("*").alias("n"), F.sum(length).alias("sum")).collect()
     rows.sort()
-    return np.array([r["bin"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+    return tuple(np.array([r[c] for r in rows], np.int64) for c in ("most", "n", "sum"))
 
 
 def pack(docs: DataFrame, buckets: int = 8, token_budget: int = 65_536) -> DataFrame:
@@ -70,7 +71,8 @@ def pack(docs: DataFrame, buckets: int = 8, token_budget: int = 65_536) -> DataF
     """
     sized = docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("_tie"))
     sized = materialise(sized, "lengths")
-    ends = best_boundaries(*histogram(sized), buckets)
+    most, count, total = histogram(sized)
+    ends = best_boundaries(most, count, buckets, total)
     if not ends:
         null = F.lit(None).cast("long")
         return sized.select("doc_id", "n_tokens", F.lit(None).cast("int").alias("bucket"), F.lit(0).cast("long").alias("padded_length"), null.alias("batch"), null.alias("position"))
