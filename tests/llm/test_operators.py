@@ -108,11 +108,7 @@ def test_vector_links_match_brute_force(spark):
     data = [(i, (int(i) % 2) if i % 11 else None, [float(c) for c in v]) for i, v in enumerate(x)]
     n = len(data)
     data += [(n, 0, None), (n + 1, 0, [0.0] * 24), (n + 2, 0, [float("nan")] * 24), (n + 3, 0, [None] + [1.0] * 23), (n + 4, 0, [1.0, 2.0]), (None, 0, [1.0] * 24), (n + 5, 1, [])]
-    near_vectors.BLOCK, kept = 100, near_vectors.BLOCK
-    try:
-        got = {r["vec_id"]: r for r in near_vectors.link(spark.createDataFrame(data, "vec_id long, label int, embedding array<float>")).collect()}
-    finally:
-        near_vectors.BLOCK = kept
+    got = {r["vec_id"]: r for r in near_vectors.link(spark.createDataFrame(data, "vec_id long, label int, embedding array<float>"), block=100).collect()}
     unit = x.astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     label = np.array([-1 - i if d[1] is None else d[1] for i, d in enumerate(data[:n])])

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tilewright.llm.common import materialise, min_label
 from tilewright.llm.hashing import mix64
@@ -53,11 +53,11 @@ def first_meeting(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarra
     in_a, in_b = (ca == pb_[:, :, None]).any(2), (cb == pa_[:, :, None]).any(2)
     t = np.argmax(in_a | in_b, axis=1)
     r = np.arange(len(t))
-    big = np.iinfo(np.int64).max
+    big = np.iinfo(np.int32).max
     return t, np.minimum(np.where(in_a[r, t], pb_[r, t], big), np.where(in_b[r, t], pa_[r, t], big))
 
 
-def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, probes: int = 2) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, probes: int = 2, polytopes: int | None = None, block: int = BLOCK) -> DataFrame:
     """For each vector: vec_id, n_links, component_id, kept.
 
     vectors has vec_id, label and embedding; other columns are ignored. Vectors are compared when their
@@ -65,17 +65,18 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
     an invalid vector link with nothing; their component is their own vec_id. Equal vectors of a label
     form a class; classes meet in buckets, cosines are verified in double precision, and a pair is
     counted in the first bucket where it meets. A bucket's task returns counts and a spanning forest of
-    its links, never its pairs. Rows of the same vec_id are vectors of their own in n_links.
+    its links, never its pairs. Rows of the same vec_id are vectors of their own, linked to one another only
+    if their vectors are. tables and polytopes are set by the size of the largest label unless given.
     """
     rows = vectors.select("vec_id", "label", "embedding")
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid("embedding")
     rows = rows.withColumn("_ok", usable)
     classes = rows.where("_ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialise(classes, "classes")
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     dim = 1 << max(1, ((classes.agg(F.max(F.size("embedding"))).first()[0] or 2) - 1).bit_length())
     # more axes to a code as labels grow, so that buckets stay near 256 rows; more tables make up for it
-    polytopes = min(4, max(1, math.ceil(math.log(max(most, 2) / 256) / math.log(2 * dim))))
+    polytopes = polytopes or min(4, max(1, math.ceil(math.log(max(most, 2) / 256) / math.log(2 * dim))))
     tables = tables or (8, 14, 24, 40)[polytopes - 1]
 
     def post(batches):
@@ -86,30 +87,34 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
             for d in np.unique(size):
                 part = batch.filter(pa.array(size == d))
                 c = codes(matrix(part.column("embedding")), tables, polytopes, probes)
-                # a salt for the number of components: vectors of other lengths meet in other buckets
-                c = (mix64((c + int(d) * 1_000_003).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                # a salt for the number of components: vectors of other lengths meet in other buckets. Codes that
+                # fall together in 32 bits only make one bucket of two.
+                c = (mix64((c + int(d) * 1_000_003).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * c[0].size, pa.int32()), pa.array(c.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*part.columns, flat], [*part.schema.names, "codes"])
 
-    coded = classes.mapInArrow(post, StructType([*classes.schema.fields, StructField("codes", ArrayType(LongType()))]))
+    placed = classes.select("cls", "n", "label", "embedding")
+    coded = placed.mapInArrow(post, StructType([*placed.schema.fields, StructField("codes", ArrayType(IntegerType()))]))
     wide = 1 + probes
     posts = coded.select("*", F.posexplode("codes").alias("at", "code")).withColumn("table", (F.col("at") / wide).cast("int")).withColumn("own", F.col("at") % wide == 0)
     # few components have fewer codes than there are probes: a code of a table is posted once, the own one first
     posts = posts.where(F.array_position(F.slice("codes", F.col("table") * wide + 1, wide), F.col("code")) == F.col("at") % wide + 1).drop("at")
     keys = ["label", "table", "code"]
-    large = posts.select(*keys).groupBy(keys).count().where(F.col("count") > BLOCK).select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    large = posts.select(*keys).groupBy(keys).count().where(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     posts = posts.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    posts = posts.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    posts = posts.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     posts = posts.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
     total = classes.count() * tables * wide
     groups = max(1, total // 16_384)
     posts = posts.withColumn("task", F.pmod(F.xxhash64(*keys, "lo", "hi"), F.lit(groups)).cast("int"))
     found = materialise(posts.groupBy("task").applyInArrow(lambda t: verify(t, threshold, tables, wide), "a long, b long, links long"), "links")
-    counts = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = min_label(found.where("links is null").select("a", "b")).withColumnRenamed("id", "rep")
-    done = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(
-        F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    counts = found.where("links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    parts = min_label(found.where("links is null").select("a", "b")).withColumnRenamed("id", "cls")
+    joined = materialise(classes.join(counts.hint("merge"), "cls", "left").join(parts.hint("merge"), "cls", "left"), "joined")
+    least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
+    done = joined.join(least.hint("merge"), "component", "left").select(
+        F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id")
     )
     ok = rows.where("_ok").join(done, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e"))).select("vec_id", "n_links", "component_id")
     rest = rows.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -120,7 +125,7 @@ def verify(t: pa.Table, threshold: float, tables: int, wide: int) -> pa.Table:
     """Counts and spanning edges of the links of a task's buckets."""
     label = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
     table, code = t["table"].to_numpy(), t["code"].to_numpy()
-    lo, hi, block, own, rep, n = (t[c].to_numpy() for c in ("lo", "hi", "block", "own", "rep", "n"))
+    lo, hi, block, own, rep, n = (t[c].to_numpy() for c in ("lo", "hi", "block", "own", "cls", "n"))
     vec, code_all = t["embedding"].combine_chunks(), matrix_int(t["codes"]).reshape(len(t), tables, wide)
     order = np.lexsort((block, hi, lo, code, table, label))
     keys = np.stack([label, table, code, lo, hi])[:, order]
@@ -136,13 +141,11 @@ def verify(t: pa.Table, threshold: float, tables: int, wide: int) -> pa.Table:
             i1 = i0
         if not len(i0) or not len(i1):
             continue
-        v0 = matrix(vec.take(pa.array(i0)))
-        v0 /= np.linalg.norm(v0, axis=1, keepdims=True)
+        v0 = unit(matrix(vec.take(pa.array(i0))))
         if i1 is i0:
             v1 = v0
         else:
-            v1 = matrix(vec.take(pa.array(i1)))
-            v1 /= np.linalg.norm(v1, axis=1, keepdims=True)
+            v1 = unit(matrix(vec.take(pa.array(i1))))
         sa, sb = [], []
         step = max(1, CHUNK // len(i1))
         for r in range(0, len(i0), step):
@@ -177,6 +180,10 @@ def verify(t: pa.Table, threshold: float, tables: int, wide: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": b, "links": counts})
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def matrix_int(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy()
 
