@@ -15,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Only a local session may leave it unset, and gets one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -73,17 +75,17 @@ def global_rank(df: DataFrame, by: list[str], order: list[F.Column], name: str)
     return out
 
 
-def min_label(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def min_label(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (id, component) for each id that has an edge.
 
     Alternates large-star and small-star rounds (each hangs the neighbours of a vertex on its smallest
     one) until the edges stay as they are; component is the smallest id that can be reached. Each round
-    is written to the shared folder. Raises if it has not settled after most_rounds.
+    is written to the shared folder. The rounds grow as the square of the logarithm of the edges.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     now = materialise(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         stats = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(stats):
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
@@ -99,23 +101,3 @@ def min_label(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = materialise(small.where("u <> v").distinct(), "edges")
         drop_scratch(now)
         now = after
-    raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-
-
-def in_blocks(posts: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
-    """posts with block, lo, hi: groups of more than `limit` rows are dealt out as pairs of blocks.
-
-    Each row of a large group is in one block and comes once for every pair of blocks (lo <= hi) that
-    holds it, so all pairs of its rows can be looked at by tasks of bounded size. Smaller groups are block
-    0 of pair (0, 0). The table of large groups is broadcast only if it is short.
-    """
-    large = posts.groupBy(*keys).count().where(F.col("count") > limit)
-    large = materialise(large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("count") / limit).cast("int").alias("_blocks")), "large")
-    short = large.count() <= 10_000
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-    out = posts.join(F.broadcast(large) if short else large, same, "left")
-    blocks = F.coalesce("_blocks", F.lit(1))
-    out = out.withColumn("block", F.pmod(F.xxhash64(member), blocks).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    out = out.withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
-    return out.select(*posts.columns, "block", "lo", "hi")

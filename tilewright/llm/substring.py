@@ -10,31 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import anchors
-from tilewright.llm.common import drop_scratch, scratch_path
+from tilewright.llm.common import drop_scratch, materialise, scratch_path
 from tilewright.llm.hashing import prefix_hash, span_hash, texts_of, word_spans
 
 WINDOW = 13
 # Entries of a bucket of the index and bytes of a bucket of pieces that a task is to hold.
 BUCKET_ENTRIES, BUCKET_BYTES = 1_000_000, 12 << 20
 RUN = "bucket int, keys binary, chunks binary, many binary"
-MERGED = "kind string, bucket int, chunk long, keys binary, chunks binary, many binary"
+MERGED = "kind string, bucket int, chunk long, keys binary, hot binary, chunks binary, many binary"
 
 
 class FingerprintIndex:
     """Sorted immutable runs of window fingerprints in the shared folder, by bucket.
 
-    An entry is (fingerprint, chunk of documents, whether the chunk holds it more than once). Adding a
-    batch merge-joins its entries with every run, reports the chunks, old and new, that share a
-    fingerprint, and writes the batch as a new run; `fanout` runs of a level are merged into one of the next.
+    An entry is (fingerprint, chunk of documents, number of unlike pieces and whether the chunk holds it
+    more than once). Adding a batch merge-joins its entries with every run, reports the chunks, old and new,
+    that share a fingerprint, and writes the batch as a new run; `fanout` runs of a level are merged into
+    one of the next. save() names the runs in a manifest, from which open() goes on in another session.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int, bits: int = anchors.CHUNK_BITS, fanout: int = 2, hot: int = anchors.HOT):
+        self.spark, self.buckets, self.bits, self.fanout, self.hot = spark, buckets, bits, fanout, hot
         self.runs: list[tuple[int, DataFrame]] = []
 
+    def save(self, path: str) -> None:
+        """Write the manifest: a row for each run, with the index's parameters."""
+        rows = [(n, r.inputFiles()[0].rsplit("/", 1)[0], self.buckets, self.bits, self.fanout, self.hot) for n, r in self.runs]
+        self.spark.createDataFrame(rows, "level int, path string, buckets int, bits int, fanout int, hot int").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        rows = spark.read.parquet(path).collect()
+        out = cls(spark, *rows[0][2:])
+        out.runs = [(r["level"], spark.read.schema(RUN).parquet(r["path"])) for r in rows]
+        return out
+
     def add(self, docs: DataFrame) -> DataFrame:
-        """Index a batch of documents; returns (chunk, keys): fingerprints that became shared."""
-        posts = anchors.post(docs, anchors.word_runs, self.buckets, within=False)
+        """Index a batch of documents; returns HITS: fingerprints that became shared."""
+        limit = self.hot
+        posts = anchors.post(docs, anchors.word_runs, self.buckets, within=False, bits=self.bits)
         past = None
         for _, run in self.runs:
             past = run if past is None else past.unionByName(run)
@@ -44,24 +58,27 @@ class FingerprintIndex:
         def merge(new: pa.Table, old: pa.Table) -> pa.Table:
             keys, chunks, many = anchors.entries(new)
             hit = anchors.repeated(keys, many)
+            one, of = np.unique(keys, return_inverse=True)
+            pieces = np.bincount(of, weights=many >> 1, minlength=len(one))
             told = []
             for i in range(len(old)):
-                run, of, _ = anchors.entries(old.slice(i, 1))
+                run, held, times = anchors.entries(old.slice(i, 1))
                 if not len(keys) or not len(run):
                     continue
                 at = np.minimum(np.searchsorted(run, keys), len(run) - 1)
                 hit = hit | (run[at] == keys)
-                back = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
-                met = keys[back] == run
-                told.append((run[met], of[met]))
-            told.append((keys[hit], chunks[hit]))
-            found = anchors.hits_by_chunk(np.concatenate([k for k, _ in told]), np.concatenate([c for _, c in told]))
-            n = len(found)
-            made = int(len(keys) > 0)
+                back = np.minimum(np.searchsorted(one, run), len(one) - 1)
+                met = one[back] == run
+                pieces += np.bincount(back[met], weights=times[met] >> 1, minlength=len(one))
+                told.append((run[met], held[met], back[met]))
+            told.append((keys[hit], chunks[hit], of[hit]))
+            found = anchors.hits_by_chunk(np.concatenate([k for k, _, _ in told]), np.concatenate([c for _, c, _ in told]), np.concatenate([(pieces > limit)[b] for _, _, b in told]))
+            n, made = len(found), int(len(keys) > 0)
+            null, bucket = [None] * n, [new["bucket"][0].as_py()] * made if made else []
             return pa.table({
-                "kind": pa.array(["hit"] * n + ["run"] * made), "bucket": pa.array([None] * n + [new["bucket"][0].as_py()] * made if made else [None] * n, pa.int32()),
-                "chunk": pa.array([c for c, _ in found] + [None] * made, pa.int64()), "keys": pa.array([k for _, k in found] + [keys.tobytes()] * made, pa.binary()),
-                "chunks": pa.array([None] * n + [chunks.tobytes()] * made, pa.binary()), "many": pa.array([None] * n + [many.tobytes()] * made, pa.binary()),
+                "kind": pa.array(["hit"] * n + ["run"] * made), "bucket": pa.array(null + bucket, pa.int32()),
+                "chunk": pa.array([c for c, _, _ in found] + [None] * made, pa.int64()), "keys": pa.array([k for _, k, _ in found] + [keys.tobytes()] * made, pa.binary()),
+                "hot": pa.array([h for _, _, h in found] + [None] * made, pa.binary()), "chunks": pa.array(null + [chunks.tobytes()] * made, pa.binary()), "many": pa.array(null + [many.tobytes()] * made, pa.binary()),
             })
 
         path = scratch_path(self.spark, "index")
@@ -71,7 +88,7 @@ class FingerprintIndex:
         if "run" in kinds:
             self.runs.append((0, read("run", RUN)))
             self.compact()
-        return read("hit", "chunk long, keys binary")
+        return read("hit", anchors.HITS)
 
     def compact(self) -> None:
         level = 0
@@ -97,9 +114,10 @@ class FingerprintIndex:
 def repeated_windows(data: bytes, size: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Marks the 13-word windows of pieces that a piece of an earlier document also holds.
 
-    Two independent 64-bit hashes and the length of the window's bytes verify that windows are equal.
+    Windows of equal hash and length are compared byte by byte with the first of them; where one differs,
+    all of that hash are told apart by their bytes.
     """
-    h1, h2, length = [], [], []
+    hashes, starts, ends = [], [], []
     end = np.cumsum(size)
     x = 0
     while x < len(size):  # slabs of about 1 MB keep the tables of powers small
@@ -120,19 +138,45 @@ def repeated_windows(data: bytes, size: np.ndarray, count: np.ndarray, doc: np.n
         first = np.cumsum(words) - words
         w = np.repeat(first, count[x:y]) + np.arange(count[x:y].sum()) - np.repeat(np.cumsum(count[x:y]) - count[x:y], count[x:y])
         s, e = begin[w], stop[w + WINDOW - 1]
-        h1.append(span_hash(prefix_hash(a), s, e))
-        h2.append(span_hash(prefix_hash(a, seed=2), s, e))
-        length.append(e - s)
+        hashes.append(span_hash(prefix_hash(a), s, e))
+        starts.append(s + lo)
+        ends.append(e + lo)
         x = y
-    h1, h2, length, of = np.concatenate(h1), np.concatenate(h2), np.concatenate(length), np.repeat(doc, count)
-    order = np.lexsort((of, length, h2, h1))
-    a, b, c, d = h1[order], h2[order], length[order], of[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
+    h, s, e, of = np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), np.repeat(doc, count)
+    length = e - s
+    order = np.lexsort((of, length, h))
+    a, c = h[order], length[order]
+    group = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])]) - 1
+    first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])][group]
     out = np.zeros(len(order), bool)
-    out[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    out[order] = of[order] > of[first]
+    odd = group[differs(data, s[order], s[first], c)]
+    if len(odd):  # unlike windows of one hash
+        seen: dict[bytes, int] = {}
+        for i in order[np.isin(group, odd)].tolist():
+            out[i] = of[i] > seen.setdefault(data[s[i] : e[i]], of[i])
     return out
 
 
+def differs(data: bytes, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the pairs of spans (of 8 bytes or more) hold unlike bytes."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    out = np.zeros(len(left), bool)
+    todo = np.flatnonzero(left != right)
+    for i in todo[length[todo] > 4_096].tolist():
+        out[i] = data[left[i] : left[i] + length[i]] != data[right[i] : right[i] + length[i]]
+    todo = todo[length[todo] <= 4_096]
+    for d in range(0, 4_096, 8):
+        todo = todo[length[todo] > d]
+        if not len(todo):
+            break
+        at = np.minimum(d, length[todo] - 8)
+        same = eight[left[todo] + at] == eight[right[todo] + at]
+        out[todo[~same]] = True
+        todo = todo[same]
+    return np.flatnonzero(out)
+
+
 def digest_row(text: bytes | None, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     words = (text or b"").split()
     kept, at = [], 0
@@ -143,7 +187,7 @@ def digest_row(text: bytes | None, spans: list[tuple[int, int]]) -> tuple[int, i
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 3, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, texts: bool = False, hot: int = anchors.HOT) -> DataFrame:
     """Remove every word covered by a 13-word window that also starts in a document of a smaller doc_id.
 
     docs has doc_id and text; other columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256 and,
@@ -151,20 +195,41 @@ def remove_repeats(docs: DataFrame, batches: int = 3, texts: bool = False) -> Da
     doc_id; each is merge-joined with the index of those before. A null text has no words; rows of a null
     doc_id are returned whole and remove nothing; rows of equal doc_id do not remove from each other.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = anchors.text_bytes(docs)
-    index = FingerprintIndex(spark, max(16, total // 30 // BUCKET_ENTRIES))
-    bounds = docs.select(F.shiftright("doc_id", anchors.CHUNK_BITS).alias("c")).agg(F.percentile_approx("c", [i / batches for i in range(1, batches)], F.lit(1000))).first()[0] or []
-    edges = [None, *sorted({b << anchors.CHUNK_BITS for b in bounds}), None]
+    total, bits = anchors.measure(docs)
+    index = FingerprintIndex(docs.sparkSession, max(16, total // 30 // BUCKET_ENTRIES), bits, hot=hot)
+    bounds = docs.select(F.shiftright("doc_id", bits).alias("c")).agg(F.percentile_approx("c", [i / batches for i in range(1, batches)], F.lit(1000))).first()[0] or []
+    edges = [None, *sorted({b << bits for b in bounds}), None]
     hits = None
     for lo, hi in zip(edges, edges[1:], strict=False):
         part = docs if lo is None else docs.where(F.col("doc_id") >= lo)
         part = part if hi is None else part.where(F.col("doc_id") < hi)
         found = index.add(part)
         hits = found if hits is None else hits.unionByName(found)
+    return cut_out(docs, docs, hits, total, bits, texts)
+
+
+def add_batch(index: FingerprintIndex, history: DataFrame, batch: DataFrame, texts: bool = False) -> DataFrame:
+    """Deduplicate a batch against all that the index holds, and index it: the rows of remove_repeats() for the batch.
+
+    doc_ids of the batch follow those of the history, and start a new chunk. Of the history (the indexed
+    documents), only the chunks that share a fingerprint with the batch are cut into pieces.
+    """
+    both = [d.select(F.col("doc_id").cast("long").alias("doc_id"), "text") for d in (history, batch)]
+    hits = materialise(index.add(both[1]), "hits")
+    total = anchors.measure(both[1])[0]
+    return cut_out(both[0].unionByName(both[1]), both[1], hits, total, index.bits, texts)
+
+
+def cut_out(docs: DataFrame, wanted: DataFrame, hits: DataFrame, total: int, bits: int, texts: bool) -> DataFrame:
+    """Cut the repeated windows of docs out of the wanted ones of them."""
     buckets = max(16, total // BUCKET_BYTES)
-    spans = anchors.judge(anchors.pieces(docs, hits, anchors.word_runs, buckets, within=False), repeated_windows, within=False)
+    chunk = F.shiftright(F.col("doc_id"), bits)
+    if wanted is not docs:
+        docs = docs.join(hits.select(F.col("chunk").alias("_c")).distinct().hint("merge"), chunk == F.col("_c"), "left_semi")
+    spans = anchors.judge(anchors.pieces(docs, hits, anchors.word_runs, buckets, within=False, bits=bits), repeated_windows, within=False)
+    if wanted is not docs:
+        spans = spans.join(wanted.select(chunk.alias("_c")).distinct().hint("merge"), F.col("chunk") == F.col("_c"), "left_semi")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
 
     def rows(ids, bodies, by) -> pa.Table:
@@ -182,8 +247,8 @@ def remove_repeats(docs: DataFrame, batches: int = 3, texts: bool = False) -> Da
         for b in parts:
             yield from rows(b.column("doc_id"), list(texts_of(b.column("text"))), {}).to_batches()
 
-    done = anchors.chunked(docs).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(apply, schema)
-    return done.unionByName(docs.where("doc_id is null").mapInArrow(whole, schema))
+    done = anchors.chunked(wanted, bits).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(apply, schema)
+    return done.unionByName(wanted.where("doc_id is null").mapInArrow(whole, schema))
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

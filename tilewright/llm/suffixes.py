@@ -126,21 +126,22 @@ def repeated_windows(data: bytes, size: np.ndarray, count: np.ndarray, doc: np.n
     return marked[at]
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = anchors.HOT) -> DataFrame:
     """Remove every byte covered by a 100-byte string that also starts earlier.
 
     docs has doc_id and text; other columns are ignored. Earlier is a smaller doc_id or an earlier place in
     the same document. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept
     (bytes, which may cut a character). Strings are judged on the input and overlap. Only text whose
-    anchor is shared can repeat, and only that is suffix-sorted. A null text is empty; rows of a null
+    anchor is shared can repeat, and only that is suffix-sorted (strings under an anchor with more than `hot`
+    unlike pieces go by 128-bit digests, as no one task could sort them). A null text is empty; rows of a null
     doc_id are returned whole; rows of equal doc_id count as documents in the order of their texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = anchors.text_bytes(docs)
-    posts = anchors.post(docs, anchors.byte_runs, max(16, total // 30 // BUCKET_ENTRIES), within=True)
-    hits = materialise(anchors.shared(posts), "shared")
+    total, bits = anchors.measure(docs)
+    posts = anchors.post(docs, anchors.byte_runs, max(16, total // 30 // BUCKET_ENTRIES), within=True, bits=bits)
+    hits = materialise(anchors.shared(posts, hot), "shared")
     buckets = max(16, total // BUCKET_BYTES)
-    spans = anchors.judge(anchors.pieces(docs, hits, anchors.byte_runs, buckets, within=True), repeated_windows, within=True)
+    spans = anchors.judge(anchors.pieces(docs, hits, anchors.byte_runs, buckets, within=True, bits=bits), repeated_windows, within=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def rows(ids, bodies, by) -> pa.Table:
@@ -168,7 +169,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         for b in parts:
             yield from rows(b.column("doc_id"), list(texts_of(b.column("text"))), {}).to_batches()
 
-    done = anchors.chunked(docs).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(apply, schema)
+    done = anchors.chunked(docs, bits).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(apply, schema)
     return done.unionByName(docs.where("doc_id is null").mapInArrow(whole, schema))
 
 
