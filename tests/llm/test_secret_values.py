@@ -50,3 +50,29 @@ def test_padding_belongs_to_the_end_of_a_token(spark):
     text = F.lit("see cGl8Zq8vX2mK9pL4tR7wB1nC6yD3== and Zq8vX2mK9pL4tR7wB1nC6yD3==next")
     hits = spark.range(1).select(secrets.spans(text, secrets.TOKEN, secrets.matches(text, secrets.TOKEN), lambda m: F.lit(True), "random").alias("s")).first()["s"]
     assert [(h["start"], h["end"], h["token"]) for h in hits] == [(4, 34, "cGl8Zq8vX2mK9pL4tR7wB1nC6yD3=="), (39, 63, "Zq8vX2mK9pL4tR7wB1nC6yD3")]
+
+
+@pytest.mark.parametrize("low", secrets.STRATA)
+def test_few_of_the_reported_are_ordinary_text(spark, low):
+    """Labelled tokens: as many random ones as ordinary ones of joined words, by length."""
+    r, words = random.Random(low), "the quick Brown fox jumps over a lazy dog while seven grey wolves watch from under old trees and many children sing about rivers Hinter dem grossen Haus steht eine alte Eiche pendant que nous mangeons una casa blanca cerca del mar".split()
+    rows = []
+    for i in range(300):
+        text = ""
+        while len(text) < low:
+            text += r.choice(words) + r.choice(["", "", "_"])
+        rows.append((i, text[: low + 4]))
+        rows.append((10_000 + i, "".join(r.choice(BASE62) for _ in range(low + 4))))
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("size(spans) > size(base)").select("doc_id").collect()
+    false, true = sum(g[0] < 10_000 for g in got), sum(g[0] >= 10_000 for g in got)
+    assert false <= 0.05 * (false + true) and true >= 270
+
+
+def test_many_matches_and_columns_of_any_name(spark):
+    text = "password=hunter2x and some words é " * 2_000
+    docs = spark.createDataFrame([(1, text, "t", [1], "b", "s", 7, len(text)), (2, None, None, None, None, None, None, None)], "doc_id long, text string, tokens string, base array<int>, _t string, spans string, row long, n_chars long")
+    out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert out[1]["text"] == "[SECRET] and some words é " * 2_000 and out[1][2:7] == ("t", [1], "b", "s", 7) and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[2][1:] == (None,) * 7
+    base = secrets.scan_secrets(docs).where("doc_id = 1").first()["base"]
+    assert [(b["start"], b["end"]) for b in base] == [(35 * k, 35 * k + 17) for k in range(2_000)]

@@ -1,7 +1,13 @@
-"""Secret scans: fixed patterns, and a randomness test battery for other tokens. Built-in expressions only."""
+"""Secret scans: fixed patterns, and a randomness test battery for other tokens. Built-in expressions only.
+
+A token is reported if the battery holds its characters to be uniform over its encoding, and if, among all
+tokens of its length, it is a discovery against the hypothesis that it is ordinary text.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +38,13 @@ ALPHABETS = {
 }
 STRATA = (20, 28, 40, 64)  # lower ends of the length strata, each with a false-discovery level of its own
 FDR = 0.05
+UNIFORM = 0.01  # the battery's level: a token it rejects is not random
+# Letters of English text in percent, and shares of other characters of tokens.
+LETTERS = {
+    "a": 8.2, "b": 1.5, "c": 2.8, "d": 4.3, "e": 12.7, "f": 2.2, "g": 2.0, "h": 6.1, "i": 7.0, "j": 0.15, "k": 0.77, "l": 4.0, "m": 2.4,
+    "n": 6.7, "o": 7.5, "p": 1.9, "q": 0.095, "r": 6.0, "s": 6.3, "t": 9.1, "u": 2.8, "v": 0.98, "w": 2.4, "x": 0.15, "y": 2.0, "z": 0.074,
+}
+UPPER, DIGITS, MARKS = 0.05, 0.02, 0.03  # of all characters: capitals (as the letters), 0-9 and +/_-
 BINS_PER_DECADE, MOST_DECADES = 100, 40
 
 
@@ -39,22 +52,29 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def spans(text: Column, pattern: str, found: Column, keep, kind: str) -> Column:
+def spans(text: Column, pattern: str, found: Column, keep, kind: str, block: int = 256) -> Column:
     """array<struct<start,end,kind,token>> of matches that keep(match) holds of, in code points.
 
-    The pieces between the matches give the places: one pass, however many matches there are.
+    The pieces between the matches give the places: one pass, however many matches there are. Places are
+    added up within blocks of matches and then over the blocks, so no long array is copied for each match.
     """
     order = KINDS.index(kind)
     pieces = F.split(text, pattern, -1)
     both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("hit"))
     span = lambda start, x: F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("token"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    one = "struct<start:int,kind:int,end:int,token:string>"
+    empty = F.array().cast(f"array<{one}>")
     step = lambda acc, x: F.struct(
         (acc["at"] + F.length(x["piece"]) + F.length(x["hit"])).alias("at"),
         F.when(keep(x["hit"]), F.array_append(acc["out"], span(acc["at"] + F.length(x["piece"]), x))).otherwise(acc["out"]).alias("out"),
     )
-    return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(empty)
+    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    short = F.aggregate(both, start, step, lambda acc: acc["out"])
+    blocks = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / block).cast("int")), lambda k: F.aggregate(F.slice(b, k * block + 1, F.lit(block)), start, step))
+    moved = lambda acc, x: F.transform(x["out"], lambda y: F.struct((y["start"] + acc["at"]).alias("start"), y["kind"].alias("kind"), (y["end"] + acc["at"]).alias("end"), y["token"].alias("token")))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{one}>>").alias("out"))
+    joined = lambda b: F.flatten(F.aggregate(blocks(b), outer, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], moved(acc, x)).alias("out")), lambda acc: acc["out"]))
+    return F.when(F.size(found) > block, let(both, joined)).when(F.size(found) > 0, short).otherwise(empty)
 
 
 def parts(token: Column) -> Column:
@@ -128,6 +148,26 @@ def p_value(token: Column) -> Column:
     return F.coalesce(let(let(F.regexp_replace(token, "=+$", ""), encoded), battery), F.lit(0.0))
 
 
+def text_p_value(token: Column) -> Column:
+    """p-value of the token under the hypothesis that it is ordinary text: the chance that text of its length is as surprising.
+
+    The surprisal of a character is minus the logarithm of its share in text; a token's sum is held
+    against the mean and variance of as many characters of text, by the normal distribution.
+    """
+    total = sum(LETTERS.values())
+    share = {c: (1 - UPPER - DIGITS - MARKS) * v / total for c, v in LETTERS.items()}
+    share |= {c.upper(): UPPER * v / total for c, v in LETTERS.items()}
+    share |= {c: DIGITS / 10 for c in "0123456789"} | {c: MARKS / 4 for c in "+/_-"}
+    mean = -sum(q * math.log(q) for q in share.values())
+    var = sum(q * math.log(q) ** 2 for q in share.values()) - mean**2
+    cost = F.array(*[F.lit(0.0), *[F.lit(-math.log(q)) for q in share.values()]])
+    letters = "".join(share)
+    body = F.regexp_replace(token, "=+$", "")
+    sums = F.aggregate(F.split(body, ""), F.lit(0.0), lambda acc, c: acc + F.element_at(cost, F.instr(F.lit(letters), c) + 1))
+    n = F.length(body)
+    return let((sums - n * mean) / F.sqrt(n * var), upper_tail)
+
+
 def stratum(token: Column) -> Column:
     s = F.lit(0)
     for k, low in enumerate(STRATA[1:], 1):
@@ -136,80 +176,106 @@ def stratum(token: Column) -> Column:
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` and doc_id of docs with base: array of base spans, tokens: array of (span, p, stratum)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(*keep, text.alias("_t"))
+    """row: a struct of the columns `keep` of docs; base: array of base spans; tokens: array of (span, stratum, p).
+
+    p is the p-value of "ordinary text", and 1 for a token that the battery does not hold to be random. The
+    columns of docs stand inside row, so no name of theirs can clash with those used here.
+    """
+    found = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("_t"))
     found = found.select("*", matches(F.col("_t"), ASSIGN).alias("_a"), matches(F.col("_t"), ACCESS).alias("_k"), matches(F.col("_t"), HEX).alias("_h"), matches(F.col("_t"), TOKEN).alias("_r"))
     t = F.col("_t")
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
     long = lambda m: F.length(m) >= 20
     found = found.select(
-        *keep, spans(t, ASSIGN, F.col("_a"), value, "assign").alias("_a"), spans(t, ACCESS, F.col("_k"), long, "access").alias("_k"),
+        "row", spans(t, ASSIGN, F.col("_a"), value, "assign").alias("_a"), spans(t, ACCESS, F.col("_k"), long, "access").alias("_k"),
         spans(t, HEX, F.col("_h"), lambda m: F.lit(True), "hex").alias("_h"), F.flatten(F.transform(spans(t, TOKEN, F.col("_r"), lambda m: F.lit(True), "random"), parts)).alias("_r"),
     )
-    base = F.concat("_a", "_k", "_h")
-    found = found.select(*keep, base.alias("base"), F.col("_r"))
+    found = found.select("row", F.concat("_a", "_k", "_h").alias("base"), F.col("_r"))
     apart = F.filter("_r", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    found = found.select(*keep, F.transform("base", lambda b: b.dropFields("token")).alias("base"), apart.alias("_r"))
-    tested = F.transform("_r", lambda r: F.struct(r["start"], r["kind"], r["end"], stratum(r["token"]).alias("stratum"), p_value(r["token"]).alias("p")))
-    return found.select(*keep, "base", tested.alias("tokens"))
+    found = found.select("row", F.transform("base", lambda b: b.dropFields("token")).alias("base"), apart.alias("_r"))
+    p = lambda r: F.when(p_value(r["token"]) > UNIFORM, text_p_value(r["token"])).otherwise(F.lit(1.0))
+    tested = F.transform("_r", lambda r: F.struct(r["start"], r["kind"], r["end"], stratum(r["token"]).alias("stratum"), p(r).alias("p")))
+    return found.select("row", "base", tested.alias("tokens"))
+
+
+def bin_of(p: Column) -> Column:
+    """Bin of a p-value by its logarithm, rounded towards 1."""
+    most = F.lit(MOST_DECADES * BINS_PER_DECADE)
+    return F.when(p <= 0, most).otherwise(F.least(most, F.floor(-F.log10(p) * BINS_PER_DECADE).cast("int")))
 
 
-def rejection_levels(scanned: DataFrame, fdr: float = FDR) -> list[float]:
-    """For each length stratum, the p-value at or under which a token is held to be ordinary text.
+def discovery_bins(scanned: DataFrame, fdr: float = FDR) -> list[int]:
+    """For each length stratum, the bin from which on a token is a discovery: not ordinary text but a secret.
 
-    Benjamini-Hochberg over all tokens of the stratum, read off a histogram of log p-values (at most
-    4,000 bins a stratum, rounded towards 1), so no sort over all tokens is needed.
+    Benjamini-Hochberg over all tokens of the stratum: of those reported, a share of fdr at most is
+    expected to be ordinary text. Read off a histogram of log p-values (at most 4,000 bins a stratum), so
+    no sort over all tokens is needed.
     """
     t = scanned.select(F.explode("tokens").alias("t")).select("t.stratum", "t.p")
-    bin_ = F.when(F.col("p") <= 0, F.lit(MOST_DECADES * BINS_PER_DECADE)).otherwise(F.least(F.lit(MOST_DECADES * BINS_PER_DECADE), F.floor(-F.log10("p") * BINS_PER_DECADE).cast("int")))
-    counts = t.groupBy("stratum", bin_.alias("bin")).count().collect()
+    counts = t.groupBy("stratum", bin_of(F.col("p")).alias("bin")).count().collect()
     levels = []
     for s in range(len(STRATA)):
         mine = sorted(((r["bin"], r["count"]) for r in counts if r["stratum"] == s), reverse=True)
-        m, seen, level = sum(n for _, n in mine), 0, 0.0
+        m, seen, level = sum(n for _, n in mine), 0, MOST_DECADES * BINS_PER_DECADE + 1
         for b, n in mine:
             seen += n
-            p = 0.0 if b == MOST_DECADES * BINS_PER_DECADE else 10 ** (-b / BINS_PER_DECADE)
-            if p <= fdr * seen / m:
-                level = max(level, p)
+            if 10 ** (-b / BINS_PER_DECADE) <= fdr * seen / m:
+                level = b
         levels.append(level)
     return levels
 
 
-def find(scanned: DataFrame, levels: list[float]) -> DataFrame:
-    """Adds spans: base spans and the tokens whose randomness stands, by start, then kind."""
-    at = lambda t: F.element_at(F.array(*[F.lit(float(x)) for x in levels]), t["stratum"] + 1)
-    kept = F.transform(F.filter("tokens", lambda t: t["p"] > at(t)), lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
+def find(scanned: DataFrame, levels: list[int]) -> DataFrame:
+    """Adds spans: base spans and the tokens that are discoveries, by start, then kind."""
+    at = lambda t: F.element_at(F.array(*[F.lit(x) for x in levels]), t["stratum"] + 1)
+    kept = F.transform(F.filter("tokens", lambda t: bin_of(t["p"]) >= at(t)), lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end")))
     return scanned.withColumn("base", F.array_sort("base")).withColumn("spans", F.array_sort(F.concat("base", kept)))
 
 
+def scanned_rows(docs: DataFrame, keep: list[str], fdr: float) -> DataFrame:
+    scanned = materialise(scan(docs, keep), "secrets")
+    return find(scanned, discovery_bins(scanned, fdr))
+
+
 def scan_secrets(docs: DataFrame, keep: list[str] | None = None, fdr: float = FDR) -> DataFrame:
     """Columns `keep` (default doc_id) of docs, base and spans: arrays of (start, kind, end).
 
-    docs has doc_id and text; a null text is empty; other columns are ignored unless kept. Spans count
-    code points, end exclusive; kind is a place in KINDS. Repeated rows are scanned each for itself.
+    docs has doc_id and text; a null text is empty; other columns are ignored unless kept, and columns
+    named base or spans cannot be kept. Spans count code points, end exclusive; kind is a place in KINDS.
+    Repeated rows are scanned each for itself.
     """
-    scanned = materialise(scan(docs, keep or ["doc_id"]), "secrets")
-    return find(scanned, rejection_levels(scanned, fdr))
+    keep = keep or ["doc_id"]
+    if {"base", "spans"} & set(keep):
+        raise ValueError("base and spans are columns of the result")
+    return scanned_rows(docs, keep, fdr).select("row.*", "base", "spans")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
-    """docs with every span of its text replaced by the mark; overlapping spans become one. n_chars, if any, follows."""
+    """docs with every span of its text replaced by the mark; overlapping spans become one.
+
+    n_chars, if any, follows; all other columns, of whatever name, keep their values.
+    """
     cols = docs.columns
-    found = scan_secrets(docs, cols, fdr)
-    t = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = scanned_rows(docs, cols, fdr)
+    t = F.col("row.text")
+    # the stretches between spans, then one join: no text is copied for each span
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
+        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["at"].alias("lo"), s["start"].alias("hi")))).alias("out"),
     )
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    text = F.when(F.size("spans") > 0, done).otherwise(t)
-    out = found.withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    gaps = F.aggregate("spans", start, step, lambda acc: F.array_append(acc["out"], F.struct(acc["at"].alias("lo"), F.length(t).alias("hi"))))
+    done = F.array_join(F.transform(gaps, lambda g: F.substring(t, g["lo"] + 1, g["hi"] - g["lo"])), mark)
+    found = found.select("row", (F.size("spans") > 0).alias("hit"), F.when(F.size("spans") > 0, done).otherwise(t).alias("clean"))
+    values = []
+    for c in cols:
+        value = F.col("row")[c]
+        if c == "text":
+            value = F.col("clean")
+        elif c == "n_chars":
+            value = F.when(F.col("hit"), F.length("clean").cast(docs.schema[c].dataType)).otherwise(value)
+        values.append(value.alias(c))
+    return found.select(*values)
 
 
 def joined(spans_: str) -> Column:
