@@ -53,6 +53,26 @@ def draw(key: F.Column, seed: str) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
+def with_copies(rows: DataFrame, per: DataFrame, seed: str) -> DataFrame:
+    """rows (doc_id, source and others) with source_size, target and copies from the targets of sources.
+
+    A short table of sources is broadcast, so rows are not shuffled; a longer one is joined in salted
+    shuffles, so that a source of a third of all rows is not one task.
+    """
+    per = materialise(per, "targets")
+    named = per.select(F.col("source").alias("_source"), "source_size", "target")
+    if per.count() <= BROADCAST_SOURCES:
+        out = rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source")), "left")
+    else:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        many = named.withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = salted.join(many, (F.col("_salt") == F.col("_salt_")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    extra = F.when(draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed) < rate - whole, 1).otherwise(0)
+    return out.select(*rows.columns, "source_size", "target", (whole + extra).cast("long").alias("copies"))
+
+
 def mix(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix:"
 ) -> DataFrame:
@@ -64,27 +84,17 @@ def mix(
     doc_id draws as the text "null"; an empty table gives an empty result.
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    per = source_targets(sized.select("source", "size"), weights, share, most)
-    per = materialise(per, "targets")
-    if per.count() <= BROADCAST_SOURCES:
-        out = sized.join(F.broadcast(per.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")), "left")
-    else:
-        salted = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        many = per.withColumnRenamed("source", "_source").withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = salted.join(many, (F.col("_salt") == F.col("_salt_")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    extra = F.when(draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed) < rate - whole, 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (whole + extra).cast("long").alias("copies"))
+    return with_copies(sized, source_targets(sized.select("source", "size"), weights, share, most), seed)
 
 
-def emit_copies(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each row of docs as often as mix() says, with the columns of docs."""
-    cols = docs.columns
-    plan = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("copies").alias("_copies")).distinct().hint("merge")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_src"))
-    out = docs.join(plan, same)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in cols])
+def emit_copies(
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix:"
+) -> DataFrame:
+    """The mixed corpus: each row of docs as often as mix() says, with the columns of docs, whatever their names."""
+    per = source_targets(docs.select("source", n_words(F.col("text")).alias("size")), weights, share, most)
+    rows = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = with_copies(rows, per, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select("row.*")
 
 
 def op9_mixing(spark, sf_dir) -> DataFrame:

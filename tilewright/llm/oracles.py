@@ -37,3 +37,15 @@ links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low, w.doc_id) AS component_id, w.doc_id = coalesce(low, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach r ON r.id = w.doc_id
 """
+
+# Bytes as pairs of hex digits, since SQL text counts characters; cut from blocks of 500 bytes and the 99 after.
+OP7_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, o, substr(h, 1000 * o + 1, 1198) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 999) // 1000)) AS o FROM t)),
+w AS (SELECT doc_id, 500 * o + j AS i, substr(part, 2 * j - 1, 2) AS byte, substr(part, 2 * j - 1, 200) AS win FROM (SELECT *, unnest(range(1, least(500, len(part) // 2) + 1)) AS j FROM k)),
+f AS (SELECT doc_id, i, byte, len(win) = 200 AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM w),
+c AS (SELECT doc_id, i, byte, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 100, false) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM t LEFT JOIN r USING (doc_id)
+"""

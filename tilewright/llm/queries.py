@@ -6,8 +6,8 @@ from tilewright.llm.ann import op5_ann
 from tilewright.llm.mixing import OP9_SQL, op9_mixing
 from tilewright.llm.near_texts import op4_near_texts
 from tilewright.llm.near_vectors import op3_near_vectors
-from tilewright.llm.oracles import OP1_SQL, OP3_SQL, OP4_SQL
-from tilewright.llm.packing import op10_packing
+from tilewright.llm.oracles import OP1_SQL, OP3_SQL, OP4_SQL, OP7_SQL
+from tilewright.llm.packing import OP10_SQL, op10_packing
 from tilewright.llm.secrets import op6_secrets
 from tilewright.llm.substring import op1_substring
 from tilewright.llm.suffixes import op7_suffixes
@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op3_near_vectors": OP3_SQL, "op4_near_texts": OP4_SQL, "op2_warc": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_substring": OP1_SQL, "op3_near_vectors": OP3_SQL, "op4_near_texts": OP4_SQL, "op2_warc": OP2_SQL, "op7_suffixes": OP7_SQL, "op9_mixing": OP9_SQL, "op10_packing": OP10_SQL}
