@@ -12,7 +12,7 @@ from tilewright.llm.common import materialise
 from tilewright.llm.vectors import matrix, rotate, valid
 
 # Rows the index is fitted on, lists at most, rows of a shard and queries of a task.
-FIT_ROWS, MOST_LISTS, SHARD, QUERIES = 16_384, 4_096, 8_192, 4_096
+FIT_ROWS, MOST_LISTS, SHARD, QUERIES = 16_384, 512, 8_192, 4_096
 COLUMNS, QUERY_ROWS = 16, 128
 HELD = 32  # the lists that a query probes hold this many times k rows at least
 
@@ -160,25 +160,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     placed = materialise(base.mapInArrow(place, "vec_id long, embedding array<double>, list int"), "lists")
     counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MOST_LISTS rows
-    # lists are packed into shards of about SHARD rows; a larger list has shards of its own
+    # lists are packed into shards of about SHARD rows; a larger list has shards of its own. (first shard, shards)
     shards, used, free = {}, 0, 0
     for c in range(len(centroids)):
         n = counts.get(c, 0)
         if n > SHARD:
-            parts = -(-n // SHARD)
-            shards[c] = list(range(used, used + parts))
-            used, free = used + parts, 0
+            shards[c] = (used, -(-n // SHARD))
+            used, free = used + shards[c][1], 0
         elif n:
             if n > free:
                 used, free = used + 1, SHARD
-            shards[c] = [used - 1]
+            shards[c] = (used - 1, 1)
             free -= n
-    n_asked = asked.count()
-    slices = max(1, -(-n_asked // QUERIES))
-    shard_of = F.element_at(F.create_map(*[v for c, s in shards.items() for v in (F.lit(c), F.array(*map(F.lit, s)))]), F.col("list"))
-    at = F.element_at(shard_of, (F.pmod(F.xxhash64("vec_id"), F.size(shard_of)) + 1).cast("int"))
-    dealt = placed.withColumn("shard", at).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    of_list = spark.sparkContext.broadcast(shards)
+    # a literal map of the lists, which are MOST_LISTS at most
+    of_shard = F.element_at(F.create_map(*[v for c, (s, m) in shards.items() for v in (F.lit(c), F.struct(F.lit(s).alias("first"), F.lit(m).alias("parts")))]), F.col("list"))
+    dealt = placed.withColumn("_s", of_shard).withColumn("shard", (F.col("_s.first") + F.pmod(F.xxhash64("vec_id"), F.col("_s.parts"))).cast("int")).drop("_s")
 
     def probing(batches):
         c, n, _ = shared.value
@@ -190,7 +186,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             for i, probes in enumerate(near):
                 mine = {}
                 for p in probes[: enough[i]].tolist():
-                    for s in of_list.value.get(p, ()):
+                    first, parts = shards.get(p, (0, 0))
+                    for s in range(first, first + parts):
                         mine.setdefault(s, []).append(p)
                 take += [i] * len(mine)
                 shard += mine.keys()
@@ -199,7 +196,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([out.column("query_id"), out.column("embedding"), pa.array(shard, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "embedding", "shard", "lists"])
 
     asks = asked.mapInArrow(probing, "query_id long, embedding array<double>, shard int, lists array<int>")
-    asks = asks.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    # a shard comes once for each QUERIES queries that probe it, and not at all if none does
+    wanted = materialise(asks.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("slices")), "slices")
+    asks = asks.join(wanted, "shard").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.col("slices")).cast("int")).drop("slices")
+    dealt = dealt.join(wanted, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     found = dealt.groupBy("shard", "slice").cogroup(asks.groupBy("shard", "slice")).applyInArrow(lambda a, b: scan_shard(a, b, k), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

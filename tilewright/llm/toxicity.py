@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tilewright.llm.common import materialise
 from tilewright.llm.hashing import mix64, prefix_hash, span_hash, texts_of
@@ -54,12 +55,13 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs: int = 4, least_docs: int = 3, importance: float = 5.0) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs: int = 4, least_docs: int = 3, importance: float = 5.0, max_bytes: int = 512 << 20) -> dict[str, np.ndarray]:
     """Sparse weights {"at", "w"} from the labelled documents.
 
     labels has doc_id and toxic (rows with a null in either are left out). At most max_per_class rows of
-    each class, those of the smallest hash of doc_id, are learnt from: the documented bound on what is
-    broadcast and on the one task that learns. Features in fewer than least_docs of them are left out;
+    each class, those of the smallest hash of doc_id, are learnt from, and of those as many, in the same
+    order, as have max_bytes of features (four bytes each) in all: the documented bounds on what is
+    broadcast and on the one task that learns. Without labels of both classes all weights are 0. Features in fewer than least_docs of them are left out;
     toxic rows count `importance` times.
     """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -75,7 +77,13 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs
             blobs = [np.unique(features(t)).astype(np.uint32).tobytes() for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(blobs, pa.binary())], ["doc_id", "y", "at"])
 
-    data = rows.mapInArrow(featurise, "doc_id long, y int, at binary")
+    data = materialise(rows.mapInArrow(featurise, "doc_id long, y int, at binary"), "features")
+    # a window over 2 * max_per_class rows of sizes at most
+    sizes = data.select("doc_id", "y", F.octet_length("at").alias("_n")).distinct()
+    taken = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id", "_n"))
+    within = sizes.withColumn("_taken", taken).where(F.col("_taken") <= max_bytes)
+    if within.count() < sizes.count():
+        data = data.join(F.broadcast(within.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def learn(table: pa.Table) -> pa.Table:
         model = Ftrl()
@@ -100,24 +108,33 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and SCORE, 0 to 1, from the whole text; the sparse weights are broadcast (at most 2^22)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
-    out = StructType([*schema.fields, StructField(SCORE, DoubleType())])
+    """Columns `keep` of docs and SCORE, 0 to 1, from the whole text (null and empty: the bias alone).
+
+    The sparse weights are broadcast (2^22 at most). A column named SCORE cannot be kept.
+    """
+    if SCORE in keep:
+        raise ValueError(f"{SCORE} is a column of the result")
+    return score_rows(docs, model, keep).select("row.*", SCORE)
+
+
+def score_rows(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+    """row, a struct of the columns `keep` of docs, whatever their names, and SCORE."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].alias("text"))
+    out = StructType([rows.schema["row"], StructField(SCORE, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((1 << DIM_BITS) + 1)
         dense[shared.value["at"]] = shared.value["w"]
         for batch in batches:
             scores = []
-            for text in texts_of(batch.column("_score_text")):
+            for text in texts_of(batch.column("text")):
                 at = features(text)
                 at = np.unique(at[dense[at] != 0])
                 scores.append(1.0 / (1.0 + np.exp(-np.clip(dense[at].sum() + dense[1 << DIM_BITS], -35, 35))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], [*keep, SCORE])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", SCORE])
 
-    return docs.select(*keep, F.col("text").alias("_score_text")).mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def held_out() -> F.Column:

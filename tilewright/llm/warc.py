@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 import struct
 from collections.abc import Iterator
@@ -195,19 +194,6 @@ def lookup(bundles: DataFrame, record_ids: DataFrame) -> DataFrame:
     return bundles.select("bundle", "content").join(wanted, "bundle").select("content", "places").mapInArrow(fetch, RECORD_SCHEMA)
 
 
-def export_files(bundles: DataFrame, folder: str) -> None:
-    """Write each bundle as a file into a folder that all executors mount."""
-
-    def put(rows) -> None:
-        for row in rows:
-            part = f"{folder}/.{row['bundle']}.{TaskContext.get().taskAttemptId()}"
-            with open(part, "wb") as f:
-                f.write(row["content"])
-            os.replace(part, f"{folder}/{row['bundle']}")
-
-    bundles.select("bundle", "content").foreachPartition(put)
-
-
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC bundles, then read them back: a row for each page.
 
