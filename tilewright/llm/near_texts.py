@@ -315,6 +315,11 @@ def near_duplicates(docs: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
     Short posting lists are merged whole. Of a long one, documents are first linked within random blocks;
     then only pairs of unlike components are looked at again, so no link between components is lost.
     """
+    return judged(docs, list_block).drop("th")
+
+
+def judged(docs: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
+    """near_duplicates() with th, the hash of the row's text: (doc_id, th) tells unlike rows of a doc_id apart."""
     every = materialise(describe(docs), "signatures")
     full = every.where("digest is not null and doc_id is not null")
     classes = full.groupBy("digest", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("sig").alias("sig"))
@@ -331,7 +336,7 @@ def near_duplicates(docs: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
     own = classes.select("digest", "n", F.col("doc_id").alias("rep"))
     done = own.join(lows.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), F.coalesce("low", "rep").alias("low"))
     out = every.join(done.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
