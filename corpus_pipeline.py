@@ -7,30 +7,31 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import materialise
 from tilewright.llm.mixing import emit_copies
-from tilewright.llm.near_texts import near_duplicates
+from tilewright.llm.near_texts import judged
 from tilewright.llm.packing import pack
 from tilewright.llm.secrets import redact
-from tilewright.llm.toxicity import SCORE, score, train_on_fold
+from tilewright.llm.toxicity import SCORE, score_rows, train_on_fold
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under 0.7. Labels are learnt from the fold of op8."""
     model = train_on_fold(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, docs.columns).where(F.col(SCORE) < 0.7).drop(SCORE)
+    return score_rows(docs, model, docs.columns).where(F.col(SCORE) < 0.7).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest doc_id; one row of repeated ones.
+    """One document of each near-duplicate component, that of the smallest doc_id; one row of equal ones.
 
-    Rows of a null doc_id belong to no component and stay.
+    Unlike rows of a doc_id are judged apart. Rows of a null doc_id belong to no component and stay.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    key = ["doc_id", "th"]
+    kept = judged(docs).where("kept and doc_id is not null").groupBy(key).agg(F.count("*").alias("n"))
     kept = materialise(kept, "kept").hint("merge")  # grows with the corpus: never broadcast
-    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    if not kept.where("_n > 1").isEmpty():
-        once = docs.join(kept.where("_n = 1"), docs["doc_id"] == F.col("_id"), "left_semi")
-        out = once.unionByName(docs.join(kept.where("_n > 1"), docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
+    out = rows.join(kept, key, "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        out = rows.join(kept.where("n = 1"), key, "left_semi").unionByName(rows.join(kept.where("n > 1"), key, "left_semi").dropDuplicates(key))
+    return out.unionByName(rows.where("doc_id is null")).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ STAGES = [
     ("packing", pack_batches),
 ]
 
-#: SQL can express neither the classifier nor the signatures; the tests hold run() against a plain version.
+#: SQL cannot express the classifier; tests/llm/test_pipeline.py holds run() against a plain version, row by row.
 ORACLE_SQL = None
 
 
