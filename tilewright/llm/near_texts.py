@@ -230,16 +230,18 @@ def confirm(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def linked(posts: DataFrame, rows: int, texts_for) -> DataFrame:
-    """Edges (a, b) of blocks of posting lists: candidates by signature, then confirmed on the texts that texts_for() joins to rows of doc."""
+def members_of(posts: DataFrame, rows: int) -> DataFrame:
+    """Candidates by signature within blocks of posting lists."""
     posts = posts.withColumn("task", F.pmod(F.xxhash64("key", "lo", "hi", "mixed"), F.lit(max(1, rows // 65_536))).cast("int"))
-    members = materialise(posts.select(*[c.split()[0] for c in POST.split(", ")]).groupBy("task").applyInArrow(candidates, MEMBER), "candidates")
+    return materialise(posts.select(*[c.split()[0] for c in POST.split(", ")]).groupBy("task").applyInArrow(candidates, MEMBER), "candidates")
+
+
+def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) of candidates, confirmed on texts (doc, text), a table of few more documents than they are."""
     size = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tasks = max(1, size[0] // 2_048, size[1] // 1_000_000)
-    owned = members.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "doc"])).alias("_in"))
     # always by shuffle: the members grow with the corpus
-    group = texts_for(owned).select("doc", "text", F.explode("_in").alias("_g")).select("doc", "text", "_g.*")
-    group = group.withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("int"))
+    group = texts.join(members.hint("merge"), "doc").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("int"))
     return materialise(group.groupBy("task").applyInArrow(confirm, "a long, b long"), "edges")
 
 
@@ -292,13 +294,16 @@ def components(texts, classes: DataFrame, list_block: int) -> DataFrame:
     before = F.bit_count(F.col("large").bitwiseAND(F.pow(F.lit(2.0), F.shiftright("key", 32)).cast("int") - 1))
     now = live.where((F.col("held") <= list_block) | (before < SPREAD))
     now = now.withColumns({"lo": F.lit(-1), "hi": place, "side": F.lit(0), "mixed": F.lit(False), "comp": F.col("doc")})
-    edges = linked(now, now.count(), texts)
-    parts = min_label(edges)
+    members = members_of(now, now.count())
     crowded = live.where(F.col("held") > list_block)
+    # the texts that either pass needs cross the network once, and are kept
+    some = materialise(texts(members.select("doc").union(crowded.select("doc")).distinct()).select("doc", "text"), "texts")
+    edges = linked(members, some)
+    parts = min_label(edges)
     if crowded.isEmpty():
         return parts
     more = materialise(again(crowded, parts, list_block), "crowded")
-    found = linked(more, more.count(), texts)
+    found = linked(members_of(more, more.count()), some)
     return parts if found.isEmpty() else min_label(edges.unionByName(found))
 
 
