@@ -78,21 +78,50 @@ def level_base(z: Column) -> Column:
     return F.when(z <= 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), z), F.lit(0).cast("long"), lambda acc, _: acc * 4 + 1))
 
 
-def hilbert_id(z: Column, x: Column, y: Column) -> Column:
-    """Cumulative Hilbert id of a tile; null when z is not in 0..31 or the tile lies outside its zoom."""
-    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+def _quadrants(levels: int) -> list[int]:
+    """For each state and the next `levels` bits of x and y: four times the curve's digits, plus the state after them.
+
+    A state says whether x and y are exchanged (1) and whether both run backwards (2).
+    """
+    out, n = [], 1 << levels
+    for state in range(4):
+        for x in range(n):
+            for y in range(n):
+                swap, back, digits = state & 1, state >> 1, 0
+                for k in range(levels - 1, -1, -1):
+                    bx, by = (x >> k) & 1, (y >> k) & 1
+                    if swap:
+                        bx, by = by, bx
+                    rx, ry = bx ^ back, by ^ back
+                    digits = digits * 4 + ((3 * rx) ^ ry)
+                    if ry == 0:
+                        back ^= rx
+                        swap ^= 1
+                out.append(digits * 4 + (swap | back << 1))
+    return out
+
+
+STEP = 4  # levels of the curve taken at once
+_CURVE = _quadrants(STEP)
 
-    def step(acc, s):
-        n = pow2(s)
-        rx, ry = F.floor(acc["x"] / n) % 2, F.floor(acc["y"] / n) % 2
-        d = acc["d"] * 4 + F.when(rx == 0, ry).otherwise(3 - ry)
-        lx, ly = F.pmod(acc["x"], n), F.pmod(acc["y"], n)
-        fx, fy = F.when(rx == 1, n - 1 - lx).otherwise(lx), F.when(rx == 1, n - 1 - ly).otherwise(ly)
-        return F.struct(F.when(ry == 0, fy).otherwise(lx).cast("long").alias("x"), F.when(ry == 0, fx).otherwise(ly).cast("long").alias("y"), d.cast("long").alias("d"))
 
-    walk = F.aggregate(F.sequence(z.cast("int") - 1, F.lit(0), F.lit(-1)), start, step, lambda acc: acc["d"])
+def hilbert_id(z: Column, x: Column, y: Column) -> Column:
+    """Cumulative Hilbert id of a tile; null when z is not in 0..31 or the tile lies outside its zoom.
+
+    32 levels are walked in eight steps of a table, as plain expressions. Levels above the zoom have no
+    bits and only exchange the axes, so the walk starts exchanged where their number is odd.
+    """
+    table = F.array(*[F.lit(v) for v in _CURVE])
+    x, y, z = x.cast("long"), y.cast("long"), z.cast("int")
+    state, d = F.pmod(z, F.lit(2)), F.lit(0).cast("long")
+    n = 1 << STEP
+    for k in range(32 // STEP - 1, -1, -1):
+        bits = lambda v: F.shiftright(v, STEP * k).bitwiseAND(F.lit(n - 1)).cast("int")  # noqa: B023, E731
+        found = F.element_at(table, state * (n * n) + bits(x) * n + bits(y) + 1)
+        d = d + F.shiftleft(F.shiftright(found, 2).cast("long"), 2 * STEP * k)
+        state = found.bitwiseAND(F.lit(3))
     inside = (z >= 0) & (z <= 31) & valid_xyz(z, x, y)
-    return F.when(inside, level_base(z.cast("int")) + F.when(z > 0, walk).otherwise(F.lit(0).cast("long")))
+    return F.when(inside, level_base(z) + d)
 
 
 def hilbert_zoom(tile_id: Column) -> Column:

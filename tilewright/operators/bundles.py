@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import struct
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from tilewright.functions import vector_tile as V
 # Fixed values of the bundle format.
 HEADER, MOST_BYTES, NONE = 20, 64 << 20, "FFFFFFFF"
 FULL, STRUCTURE, LABELS = 0, 1, 2
+GZIP_ENTRIES = 1
 
 
 def expand_descendants(requests: DataFrame) -> DataFrame:
@@ -32,21 +34,26 @@ def complete(requests: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def be32(n: Column) -> Column:
-    return F.lpad(F.hex(n.cast("long")), 8, "0")
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def byte(n: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2, "0"))
 
 
 def assemble(entries: DataFrame, flags: int = 0, keys: tuple[str, ...] = ("x10", "y10", "zoom")) -> DataFrame:
     """Bundle bodies from entries (keys, slot, payload): keys and body.
 
     Sizes are summed first and groups over the limit raise no body (null), so nothing larger is gathered
-    in one row. The key includes the zoom and, if given, the part: the densest group is 64 MiB.
+    in one row. The key includes the zoom and, if given, the part: the densest group is 64 MiB. Entries are
+    joined as bytes, in the order of their slots.
     """
     sizes = entries.groupBy(*keys).agg((HEADER + F.sum(4 + F.coalesce(F.octet_length("payload"), F.lit(0)))).alias("_size"))
     fits = entries.join(sizes.where(F.col("_size") <= MOST_BYTES).select(*keys), list(keys), "left_semi")
-    head = F.concat(F.lit("53434231010A"), F.lpad(F.hex(F.col("zoom").cast("long")), 2, "0"), F.lit(f"{flags:02X}"), be32(F.col("x10")), be32(F.col("y10")), be32(F.size("_e")))
-    body = F.transform("_e", lambda e: F.when(e["payload"].isNull(), NONE).otherwise(F.concat(be32(F.octet_length(e["payload"])), F.hex(e["payload"]))))
-    done = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "payload"))).alias("_e"))
-    done = done.select(*keys, F.unhex(F.concat(head, F.array_join(body, ""))).alias("body"))
+    entry = F.when(F.col("payload").isNull(), F.unhex(F.lit(NONE))).otherwise(F.concat(be32(F.octet_length("payload")), F.col("payload")))
+    done = fits.withColumn("_entry", entry).groupBy(*keys).agg(F.count("*").alias("_n"), F.expr("listagg(_entry) within group (order by slot)").alias("_body"))
+    head = F.concat(F.unhex(F.lit("53434231010A")), byte(F.col("zoom")), byte(F.lit(flags)), be32(F.col("x10")), be32(F.col("y10")), be32(F.col("_n")))
+    done = done.select(*keys, F.concat(head, F.col("_body")).alias("body"))
     return sizes.where(F.col("_size") > MOST_BYTES).select(*keys, F.lit(None).cast("binary").alias("body")).unionByName(done)
 
 
@@ -100,16 +107,69 @@ def split_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select("z", "x", "y", "payload").mapInArrow(run, "z int, x long, y long, part int, payload binary, error string")
 
 
+def stages_of(zoom: int, version: int) -> list[tuple[int, int]]:
+    """(zoom, part) of the stages of a stream, in order."""
+    if zoom != A.MAX_ZOOM:
+        return [(zoom, FULL)]
+    return [(13, FULL), (14, FULL)] if version == 2 else [(13, FULL), (14, STRUCTURE), (14, LABELS)]
+
+
+def check_body(body: bytes, x10: int, y10: int, zoom: int, flags: int) -> list[bytes | None]:
+    """Entries of the body of an anchor's bundle; ValueError unless it is exactly that bundle, complete and within bounds."""
+    if not HEADER <= len(body) <= MOST_BYTES:
+        raise ValueError("bad bundle size")
+    if body[:HEADER] != b"SCB1" + bytes([1, A.ANCHOR_ZOOM, zoom, flags]) + struct.pack(">III", x10, y10, 4 ** (zoom - A.ANCHOR_ZOOM)):
+        raise ValueError("bad bundle header")
+    entries = parse_body(body)
+    if flags & GZIP_ENTRIES and any(e is not None and (len(e) < 18 or e[:3] != b"\x1f\x8b\x08") for e in entries):
+        raise ValueError("entry is not a gzip member")
+    return entries
+
+
+def whole_member(packed: bytes) -> bytes:
+    """What the one gzip member inflates to; ValueError on anything after it, or on more than a bundle can hold."""
+    engine = zlib.decompressobj(31)
+    try:
+        raw = engine.decompress(packed, MOST_BYTES + 1)
+    except zlib.error as e:
+        raise ValueError(f"bad gzip: {e}") from e
+    if len(raw) > MOST_BYTES or not engine.eof or engine.unused_data:
+        raise ValueError("bad gzip member")
+    return raw
+
+
 def frame(stages: DataFrame, version: int = 3) -> DataFrame:
-    """Streams from stage bodies (x10, y10, zoom, stage_ord, stage_zoom, part, body): x10, y10, zoom, stream."""
-    one = F.col("version_frame")
-    digest = F.upper(F.sha2("body", 256))
-    pre = F.concat(be32(F.octet_length("body")), F.lpad(F.hex(F.col("stage_zoom").cast("long")), 2, "0"), F.lpad(F.hex(F.col("part").cast("long")), 2, "0"), F.lit("0000"), digest)
-    framed = stages.withColumn("version_frame", F.concat(F.unhex(pre), F.col("body")))
-    out = framed.groupBy("x10", "y10", "zoom").agg(F.array_sort(F.collect_list(F.struct("stage_ord", one.alias("f")))).alias("_f"))
-    head = F.concat(F.lit(f"534342{0x30 + version:02X}{version:02X}0A"), F.lpad(F.hex(F.col("zoom").cast("long")), 2, "0"), F.lit("00"), be32(F.col("x10")), be32(F.col("y10")), be32(F.size("_f")))
-    body = F.aggregate("_f", F.unhex(head), lambda acc, f: F.concat(acc, f["f"]))
-    return out.select("x10", "y10", "zoom", body.alias("stream"))
+    """Streams from stage bodies (x10, y10, zoom, stage_ord, stage_zoom, part, body): x10, y10, zoom, stream, error.
+
+    Version 3 takes bodies of gzip members as they are; version 2 takes plain bodies and packs each as one
+    gzip member. A stage that is not the bundle that its stream asks for gives no stream but an error, and so
+    do missing stages.
+    """
+
+    def run(batches):
+        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("zoom", pa.int32()), ("stage_ord", pa.int32()), ("frame", pa.binary()), ("error", pa.string())])
+        for b in batches:
+            rows = []
+            for x, y, zoom, k, at, part, body in zip(*[b.column(c).to_pylist() for c in ("x10", "y10", "zoom", "stage_ord", "stage_zoom", "part", "body")], strict=True):
+                framed, error = None, None
+                try:
+                    if body is None or (at, part) not in stages_of(zoom, version):
+                        raise ValueError("no such stage")
+                    check_body(body, x, y, at, 0 if version == 2 else GZIP_ENTRIES)
+                    packed = gzip.compress(body, mtime=0) if version == 2 else body
+                    framed = struct.pack(">I", len(packed)) + (struct.pack(">I", len(body)) if version == 2 else bytes([at, part, 0, 0])) + hashlib.sha256(body).digest() + packed
+                except ValueError as e:
+                    error = str(e)
+                rows.append((x, y, zoom, k, framed, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    cols = [F.col(c).cast(t).alias(c) for c, t in (("x10", "long"), ("y10", "long"), ("zoom", "int"), ("stage_ord", "int"), ("stage_zoom", "int"), ("part", "int"), ("body", "binary"))]
+    framed = stages.select(*cols).mapInArrow(run, "x10 long, y10 long, zoom int, stage_ord int, frame binary, error string")
+    out = framed.groupBy("x10", "y10", "zoom").agg(F.count("*").alias("_n"), F.max("error").alias("error"), F.expr("listagg(frame) within group (order by stage_ord)").alias("_f"))
+    n = F.when(F.col("zoom") == A.MAX_ZOOM, F.lit(version)).otherwise(F.lit(1))
+    head = F.concat(F.lit(f"SCB{version}").cast("binary"), byte(F.lit(version)), byte(F.lit(A.ANCHOR_ZOOM)), byte(F.col("zoom")), byte(F.lit(0)), be32(F.col("x10")), be32(F.col("y10")), be32(n))
+    error = F.coalesce("error", F.when(F.col("_n") != n, F.lit("missing stage")))
+    return out.select("x10", "y10", "zoom", F.when(error.isNull(), F.concat(head, F.col("_f"))).alias("stream"), error.alias("error"))
 
 
 def parse_body(body: bytes) -> list[bytes | None]:
@@ -136,13 +196,18 @@ def parse_body(body: bytes) -> list[bytes | None]:
 
 
 def parse_stream(stream: bytes) -> list[tuple[int, int, bytes]]:
-    """(stage zoom, part, body) of each stage of a version-2 or version-3 stream."""
-    magic = stream[:4]
-    if magic not in (b"SCB2", b"SCB3"):
+    """(stage zoom, part, body) of each stage of a version-2 or version-3 stream; ValueError unless all of it is as it has to be."""
+    if len(stream) < HEADER or stream[:4] not in (b"SCB2", b"SCB3"):
         raise ValueError("unknown magic")
-    (count,) = struct.unpack(">I", stream[16:20])
+    version, zoom = stream[3] - 48, stream[6]
+    x10, y10, count = struct.unpack(">III", stream[8:20])
+    if stream[4] != version or stream[5] != A.ANCHOR_ZOOM or not A.ANCHOR_ZOOM < zoom <= A.MAX_ZOOM or stream[7] or max(x10, y10) >= 1 << A.ANCHOR_ZOOM:
+        raise ValueError("bad stream header")
+    wanted = stages_of(zoom, version)
+    if count != len(wanted):
+        raise ValueError("bad stage count")
     out, at = [], HEADER
-    for _ in range(count):
+    for stage, part in wanted:
         head = stream[at : at + 40]
         if len(head) < 40:
             raise ValueError("truncated frame")
@@ -150,40 +215,63 @@ def parse_stream(stream: bytes) -> list[tuple[int, int, bytes]]:
         body = stream[at + 40 : at + 40 + n]
         if len(body) < n:
             raise ValueError("bad frame length")
-        zoom, part = head[4], head[5]
-        if magic == b"SCB2":
-            body = gzip.decompress(body)
+        if version == 2:
+            body = whole_member(body)
             if len(body) != second:
                 raise ValueError("bad inflated length")
-            zoom, part = body[6], FULL
+        elif head[4:8] != bytes([stage, part, 0, 0]):
+            raise ValueError("bad stage")
         if hashlib.sha256(body).digest() != head[8:40]:
             raise ValueError("bad digest")
-        out.append((zoom, part, body))
+        check_body(body, x10, y10, stage, 0 if version == 2 else GZIP_ENTRIES)
+        out.append((stage, part, body))
         at += 40 + n
     if at != len(stream):
         raise ValueError("trailing bytes")
     return out
 
 
-STAGE_ENTRIES = "x10 long, y10 long, stage_zoom int, part int, slot long, payload binary"
+STAGE_ENTRIES = "x10 long, y10 long, stage_zoom int, part int, slot long, payload binary, stored long, error string"
 
 
 def explode_streams(streams: DataFrame, column: str = "stream") -> DataFrame:
-    """Entries of streams, e.g. of files read as binaryFile: x10, y10, stage_zoom, part, slot, payload."""
+    """Entries of streams, e.g. of files read as binaryFile: x10, y10, stage_zoom, part, slot, payload (inflated), stored (bytes), error.
+
+    A stream that is damaged anywhere gives one row with an error, and none of its entries.
+    """
 
     def run(batches):
-        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("stage_zoom", pa.int32()), ("part", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("stage_zoom", pa.int32()), ("part", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary()), ("stored", pa.int64()), ("error", pa.string())])
         for b in batches:
             for s in b.column(0):
-                for zoom, part, body in parse_stream(s.as_py()):
-                    x, y = struct.unpack(">II", body[8:16])
-                    entries = parse_body(body)
-                    n = len(entries)
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int64()), pa.array([y] * n, pa.int64()), pa.array([zoom] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(entries, pa.binary())], schema=schema)
+                rows = []
+                try:
+                    for zoom, part, body in parse_stream(s.as_py() or b""):
+                        x, y = struct.unpack(">II", body[8:16])
+                        packed = body[7] & GZIP_ENTRIES
+                        rows += [(x, y, zoom, part, k, whole_member(e) if packed and e else e, len(e or b""), None) for k, e in enumerate(parse_body(body))]
+                except ValueError as e:
+                    rows = [(None,) * 7 + (str(e),)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return streams.select(column).mapInArrow(run, STAGE_ENTRIES)
 
 
+def explode_bodies(bodies: DataFrame) -> DataFrame:
+    """Entries of bundle bodies (x10, y10, zoom, body): x10, y10, zoom, slot, payload, gzip members inflated."""
+
+    def run(batches):
+        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("zoom", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary())])
+        for b in batches:
+            for x, y, zoom, body in zip(*[b.column(c) for c in ("x10", "y10", "zoom", "body")], strict=True):
+                body = body.as_py() or b""
+                rows = [whole_member(e) if body[7] & GZIP_ENTRIES and e else e for e in check_body(body, x.as_py(), y.as_py(), zoom.as_py(), body[7] if len(body) > 7 else 0)]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int64()), pa.array([zoom.as_py()] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(rows, pa.binary())], schema=schema)
+
+    return bodies.select("x10", "y10", F.col("zoom").cast("int").alias("zoom"), "body").mapInArrow(run, "x10 long, y10 long, zoom int, slot long, payload binary")
+
+
 def explode_layers(tiles: DataFrame) -> DataFrame:
     """Layers of vector tiles: z, x, y, ord, layer, raw, bytes (payload without the tag), error."""
 

@@ -57,3 +57,8 @@ def retention(releases: DataFrame, keep: int) -> DataFrame:
     newest = Window.partitionBy("dataset").orderBy(F.desc("mtime"), F.desc("version"))
     top = releases.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= max(1, keep)).drop("_k")
     return top.unionByName(releases.where("active").join(top.select("dataset", "version"), ["dataset", "version"], "left_anti").select(*releases.columns))
+
+
+def content_type(kind):
+    """Media type of the tiles of a raster archive, by the type in its header."""
+    return F.when(kind == "png", "image/png").otherwise("image/webp")

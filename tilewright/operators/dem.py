@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
 from tilewright.functions.terrain import POLAR, dem_name
+from tilewright.sources.scratch import commit
 
 # Latitude of the edge of the map, and the value of samples without data.
 EDGE, NODATA = 85.0511, -32767.0
@@ -64,45 +65,78 @@ def halo(samples: DataFrame, zoom: int, size: int, margin: int = 2) -> DataFrame
     return out.withColumn("y", F.explode(F.sequence(clip(fy(F.col("lat") + pad)), clip(fy(F.col("lat") - pad)))))
 
 
-def resample(samples: DataFrame, zoom: int, size: int) -> DataFrame:
+PIXELS = "z int, gx long, gy long, metres int"
+
+
+def resample(samples: DataFrame, zoom: int, size: int, tiles: DataFrame | None = None) -> DataFrame:
     """Pixels (z, gx, gy, metres) of tiles: bilinear between samples of a regular grid at pixel middles.
 
-    samples has lat, lon, step (the grid's degrees) and metres. Missing samples and those without data are
-    left out of the weights; a pixel without any is 0; a tile without a pixel above 0.5 m has no rows.
+    samples has lat, lon, step (the grid's degrees) and metres; with tiles (x, y), only those are made, and
+    only their samples are shuffled. Grids of unlike steps are resampled each for itself, and the finest one
+    that reaches a pixel gives it; of samples at one place the highest counts, so order does not matter.
+    Missing samples and those without data are left out of the weights; a pixel without any is 0; a tile
+    without a pixel above 0.5 m has no rows.
     """
 
-    def tile(t: pa.Table) -> pa.Table:
-        x, y, step = t["x"][0].as_py(), t["y"][0].as_py(), t["step"][0].as_py()
-        lat, lon, metres = (t[c].to_numpy().astype(np.float64) for c in ("lat", "lon", "metres"))
+    def grid_of(lat, lon, metres, step):
         row, col = np.rint(lat / step).astype(np.int64), np.rint(lon / step).astype(np.int64)
         r0, c0 = row.min(), col.min()
         grid = np.full((row.max() - r0 + 2, col.max() - c0 + 2), np.nan)
-        good = metres != NODATA
-        grid[row[good] - r0, col[good] - c0] = metres[good]
+        order = np.argsort(metres, kind="stable")
+        order = order[metres[order] != NODATA]
+        grid[row[order] - r0, col[order] - c0] = metres[order]
+        return grid, r0, c0
+
+    def tile(t: pa.Table) -> pa.Table:
+        x, y = t["x"][0].as_py(), t["y"][0].as_py()
+        lat, lon, metres, steps = (t[c].to_numpy().astype(np.float64) for c in ("lat", "lon", "metres", "step"))
         n = 2**zoom * size
         gx, gy = np.arange(x * size, (x + 1) * size), np.arange(y * size, (y + 1) * size)
         plon = (gx + 0.5) / n * 360 - 180
         plat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (gy + 0.5) / n))))
-        v, u = np.meshgrid(plat / step - r0, plon / step - c0, indexing="ij")
-        total, weight = np.zeros(v.shape), np.zeros(v.shape)
-        i, j = np.floor(v).astype(np.int64), np.floor(u).astype(np.int64)
-        for di in (0, 1):
-            for dj in (0, 1):
-                a, b = i + di, j + dj
-                w = (1 - np.abs(v - a)) * (1 - np.abs(u - b))
-                ok = (a >= 0) & (b >= 0) & (a < grid.shape[0]) & (b < grid.shape[1])
-                g = np.where(ok, grid[np.clip(a, 0, grid.shape[0] - 1), np.clip(b, 0, grid.shape[1] - 1)], np.nan)
-                w = np.where(np.isnan(g), 0, w)
-                total += w * np.nan_to_num(g)
-                weight += w
-        out = np.where(weight > 0, total / np.where(weight > 0, weight, 1), 0.0)
+        out, have = np.zeros((size, size)), np.zeros((size, size), bool)
+        for step in np.unique(steps):
+            mine = steps == step
+            grid, r0, c0 = grid_of(lat[mine], lon[mine], metres[mine], step)
+            v, u = np.meshgrid(plat / step - r0, plon / step - c0, indexing="ij")
+            total, weight = np.zeros(v.shape), np.zeros(v.shape)
+            i, j = np.floor(v).astype(np.int64), np.floor(u).astype(np.int64)
+            for di in (0, 1):
+                for dj in (0, 1):
+                    a, b = i + di, j + dj
+                    w = (1 - np.abs(v - a)) * (1 - np.abs(u - b))
+                    ok = (a >= 0) & (b >= 0) & (a < grid.shape[0]) & (b < grid.shape[1])
+                    g = np.where(ok, grid[np.clip(a, 0, grid.shape[0] - 1), np.clip(b, 0, grid.shape[1] - 1)], np.nan)
+                    w = np.where(np.isnan(g), 0, w)
+                    total += w * np.nan_to_num(g)
+                    weight += w
+            new = (weight > 0) & ~have
+            out[new] = total[new] / weight[new]
+            have |= new
         if not (out > 0.5).any():
             out = out[:0]
         px, py = np.meshgrid(gx, gy)
         keep = slice(0, out.size)
         return pa.table({"z": pa.array([zoom] * out.size, pa.int32()), "gx": pa.array(px.ravel()[keep], pa.int64()), "gy": pa.array(py.ravel()[keep], pa.int64()), "metres": pa.array(np.rint(np.clip(out, -32768, 32767)).astype(np.int32).ravel())})
 
-    return halo(samples, zoom, size).groupBy("x", "y").applyInArrow(tile, "z int, gx long, gy long, metres int")
+    touched = halo(samples, zoom, size)
+    if tiles is not None:
+        touched = touched.join(tiles.select("x", "y").distinct(), ["x", "y"], "left_semi")
+    return touched.groupBy("x", "y").applyInArrow(tile, PIXELS)
+
+
+def bake(cells_: DataFrame, samples: DataFrame, staged: DataFrame, done: DataFrame, zoom: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(staged pixels, ledger) after baking the cells that the ledger (unit) lacks at this zoom.
+
+    Units are named by zoom and cell. The tiles of pending cells alone are resampled; they replace staged tiles of
+    the same place. Pixels are committed before the ledger, so a bake that is cut short is done again.
+    """
+    unit = F.concat(F.lit(f"z{zoom}:"), "lat", F.lit(","), "lon")
+    todo = commit(pending(cells_.select("lat", "lon", unit.alias("unit")).distinct(), done), "todo")
+    made = commit(resample(samples, zoom, size, cover(todo, zoom)), "pixels")
+    place = lambda df: df.withColumns({"_x": F.floor(F.col("gx") / size), "_y": F.floor(F.col("gy") / size)})
+    kept = place(staged).join(cover(todo, zoom).select(F.col("x").alias("_x"), F.col("y").alias("_y")), ["_x", "_y"], "left_anti").drop("_x", "_y")
+    return commit(kept.unionByName(made), "staged"), commit(done.unionByName(todo.select("unit")), "ledger")
 
 
 def pending(units: DataFrame, done: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.sources.scratch import commit
+
 # Ids are cut into ranges of this many bits: windows stay inside a range, and a second pass joins the seams.
 RANGE_BITS = 16
 
@@ -47,12 +49,31 @@ def lookup(ids: DataFrame, directory: DataFrame, bits: int = 6) -> DataFrame:
 
 
 def audit(directory: DataFrame, section: int) -> DataFrame:
-    """Flags of entries (archive, tile_id, run, length, offset): not increasing, overlapping, empty, outside the section."""
-    w = Window.partitionBy("archive").orderBy("offset", "tile_id")
-    out = directory.withColumn("_prev", F.lag("tile_id").over(w)).withColumn("_next", F.lead("tile_id").over(w))
+    """Flags of entries (archive, tile_id, run, length, offset; run 0 is a leaf, whose ids low to high are given, if known).
+
+    increasing: the id is larger than that of the entry before, by offset; apart: the run ends before the
+    next entry's id; filled; inside: of the section; bounded: a leaf's ids lie from its own to the next
+    entry's. Entries are dealt out by ranges of (archive, offset), so an archive is many tasks; the first
+    and last entry of a range meet those of the next ranges in a table of a row for each range and archive.
+    """
+    cols = ["archive", "tile_id", "run", "length", "offset"]
+    leaf = [c for c in ("low", "high") if c in directory.columns]
+    dealt = directory.select(*cols, *leaf).repartitionByRange("archive", "offset", "tile_id").withColumn("_part", F.spark_partition_id())
+    dealt = commit(dealt, "audit")
+    w = Window.partitionBy("archive", "_part").orderBy("offset", "tile_id")
+    out = dealt.withColumn("_prev", F.lag("tile_id").over(w)).withColumn("_next", F.lead("tile_id").over(w))
+    place = F.struct("offset", "tile_id")
+    ends = dealt.groupBy("archive", "_part").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"))
+    seams = Window.partitionBy("archive").orderBy("_part")
+    ends = ends.select("archive", "_part", F.lag("_hi.tile_id").over(seams).alias("_before"), F.lead("_lo.tile_id").over(seams).alias("_after"))
+    out = out.join(ends, ["archive", "_part"])
+    prev, after = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
+    bounded = F.lit(True)
+    if leaf:
+        bounded = F.when(F.col("run") == 0, F.coalesce((F.col("low") >= F.col("tile_id")) & F.coalesce(F.col("high") < after, F.lit(True)), F.lit(True))).otherwise(bounded)
     return out.select(
-        "archive", "tile_id", F.coalesce(F.col("tile_id") > F.col("_prev"), F.lit(True)).alias("increasing"), F.coalesce(F.col("tile_id") + F.col("run") <= F.col("_next"), F.lit(True)).alias("apart"),
-        (F.col("length") > 0).alias("filled"), (F.col("offset") + F.col("length") <= section).alias("inside"),
+        "archive", "tile_id", F.coalesce(F.col("tile_id") > prev, F.lit(True)).alias("increasing"), F.coalesce(F.col("tile_id") + F.col("run") <= after, F.lit(True)).alias("apart"),
+        (F.col("length") > 0).alias("filled"), (F.col("offset") + F.col("length") <= section).alias("inside"), bounded.alias("bounded"),
     )
 
 

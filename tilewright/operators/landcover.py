@@ -18,15 +18,26 @@ def rules(features: DataFrame) -> DataFrame:
 
 
 def eligible_zooms(features: DataFrame, deepest: int = 14) -> DataFrame:
-    return features.withColumn("zoom", F.explode(F.sequence(F.greatest("minzoom", F.lit(5)), F.lit(deepest))))
-
-
-def merge(features: DataFrame, min_pixels: int = 4) -> DataFrame:
-    """Features of zooms 5 to 7 with equal attributes in a tile as one; small ones are dropped there; others stay."""
-    low = F.col("z").between(5, 7)
-    merged = features.where(low & (F.col("pixels") >= min_pixels)).groupBy("z", "x", "y", "class").agg(F.count("*").alias("parts"), F.sum("pixels").cast("long").alias("pixels"))
-    rest = features.where(~low).select("z", "x", "y", "class", F.lit(1).cast("long").alias("parts"), F.col("pixels").cast("long").alias("pixels"))
-    return merged.unionByName(rest)
+    """A row for each zoom of a feature: features of the map source ("osm") from zoom 5 on, others from their own minzoom."""
+    first = F.when(F.col("source") == "osm", F.lit(5)).otherwise(F.col("minzoom"))
+    return features.where(first <= deepest).withColumn("zoom", F.explode(F.sequence(first, F.lit(deepest))))
+
+
+def merge(features: DataFrame) -> DataFrame:
+    """Features (z, x, y, class, subclass, source, points, pixels) of a tile with equal attributes as one: parts, pixels.
+
+    Features of the map source with a subclass merge at zooms 5 to 7; at 8 and 9 only woods, apart by
+    whether they have 300 points; from 10 to 13 only woods of fewer. Map features smaller than the zoom's
+    limit are dropped: 2 pixels up to zoom 9, 4 at 10, 8 up to 13. All others stay as they are.
+    """
+    z, wood, few = F.col("z"), F.col("subclass").isin("wood", "forest"), F.col("points") < 300
+    mine = F.col("source") == "osm"
+    limit = F.when(z <= 9, 2).when(z == 10, 4).when(z <= 13, 8).otherwise(0)
+    by = F.when(z.between(5, 7), "all").when(z.between(8, 9) & wood, F.when(few, "<300").otherwise(">300")).when(z.between(10, 13) & wood & few, "<300")
+    kept = features.where(~mine | (F.col("pixels") >= limit)).withColumn("_g", F.when(mine & F.col("subclass").isNotNull(), by))
+    attributes = ("z", "x", "y", "class", "subclass")
+    merged = kept.where("_g is not null").groupBy(*attributes, "_g").agg(F.count("*").alias("parts"), F.sum("pixels").cast("long").alias("pixels")).drop("_g")
+    return merged.unionByName(kept.where("_g is null").select(*attributes, F.lit(1).cast("long").alias("parts"), F.col("pixels").cast("long").alias("pixels")))
 
 
 def probe(features: DataFrame, points: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,16 +12,18 @@ from tilewright.functions import gates as G
 # Token amounts are held as whole millionths, so that batch, stream and SQL agree to the last unit.
 UNIT = 1_000_000
 
-# Counter names by kind and outcome.
+# Counter names by kind and outcome. "pass" counts requests of a log that was only gated.
 COUNTERS = {
-    "coarse:blocked": "mapapi_coarse_blocked_total",
-    "terrain:blocked": "mapapi_terrain_blocked_total",
-    "bundle3:pass": "mapapi_bundle_v3_total",
-    "bundle2:pass": "mapapi_bundle_ok_total",
-    "terrain_bundle:pass": "mapapi_terrain_bundle_ok_total",
-    "coarse:pass": "mapapi_coarse_ok_total",
-    "terrain:pass": "mapapi_terrain_ok_total",
-}
+    "coarse:blocked": ["mapapi_coarse_blocked_total"], "coarse:empty": ["mapapi_coarse_empty_total"], "coarse:error": ["mapapi_coarse_error_total"], "coarse:ok": ["mapapi_coarse_ok_total"],
+    "coarse:inflated": ["mapapi_coarse_ok_total", "mapapi_coarse_upstream_gzip_total", "mapapi_coarse_inflated_total"],
+    "terrain:blocked": ["mapapi_terrain_blocked_total"], "terrain:empty": ["mapapi_terrain_empty_total"], "terrain:error": ["mapapi_terrain_error_total"], "terrain:ok": ["mapapi_terrain_ok_total"],
+    "bundle2:ok": ["mapapi_bundle_ok_total"], "bundle2:cached": ["mapapi_bundle_cache_hit_total"], "bundle2:error": ["mapapi_bundle_error_total"],
+    "bundle3:ok": ["mapapi_bundle_v3_total", "mapapi_bundle_ok_total"], "bundle3:cached": ["mapapi_bundle_v3_total", "mapapi_bundle_cache_hit_total"],
+    "bundle3:error": ["mapapi_bundle_v3_total", "mapapi_bundle_error_total"],
+    "terrain_bundle:ok": ["mapapi_terrain_bundle_ok_total"], "terrain_bundle:error": ["mapapi_terrain_error_total"],
+    "coarse:pass": ["mapapi_coarse_ok_total"], "terrain:pass": ["mapapi_terrain_ok_total"], "bundle2:pass": ["mapapi_bundle_ok_total"],
+    "bundle3:pass": ["mapapi_bundle_v3_total"], "terrain_bundle:pass": ["mapapi_terrain_bundle_ok_total"],
+}
 
 
 def gate(requests: DataFrame, terrain_zoom: int = 12) -> DataFrame:
@@ -37,32 +40,51 @@ def gate(requests: DataFrame, terrain_zoom: int = 12) -> DataFrame:
 
 
 def token_bucket(requests: DataFrame, rate: int, burst: int) -> DataFrame:
-    """Adds allowed: a fold over each client's requests in the order (ms, event_id).
+    """client, event_id, allowed: a fold over each client's requests in the order (ms, event_id).
 
     requests has client, ms, event_id and cost (tokens); rate and burst are in units of a token (rate: a
     millisecond). A bucket starts full; it refills by elapsed time up to burst, and a request is allowed
-    if it holds its cost, which is taken only then. A gap that refills a bucket whatever it holds starts a
-    busy period of its own, so what is gathered in one row is a busy period, not all of a client; the
-    periods are found by a sort that can spill.
+    if it holds its cost, which is taken only then. The sort can spill, and the fold goes over the sorted
+    rows as a stream: one bucket is held, however many requests a client makes.
     """
-    order = Window.partitionBy("client").orderBy("ms", "event_id")
-    fresh = F.coalesce((F.col("ms") - F.lag("ms").over(order)) * rate >= burst, F.lit(True)).cast("long")
-    requests = requests.withColumn("_fresh", fresh).withColumn("_period", F.sum("_fresh").over(order))
-    rows = F.array_sort(F.collect_list(F.struct("ms", "event_id", "cost")))
-    start = F.struct(F.lit(burst).cast("long").alias("tokens"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
-
-    def step(acc, r):
-        gone = F.greatest(F.lit(0).cast("long"), F.coalesce(r["ms"] - acc["last"], F.lit(0).cast("long")))
-        tokens = F.least(F.lit(burst).cast("long"), acc["tokens"] + gone * rate)
-        need = r["cost"] * UNIT
-        ok = tokens >= need
-        return F.struct(
-            F.when(ok, tokens - need).otherwise(tokens).alias("tokens"), F.greatest(F.coalesce(acc["last"], r["ms"]), r["ms"]).alias("last"),
-            F.array_append(acc["out"], F.struct(r["event_id"].alias("event_id"), ok.alias("allowed"))).alias("out"),
-        )
-
-    folded = requests.groupBy("client", "_period").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("o"))
-    return folded.select("client", F.explode("o").alias("o")).select("client", "o.event_id", "o.allowed")
+
+    def fold(batches):
+        now, tokens, last = None, burst, None
+        for b in batches:
+            clients, times, costs = (b.column(c).to_pylist() for c in ("client", "ms", "cost"))
+            allowed = []
+            for k, (client, ms, cost) in enumerate(zip(clients, times, costs, strict=True)):
+                if client != now or last is None:
+                    now, tokens, last = client, burst, ms
+                elif ms > last:
+                    tokens, last = min(burst, tokens + (ms - last) * rate), ms
+                allowed.append(tokens >= cost * UNIT)
+                if allowed[k]:
+                    tokens -= cost * UNIT
+            yield pa.RecordBatch.from_arrays([b.column("client"), b.column("event_id"), pa.array(allowed, pa.bool_())], ["client", "event_id", "allowed"])
+
+    rows = requests.select(*[F.col(c).cast("long").alias(c) for c in ("client", "ms", "event_id", "cost")])
+    return rows.repartition("client").sortWithinPartitions("client", "ms", "event_id").mapInArrow(fold, "client long, event_id long, allowed boolean")
+
+
+def answer(requests: DataFrame, tiles: DataFrame, rate: int, burst: int) -> DataFrame:
+    """The gated log with the outcome and status of every request: gate, then bucket at the real cost, then tile.
+
+    Only requests that pass the gate pay. A raw tile is ok (200) or empty (204), a bundle ok or, if it was
+    given before, cached (200); a request that the bucket refuses is limited (429).
+    """
+    gated = gate(requests)
+    paying = gated.where(F.col("outcome") == G.PASS).withColumn("cost", G.request_cost(F.col("kind"), F.col("z")))
+    allowed = token_bucket(paying, rate, burst).select(F.col("event_id").alias("_e"), "allowed")
+    out = gated.join(allowed, gated["event_id"] == F.col("_e"), "left").drop("_e")
+    have = tiles.where(F.octet_length("payload") > 0).select(F.col("z").alias("_z"), F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    out = out.join(have, (F.col("z") == F.col("_z")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left")
+    first = Window.partitionBy("kind", "z", "x", "y", "allowed").orderBy("ms", "event_id")
+    raw = F.col("kind").isin("coarse", "terrain")
+    given = F.when(raw & F.col("_z").isNull(), "empty").when(F.col("kind").startswith("bundle") & (F.row_number().over(first) > 1), "cached").otherwise("ok")
+    outcome = F.when(F.col("outcome") != G.PASS, F.col("outcome")).when(~F.col("allowed"), "limited").otherwise(given)
+    status = F.when(F.col("outcome") == "limited", 429).when(F.col("outcome") == "empty", 204).when(F.col("outcome").isin("ok", "cached"), 200).otherwise(F.col("status"))
+    return out.withColumn("outcome", outcome).withColumn("status", status).select(*gated.columns)
 
 
 def resolve(gated: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -73,11 +95,11 @@ def resolve(gated: DataFrame, tiles: DataFrame) -> DataFrame:
     return raw.join(have, same, "left").withColumn("result", F.when(F.col("tz").isNotNull(), "ok").otherwise("empty")).drop("tz", "tx", "ty")
 
 
-def counters(gated: DataFrame) -> DataFrame:
-    """metric, value: counters by name, without coordinates."""
-    names = F.create_map(*[F.lit(x) for pair in COUNTERS.items() for x in pair])
-    name = F.element_at(names, F.concat_ws(":", "kind", "outcome"))
-    return gated.groupBy(name.alias("metric")).agg(F.count("*").alias("value")).where("metric is not null")
+def counters(judged: DataFrame) -> DataFrame:
+    """metric, value: counters by name, without coordinates, of a gated or an answered log."""
+    names = F.create_map(*[x for k, v in COUNTERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    metrics = judged.select(F.explode(F.element_at(names, F.concat_ws(":", "kind", "outcome"))).alias("metric"))
+    return metrics.groupBy("metric").agg(F.count("*").alias("value"))
 
 
 def stages_of(requests: DataFrame, version: int, zoom: str = "z") -> DataFrame:

@@ -67,11 +67,12 @@ def valid_xyz(spark, d):
 
 
 def tile_pyramid_rollup(spark, d):
-    """Counts and mean latitude of points for every ancestor, level by level: each level sums the one below."""
+    """Counts of points for every ancestor: points are summed by tile first, so ancestors are listed once a tile."""
     z, x, y = zxy()
     p = tiled_points(spark, d).where(A.valid_xyz(z, x, y))
-    levels = p.withColumn("up", F.explode(F.sequence(F.lit(0), z))).select((z - F.col("up")).alias("z"), A.ancestor(x, F.col("up")).alias("x"), A.ancestor(y, F.col("up")).alias("y"))
-    return levels.groupBy("z", "x", "y").agg(F.count("*").alias("points"))
+    p = p.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
+    levels = p.withColumn("up", F.explode(F.sequence(F.lit(0), z))).select((z - F.col("up")).alias("z"), A.ancestor(x, F.col("up")).alias("x"), A.ancestor(y, F.col("up")).alias("y"), "n")
+    return levels.groupBy("z", "x", "y").agg(F.sum("n").alias("points"))
 
 
 QUERIES = {f.__name__: f for f in (lonlat_to_tile, tile_bounds, tile_owner_cell, tile_parent, anchor_quantize, anchor_demand, bundle_slot, tile_hilbert_id, hilbert_id_to_tile, valid_xyz, tile_pyramid_rollup)}

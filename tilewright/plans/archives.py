@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
 from tilewright.functions.vector_tile import put_varint
+from tilewright.operators import catalog
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, tiles, with_tables
 from tilewright.sources import archive
@@ -22,7 +23,7 @@ def directory(rows: list[tuple[int, int, int, int]]) -> bytes:
     return out + b"".join(put_varint(r[k]) for k in (1, 2) for r in rows) + b"".join(put_varint(r[3] + 1) for r in rows)
 
 
-def small_archive(ids: list[int], payloads: list[bytes], leaf: int = 32, metadata: bytes = b'{"name":"OpenMapTiles","vector_layers":[]}') -> bytes:
+def small_archive(ids: list[int], payloads: list[bytes], leaf: int = 32, metadata: bytes = b'{"name":"OpenMapTiles","vector_layers":[]}', kind: int = 1) -> bytes:
     """A small archive with leaf directories, gzip inside, and consecutive equal tiles as runs."""
     rows: list[list[int]] = []
     data = b""
@@ -43,17 +44,18 @@ def small_archive(ids: list[int], payloads: list[bytes], leaf: int = 32, metadat
         sections += [at, len(part)]
         at += len(part)
     zoom = lambda i: max(z for z in range(32) if archive.base(z) <= i)
-    head = b"PMTiles\x03" + struct.pack("<11Q", *sections, len(ids), len(rows), len(rows)) + bytes([1, 2, 1, 1, zoom(min(ids)), zoom(max(ids))])
+    head = b"PMTiles\x03" + struct.pack("<11Q", *sections, len(ids), len(rows), len(rows)) + bytes([1, 2, 1, kind, zoom(min(ids)), zoom(max(ids))])
     return head.ljust(archive.HEADER, b"\0") + root_bytes + meta + leaves + data
 
 
-def _archives(spark, d):
+def _archives(spark, d, raster=False):
     t = tiles(spark, d).where("octet_length(payload) > 0")
     x10, _ = A.anchor(F.col("z"), F.col("x"), F.col("y"))
     t = t.select(x10.alias("x10"), A.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
 
     def build(g: pa.Table) -> pa.Table:
-        body = small_archive(g["tile_id"].to_pylist(), g["payload"].to_pylist())
+        kind = (2 if g["x10"][0].as_py() % 2 == 0 else 4) if raster else 1
+        body = small_archive(g["tile_id"].to_pylist(), g["payload"].to_pylist(), kind=kind)
         return pa.table({"path": pa.array([f"anchor-{g['x10'][0].as_py()}"]), "content": pa.array([body], pa.binary())})
 
     return commit(t.groupBy("x10").applyInArrow(build, "path string, content binary"), "archives")
@@ -67,9 +69,16 @@ def archive_inventory(spark, d):
     return archive.inventory(_archives(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (scan_tile_archive, archive_inventory)}
+def content_type(spark, d):
+    """Raster archives, PNG or WebP by anchor, by the media type their headers give."""
+    found = archive.inventory(_archives(spark, d, raster=True))
+    return found.groupBy(catalog.content_type(F.col("kind")).alias("content_type")).agg(F.count("*").alias("archives"))
+
+
+QUERIES = {f.__name__: f for f in (scan_tile_archive, archive_inventory, content_type)}
 SQL = {
     "scan_tile_archive": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + " SELECT tile_id, z, x, y, octet_length(encode(payload)) AS bytes FROM ided JOIN tiles ON k = doc_id WHERE z >= 12 AND payload <> ''", recursive=True),
     "archive_inventory": with_tables(TILES, """SELECT 'anchor-' || x10 AS path, 'mvt' AS kind, 'gzip' AS internal, 'none' AS compression, min(z)::INTEGER AS min_zoom, max(z)::INTEGER AS max_zoom, 'openmaptiles' AS tile_schema, false AS has_vector_layers
         FROM tiles WHERE payload <> '' GROUP BY x10"""),
+    "content_type": with_tables(TILES, "SELECT CASE WHEN x10 % 2 = 0 THEN 'image/png' ELSE 'image/webp' END AS content_type, count(DISTINCT x10) AS archives FROM tiles WHERE payload <> '' GROUP BY 1"),
 }

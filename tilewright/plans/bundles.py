@@ -57,8 +57,10 @@ def payload_digest(spark, d):
 
 
 def bundle_assemble_gzip(spark, d):
-    out = B.assemble(B.complete(anchors(spark, d), B.gzip_entries(tiles(spark, d).select("z", "x", "y", "payload", "gzipped"))), flags=1)
-    return out.select("x10", "y10", "zoom", (F.octet_length("body") > 0).alias("has_body"), F.hex(F.substring("body", 1, 8)).alias("head"))
+    """Bundles of gzip members; what they hold, inflated and assembled again, as their bytes depend on the library."""
+    packed = B.assemble(B.complete(anchors(spark, d), B.gzip_entries(tiles(spark, d).select("z", "x", "y", "payload", "gzipped"))), flags=1)
+    out = B.assemble(B.explode_bodies(packed))
+    return out.select("x10", "y10", "zoom", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("digest"))
 
 
 def explode_layers(spark, d):
@@ -74,7 +76,7 @@ def _parts(spark, d):
 
 def bundle_split(spark, d):
     out = B.assemble(_parts(spark, d), keys=("x10", "y10", "zoom", "part"))
-    return out.select("x10", "y10", "zoom", "part", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("digest"))
+    return out.select("x10", "y10", "zoom", "part", F.octet_length("body").alias("bytes"))
 
 
 def split_roundtrip(spark, d):
@@ -84,22 +86,35 @@ def split_roundtrip(spark, d):
     return whole.join(parts, ["z", "x", "y"], "full").groupBy((F.col("a") == F.col("b")).alias("equal")).agg(F.count("*").alias("tiles"))
 
 
-def _streams(spark, d):
+def _streams(spark, d, version=3):
     asked = anchors(spark, d).where("zoom = 14")
-    stages = Q.stages_of(asked, 3, "zoom")
-    full = B.assemble(_entries(spark, d).where("zoom = 13")).select("x10", "y10", F.col("zoom").alias("stage_zoom"), F.lit(0).alias("part"), "body")
-    split = B.assemble(_parts(spark, d), keys=("x10", "y10", "zoom", "part")).select("x10", "y10", F.col("zoom").alias("stage_zoom"), "part", "body")
+    stages = Q.stages_of(asked, version, "zoom")
+    plain = lambda z: B.assemble(_entries(spark, d).where(F.col("zoom").isin(z))).select("x10", "y10", F.col("zoom").alias("stage_zoom"), F.lit(0).alias("part"), "body")
+    if version == 2:
+        return B.frame(stages.join(plain([13, 14]), ["x10", "y10", "stage_zoom", "part"]), 2)
+    full = B.assemble(B.gzip_entries(_entries(spark, d).where("zoom = 13").withColumn("gzipped", F.lit(False))), flags=1).select("x10", "y10", F.col("zoom").alias("stage_zoom"), F.lit(0).alias("part"), "body")
+    packed = B.gzip_entries(_parts(spark, d).withColumn("gzipped", F.lit(False)))
+    split = B.assemble(packed, flags=1, keys=("x10", "y10", "zoom", "part")).select("x10", "y10", F.col("zoom").alias("stage_zoom"), "part", "body")
     return B.frame(stages.join(full.unionByName(split), ["x10", "y10", "stage_zoom", "part"]))
 
 
+def _stage_sizes(streams):
+    out = B.explode_streams(streams).groupBy("x10", "y10", "stage_zoom", "part", "error")
+    return out.agg(F.count("*").alias("entries"), F.count("payload").alias("non_empty"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
 def stream_frame(spark, d):
-    return _streams(spark, d).select("x10", "y10", "zoom", F.octet_length("stream").alias("bytes"), F.sha2("stream", 256).alias("digest"))
+    """Streams of both versions, read back: what their stages hold."""
+    both = [_stage_sizes(_streams(spark, d, v)).withColumn("version", F.lit(v)) for v in (2, 3)]
+    return both[0].unionByName(both[1]).drop("error")
 
 
 def scan_bundle_streams(spark, d):
+    """Stream files, each a stream; every seventh file is cut short and gives an error instead of entries."""
     path = scratch_path(spark, "streams")
-    _streams(spark, d).write.parquet(path)
-    return B.explode_streams(spark.read.parquet(path)).groupBy("x10", "y10", "stage_zoom", "part").agg(F.count("*").alias("entries"), F.count("payload").alias("non_empty"), F.sum(F.octet_length("payload")).alias("bytes"))
+    cut = F.when(F.col("x10") % 7 == 0, F.expr("substring(stream, 1, octet_length(stream) - 1)")).otherwise(F.col("stream"))
+    _streams(spark, d).select(cut.alias("stream")).write.parquet(path)
+    return _stage_sizes(spark.read.parquet(path)).groupBy("x10", "y10", "stage_zoom", "part", F.col("error").isNotNull().alias("damaged")).agg(F.sum("entries").alias("entries"), F.sum("non_empty").alias("non_empty"), F.sum("bytes").alias("bytes"))
 
 
 def explode_bundle_entries(spark, d):
@@ -157,12 +172,20 @@ ALL = """+ anchors AS (SELECT DISTINCT x10, 357 AS y10, zoom::INTEGER AS zoom FR
 slots AS (SELECT x10, y10, zoom, slot, x10 * (1 << (zoom - 10)) + slot % (1 << (zoom - 10)) AS x, y10 * (1 << (zoom - 10)) + slot // (1 << (zoom - 10)) AS y FROM (SELECT *, unnest(range(1 << (2 * (zoom - 10)))) AS slot FROM anchors)),
 entries AS (SELECT s.*, nullif(payload, '') AS payload FROM slots s LEFT JOIN tiles t ON s.zoom = t.z AND s.x = t.x AND s.y = t.y) """
 BYTES = "octet_length(encode(payload))"
+# Sizes of the vector tiles of the fixture: a layer's payload, the layer, and the parts of every slot.
+VECTOR = f""", vector AS (SELECT *, 2 + length(layer) + 8 + 7 + 5 + CASE WHEN bytes = 0 THEN 0 WHEN bytes < 128 THEN bytes + 3 ELSE bytes + 4 END + 2 AS body FROM layers WHERE z = 14),
+cut AS (SELECT x, y, CASE WHEN layer IN ('poi', 'housenumber') THEN 2 ELSE 1 END AS part, sum(body + 1 + CASE WHEN body < 128 THEN 1 ELSE 2 END)::BIGINT AS bytes FROM vector GROUP BY ALL),
+every AS (SELECT DISTINCT 164 + doc_id // 340 AS x10, 357 AS y10 FROM documents),
+parts AS (SELECT x10, y10, part, slot, e.x, e.y, bytes FROM (SELECT x10, y10, unnest(range(256)) AS slot, x10 * 16 + slot % 16 AS x, y10 * 16 + slot // 16 AS y FROM every) e CROSS JOIN (VALUES (1), (2)) v(part) LEFT JOIN cut USING (x, y, part)),
+stages AS (SELECT x10, y10, 13 AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom = 13 GROUP BY ALL
+  UNION ALL SELECT x10, y10, 14, part, count(*), count(bytes), sum(bytes)::BIGINT FROM parts GROUP BY ALL) """
 SQL = {
     "expand_descendants": with_tables(TILES, ALL + "SELECT * FROM slots"),
     "bundle_complete_join": with_tables(TILES, ALL + f"SELECT x10, y10, zoom, slot, {BYTES} AS bytes FROM entries"),
     "bundle_assemble": with_tables(TILES, ALL + f"""SELECT x10, y10, zoom, length(h) // 2 AS bytes, sha256(unhex(h)) AS digest FROM (SELECT x10, y10, zoom,
         '53434231010a' || printf('%02x', zoom) || '00' || printf('%08x', x10) || printf('%08x', y10) || printf('%08x', count(*)) ||
         string_agg(CASE WHEN payload IS NULL THEN 'ffffffff' ELSE printf('%08x', {BYTES}) || hex(encode(payload)) END, '' ORDER BY slot) AS h FROM entries GROUP BY x10, y10, zoom)"""),
+    "bundle_assemble_gzip": None,
     "bundle_size": with_tables(TILES, ALL + f"SELECT x10, y10, zoom, (20 + sum(4 + coalesce({BYTES}, 0)))::BIGINT AS bytes, 20 + sum(4 + coalesce({BYTES}, 0)) > 67108864 AS over FROM entries GROUP BY ALL"),
     "bundle_completeness": with_tables(TILES, "SELECT x10, 357 AS y10, z AS zoom, count(*) AS entries, count(DISTINCT slot) AS slots, min(slot) AS first, max(slot) AS last, count(*) = 4 ** (z - 10) AND count(DISTINCT slot) = 4 ** (z - 10) AND min(slot) = 0 AND max(slot) = 4 ** (z - 10) - 1 AS complete FROM tiles GROUP BY x10, z"),
     "payload_digest": with_tables(TILES, f"SELECT z, x, y, sha256(payload) AS digest, {BYTES} AS bytes FROM tiles"),
@@ -173,9 +196,14 @@ SQL = {
     "layer_report": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, round(sum(bytes) / sum(sum(bytes)) OVER (PARTITION BY z), 9) AS share FROM layers GROUP BY z, layer"),
     "layer_rank": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, row_number() OVER (PARTITION BY z ORDER BY sum(bytes) DESC, layer) AS rank FROM layers GROUP BY z, layer"),
     "explode_landcover": with_tables("landcover", "SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL"),
-    "scan_bundle_streams": with_tables(TILES + " layers", ALL + f"""SELECT x10, y10, zoom AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom = 13 GROUP BY ALL
-        UNION ALL SELECT x10, 357, 14, part, 256, count(DISTINCT (x, y)), sum(raw)::BIGINT FROM (
-          SELECT x // 16 AS x10, x, y, CASE WHEN layer IN ('poi', 'housenumber') THEN 2 ELSE 1 END AS part, body + 1 + CASE WHEN body < 128 THEN 1 ELSE 2 END AS raw FROM (
-            SELECT *, 2 + length(layer) + 8 + 7 + 5 + CASE WHEN bytes = 0 THEN 0 WHEN bytes < 128 THEN bytes + 3 ELSE bytes + 4 END + 2 AS body FROM layers WHERE z = 14)) GROUP BY ALL"""),
+    "explode_layers": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT z, x, y, (row_number() OVER (PARTITION BY x, y ORDER BY layer) - 1)::INTEGER AS ord, layer, body AS bytes, NULL::VARCHAR AS error FROM vector"),
+    "bundle_split": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT x10, y10, 14 AS zoom, part, (20 + sum(4 + coalesce(bytes, 0)))::BIGINT AS bytes FROM parts GROUP BY ALL"),
+    "stream_frame": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + f"""SELECT 2 AS version, x10, y10, zoom AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom >= 13 GROUP BY ALL
+        UNION ALL SELECT 3 AS version, x10, y10, stage_zoom, part, entries, non_empty, bytes FROM stages"""),
+    "scan_bundle_streams": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + """SELECT x10, y10, stage_zoom, part, false AS damaged, entries, non_empty, bytes FROM stages WHERE x10 % 7 <> 0
+        UNION ALL SELECT NULL, NULL, NULL, NULL, true, count(DISTINCT x10), 0, NULL FROM stages WHERE x10 % 7 = 0 HAVING count(*) > 0"""),
+    "explode_bundle_entries": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + f"""SELECT zoom AS stage_zoom, 0 AS part, slot, x, y, {BYTES} AS bytes FROM entries WHERE zoom = 13
+        UNION ALL SELECT 14, part, slot, x, y, bytes FROM parts"""),
     "split_roundtrip": with_tables(TILES, "SELECT true AS equal, count(DISTINCT (x, y)) AS tiles FROM tiles WHERE z = 14"),
 }
+SQL["bundle_assemble_gzip"] = SQL["bundle_assemble"]

@@ -69,7 +69,10 @@ def landcover(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang")
     z = (4 + F.col("doc_id") % 4).cast("int")
     cls = F.when((F.col("doc_id") % 4 == 0) & (F.col("lang") == "en"), None).otherwise(F.col("lang"))
-    return docs.select(z.alias("z"), (F.col("doc_id") % 3).alias("x"), (F.floor(F.col("doc_id") / 4) % 2).alias("y"), cls.alias("class"), (5 + F.col("doc_id") % 8).cast("int").alias("minzoom"), (F.col("doc_id") % 16).cast("int").alias("pixels"), "doc_id")
+    return docs.select(z.alias("z"), (F.col("doc_id") % 3).alias("x"), (F.floor(F.col("doc_id") / 4) % 2).alias("y"), cls.alias("class"), (5 + F.col("doc_id") % 8).cast("int").alias("minzoom"), (F.col("doc_id") % 16).cast("int").alias("pixels"), "doc_id",
+        (4 + F.col("doc_id") % 11).cast("int").alias("deep"), F.when(F.col("doc_id") % 5 == 0, "glaciers").otherwise("osm").alias("source"), (F.col("doc_id") * 37 % 600).alias("points"),
+        F.when(F.col("lang") == "en", "wood").when(F.col("lang") == "de", "forest").when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("subclass"),
+    )
 
 
 def dem_listing(spark, d) -> DataFrame:
@@ -127,7 +130,8 @@ CTE = {
     "layers": """SELECT z, x, y, l.ord, l.layer, n_chars % l.m AS bytes FROM tiles,
         (VALUES (0, 'building', 211), (1, 'poi', 97), (2, 'housenumber', 53), (3, 'transportation', 31)) l(ord, layer, m)""",
     "landcover": """SELECT (4 + doc_id % 4)::INTEGER AS z, doc_id % 3 AS x, (doc_id // 4) % 2 AS y, CASE WHEN doc_id % 4 = 0 AND lang = 'en' THEN NULL ELSE lang END AS class,
-        (5 + doc_id % 8)::INTEGER AS minzoom, (doc_id % 16)::INTEGER AS pixels, doc_id FROM documents""",
+        (5 + doc_id % 8)::INTEGER AS minzoom, (doc_id % 16)::INTEGER AS pixels, doc_id,
+        (4 + doc_id % 11)::INTEGER AS deep, CASE WHEN doc_id % 5 = 0 THEN 'glaciers' ELSE 'osm' END AS source, doc_id * 37 % 600 AS points, CASE lang WHEN 'en' THEN 'wood' WHEN 'de' THEN 'forest' ELSE CASE WHEN doc_id % 7 > 0 THEN lang END END AS subclass FROM documents""",
     "cells_all": """SELECT DISTINCT (event_id % 180 - 90)::INTEGER AS lat, ((event_id * 7) % 360 - 180)::INTEGER AS lon, event_id FROM events""",
     "dem_cells": """SELECT DISTINCT lat, lon, 90 AS resolution FROM cells_all UNION SELECT DISTINCT lat, lon, 30 FROM cells_all WHERE event_id % 3 <> 0""",
     "ledger": """SELECT 'z12:' || (event_id % 180 - 90) || ',' || ((event_id * 7) % 360 - 180) AS unit, event_id AS seq, ts AS done_at FROM events WHERE event_id % 2 = 0""",

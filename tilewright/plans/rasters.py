@@ -35,8 +35,9 @@ def directory_lookup(spark, d):
 
 
 def directory_audit(spark, d):
-    """Entries of two archives, offsets in the order of ids but for every 97th tile."""
-    e = X.tiles(spark, d).select((F.col("doc_id") % 2).alias("archive"), F.col("doc_id").alias("tile_id"), (1 + F.col("doc_id") % 3).alias("run"), (F.col("doc_id") % 7).alias("length"), F.when(F.col("doc_id") % 97 == 0, 5 * F.col("doc_id") + 4000).otherwise(5 * F.col("doc_id")).alias("offset"))
+    """Entries of two archives, offsets in the order of ids but for every 97th tile; every 11th is a leaf."""
+    leaf = F.col("doc_id") % 11 == 0
+    e = X.tiles(spark, d).select((F.col("doc_id") % 2).alias("archive"), F.col("doc_id").alias("tile_id"), F.when(leaf, 0).otherwise(1 + F.col("doc_id") % 3).alias("run"), F.when(leaf, F.col("doc_id") - F.col("doc_id") % 5 % 2).alias("low"), F.when(leaf, F.col("doc_id") + F.col("doc_id") % 4).alias("high"), (F.col("doc_id") % 7).alias("length"), F.when(F.col("doc_id") % 97 == 0, 5 * F.col("doc_id") + 4000).otherwise(5 * F.col("doc_id")).alias("offset"))
     return directories.audit(e, 4500)
 
 
@@ -134,12 +135,13 @@ def dem_resample(spark, d):
 
 
 def dem_bake(spark, d):
-    """Cells of the listing, finest tiles from their samples, levels above, as colours."""
+    """Two runs of a bake: the first bakes the cells that the ledger lacks, the second finds nothing left. Levels above follow, as colours."""
     held = _samples(spark, d).select(F.floor("lat").cast("int").alias("lat"), F.floor("lon").cast("int").alias("lon"), F.lit(90).alias("resolution")).distinct()
-    wanted = dem.cover(dem.priority(dem.cell_filter(_cells(spark, d).unionByName(held).distinct())), 5).select(F.concat(F.lit("z5:"), "x", F.lit(","), "y").alias("unit"), "x", "y")
-    todo = dem.pending(wanted, X.ledger(spark, d))
-    tiles = dem.resample(_samples(spark, d), 5, 16).withColumns({"x": F.floor(F.col("gx") / 16), "y": F.floor(F.col("gy") / 16)})
-    out = pyramid.pyramid(tiles.join(todo, ["x", "y"], "left_semi").select("z", "gx", "gy", "metres"), 16)
+    wanted = dem.priority(dem.cell_filter(_cells(spark, d).unionByName(held).distinct()))
+    samples, done = commit(_samples(spark, d), "samples"), X.ledger(spark, d).select("unit")
+    pixels, done = dem.bake(wanted, samples, spark.createDataFrame([], dem.PIXELS), done, 5, 16)
+    pixels, done = dem.bake(wanted, samples, pixels, done, 5, 16)
+    out = pyramid.pyramid(pixels, 16)
     return out.select("z", "gx", "gy", *[c.alias(k) for k, c in T.terrarium_encode(F.col("metres").cast("double")).items()])
 
 
@@ -166,7 +168,7 @@ def expand_landcover_zooms(spark, d):
 
 
 def landcover_merge(spark, d):
-    return landcover.merge(X.landcover(spark, d))
+    return landcover.merge(X.landcover(spark, d).drop("z").withColumnRenamed("deep", "z"))
 
 
 def landcover_probe(spark, d):
@@ -201,17 +203,12 @@ def retention_plan(spark, d):
     return catalog.retention(X.releases(spark, d), 2).select("dataset", "seq", "active")
 
 
-def content_type(spark, d):
-    t = X.tiles(spark, d)
-    return t.groupBy(F.when(F.col("doc_id") % 3 == 0, "image/png").otherwise("image/webp").alias("content_type")).agg(F.count("*").alias("tiles"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         run_length_directory, expand_runs, directory_lookup, directory_audit, tile_order, stage_upsert, terrarium_encode, terrarium_decode, sea_filter, pyramid_level, pyramid_all, pyramid_parents, pyramid_children,
         scan_dem_listing, dem_name_parse, dem_cell_filter, dem_source_priority, dem_cells_union, cell_order, dem_summary, dem_tile_cover, dem_halo, dem_resample, dem_bake, resume_pending, bake_progress,
-        landcover_counts, landcover_rules, expand_landcover_zooms, landcover_merge, landcover_probe, scan_manifests, manifest_audit, serving_eligible, zoom_range_check, retention_plan, content_type,
+        landcover_counts, landcover_rules, expand_landcover_zooms, landcover_merge, landcover_probe, scan_manifests, manifest_audit, serving_eligible, zoom_range_check, retention_plan,
     )
 }
 
@@ -235,8 +232,10 @@ SQL = {
     "run_length_directory": with_tables(TILES, RUNS + "SELECT * FROM runs", recursive=True),
     "expand_runs": with_tables(TILES, IDS + "SELECT tile_id, sha256(lang) AS digest FROM named", recursive=True),
     "directory_lookup": with_tables(TILES, RUNS + "SELECT i.tile_id, r.tile_id AS start, run, digest FROM ided i LEFT JOIN runs r ON i.tile_id >= r.tile_id AND i.tile_id < r.tile_id + run", recursive=True),
-    "directory_audit": """WITH e AS (SELECT doc_id % 2 AS archive, doc_id AS tile_id, 1 + doc_id % 3 AS run, doc_id % 7 AS length, CASE WHEN doc_id % 97 = 0 THEN 5 * doc_id + 4000 ELSE 5 * doc_id END AS "offset" FROM documents)
-        SELECT archive, tile_id, coalesce(tile_id > lag(tile_id) OVER w, true) AS increasing, coalesce(tile_id + run <= lead(tile_id) OVER w, true) AS apart, length > 0 AS filled, "offset" + length <= 4500 AS inside FROM e WINDOW w AS (PARTITION BY archive ORDER BY "offset", tile_id)""",
+    "directory_audit": """WITH e AS (SELECT doc_id % 2 AS archive, doc_id AS tile_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 + doc_id % 3 END AS run, doc_id % 7 AS length, CASE WHEN doc_id % 97 = 0 THEN 5 * doc_id + 4000 ELSE 5 * doc_id END AS "offset" FROM documents),
+        n AS (SELECT *, lag(tile_id) OVER w AS prev, lead(tile_id) OVER w AS next FROM e WINDOW w AS (PARTITION BY archive ORDER BY "offset", tile_id))
+        SELECT archive, tile_id, coalesce(tile_id > prev, true) AS increasing, coalesce(tile_id + run <= next, true) AS apart, length > 0 AS filled, "offset" + length <= 4500 AS inside,
+        run <> 0 OR (tile_id % 5 % 2 = 0 AND coalesce(tile_id + tile_id % 4 < next, true)) AS bounded FROM n""",
     "tile_order": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + " SELECT tile_id, z, x, y FROM ided JOIN tiles ON k = doc_id", recursive=True),
     "stage_upsert": "SELECT event_id % 500 AS tile_id, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     "terrarium_encode": "SELECT event_id, v >> 8 AS r, v & 255 AS g, 0 AS b FROM (SELECT event_id, (least(32767, greatest(-32768, round_even(value * 10 - 500, 0))) + 32768)::INTEGER AS v FROM events)",
@@ -268,8 +267,12 @@ SQL = {
         SELECT 'z12' AS level, done, (SELECT count(*) FROM u) AS total, round(sec / done, 6) AS seconds_each, round(((SELECT count(*) FROM u) - done) * (sec / done), 4) AS seconds_left FROM s"""),
     "landcover_counts": with_tables("landcover", "SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL"),
     "landcover_rules": with_tables("landcover", """SELECT class, z4, z5, z6, z7, (z4 > 0)::INTEGER + (z6 = 0)::INTEGER + (z7 = 0)::INTEGER AS fails FROM (SELECT coalesce(class, '') AS class, count(*) FILTER (z = 4) AS z4, count(*) FILTER (z = 5) AS z5, count(*) FILTER (z = 6) AS z6, count(*) FILTER (z = 7) AS z7 FROM landcover GROUP BY 1)"""),
-    "expand_landcover_zooms": with_tables("landcover", "SELECT doc_id, unnest(range(greatest(minzoom, 5), 15))::INTEGER AS zoom FROM landcover"),
-    "landcover_merge": with_tables("landcover", "SELECT z, x, y, class, count(*) AS parts, sum(pixels)::BIGINT AS pixels FROM landcover WHERE z BETWEEN 5 AND 7 AND pixels >= 4 GROUP BY ALL UNION ALL SELECT z, x, y, class, 1, pixels FROM landcover WHERE z NOT BETWEEN 5 AND 7"),
+    "expand_landcover_zooms": with_tables("landcover", "SELECT doc_id, unnest(range(CASE source WHEN 'osm' THEN 5 ELSE minzoom END, 15))::INTEGER AS zoom FROM landcover"),
+    "landcover_merge": with_tables("landcover", """+ k AS (SELECT deep AS z, x, y, class, subclass, pixels, doc_id, CASE WHEN source <> 'osm' OR subclass IS NULL OR deep NOT BETWEEN 5 AND 13 THEN NULL WHEN deep <= 7 THEN 'all'
+          WHEN deep <= 9 AND subclass IN ('wood', 'forest') THEN CASE WHEN points < 300 THEN '<300' ELSE '>300' END WHEN deep >= 10 AND subclass IN ('wood', 'forest') AND points < 300 THEN '<300' END AS g
+          FROM landcover WHERE source <> 'osm' OR pixels >= CASE WHEN deep <= 9 THEN 2 WHEN deep = 10 THEN 4 WHEN deep <= 13 THEN 8 ELSE 0 END)
+        SELECT z, x, y, class, subclass, count(*) AS parts, sum(pixels)::BIGINT AS pixels FROM k WHERE g IS NOT NULL GROUP BY z, x, y, class, subclass, g
+        UNION ALL SELECT z, x, y, class, subclass, 1, pixels FROM k WHERE g IS NULL"""),
     "landcover_probe": with_tables("points landcover", """+ p AS (SELECT event_id AS id, zz::INTEGER AS z, trunc((lon + 180.0) / 360.0 * pow(2.0, zz))::BIGINT % 4 AS x, trunc((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * pow(2.0, zz))::BIGINT % 4 AS y FROM points, range(4, 8) r(zz)),
         c AS (SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL) SELECT id, p.z, p.x, p.y, class, coalesce(features, 0) AS features FROM p LEFT JOIN c ON p.z = c.z AND p.x = c.x AND p.y = c.y"""),
     "scan_manifests": """SELECT event_id AS id, CASE WHEN k = 1 THEN 2 ELSE 1 END AS schema_version, CASE WHEN k = 2 THEN '' ELSE 'v' || event_id END AS version,
@@ -280,5 +283,4 @@ SQL = {
     "serving_eligible": "WITH " + MSQL + f"SELECT id, max_zoom = 14 AS planet, max_zoom <= 12 AS terrain FROM m WHERE {GOOD}",
     "zoom_range_check": "WITH " + MSQL + f"SELECT version, id % 4 <> 0 OR max_zoom = 14 AS agrees FROM m WHERE {GOOD}",
     "retention_plan": with_tables("releases", "SELECT dataset, seq, active FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mtime DESC, version DESC) AS k FROM releases) WHERE k <= 2 OR active"),
-    "content_type": "SELECT CASE WHEN doc_id % 3 = 0 THEN 'image/png' ELSE 'image/webp' END AS content_type, count(*) AS tiles FROM documents GROUP BY 1",
 }

@@ -16,8 +16,16 @@ def scan_request_log(spark, d):
     return requests(spark, d).select("event_id", "client", "ms", "kind", "z", "x", "y", "has_query")
 
 
+def _have(spark, d):
+    return tiles(spark, d).where("payload is not null").select(F.lit(8).alias("z"), (F.col("x") % 256).alias("x"), (F.col("y") % 256).alias("y"), "payload")
+
+
+def _answered(spark, d):
+    return R.answer(requests(spark, d), _have(spark, d), RATE, BURST)
+
+
 def _gated(spark, d, kind):
-    return R.gate(requests(spark, d)).where(F.col("kind").isin(kind)).select("event_id", "outcome", "status", "x", "y")
+    return _answered(spark, d).where(F.col("kind").isin(kind)).select("event_id", "outcome", "status", "x", "y")
 
 
 def gate_coarse(spark, d):
@@ -60,8 +68,7 @@ def expand_stages(spark, d):
 
 
 def resolve_requests(spark, d):
-    have = tiles(spark, d).where("payload is not null").select(F.lit(8).alias("z"), (F.col("x") % 256).alias("x"), (F.col("y") % 256).alias("y"), "payload")
-    return R.resolve(R.gate(requests(spark, d)), have).select("event_id", "z", "x", "y", "result")
+    return R.resolve(R.gate(requests(spark, d)), _have(spark, d)).select("event_id", "z", "x", "y", "result")
 
 
 def build_queue(spark, d):
@@ -75,7 +82,7 @@ def token_bucket_batch(spark, d):
 
 
 def request_counters(spark, d):
-    return R.counters(R.gate(requests(spark, d)))
+    return R.counters(_answered(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (scan_request_log, gate_coarse, gate_bundle, gate_terrain, request_cost, representation_key, etag_v1_terrain, safe_version, expand_stages, resolve_requests, build_queue, token_bucket_batch, request_counters)}
@@ -88,7 +95,7 @@ judged AS (SELECT *, CASE
   WHEN kind = 'terrain_bundle' THEN CASE WHEN z IS NULL OR xi IS NULL OR yi IS NULL THEN 'bad_path' WHEN NOT (z IN (11, 12) AND xi BETWEEN 0 AND 1023 AND yi BETWEEN 0 AND 1023) THEN 'range' ELSE 'pass' END
   ELSE CASE WHEN has_query THEN 'extra' WHEN z IS NULL OR xi IS NULL OR yi IS NULL THEN 'bad_path' WHEN NOT (z BETWEEN 11 AND 14 AND xi BETWEEN 0 AND 1023 AND yi BETWEEN 0 AND 1023) THEN 'invalid' ELSE 'pass' END
   END AS outcome FROM parsed),
-gated AS (SELECT event_id, client, kind, z, outcome, CASE WHEN outcome IN ('blocked', 'range', 'deep') THEN 404 WHEN outcome <> 'pass' THEN 400 END AS status,
+gated AS (SELECT event_id, client, ms, kind, z, outcome, CASE WHEN outcome IN ('blocked', 'range', 'deep') THEN 404 WHEN outcome <> 'pass' THEN 400 END AS status,
   CASE WHEN outcome = 'pass' THEN xi END AS x, CASE WHEN outcome = 'pass' THEN yi END AS y FROM judged) """
 
 
@@ -96,6 +103,23 @@ def gated(sql: str) -> str:
     return with_tables(REQUESTS, GATED + sql)
 
 
+# Only what passes the gate pays, at its real cost; then a raw tile is there or not, and a bundle is built once.
+ANSWERED = GATED.rstrip() + """, paying AS (SELECT *, (CASE WHEN kind IN ('coarse', 'terrain') THEN 1 ELSE 1 << (z - 10) END)::BIGINT * 1000000 AS need, row_number() OVER (PARTITION BY client ORDER BY ms, event_id) AS k FROM gated WHERE outcome = 'pass'),
+f(client, event_id, k, last, tokens, allowed) AS (
+  SELECT client, event_id, k, ms, 16000000::BIGINT - need, true FROM paying WHERE k = 1
+  UNION ALL SELECT client, event_id, k, last, CASE WHEN t >= need THEN t - need ELSE t END, t >= need FROM (
+    SELECT r.client, r.event_id, r.k, greatest(f.last, r.ms) AS last, need, least(16000000, f.tokens + greatest(0, r.ms - f.last) * 125) AS t FROM f JOIN paying r ON r.client = f.client AND r.k = f.k + 1)),
+answered AS (SELECT event_id, kind, x, y, outcome, CASE outcome WHEN 'limited' THEN 429 WHEN 'empty' THEN 204 WHEN 'ok' THEN 200 WHEN 'cached' THEN 200 ELSE status END AS status FROM (
+  SELECT g.event_id, kind, z, x, y, status, CASE WHEN outcome <> 'pass' THEN outcome WHEN NOT allowed THEN 'limited'
+    WHEN kind IN ('coarse', 'terrain') AND NOT (z = 8 AND (x, y) IN (SELECT (x % 256, y % 256) FROM tiles WHERE octet_length(encode(payload)) > 0)) THEN 'empty'
+    WHEN kind IN ('bundle2', 'bundle3') AND row_number() OVER (PARTITION BY kind, z, x, y, allowed ORDER BY ms, g.event_id) > 1 THEN 'cached' ELSE 'ok' END AS outcome
+  FROM gated g LEFT JOIN f ON f.event_id = g.event_id)) """
+
+
+def answered(sql: str) -> str:
+    return with_tables(REQUESTS + " " + TILES, ANSWERED + sql, recursive=True)
+
+
 KEY = "'spark-scb1gz-r1:2026%2001%2Fa%2Ab~$&+:=@:d0:10:' || x || ':' || y || ':'"
 STAGES = "(VALUES (13, 0), (14, 1), (14, 2)) s(sz, part)"
 QUEUE = f"""SELECT DISTINCT {KEY} || stage_zoom || ':' || part || ':stage' AS key, x AS x10, y AS y10, stage_zoom, part FROM (
@@ -103,9 +127,9 @@ QUEUE = f"""SELECT DISTINCT {KEY} || stage_zoom || ':' || part || ':stage' AS ke
   UNION ALL SELECT event_id, x, y, sz, s.part FROM gated, {STAGES} WHERE kind = 'bundle3' AND outcome = 'pass' AND z = 14)"""
 SQL = {
     "scan_request_log": with_tables(REQUESTS, "SELECT event_id, client, ms, kind, z, x, y, has_query FROM requests"),
-    "gate_coarse": gated("SELECT event_id, outcome, status, x, y FROM gated WHERE kind = 'coarse'"),
-    "gate_bundle": gated("SELECT event_id, outcome, status, x, y FROM gated WHERE kind IN ('bundle2', 'bundle3')"),
-    "gate_terrain": gated("SELECT event_id, outcome, status, x, y FROM gated WHERE kind IN ('terrain', 'terrain_bundle')"),
+    "gate_coarse": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind = 'coarse'"),
+    "gate_bundle": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind IN ('bundle2', 'bundle3')"),
+    "gate_terrain": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind IN ('terrain', 'terrain_bundle')"),
     "request_cost": gated("SELECT event_id, CASE WHEN kind IN ('coarse', 'terrain') THEN 1 ELSE 1 << (z - 10) END::BIGINT AS tokens FROM gated WHERE outcome = 'pass'"),
     "representation_key": gated(f"SELECT event_id, {KEY} || z AS key FROM gated WHERE outcome = 'pass' AND kind = 'bundle3'"),
     "etag_v1_terrain": gated("""SELECT event_id, CASE kind WHEN 'bundle2' THEN '"v1:10:' ELSE '"terrain:v1:10:' END || x || ':' || y || ':' || z || '"' AS etag, CASE WHEN event_id % 2 = 0 THEN 304 ELSE 200 END AS status
@@ -123,6 +147,12 @@ SQL = {
           UNION ALL SELECT client, event_id, k, last, CASE WHEN t >= need THEN t - need ELSE t END, t >= need FROM (
             SELECT r.client, r.event_id, r.k, greatest(f.last, r.ms) AS last, need, least(16000000, f.tokens + greatest(0, r.ms - f.last) * 125) AS t FROM f JOIN r ON r.client = f.client AND r.k = f.k + 1))
         SELECT client, event_id, allowed FROM f""", recursive=True),
-    "request_counters": gated("""SELECT metric, count(*) AS value FROM (SELECT CASE WHEN outcome = 'blocked' THEN 'mapapi_' || kind || '_blocked_total' WHEN outcome = 'pass' THEN
-        CASE kind WHEN 'bundle3' THEN 'mapapi_bundle_v3_total' WHEN 'bundle2' THEN 'mapapi_bundle_ok_total' ELSE 'mapapi_' || kind || '_ok_total' END END AS metric FROM gated) WHERE metric IS NOT NULL GROUP BY metric"""),
+    "request_counters": answered("""SELECT metric, count(*) AS value FROM (SELECT unnest(CASE WHEN kind IN ('coarse', 'terrain') AND outcome IN ('blocked', 'empty', 'ok') THEN ['mapapi_' || kind || '_' || outcome || '_total']
+        WHEN kind = 'terrain_bundle' AND outcome = 'ok' THEN ['mapapi_terrain_bundle_ok_total']
+        WHEN kind IN ('bundle2', 'bundle3') AND outcome IN ('ok', 'cached') THEN list_concat(CASE kind WHEN 'bundle3' THEN ['mapapi_bundle_v3_total'] ELSE [] END, [CASE outcome WHEN 'ok' THEN 'mapapi_bundle_ok_total' ELSE 'mapapi_bundle_cache_hit_total' END])
+        ELSE [] END) AS metric FROM answered) GROUP BY metric"""),
 }
+
+# Counters of a log that is only gated, as the stream counts them.
+GATED_COUNTERS = gated("""SELECT metric, count(*) AS value FROM (SELECT CASE WHEN outcome = 'blocked' THEN 'mapapi_' || kind || '_blocked_total' WHEN outcome = 'pass' THEN
+        CASE kind WHEN 'bundle3' THEN 'mapapi_bundle_v3_total' WHEN 'bundle2' THEN 'mapapi_bundle_ok_total' ELSE 'mapapi_' || kind || '_ok_total' END END AS metric FROM gated) WHERE metric IS NOT NULL GROUP BY metric""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import requests as R
 from tilewright.plans import fixtures as X
-from tilewright.plans.requests import BURST, CODEC, DIGEST, RATE, SQL as BATCH, VERSION
+from tilewright.plans.requests import BURST, CODEC, DIGEST, GATED_COUNTERS, RATE, SQL as BATCH, VERSION
 from tilewright.sources.scratch import scratch_path
 from tilewright.streaming import requests as S
 
@@ -63,6 +63,6 @@ def build_queue_stream(spark, d):
 QUERIES = {f.__name__: f for f in (token_bucket_stream, bucket_eviction, request_counters_stream, build_queue_stream)}
 ASKED = BATCH["build_queue"].split("SELECT * FROM (SELECT DISTINCT")
 SQL = {
-    "token_bucket_stream": BATCH["token_bucket_batch"], "bucket_eviction": BATCH["token_bucket_batch"], "request_counters_stream": BATCH["request_counters"],
+    "token_bucket_stream": BATCH["token_bucket_batch"], "bucket_eviction": BATCH["token_bucket_batch"], "request_counters_stream": GATED_COUNTERS,
     "build_queue_stream": (ASKED[0] + "SELECT DISTINCT" + ASKED[1]).rsplit(") WHERE key NOT IN", 1)[0],
 }
