@@ -76,7 +76,7 @@ def landcover(spark, d) -> DataFrame:
 
 
 def dem_listing(spark, d) -> DataFrame:
-    lat, lon = F.col("event_id") % 180 - 90, F.col("event_id") * 7 % 360 - 180
+    lat, lon = F.col("event_id") % 180 - 90, F.floor(F.col("event_id") / 180) * 7 % 360 - 180
     two = lambda v, neg, pos, w: F.concat(F.when(v < 0, neg).otherwise(pos), F.lpad(F.abs(v).cast("string"), w, "0"))
     e = table(spark, d, "events")
     name = lambda r: F.concat(F.lit(f"  Copernicus_DSM_COG_{r // 3}_"), two(lat, "S", "N", 2), F.lit("_00_"), two(lon, "W", "E", 3), F.lit("_00_DEM "))
@@ -86,7 +86,7 @@ def dem_listing(spark, d) -> DataFrame:
 
 def ledger(spark, d) -> DataFrame:
     e = table(spark, d, "events").where("event_id % 2 = 0")
-    unit = F.concat(F.lit("z12:"), (F.col("event_id") % 180 - 90).cast("string"), F.lit(","), (F.col("event_id") * 7 % 360 - 180).cast("string"))
+    unit = F.concat(F.lit("z12:"), (F.col("event_id") % 180 - 90).cast("string"), F.lit(","), (F.floor(F.col("event_id") / 180) * 7 % 360 - 180).cast("string"))
     return e.select(unit.alias("unit"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("done_at"))
 
 
@@ -132,9 +132,9 @@ CTE = {
     "landcover": """SELECT (4 + doc_id % 4)::INTEGER AS z, doc_id % 3 AS x, (doc_id // 4) % 2 AS y, CASE WHEN doc_id % 4 = 0 AND lang = 'en' THEN NULL ELSE lang END AS class,
         (5 + doc_id % 8)::INTEGER AS minzoom, (doc_id % 16)::INTEGER AS pixels, doc_id,
         (4 + doc_id % 11)::INTEGER AS deep, CASE WHEN doc_id % 5 = 0 THEN 'glaciers' ELSE 'osm' END AS source, doc_id * 37 % 600 AS points, CASE lang WHEN 'en' THEN 'wood' WHEN 'de' THEN 'forest' ELSE CASE WHEN doc_id % 7 > 0 THEN lang END END AS subclass FROM documents""",
-    "cells_all": """SELECT DISTINCT (event_id % 180 - 90)::INTEGER AS lat, ((event_id * 7) % 360 - 180)::INTEGER AS lon, event_id FROM events""",
+    "cells_all": """SELECT DISTINCT (event_id % 180 - 90)::INTEGER AS lat, ((event_id // 180) * 7 % 360 - 180)::INTEGER AS lon, event_id FROM events""",
     "dem_cells": """SELECT DISTINCT lat, lon, 90 AS resolution FROM cells_all UNION SELECT DISTINCT lat, lon, 30 FROM cells_all WHERE event_id % 3 <> 0""",
-    "ledger": """SELECT 'z12:' || (event_id % 180 - 90) || ',' || ((event_id * 7) % 360 - 180) AS unit, event_id AS seq, ts AS done_at FROM events WHERE event_id % 2 = 0""",
+    "ledger": """SELECT 'z12:' || (event_id % 180 - 90) || ',' || ((event_id // 180) * 7 % 360 - 180) AS unit, event_id AS seq, ts AS done_at FROM events WHERE event_id % 2 = 0""",
     "releases": """SELECT event_type AS dataset, 'v/' || event_id || ' ä' AS version, ts AS mtime, event_id AS seq,
         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) = 1 AS active FROM events""",
 }

@@ -247,7 +247,7 @@ SQL = {
     "pyramid_children": with_tables("pixels", """+ t AS (SELECT gx // 8 AS x, gy // 8 AS y, count(*) AS value FROM pixels GROUP BY ALL), p AS (SELECT DISTINCT x // 2 AS px, y // 2 AS py FROM t)
         SELECT 6 AS pz, px, py, q::INTEGER AS q, coalesce(value, 0) AS value FROM p CROSS JOIN range(4) r(q) LEFT JOIN t ON t.x = px * 2 + q % 2 AND t.y = py * 2 + q // 2"""),
     "scan_dem_listing": """SELECT name, count(*) AS lines FROM (SELECT 'Copernicus_DSM_COG_' || c || '_' || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || lpad(abs(lat)::VARCHAR, 2, '0') || '_00_' || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END || lpad(abs(lon)::VARCHAR, 3, '0') || '_00_DEM' AS name
-        FROM (SELECT event_id % 180 - 90 AS lat, (event_id * 7) % 360 - 180 AS lon, unnest(CASE WHEN event_id % 3 <> 0 THEN [30, 10] ELSE [30] END) AS c FROM events)) GROUP BY name""",
+        FROM (SELECT event_id % 180 - 90 AS lat, (event_id // 180) * 7 % 360 - 180 AS lon, unnest(CASE WHEN event_id % 3 <> 0 THEN [30, 10] ELSE [30] END) AS c FROM events)) GROUP BY name""",
     "dem_halo": """WITH s AS (SELECT DISTINCT (event_id % 320) * 0.5 - 80 AS lat, ((event_id // 320) % 360) * 0.5 - 60 AS lon FROM events),
         t AS (SELECT greatest(0, least(31, floor((lon - 1 + 180) / 360 * 32)))::BIGINT AS x0, greatest(0, least(31, floor((lon + 1 + 180) / 360 * 32)))::BIGINT AS x1,
           greatest(0, least(31, floor((1 - ln(tan(radians(least(85.0511, lat + 1))) + 1 / cos(radians(least(85.0511, lat + 1)))) / pi()) / 2 * 32)))::BIGINT AS y0,
