@@ -327,8 +327,8 @@ def judged(docs: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
     """near_duplicates() with th, the hash of the row's text: (doc_id, th) tells unlike rows of a doc_id apart."""
     every = materialise(describe(docs), "signatures")
     full = every.where("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("sig").alias("sig"))
-    classes = materialise(classes.select("digest", "n", "rep.*", "sig", F.monotonically_increasing_id().alias("doc")), "classes")
+    classes = full.groupBy("digest", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = materialise(classes.select("digest", "n", "rep.*", "sig", "copies", F.monotonically_increasing_id().alias("doc")), "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
     def texts_for(owned: DataFrame) -> DataFrame:
@@ -338,9 +338,16 @@ def judged(docs: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
     lows = classes.join(parts.hint("merge"), classes["doc"] == parts["id"]).select("digest", "n", "doc_id", "component")
     least = lows.groupBy("component").agg(F.min("doc_id").alias("low"))
     lows = lows.join(least.hint("merge"), "component").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "low")
-    own = classes.select("digest", "n", F.col("doc_id").alias("rep"))
-    done = own.join(lows.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), F.coalesce("low", "rep").alias("low"))
-    out = every.join(done.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
+    own = classes.select("digest", "n", F.col("doc_id").alias("rep"), "copies")
+    done = own.join(lows.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
+    done = materialise(done.select(F.col("digest").alias("_d"), F.col("n").alias("_n"), F.coalesce("low", "rep").alias("low"), "copies"), "done")
+    # the rows of a class of very many copies are not sent to one task: there are FREQUENT such classes at most
+    most = max(1_000, every.count() // FREQUENT)
+    crowd = done.where(F.col("copies") > most).select("_d", "_n", F.col("low").alias("_low"))
+    rows = every.join(F.broadcast(crowd), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left").drop("_d", "_n")
+    rest = rows.where("_low is null").drop("_low").join(done.drop("copies").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
+    cols = ["doc_id", "th", "n", "low"]
+    out = rest.select(*cols).unionByName(rows.where("_low is not null").withColumnRenamed("_low", "low").select(*cols))
     out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
