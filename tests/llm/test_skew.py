@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tests.llm.test_operators import words
-from tilewright.llm import near_texts, substring, suffixes
+from tilewright.llm import near_texts, near_vectors, substring, suffixes
 
 
 def thue_morse(n, a, b):
@@ -104,3 +104,15 @@ def test_long_posting_lists_lose_no_link(spark, block):
     want = sorted((i, len(s), p, i == p) for (i, _), s, p in zip(rows, sets, part, strict=True))
     got = near_texts.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), list_block=block)
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_crowded_classes_and_components(spark):
+    """More rows of one text, and of one vector, than are sent to one task; and many unlike ones in one component."""
+    base = words(60, 1).split()
+    rows = [(i, " ".join(base)) for i in range(1_100)] + [(5_000 + i, " ".join([*base[:30], f"x{i}", *base[30:]])) for i in range(1_050)] + [(9_000 + i, words(30, 70 + i)) for i in range(5)]
+    near = near_texts.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(near) == 2_155 and (near[near.doc_id < 9_000].component_id == 0).all() and (near[near.doc_id >= 9_000].kept).all()
+    data = [(i, 1, [1.0, 2.0, 3.0]) for i in range(1_100)] + [(5_000 + i, 1, [1.0, 2.0 + i * 1e-5, 3.0]) for i in range(1, 1_051)] + [(9_000, 1, [-1.0, 0.5, 0.0])]
+    got = near_vectors.link(spark.createDataFrame(data, "vec_id long, label int, embedding array<double>")).toPandas()
+    assert len(got) == 2_151 and (got[got.vec_id < 9_000].component_id == 0).all() and (got[got.vec_id < 9_000].n_links == 2_149).all()
+    assert got[got.vec_id == 9_000].values.tolist() == [[9_000, 0, 9_000, True]]

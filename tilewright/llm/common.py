@@ -101,3 +101,18 @@ def min_label(edges: DataFrame) -> DataFrame:
         after = materialise(small.where("u <> v").distinct(), "edges")
         drop_scratch(now)
         now = after
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows left-joined to table (key, values, copies: the rows that hold the key), however many rows share a key.
+
+    Keys that more than max(1,000, total / 10,000) rows hold are 10,000 at most: they are broadcast, so
+    their rows stay where they are. All others are joined by shuffle at every size.
+    """
+    values = [c for c in table.columns if c not in (*key, "copies")]
+    crowd = table.where(F.col("copies") > max(1_000, total // 10_000))
+    crowd = crowd.select(*key, *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_crowd"))
+    met = rows.join(F.broadcast(crowd), key, "left")
+    near = met.where("_crowd").select(*rows.columns, *[F.col(f"_{v}").alias(v) for v in values])
+    rest = met.where("_crowd is null").select(*rows.columns).join(table.drop("copies").hint("merge"), key, "left")
+    return near.unionByName(rest.select(near.columns))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import materialise, min_label
+from tilewright.llm.common import join_spread, materialise, min_label
 from tilewright.llm.hashing import LOWER_ASCII, gram_hashes, mix64, texts_of, word_hashes, word_spans
 from tilewright.llm.vectors import local_components
 
@@ -336,18 +336,12 @@ def judged(docs: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
 
     parts = components(texts_for, classes.select("doc", "n", "sig"), list_block)
     lows = classes.join(parts.hint("merge"), classes["doc"] == parts["id"]).select("digest", "n", "doc_id", "component")
-    least = lows.groupBy("component").agg(F.min("doc_id").alias("low"))
-    lows = lows.join(least.hint("merge"), "component").select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "low")
-    own = classes.select("digest", "n", F.col("doc_id").alias("rep"), "copies")
-    done = own.join(lows.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
-    done = materialise(done.select(F.col("digest").alias("_d"), F.col("n").alias("_n"), F.coalesce("low", "rep").alias("low"), "copies"), "done")
-    # the rows of a class of very many copies are not sent to one task: there are FREQUENT such classes at most
-    most = max(1_000, every.count() // FREQUENT)
-    crowd = done.where(F.col("copies") > most).select("_d", "_n", F.col("low").alias("_low"))
-    rows = every.join(F.broadcast(crowd), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left").drop("_d", "_n")
-    rest = rows.where("_low is null").drop("_low").join(done.drop("copies").hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left")
-    cols = ["doc_id", "th", "n", "low"]
-    out = rest.select(*cols).unionByName(rows.where("_low is not null").withColumnRenamed("_low", "low").select(*cols))
+    least = materialise(lows.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "least")
+    total = every.count()
+    lows = join_spread(lows, least, ["component"], total).select("digest", "n", "low")
+    done = classes.select("digest", "n", F.col("doc_id").alias("rep"), "copies").join(lows.hint("merge"), ["digest", "n"], "left")
+    done = materialise(done.select("digest", "n", F.coalesce("low", "rep").alias("low"), "copies"), "done")
+    out = join_spread(every.select("doc_id", "th", "n", "digest"), done, ["digest", "n"], total)
     out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

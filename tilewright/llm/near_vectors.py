@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tilewright.llm.common import materialise, min_label
+from tilewright.llm.common import join_spread, materialise, min_label
 from tilewright.llm.hashing import mix64
 from tilewright.llm.vectors import local_components, matrix, rotate, valid
 
@@ -112,11 +112,12 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
     counts = found.where("links is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     parts = min_label(found.where("links is null").select("a", "b")).withColumnRenamed("id", "cls")
     joined = materialise(classes.join(counts.hint("merge"), "cls", "left").join(parts.hint("merge"), "cls", "left"), "joined")
-    least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
-    done = joined.join(least.hint("merge"), "component", "left").select(
-        F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id")
-    )
-    ok = rows.where("_ok").join(done, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e"))).select("vec_id", "n_links", "component_id")
+    least = materialise(joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("copies")), "least")
+    total = rows.count()
+    done = join_spread(joined, least, ["component"], total)
+    links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")
+    done = materialise(done.select("label", "embedding", links, F.coalesce("low", "rep").alias("component_id"), F.col("n").alias("copies")), "done")
+    ok = join_spread(rows.where("_ok").drop("_ok"), done, ["label", "embedding"], total).select("vec_id", "n_links", "component_id")
     rest = rows.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return ok.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
