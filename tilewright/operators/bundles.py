@@ -231,27 +231,32 @@ def parse_stream(stream: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-STAGE_ENTRIES = "x10 long, y10 long, stage_zoom int, part int, slot long, payload binary, stored long, error string"
+STAGE_ENTRIES = "x10 long, y10 long, stage_zoom int, part int, slot long, payload binary, stored long, wire long, error string"
 
 
 def explode_streams(streams: DataFrame, column: str = "stream") -> DataFrame:
-    """Entries of streams, e.g. of files read as binaryFile: x10, y10, stage_zoom, part, slot, payload (inflated), stored (bytes), error.
+    """Entries of streams, e.g. of files read as binaryFile: x10, y10, stage_zoom, part, slot, payload (inflated), stored (bytes), wire, error.
 
-    A stream that is damaged anywhere gives one row with an error, and none of its entries.
+    wire is the framed length of the stage, at its first entry. A stream that is damaged anywhere gives one
+    row with an error, and none of its entries.
     """
 
     def run(batches):
-        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("stage_zoom", pa.int32()), ("part", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary()), ("stored", pa.int64()), ("error", pa.string())])
+        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("stage_zoom", pa.int32()), ("part", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary()), ("stored", pa.int64()), ("wire", pa.int64()), ("error", pa.string())])
         for b in batches:
             for s in b.column(0):
                 rows = []
                 try:
-                    for zoom, part, body in parse_stream(s.as_py() or b""):
+                    stream = s.as_py() or b""
+                    stages, at = parse_stream(stream), HEADER
+                    for zoom, part, body in stages:
+                        (wire,) = struct.unpack_from(">I", stream, at)
+                        at += 40 + wire
                         x, y = struct.unpack(">II", body[8:16])
                         packed = body[7] & GZIP_ENTRIES
-                        rows += [(x, y, zoom, part, k, whole_member(e) if packed and e else e, len(e or b""), None) for k, e in enumerate(parse_body(body))]
+                        rows += [(x, y, zoom, part, k, whole_member(e) if packed and e else e, len(e or b""), None if k else wire, None) for k, e in enumerate(parse_body(body))]
                 except ValueError as e:
-                    rows = [(None,) * 7 + (str(e),)]
+                    rows = [(None,) * 8 + (str(e),)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return streams.select(column).mapInArrow(run, STAGE_ENTRIES)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gzip
 import struct
+import uuid
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
@@ -14,7 +16,7 @@ from tilewright.operators import catalog
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, tiles, with_tables
 from tilewright.sources import archive
-from tilewright.sources.scratch import commit
+from tilewright.sources.scratch import commit, scratch_path
 
 
 def directory(rows: list[tuple[int, int, int, int]]) -> bytes:
@@ -49,16 +51,25 @@ def small_archive(ids: list[int], payloads: list[bytes], leaf: int = 32, metadat
 
 
 def _archives(spark, d, raster=False):
+    """A file for each anchor, moved into place once whole, so that a task may be run again."""
     t = tiles(spark, d).where("octet_length(payload) > 0")
     x10, _ = A.anchor(F.col("z"), F.col("x"), F.col("y"))
     t = t.select(x10.alias("x10"), A.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
+    folder = scratch_path(spark, "archives")
 
     def build(g: pa.Table) -> pa.Table:
-        kind = (2 if g["x10"][0].as_py() % 2 == 0 else 4) if raster else 1
-        body = small_archive(g["tile_id"].to_pylist(), g["payload"].to_pylist(), kind=kind)
-        return pa.table({"path": pa.array([f"anchor-{g['x10'][0].as_py()}"]), "content": pa.array([body], pa.binary())})
+        x = g["x10"][0].as_py()
+        body = small_archive(g["tile_id"].to_pylist(), g["payload"].to_pylist(), kind=(2 if x % 2 == 0 else 4) if raster else 1)
+        fs, root = FileSystem.from_uri("/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder)
+        fs.create_dir(root)
+        part, whole = f"{root}/_{uuid.uuid4().hex}", f"{root}/anchor-{x}.pmtiles"
+        with fs.open_output_stream(part) as f:
+            f.write(body)
+        fs.move(part, whole)
+        return pa.table({"x10": pa.array([x], pa.int64())})
 
-    return commit(t.groupBy("x10").applyInArrow(build, "path string, content binary"), "archives")
+    commit(t.groupBy("x10").applyInArrow(build, "x10 long"), "anchors")
+    return archive.files(spark, folder)
 
 
 def scan_tile_archive(spark, d):
@@ -66,7 +77,8 @@ def scan_tile_archive(spark, d):
 
 
 def archive_inventory(spark, d):
-    return archive.inventory(_archives(spark, d))
+    found = archive.inventory(_archives(spark, d))
+    return found.withColumn("path", F.regexp_extract("path", "([^/]+)[.]pmtiles$", 1))
 
 
 def content_type(spark, d):
@@ -78,7 +90,7 @@ def content_type(spark, d):
 QUERIES = {f.__name__: f for f in (scan_tile_archive, archive_inventory, content_type)}
 SQL = {
     "scan_tile_archive": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + " SELECT tile_id, z, x, y, octet_length(encode(payload)) AS bytes FROM ided JOIN tiles ON k = doc_id WHERE z >= 12 AND payload <> ''", recursive=True),
-    "archive_inventory": with_tables(TILES, """SELECT 'anchor-' || x10 AS path, 'mvt' AS kind, 'gzip' AS internal, 'none' AS compression, min(z)::INTEGER AS min_zoom, max(z)::INTEGER AS max_zoom, 'openmaptiles' AS tile_schema, false AS has_vector_layers
+    "archive_inventory": with_tables(TILES, """SELECT 'anchor-' || x10 AS path, 'mvt' AS kind, 'gzip' AS internal, 'none' AS compression, min(z)::INTEGER AS min_zoom, max(z)::INTEGER AS max_zoom, 'openmaptiles' AS tile_schema, true AS has_vector_layers
         FROM tiles WHERE payload <> '' GROUP BY x10"""),
     "content_type": with_tables(TILES, "SELECT CASE WHEN x10 % 2 = 0 THEN 'image/png' ELSE 'image/webp' END AS content_type, count(DISTINCT x10) AS archives FROM tiles WHERE payload <> '' GROUP BY 1"),
 }

@@ -10,7 +10,8 @@ from tilewright.operators import reports as R
 from tilewright.operators import requests as Q
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, landcover, layers, tiles, with_tables
-from tilewright.sources.scratch import scratch_path
+from tilewright.sources import tile_table
+from tilewright.sources.scratch import commit, scratch_path
 
 
 def anchors(spark, d):
@@ -134,13 +135,17 @@ def write_bundles(spark, d):
 
 def write_tile_table(spark, d):
     path = scratch_path(spark, "tiles")
-    t = tiles(spark, d).withColumn("tile_id", A.hilbert_id(F.col("z"), F.col("x"), F.col("y")))
-    t.repartitionByRange("tile_id").sortWithinPartitions("tile_id").write.partitionBy("z").parquet(path)
-    return spark.read.parquet(path).select("tile_id", "z", "x", "y", F.octet_length("payload").alias("bytes"))
+    tile_table.write(tiles(spark, d), path)
+    table, about = tile_table.read(spark, path)
+    return table.select("tile_id", "z", "x", "y", F.octet_length("payload").alias("bytes"), *[F.lit(v).alias(n) for n, v in about.items()])
 
 
 def stage_report(spark, d):
-    return R.stage_report(_entries(spark, d))
+    """Stages of version-3 streams. Bytes on the wire depend on the gzip library, so they are held against their framing."""
+    entries = commit(B.explode_streams(_streams(spark, d)).where("error is null"), "entries")
+    framed = entries.groupBy("stage_zoom", "part").agg((20 * F.count("wire") + F.sum(4 + F.col("stored"))).alias("framed"))
+    out = R.stage_report(entries).join(framed, ["stage_zoom", "part"])
+    return out.withColumn("wire_agrees", F.col("wire_bytes") == F.col("framed")).drop("framed", "wire_bytes")
 
 
 def layer_report(spark, d):
@@ -152,7 +157,8 @@ def layer_rank(spark, d):
 
 
 def compression_report(spark, d):
-    return R.compression_report(tiles(spark, d))
+    """Stages of version-2 streams: tiles deflated one by one against whole stages."""
+    return R.compression_report(B.explode_streams(_streams(spark, d, 2)).where("error is null"))
 
 
 def explode_landcover(spark, d):
@@ -189,10 +195,10 @@ SQL = {
     "bundle_size": with_tables(TILES, ALL + f"SELECT x10, y10, zoom, (20 + sum(4 + coalesce({BYTES}, 0)))::BIGINT AS bytes, 20 + sum(4 + coalesce({BYTES}, 0)) > 67108864 AS over FROM entries GROUP BY ALL"),
     "bundle_completeness": with_tables(TILES, "SELECT x10, 357 AS y10, z AS zoom, count(*) AS entries, count(DISTINCT slot) AS slots, min(slot) AS first, max(slot) AS last, count(*) = 4 ** (z - 10) AND count(DISTINCT slot) = 4 ** (z - 10) AND min(slot) = 0 AND max(slot) = 4 ** (z - 10) - 1 AS complete FROM tiles GROUP BY x10, z"),
     "payload_digest": with_tables(TILES, f"SELECT z, x, y, sha256(payload) AS digest, {BYTES} AS bytes FROM tiles"),
-    "write_tile_table": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + f" SELECT tile_id, z, x, y, {BYTES} AS bytes FROM ided JOIN tiles ON k = doc_id", recursive=True),
-    "stage_report": with_tables(TILES, ALL.rstrip() + f""", sized AS (SELECT zoom, coalesce({BYTES}, 0) AS b FROM entries)
-        SELECT zoom, count(*) AS tiles, count(*) FILTER (b > 0) AS non_empty, sum(b)::BIGINT AS bytes, coalesce(median(b) FILTER (b > 0), 0)::DOUBLE AS median,
-        coalesce((list_sort(list(b) FILTER (b > 0)))[(floor(count(*) FILTER (b > 0) * 0.9))::INTEGER + 1], 0)::BIGINT AS p90, max(b)::BIGINT AS largest FROM sized GROUP BY zoom"""),
+    "write_tile_table": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + f" SELECT tile_id, z, x, y, {BYTES} AS bytes, 0 AS min_zoom, max(z) OVER ()::INTEGER AS max_zoom, -1800000000 AS min_lon_e7, -850511287 AS min_lat_e7, 1800000000 AS max_lon_e7, 850511287 AS max_lat_e7, 0 AS center_zoom, 0 AS center_lon_e7, 0 AS center_lat_e7 FROM ided JOIN tiles ON k = doc_id", recursive=True),
+    "stage_report": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + f""", sized AS (SELECT 13 AS stage_zoom, 0 AS part, coalesce({BYTES}, 0) AS b FROM entries WHERE zoom = 13 UNION ALL SELECT 14, part, coalesce(bytes, 0) FROM parts)
+        SELECT stage_zoom, part, count(*) AS tiles, count(*) FILTER (b > 0) AS non_empty, sum(b)::BIGINT AS bytes, coalesce(median(b) FILTER (b > 0), 0)::DOUBLE AS median,
+        coalesce((list_sort(list(b) FILTER (b > 0)))[(floor(count(*) FILTER (b > 0) * 0.9))::INTEGER + 1], 0)::BIGINT AS p90, max(b)::BIGINT AS largest, true AS wire_agrees FROM sized GROUP BY stage_zoom, part"""),
     "layer_report": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, round(sum(bytes) / sum(sum(bytes)) OVER (PARTITION BY z), 9) AS share FROM layers GROUP BY z, layer"),
     "layer_rank": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, row_number() OVER (PARTITION BY z ORDER BY sum(bytes) DESC, layer) AS rank FROM layers GROUP BY z, layer"),
     "explode_landcover": with_tables("landcover", "SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL"),

@@ -10,7 +10,8 @@ from tilewright.operators import catalog, dem, directories, landcover, pyramid
 from tilewright.plans import fixtures as X
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, with_tables
-from tilewright.sources.scratch import commit
+from tilewright.sources import lines
+from tilewright.sources.scratch import commit, scratch_path
 
 SIZE = 8
 
@@ -82,8 +83,9 @@ def pyramid_children(spark, d):
 
 
 def scan_dem_listing(spark, d):
-    listing = commit(X.dem_listing(spark, d).select(F.col("name").alias("value")), "listing")
-    return listing.select(F.trim("value").alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("lines"))
+    path = scratch_path(spark, "listing")
+    X.dem_listing(spark, d).select(F.col("name").alias("value")).write.text(path)
+    return lines.names(spark, path).groupBy("name").agg(F.count("*").alias("lines"))
 
 
 def _cells(spark, d):
@@ -182,7 +184,11 @@ def _manifests(spark, d):
 
 
 def scan_manifests(spark, d):
-    return _manifests(spark, d).where("decoded").select("id", "schema_version", "version", "url", "sha256", "size", "max_zoom", "tile_schema", "created_at")
+    """Manifests of text files, a manifest a line; the id is that at the end of the address."""
+    path = scratch_path(spark, "manifests")
+    X.manifests(spark, d).select(F.col("raw").alias("value")).write.text(path)
+    found = catalog.scan_manifests(lines.texts(spark, path)).where("decoded")
+    return found.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("id"), "schema_version", "version", "url", "sha256", "size", "max_zoom", "tile_schema", "created_at")
 
 
 def manifest_audit(spark, d):

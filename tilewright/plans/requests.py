@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from tilewright.functions import gates as G
 from tilewright.operators import requests as R
 from tilewright.plans.fixtures import REQUESTS, TILES, releases, requests, tiles, with_tables
+from tilewright.sources import lines
+from tilewright.sources.scratch import scratch_path
 
 CODEC, VERSION, DIGEST = "spark-scb1gz-r1", "2026 01/a*b~$&+:=@", "d0"
 RATE, BURST = 125, 16 * R.UNIT  # an eighth of a token a second
 
 
 def scan_request_log(spark, d):
-    return requests(spark, d).select("event_id", "client", "ms", "kind", "z", "x", "y", "has_query")
+    path = scratch_path(spark, "requests")
+    requests(spark, d).write.parquet(path)
+    return lines.request_log(spark, path)
 
 
 def _have(spark, d):
