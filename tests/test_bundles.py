@@ -14,7 +14,7 @@ MIXED = "53434231010a0b00000000a40000016500000004000000020102ffffffff00000001aa0
 EMPTY = "53434231010a0b00000000a40000016500000004ffffffffffffffffffffffffffffffff"
 EMPTY_STREAM_2 = "53434232020a0b00000000a400000165000000010000002f00000024d30367d9d64f5e5182a4a0c96addf3a6dab20bf0494c76e490b81d7a0b48ce5b1f8b08000000000000ff0a76763264e4e26660606058c2c0c098cac0c0c0f21f0d00020000ffff34ecdfb324000000"
 EMPTY_GZIP = "53434231010a0b01000000a40000016500000004ffffffffffffffffffffffffffffffff"
-EMPTY_STREAM = "53434233030a0b00000000a40000016500000001000000240b000000a6163f506c5e6ad97799d5afbab0b8d3cd595b5dd0ff28b48cf6296abac15e12" + EMPTY_GZIP
+EMPTY_STREAM = "53434233030a0b00000000a40000016500000001000000240b000000a6163f506c5e6ad97799d5afbab0b8d3cd595b5dd0ff28b48cf6296abac15e1253434231010a0b01000000a40000016500000004ffffffffffffffffffffffffffffffff"
 
 
 def entries(spark, payloads):
