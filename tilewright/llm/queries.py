@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tilewright.llm.ann import op5_ann
+from tilewright.llm.conversations import OP12_SQL, op12_trie
 from tilewright.llm.mixing import OP9_SQL, op9_mixing
 from tilewright.llm.near_texts import op4_near_texts
 from tilewright.llm.near_vectors import op3_near_vectors
@@ -17,8 +18,8 @@ from tilewright.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict:
-    return {"op1_substring": op1_substring, "op2_warc": op2_warc, "op3_near_vectors": op3_near_vectors, "op4_near_texts": op4_near_texts, "op5_ann": op5_ann, "op6_secrets": op6_secrets, "op7_suffixes": op7_suffixes, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_packing": op10_packing, "op13_spelling": op13_spelling}
+    return {"op1_substring": op1_substring, "op2_warc": op2_warc, "op3_near_vectors": op3_near_vectors, "op4_near_texts": op4_near_texts, "op5_ann": op5_ann, "op6_secrets": op6_secrets, "op7_suffixes": op7_suffixes, "op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing, "op10_packing": op10_packing, "op12_trie": op12_trie, "op13_spelling": op13_spelling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL, "op3_near_vectors": OP3_SQL, "op4_near_texts": OP4_SQL, "op2_warc": OP2_SQL, "op7_suffixes": OP7_SQL, "op9_mixing": OP9_SQL, "op10_packing": OP10_SQL, "op13_spelling": OP13_SQL}
+    return {"op1_substring": OP1_SQL, "op3_near_vectors": OP3_SQL, "op4_near_texts": OP4_SQL, "op2_warc": OP2_SQL, "op7_suffixes": OP7_SQL, "op9_mixing": OP9_SQL, "op10_packing": OP10_SQL, "op12_trie": OP12_SQL, "op13_spelling": OP13_SQL}
