@@ -1,10 +1,13 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.operators import dem, directories, landcover
+from tilewright.operators import blocks, dem, directories, landcover, pyramid
 from tilewright.operators import requests as R
+from tilewright.sources import tile_table
 
 SAMPLES = "lat double, lon double, step double, metres double"
 
@@ -33,17 +36,88 @@ def test_resampling_does_not_depend_on_the_order(spark, seam):
     assert {r["metres"] for r in both.collect()} == {0, 100}
 
 
-def test_a_bake_goes_on_where_the_ledger_ends(spark, seam):
-    samples = spark.createDataFrame(seam, SAMPLES)
+def by_samples(rows, zoom, size, margin=2):
+    """Pixels of all tiles that samples touch, sample by sample: the plain form of the block operators."""
+    n, grids, tiles = 2**zoom, {}, set()
+    row_of = lambda lat: (1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2 * n
+    for lat, lon, step, metres in rows:
+        cols = range(math.floor((lon - margin * step + 180) / 360 * n), math.floor((lon + margin * step + 180) / 360 * n) + 1)
+        tiles |= {(x, y) for x in cols for y in range(math.floor(row_of(lat + margin * step)), math.floor(row_of(lat - margin * step)) + 1)}
+        if metres != dem.NODATA:
+            at = (round(lat / step), round(lon / step))
+            grids.setdefault(step, {})[at] = max(metres, grids.get(step, {}).get(at, -1e9))
+    out = {}
+    for x, y in tiles:
+        tile = {}
+        for gy in range(y * size, y * size + size):
+            lat = math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (gy + 0.5) / (n * size)))))
+            for gx in range(x * size, x * size + size):
+                lon, value = (gx + 0.5) / (n * size) * 360 - 180, 0.0
+                for step in sorted(grids, reverse=True):
+                    v, u = lat / step, lon / step
+                    near = [((1 - abs(v - a)) * (1 - abs(u - b)), grids[step][a, b]) for a in (math.floor(v), math.floor(v) + 1) for b in (math.floor(u), math.floor(u) + 1) if (a, b) in grids[step]]
+                    if sum(w for w, _ in near) > 0:
+                        value = sum(w * g for w, g in near) / sum(w for w, _ in near)
+                tile[zoom, gx, gy] = value
+        if max(tile.values()) > 0.5:
+            out |= {at: round(value) for at, value in tile.items()}
+    return out
+
+
+def test_blocks_of_samples_equal_the_plain_form(spark):
+    r = random.Random(3)
+    rows = [(lat, lon, step, float(r.randrange(-20, 900))) for lat, lon, step, _ in grid(0.125, 44, 6, 17, 25, 0) + grid(0.25, 45.5, 5.25, 9, 9, 0) if r.random() < 0.9]
+    rows += [(*at[:3], dem.NODATA) for at in rows[::40]] + [(-3.125, -0.125, 0.125, 40.0), (-3.0, 0.0, 0.125, 60.0)]
+    for zoom, size in ((9, 8), (5, 16)):
+        got = dem.resample(spark.createDataFrame(rows, SAMPLES), zoom, size).collect()
+        assert {(p["z"], p["gx"], p["gy"]): p["metres"] for p in got} == by_samples(rows, zoom, size)
+
+
+def test_only_edges_go_to_neighbours(spark):
+    samples = spark.createDataFrame(grid(1 / 32, 10, 10, 64, 64, 50), SAMPLES)
+    parts = dem.halo(dem.sample_blocks(samples), 12).collect()
+    own = {(p["lat"], p["lon"]): p["rows"] * p["cols"] for p in parts if (p["row0"] // 32, p["col0"] // 32) == (p["lat"], p["lon"])}
+    strips = [p for p in parts if (p["row0"] // 32, p["col0"] // 32) != (p["lat"], p["lon"])]
+    assert {(10, 10), (10, 11), (11, 10), (11, 11)} <= set(own) and all(n == 32 * 32 for k, n in own.items() if k in {(10, 10), (11, 11)})
+    assert strips and all(min(p["rows"], p["cols"]) <= 5 for p in strips)
+
+
+def test_a_bake_goes_on_where_the_ledger_ends(spark, seam, tmp_path):
+    samples = dem.sample_blocks(spark.createDataFrame(seam, SAMPLES))
     cells = spark.createDataFrame([(10, 10), (11, 13), (10, 12)], "lat int, lon int")
-    none, done = spark.createDataFrame([], dem.PIXELS), spark.createDataFrame([], "unit string")
+    none, done = spark.createDataFrame([], blocks.BLOCKS), spark.createDataFrame([], "unit string")
     whole, ledger = dem.bake(cells, samples, none, done, 9, 16)
-    first, part = dem.bake(cells.limit(1), samples, none, done, 9, 16)
+    first, part = dem.bake(cells.where("lat = 10 and lon = 10"), samples, none, done, 9, 16)
     second, rest = dem.bake(cells, samples, first, part, 9, 16)
-    assert sorted(map(tuple, second.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 0
+    assert sorted(map(tuple, second.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > first.count() > 0
     assert sorted(r["unit"] for r in rest.collect()) == sorted(r["unit"] for r in ledger.collect()) == ["z9:10,10", "z9:10,12", "z9:11,13"]
     again, _ = dem.bake(cells, samples.limit(0), second, rest, 9, 16)
     assert again.count() == whole.count()
+    dem.publish(whole, str(tmp_path / "terrain"), 16)
+    tiles, about = tile_table.read(spark, str(tmp_path / "terrain"))
+    assert about["max_zoom"] == 9 and {r["z"] for r in tiles.select("z").distinct().collect()} == set(range(1, 10))
+    back = blocks.of_terrarium(tiles.where("z = 9"))
+    assert sorted(map(tuple, back.select("z", "x", "y", "block").collect())) == sorted(map(tuple, whole.select("z", "x", "y", "block").collect()))
+
+
+def test_levels_of_blocks_equal_the_plain_form(spark):
+    r = random.Random(7)
+    tiles = {(x, y): np.array([[r.randrange(-400, 300) if (x + y) % 3 else -r.randrange(3) for _ in range(4)] for _ in range(4)]) for x in range(11) for y in range(7) if r.random() < 0.8}
+    pixels = [(6, x * 4 + i, y * 4 + j, int(t[j, i])) for (x, y), t in tiles.items() for i in range(4) for j in range(4)]
+    want, now, z = {}, {k: t for k, t in tiles.items() if (t > 0).any()}, 6
+    while z >= 0:
+        want |= {(z, *k): t.astype("<i2").tobytes() for k, t in now.items()}
+        up = {}
+        for (x, y), t in now.items():
+            up.setdefault((x // 2, y // 2), np.zeros((8, 8)))[y % 2 * 4 : y % 2 * 4 + 4, x % 2 * 4 : x % 2 * 4 + 4] = t
+        now, z = {k: m for k, c in up.items() if ((m := np.rint(c.reshape(4, 2, 4, 2).mean(axis=(1, 3)))) > 0).any()}, z - 1
+    table = blocks.of_pixels(spark.createDataFrame(pixels, blocks.PIXELS), 4)
+    assert {(b["z"], b["x"], b["y"]): bytes(b["block"]) for b in pyramid.pyramid(table, 4).collect()} == want
+    assert pyramid.pyramid(table.limit(0), 4).count() == 0
+    flat = spark.createDataFrame([(5, x, y, 700) for x in range(64) for y in range(64)], blocks.PIXELS)
+    assert {(b["lowest"], b["highest"]) for b in blocks.to_pixels(pyramid.pyramid(blocks.of_pixels(flat, 2), 2).where("z > 0"), 2).groupBy("z").agg(F.min("metres").alias("lowest"), F.max("metres").alias("highest")).collect()} == {(700, 700)}
+    plan = pyramid.level_up(table, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # pixels to tiles, tiles to ancestors
 
 
 def test_one_busy_client_is_folded_as_a_stream(spark):

@@ -1,4 +1,7 @@
-"""Elevation cells: listing, priority, cover, resampling, progress."""
+"""Elevation cells: listing, priority, cover, resampling, progress.
+
+Samples are blocks, one for each cell; a cell's task makes its tiles from its own block and strips of its neighbours'.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
 from tilewright.functions.terrain import POLAR, dem_name
+from tilewright.operators.blocks import BLOCKS, packed, table, terrarium, to_pixels
+from tilewright.operators.pyramid import pyramid
+from tilewright.sources import tile_table
 from tilewright.sources.scratch import commit
 
 # Latitude of the edge of the map, and the value of samples without data.
@@ -53,90 +59,185 @@ def cover(cells_: DataFrame, zoom: int) -> DataFrame:
     return out.where((own_lat == F.col("lat")) & (own_lon == F.col("lon"))).select("lat", "lon", "x", "y")
 
 
-def halo(samples: DataFrame, zoom: int, size: int, margin: int = 2) -> DataFrame:
-    """Samples (lat, lon, step, metres) with every tile (x, y) they touch, `margin` samples around."""
-    n = 2**zoom
-    fx = lambda lon: (lon + 180.0) / 360.0 * n
-    phi = lambda lat: F.radians(F.least(F.lit(EDGE), F.greatest(F.lit(-EDGE), lat)))
-    fy = lambda lat: (1 - F.log(F.tan(phi(lat)) + 1 / F.cos(phi(lat))) / np.pi) / 2 * n
-    pad = F.col("step") * margin
-    clip = lambda v: F.least(F.lit(n - 1).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor(v)))
-    out = samples.withColumn("x", F.explode(F.sequence(clip(fx(F.col("lon") - pad)), clip(fx(F.col("lon") + pad)))))
-    return out.withColumn("y", F.explode(F.sequence(clip(fy(F.col("lat") + pad)), clip(fy(F.col("lat") - pad)))))
+# A block of samples: of one cell (its south-west corner lat, lon) and one grid (step in degrees), row0 and col0 the
+# place of its first sample in the grid of the whole earth, rows from the south, 32-bit metres, NODATA where there is none.
+PARTS = "lat int, lon int, step double, row0 long, col0 long, rows int, cols int, block binary"
+SAMPLE = np.dtype("<f4")
+MARGIN = 2  # samples around a tile that it is given
+
+
+def sample_blocks(samples: DataFrame) -> DataFrame:
+    """Samples (lat, lon, step, metres) as blocks, a row for each cell and step; of samples at one place the highest counts."""
+
+    def cell(t: pa.Table) -> pa.Table:
+        step = t["step"][0].as_py()
+        row, col = (np.rint(t[c].to_numpy() / step).astype(np.int64) for c in ("lat", "lon"))
+        metres = t["metres"].to_numpy().astype(np.float64)
+        grid = np.full((row.max() - row.min() + 1, col.max() - col.min() + 1), -np.inf)
+        held = ~np.isnan(metres) & (metres != NODATA)
+        np.maximum.at(grid, (row[held] - row.min(), col[held] - col.min()), metres[held])
+        grid[np.isneginf(grid)] = NODATA
+        at = [int(np.floor(t[c].to_numpy().min())) for c in ("lat", "lon")]
+        return parts([(*at, step, int(row.min()), int(col.min()), grid)])
+
+    return samples.groupBy(F.floor("lat"), F.floor("lon"), "step").applyInArrow(cell, PARTS)
+
+
+def parts(rows: list[tuple]) -> pa.Table:
+    lat, lon, step, row0, col0, grid = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
+    return pa.table({
+        "lat": pa.array(lat, pa.int32()), "lon": pa.array(lon, pa.int32()), "step": pa.array(step, pa.float64()), "row0": pa.array(row0, pa.int64()), "col0": pa.array(col0, pa.int64()),
+        "rows": pa.array([g.shape[0] for g in grid], pa.int32()), "cols": pa.array([g.shape[1] for g in grid], pa.int32()), "block": pa.array([g.astype(SAMPLE).tobytes() for g in grid], pa.binary()),
+    })
 
 
-PIXELS = "z int, gx long, gy long, metres int"
+def middle_latitude(y: np.ndarray, n: float) -> np.ndarray:
+    """Latitude of map row y (in tiles or pixels from the north) of n."""
+    return np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * y / n))))
 
 
-def resample(samples: DataFrame, zoom: int, size: int, tiles: DataFrame | None = None) -> DataFrame:
-    """Pixels (z, gx, gy, metres) of tiles: bilinear between samples of a regular grid at pixel middles.
+def tile_rows(lat: np.ndarray, n: float) -> np.ndarray:
+    phi = np.radians(np.clip(lat, -EDGE, EDGE))
+    return (1 - np.log(np.tan(phi) + 1 / np.cos(phi)) / np.pi) / 2 * n
 
-    samples has lat, lon, step (the grid's degrees) and metres; with tiles (x, y), only those are made, and
-    only their samples are shuffled. Grids of unlike steps are resampled each for itself, and the finest one
-    that reaches a pixel gives it; of samples at one place the highest counts, so order does not matter.
-    Missing samples and those without data are left out of the weights; a pixel without any is 0; a tile
-    without a pixel above 0.5 m has no rows.
+
+def touched(at: np.ndarray, pad: float, zoom: int, upright: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and last tile (column, or row if upright) that samples at these degrees touch, pad degrees around."""
+    n = 2.0**zoom
+    low, high = (tile_rows(at + pad, n), tile_rows(at - pad, n)) if upright else ((at - pad + 180.0) / 360.0 * n, (at + pad + 180.0) / 360.0 * n)
+    clip = lambda v: np.clip(np.floor(v), 0, n - 1).astype(np.int64)
+    return clip(low), clip(high)
+
+
+def halo(blocks: DataFrame, zoom: int) -> DataFrame:
+    """Blocks of samples, each cut to what the tiles of a cell (lat, lon) touch of it: the cell's own whole, of others the edges.
+
+    A tile belongs to the cell that holds its middle, so it reaches half a tile beyond the cell, and MARGIN samples
+    further. Only that strip goes from a cell to its neighbour.
     """
 
-    def grid_of(lat, lon, metres, step):
-        row, col = np.rint(lat / step).astype(np.int64), np.rint(lon / step).astype(np.int64)
-        r0, c0 = row.min(), col.min()
-        grid = np.full((row.max() - r0 + 2, col.max() - c0 + 2), np.nan)
-        order = np.argsort(metres, kind="stable")
-        order = order[metres[order] != NODATA]
-        grid[row[order] - r0, col[order] - c0] = metres[order]
-        return grid, r0, c0
-
-    def tile(t: pa.Table) -> pa.Table:
-        x, y = t["x"][0].as_py(), t["y"][0].as_py()
-        lat, lon, metres, steps = (t[c].to_numpy().astype(np.float64) for c in ("lat", "lon", "metres", "step"))
-        n = 2**zoom * size
-        gx, gy = np.arange(x * size, (x + 1) * size), np.arange(y * size, (y + 1) * size)
-        plon = (gx + 0.5) / n * 360 - 180
-        plat = np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * (gy + 0.5) / n))))
-        out, have = np.zeros((size, size)), np.zeros((size, size), bool)
-        for step in np.unique(steps):
-            mine = steps == step
-            grid, r0, c0 = grid_of(lat[mine], lon[mine], metres[mine], step)
-            v, u = np.meshgrid(plat / step - r0, plon / step - c0, indexing="ij")
-            total, weight = np.zeros(v.shape), np.zeros(v.shape)
-            i, j = np.floor(v).astype(np.int64), np.floor(u).astype(np.int64)
-            for di in (0, 1):
-                for dj in (0, 1):
-                    a, b = i + di, j + dj
-                    w = (1 - np.abs(v - a)) * (1 - np.abs(u - b))
-                    ok = (a >= 0) & (b >= 0) & (a < grid.shape[0]) & (b < grid.shape[1])
-                    g = np.where(ok, grid[np.clip(a, 0, grid.shape[0] - 1), np.clip(b, 0, grid.shape[1] - 1)], np.nan)
-                    w = np.where(np.isnan(g), 0, w)
-                    total += w * np.nan_to_num(g)
-                    weight += w
-            new = (weight > 0) & ~have
-            out[new] = total[new] / weight[new]
-            have |= new
-        if not (out > 0.5).any():
-            out = out[:0]
-        px, py = np.meshgrid(gx, gy)
-        keep = slice(0, out.size)
-        return pa.table({"z": pa.array([zoom] * out.size, pa.int32()), "gx": pa.array(px.ravel()[keep], pa.int64()), "gy": pa.array(py.ravel()[keep], pa.int64()), "metres": pa.array(np.rint(np.clip(out, -32768, 32767)).astype(np.int32).ravel())})
-
-    touched = halo(samples, zoom, size)
-    if tiles is not None:
-        touched = touched.join(tiles.select("x", "y").distinct(), ["x", "y"], "left_semi")
-    return touched.groupBy("x", "y").applyInArrow(tile, PIXELS)
-
-
-def bake(cells_: DataFrame, samples: DataFrame, staged: DataFrame, done: DataFrame, zoom: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(staged pixels, ledger) after baking the cells that the ledger (unit) lacks at this zoom.
+    def route(batches):
+        n = 2.0**zoom
+        for batch in batches:
+            for p in batch.to_pylist():
+                grid = np.frombuffer(p["block"], SAMPLE).reshape(p["rows"], p["cols"])
+                step = p["step"]
+                lat, lon = (p["row0"] + np.arange(p["rows"])) * step, (p["col0"] + np.arange(p["cols"])) * step
+                (y0, y1), (x0, x1) = touched(lat, step * MARGIN, zoom, True), touched(lon, step * MARGIN, zoom, False)
+                ys, xs = np.arange(y0.min(), y1.max() + 1), np.arange(x0.min(), x1.max() + 1)
+                # the cells that own the tiles touched; which samples each of them needs
+                own_y = np.floor((middle_latitude(ys, n) + middle_latitude(ys + 1, n)) / 2).astype(np.int64)
+                own_x = np.floor((xs / n * 360.0 - 180.0 + (xs + 1) / n * 360.0 - 180.0) / 2).astype(np.int64)
+                need_y = {int(c): np.flatnonzero((y0 <= ys[own_y == c].max()) & (y1 >= ys[own_y == c].min())) for c in np.unique(own_y)}
+                need_x = {int(c): np.flatnonzero((x0 <= xs[own_x == c].max()) & (x1 >= xs[own_x == c].min())) for c in np.unique(own_x)}
+                for cy, rows in need_y.items():
+                    for cx, cols in need_x.items():
+                        cut = grid[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
+                        yield from parts([(cy, cx, step, p["row0"] + int(rows[0]), p["col0"] + int(cols[0]), cut)]).to_batches()
+
+    return blocks.select("lat", "lon", "step", "row0", "col0", "rows", "cols", "block").mapInArrow(route, PARTS)
+
+
+def mosaics(t: pa.Table) -> list[tuple[float, int, int, np.ndarray]]:
+    """(step, row0, col0, grid) of the parts of a cell, finest first; NaN where there is no sample."""
+    out = []
+    rows = t.to_pylist()
+    for step in sorted({p["step"] for p in rows}):
+        mine = [p for p in rows if p["step"] == step]
+        r0, c0 = min(p["row0"] for p in mine), min(p["col0"] for p in mine)
+        grid = np.full((max(p["row0"] + p["rows"] for p in mine) - r0, max(p["col0"] + p["cols"] for p in mine) - c0), np.nan, SAMPLE)
+        for p in mine:
+            part = np.frombuffer(p["block"], SAMPLE).reshape(p["rows"], p["cols"])
+            at = grid[p["row0"] - r0 : p["row0"] - r0 + p["rows"], p["col0"] - c0 : p["col0"] - c0 + p["cols"]]
+            np.fmax(at, np.where(part == SAMPLE.type(NODATA), np.nan, part), out=at)
+        out.append((step, r0, c0, grid))
+    return out
+
+
+def _cells_of(routed: DataFrame, zoom: int, cells_: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Routed parts and tiles (lat, lon, x, y), of the cells given or else of all that parts are routed to."""
+    if cells_ is None:
+        return routed, cover(routed.select("lat", "lon").distinct(), zoom)
+    wanted = cells_.select(F.col("lat").cast("int").alias("lat"), F.col("lon").cast("int").alias("lon")).distinct()
+    return routed.join(wanted, ["lat", "lon"], "left_semi"), cover(wanted, zoom)
+
+
+def reach(blocks: DataFrame, zoom: int, cells_: DataFrame | None = None) -> DataFrame:
+    """(x, y, samples): the number of samples with data that each tile is given, margin included; tiles without any are left out."""
+
+    def count(parts_: pa.Table, tiles: pa.Table) -> pa.Table:
+        found = []
+        for step, r0, c0, grid in mosaics(parts_):
+            lat, lon = (r0 + np.arange(grid.shape[0])) * step, (c0 + np.arange(grid.shape[1])) * step
+            (y0, y1), (x0, x1) = touched(lat, step * MARGIN, zoom, True), touched(lon, step * MARGIN, zoom, False)
+            held = ~np.isnan(grid)
+            for x, y in zip(tiles["x"].to_pylist(), tiles["y"].to_pylist(), strict=True):
+                n = int(held[np.ix_((y0 <= y) & (y <= y1), (x0 <= x) & (x <= x1))].sum())
+                found += [(x, y, n)] if n else []
+        x, y, n = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "samples": pa.array(n, pa.int64())})
+
+    routed, tiles = _cells_of(halo(blocks, zoom), zoom, cells_)
+    return routed.groupBy("lat", "lon").cogroup(tiles.groupBy("lat", "lon")).applyInArrow(count, "x long, y long, samples long").groupBy("x", "y").agg(F.sum("samples").alias("samples"))
+
+
+def resample_blocks(blocks: DataFrame, zoom: int, size: int, cells_: DataFrame | None = None) -> DataFrame:
+    """Blocks of the tiles of cells (lat, lon): bilinear between the samples of regular grids at pixel middles.
+
+    Grids of unlike steps are resampled each for itself, and the finest one that reaches a pixel gives it. Missing samples
+    are left out of the weights; a pixel without any is 0; a tile without a pixel above the sea has no row.
+    """
+
+    def bake_cell(parts_: pa.Table, tiles: pa.Table) -> pa.Table:
+        grids, out, n = mosaics(parts_), [], 2.0**zoom * size
+        for x, y in zip(tiles["x"].to_pylist(), tiles["y"].to_pylist(), strict=True):
+            plon = (np.arange(x * size, (x + 1) * size) + 0.5) / n * 360 - 180
+            plat = middle_latitude(np.arange(y * size, (y + 1) * size) + 0.5, n)
+            pixels, have = np.zeros((size, size)), np.zeros((size, size), bool)
+            for step, r0, c0, grid in grids:
+                v, u = np.meshgrid(plat / step, plon / step, indexing="ij")
+                i, j = np.floor(v).astype(np.int64), np.floor(u).astype(np.int64)
+                total, weight = np.zeros(v.shape), np.zeros(v.shape)
+                for di in (0, 1):
+                    for dj in (0, 1):
+                        a, b = i + di, j + dj
+                        ok = (a >= r0) & (b >= c0) & (a < r0 + grid.shape[0]) & (b < c0 + grid.shape[1])
+                        g = np.where(ok, grid[np.clip(a - r0, 0, grid.shape[0] - 1), np.clip(b - c0, 0, grid.shape[1] - 1)], np.nan).astype(np.float64)
+                        w = np.where(np.isnan(g), 0, (1 - np.abs(v - a)) * (1 - np.abs(u - b)))
+                        total += w * np.nan_to_num(g)
+                        weight += w
+                new = (weight > 0) & ~have
+                pixels[new] = total[new] / weight[new]
+                have |= new
+            if (pixels > 0.5).any():
+                out.append((zoom, x, y, packed(pixels)))
+        return table(out)
+
+    routed, tiles = _cells_of(halo(blocks, zoom), zoom, cells_)
+    return routed.groupBy("lat", "lon").cogroup(tiles.groupBy("lat", "lon")).applyInArrow(bake_cell, BLOCKS)
+
+
+def resample(samples: DataFrame, zoom: int, size: int) -> DataFrame:
+    """Pixels (z, gx, gy, metres) of all tiles that samples (lat, lon, step, metres) touch."""
+    return to_pixels(resample_blocks(sample_blocks(samples), zoom, size), size)
+
+
+def bake(cells_: DataFrame, blocks: DataFrame, staged: DataFrame, done: DataFrame, zoom: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(staged blocks, ledger) after baking the cells that the ledger (unit) lacks at this zoom, from blocks of samples.
 
     Units are named by zoom and cell. The tiles of pending cells alone are resampled; they replace staged tiles of
-    the same place. Pixels are committed before the ledger, so a bake that is cut short is done again.
+    the same place. Tiles are committed before the ledger, so a bake that is cut short is done again.
     """
     unit = F.concat(F.lit(f"z{zoom}:"), "lat", F.lit(","), "lon")
     todo = commit(pending(cells_.select("lat", "lon", unit.alias("unit")).distinct(), done), "todo")
-    made = commit(resample(samples, zoom, size, cover(todo, zoom)), "pixels")
-    place = lambda df: df.withColumns({"_x": F.floor(F.col("gx") / size), "_y": F.floor(F.col("gy") / size)})
-    kept = place(staged).join(cover(todo, zoom).select(F.col("x").alias("_x"), F.col("y").alias("_y")), ["_x", "_y"], "left_anti").drop("_x", "_y")
-    return commit(kept.unionByName(made), "staged"), commit(done.unionByName(todo.select("unit")), "ledger")
+    made = resample_blocks(blocks, zoom, size, todo)
+    kept = staged.join(cover(todo, zoom).select(F.lit(zoom).alias("z"), "x", "y"), ["z", "x", "y"], "left_anti")
+    return commit(kept.select("z", "x", "y", "block").unionByName(made), "staged"), commit(done.select("unit").unionByName(todo.select("unit")), "ledger")
+
+
+def publish(staged: DataFrame, path: str, size: int, bounds: tuple[float, float, float, float] | None = None) -> None:
+    """The pyramid over staged blocks as a table of colour tiles with zooms and bounds under `path`."""
+    tile_table.write(terrarium(pyramid(staged, size)), path, bounds=bounds)
 
 
 def pending(units: DataFrame, done: DataFrame) -> DataFrame:

@@ -37,10 +37,21 @@ def tiles(spark, d, payload: str = "text") -> DataFrame:
 
 
 def pixels(spark, d) -> DataFrame:
-    """Pixels of zoom 7 in tiles of 8 x 8: events wrap around after 128 x 1024 pixels, the highest stays."""
+    """Pixels of zoom 12 in tiles of 8 x 8, filled one after another in squares of 64 x 64 tiles: room for 10^9 events."""
     e = F.col("event_id")
-    out = table(spark, d, "events").select((e % 128).alias("gx"), (F.floor(e / 128) % 1024).alias("gy"), F.rint(F.col("value") * 10 - 500).cast("int").alias("metres"))
-    return out.groupBy("gx", "gy").agg(F.max("metres").alias("metres")).select(F.lit(7).alias("z"), "gx", "gy", "metres")
+    t, p = F.floor(e / 64), e % 64
+    x, y = t % 64 + 64 * (F.floor(t / 4096) % 64), F.floor(t / 64) % 64 + 64 * F.floor(t / 262144)
+    return table(spark, d, "events").select(F.lit(12).alias("z"), (x * 8 + p % 8).alias("gx"), (y * 8 + F.floor(p / 8)).alias("gy"), F.rint(F.col("value") * 10 - 500).cast("int").alias("metres"))
+
+
+def samples(spark, d) -> DataFrame:
+    """Samples of heights, 64 to a degree, filling cell after cell in two columns of 160: room for 2 * 10^8 events."""
+    e = F.col("event_id")
+    c, p = F.floor(e / 4096), e % 4096
+    lat = (F.floor(c / 2) + 78) % 160 - 80 + F.floor(p / 64) / 64.0
+    lon = c % 2 + 2 * F.floor(c / 320) - 180 + p % 64 / 64.0
+    metres = F.when(e % 50 == 0, -32767.0).otherwise(F.rint(F.col("value") * 10 - 100))
+    return table(spark, d, "events").select(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.lit(1 / 64).alias("step"), metres.alias("metres"))
 
 
 def requests(spark, d) -> DataFrame:
@@ -120,7 +131,10 @@ CTE = {
     "slotted": "SELECT *, (1 << (z - 10))::BIGINT AS side, s - CASE WHEN s < 4 THEN 0 WHEN s < 20 THEN 4 WHEN s < 84 THEN 20 ELSE 84 END AS slot FROM placed",
     "tiles": """SELECT doc_id, z, ((164 + doc_id // 340) * side + slot % side)::BIGINT AS x, (357 * side + slot // side)::BIGINT AS y,
         CASE WHEN doc_id % 5 <> 0 THEN text END AS payload, lang, n_chars, slot::BIGINT AS slot, 164 + doc_id // 340 AS x10 FROM slotted""",
-    "pixels": "SELECT 7 AS z, event_id % 128 AS gx, (event_id // 128) % 1024 AS gy, max(round_even(value * 10 - 500, 0)::INTEGER) AS metres FROM events GROUP BY ALL",
+    "pixels": """SELECT 12 AS z, (t % 64 + 64 * (t // 4096 % 64)) * 8 + p % 8 AS gx, (t // 64 % 64 + 64 * (t // 262144)) * 8 + p // 8 AS gy, max(round_even(value * 10 - 500, 0)::INTEGER) AS metres
+        FROM (SELECT *, event_id // 64 AS t, event_id % 64 AS p FROM events) GROUP BY ALL""",
+    "samples": """SELECT (c // 2 + 78) % 160 - 80 + (p // 64) / 64.0::DOUBLE AS lat, c % 2 + 2 * (c // 320) - 180 + (p % 64) / 64.0::DOUBLE AS lon, max(metres) AS metres
+        FROM (SELECT event_id // 4096 AS c, event_id % 4096 AS p, CASE WHEN event_id % 50 = 0 THEN -32767.0 ELSE round_even(value * 10 - 100, 0) END::DOUBLE AS metres FROM events) GROUP BY ALL""",
     "requests": """SELECT e.event_id, user_id AS client, epoch_us(ts) // 1000 AS ms,
         CASE event_type WHEN 'view' THEN 'coarse' WHEN 'click' THEN 'bundle3' WHEN 'signup' THEN 'bundle2' WHEN 'purchase' THEN 'terrain' ELSE 'terrain_bundle' END AS kind,
         CASE WHEN e.event_id % 97 = 0 THEN 'bad' ELSE z::VARCHAR END AS z,

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
 from tilewright.functions import terrain as T
-from tilewright.operators import catalog, dem, directories, landcover, pyramid
+from tilewright.operators import blocks, catalog, dem, directories, landcover, pyramid
 from tilewright.plans import fixtures as X
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, with_tables
-from tilewright.sources import lines
+from tilewright.sources import lines, tile_table
 from tilewright.sources.scratch import commit, scratch_path
 
 SIZE = 8
+ZOOM, SIDE = 9, 16  # of the elevation queries
 
 
 def _identified(spark, d):
@@ -61,25 +62,29 @@ def terrarium_decode(spark, d):
     return terrarium_encode(spark, d).select("event_id", T.terrarium_decode(F.col("r"), F.col("g"), F.col("b")).alias("metres"))
 
 
+def _blocks(spark, d):
+    return blocks.of_pixels(X.pixels(spark, d), SIZE)
+
+
 def sea_filter(spark, d):
-    return pyramid.drop_sea(X.pixels(spark, d), SIZE).groupBy(F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y")).agg(F.count("*").alias("pixels"))
+    return blocks.statistics(blocks.without_sea(_blocks(spark, d))).select("x", "y", "land")
 
 
 def pyramid_level(spark, d):
-    return pyramid.level_up(pyramid.drop_sea(X.pixels(spark, d), SIZE), SIZE)
+    return blocks.to_pixels(pyramid.level_up(blocks.without_sea(_blocks(spark, d)), SIZE), SIZE)
 
 
 def pyramid_all(spark, d):
-    return pyramid.pyramid(X.pixels(spark, d), SIZE).groupBy("z").agg(F.count("*").alias("pixels"), F.sum("metres").alias("total"), F.max("metres").alias("highest"))
+    found = blocks.statistics(pyramid.pyramid(_blocks(spark, d), SIZE))
+    return found.groupBy("z").agg(F.count("*").alias("tiles"), F.sum("land").alias("land"), F.sum("total").alias("total"), F.max("highest").alias("highest"))
 
 
 def pyramid_parents(spark, d):
-    return pyramid.parents(X.pixels(spark, d).select("z", F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y")))
+    return pyramid.parents(_blocks(spark, d))
 
 
 def pyramid_children(spark, d):
-    t = X.pixels(spark, d).groupBy("z", F.floor(F.col("gx") / SIZE).alias("x"), F.floor(F.col("gy") / SIZE).alias("y")).agg(F.count("*").alias("value"))
-    return pyramid.children(t)
+    return pyramid.children(blocks.statistics(_blocks(spark, d)).select("z", "x", "y", F.col("total").alias("value")))
 
 
 def scan_dem_listing(spark, d):
@@ -121,30 +126,30 @@ def dem_tile_cover(spark, d):
     return dem.cover(dem.cell_filter(_cells(spark, d)), 8)
 
 
-def _samples(spark, d):
-    """A half-degree grid of heights: events wrap around after 320 x 360 samples, the highest stays."""
-    e = F.col("event_id")
-    at = X.table(spark, d, "events").select((e % 320 * 0.5 - 80).alias("lat"), (F.floor(e / 320) % 360 * 0.5 - 60).alias("lon"), F.when(e % 50 == 0, dem.NODATA).otherwise(F.col("value") * 10 - 100).alias("metres"))
-    return at.groupBy("lat", "lon").agg(F.max("metres").alias("metres")).select("lat", "lon", F.lit(0.5).alias("step"), "metres")
+def _sample_blocks(spark, d):
+    return dem.sample_blocks(X.samples(spark, d))
 
 
 def dem_halo(spark, d):
-    return dem.halo(_samples(spark, d), 5, 16).groupBy("x", "y").agg(F.count("*").alias("samples"))
+    return dem.reach(_sample_blocks(spark, d), ZOOM)
 
 
 def dem_resample(spark, d):
-    return dem.resample(_samples(spark, d), 5, 16)
+    return blocks.to_pixels(dem.resample_blocks(_sample_blocks(spark, d), ZOOM, SIDE), SIDE)
 
 
 def dem_bake(spark, d):
-    """Two runs of a bake: the first bakes the cells that the ledger lacks, the second finds nothing left. Levels above follow, as colours."""
-    held = _samples(spark, d).select(F.floor("lat").cast("int").alias("lat"), F.floor("lon").cast("int").alias("lon"), F.lit(90).alias("resolution")).distinct()
+    """A bake in two runs, the second of the cells that the ledger of the first lacks, then the whole pyramid as a table of colour tiles."""
+    samples = commit(_sample_blocks(spark, d), "samples")
+    held = samples.select("lat", "lon", F.lit(90).alias("resolution"))
     wanted = dem.priority(dem.cell_filter(_cells(spark, d).unionByName(held).distinct()))
-    samples, done = commit(_samples(spark, d), "samples"), X.ledger(spark, d).select("unit")
-    pixels, done = dem.bake(wanted, samples, spark.createDataFrame([], dem.PIXELS), done, 5, 16)
-    pixels, done = dem.bake(wanted, samples, pixels, done, 5, 16)
-    out = pyramid.pyramid(pixels, 16)
-    return out.select("z", "gx", "gy", *[c.alias(k) for k, c in T.terrarium_encode(F.col("metres").cast("double")).items()])
+    staged, done = dem.bake(wanted.where("(lat + lon) % 2 = 0"), samples, spark.createDataFrame([], blocks.BLOCKS), X.ledger(spark, d).select("unit"), ZOOM, SIDE)
+    staged, done = dem.bake(wanted, samples, staged, done, ZOOM, SIDE)
+    path = scratch_path(spark, "terrain")
+    dem.publish(staged, path, SIDE)
+    tiles, _ = tile_table.read(spark, path)
+    pixels = blocks.to_pixels(blocks.of_terrarium(tiles), SIDE)
+    return pixels.select("z", "gx", "gy", *[c.alias(k) for k, c in T.terrarium_encode(F.col("metres").cast("double")).items()])
 
 
 def resume_pending(spark, d):
@@ -221,14 +226,40 @@ QUERIES = {
 IDS = "+" + hilbert_sql("tiles", "doc_id") + ", named AS (SELECT tile_id, lang, octet_length(encode(lang))::BIGINT AS length FROM ided JOIN tiles ON k = doc_id WHERE doc_id % 5 <> 0 AND lang IS NOT NULL) "
 RUNS = IDS + ", isles AS (SELECT *, tile_id - row_number() OVER (PARTITION BY lang ORDER BY tile_id) AS i FROM named), runs AS (SELECT min(tile_id) AS tile_id, count(*) AS run, length, sha256(lang) AS digest FROM isles GROUP BY lang, length, i) "
 CELLS = "cells_all dem_cells"
-LAND = "landed AS (SELECT p.* FROM {src} p JOIN (SELECT z, gx // 8 AS tx, gy // 8 AS ty FROM {src} GROUP BY ALL HAVING max(metres) > 0.5) t ON p.z = t.z AND gx // 8 = tx AND gy // 8 = ty)"
-LEVELS = []
-for _k in range(7):
-    _src = "pixels" if _k == 0 else f"l{_k}"
-    LEVELS.append(f"k{_k} AS (SELECT p.* FROM {_src} p JOIN (SELECT gx // 8 AS tx, gy // 8 AS ty FROM {_src} GROUP BY ALL HAVING max(metres) > 0.5) t ON gx // 8 = tx AND gy // 8 = ty)")
-    LEVELS.append(f"l{_k + 1} AS (SELECT z - 1 AS z, gx // 2 AS gx, gy // 2 AS gy, round_even(sum(metres) / 4.0::DOUBLE, 0)::INTEGER AS metres FROM k{_k} GROUP BY ALL)")
-LEVELS.append("k7 AS (SELECT p.* FROM l7 p WHERE (SELECT max(metres) FROM l7) > 0.5)")
-LAST = "k7"
+
+
+def levels_sql(source: str, zoom: int, size: int) -> str:
+    """Parts of a WITH clause: k0 to k<zoom>, the pixels of the kept tiles at each level above source (gx, gy, metres), whole tiles."""
+    parts = []
+    for k in range(zoom + 1):
+        src = source if k == 0 else f"l{k}"
+        kept = f"(SELECT gx // {size} AS tx, gy // {size} AS ty FROM {src} GROUP BY ALL HAVING max(metres) > 0.5)"
+        whole = f"(SELECT tx * {size} + i % {size} AS gx, ty * {size} + i // {size} AS gy FROM {kept}, range({size * size}) r(i))"
+        parts.append(f"k{k} AS (SELECT {zoom - k} AS z, gx, gy, coalesce(metres, 0) AS metres FROM {whole} LEFT JOIN (SELECT gx, gy, metres FROM {src}) USING (gx, gy))")
+        parts.append(f"l{k + 1} AS (SELECT gx // 2 AS gx, gy // 2 AS gy, round_even(sum(metres) / 4.0::DOUBLE, 0)::INTEGER AS metres FROM k{k} GROUP BY ALL)")
+    return ", ".join(parts[:-1])
+
+
+def every_level(zoom: int) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(zoom + 1))
+
+
+# Tiles that samples touch, and their pixels between the four samples around them.
+N = 2**ZOOM
+_LAT = "(1 - ln(tan(radians(least(85.0511, greatest(-85.0511, {v})))) + 1 / cos(radians(least(85.0511, greatest(-85.0511, {v}))))) / pi()) / 2"
+_CLIP = "greatest(0, least({most}, floor({v} * {n})))::BIGINT"
+_AT = {"x0": "(lon - 2.0 / 64 + 180) / 360", "x1": "(lon + 2.0 / 64 + 180) / 360", "y0": _LAT.format(v="lat + 2.0 / 64"), "y1": _LAT.format(v="lat - 2.0 / 64")}
+TOUCHED = "+ around AS (SELECT *, " + ", ".join(f"{_CLIP.format(v='(' + v + ')', n=N, most=N - 1)} AS {k}" for k, v in _AT.items()) + """ FROM samples),
+    touched AS (SELECT x, unnest(range(y0, y1 + 1)) AS y, metres FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM around))"""
+BETWEEN = f"""grid AS (SELECT round(lat * 64)::BIGINT AS i, round(lon * 64)::BIGINT AS j, metres AS g FROM samples WHERE metres <> -32767),
+    asked AS (SELECT x * {SIDE} + k % {SIDE} AS gx, y * {SIDE} + k // {SIDE} AS gy FROM (SELECT DISTINCT x, y FROM tiled_ground), range({SIDE * SIDE}) r(k)),
+    placed_px AS (SELECT *, degrees(atan(sinh(pi() * (1 - 2 * (gy + 0.5::DOUBLE) / {N * SIDE})))) * 64 AS v, ((gx + 0.5::DOUBLE) / {N * SIDE} * 360 - 180) * 64 AS u FROM asked),
+    cornered AS (SELECT gx, gy, p.v - floor(v) AS dv, p.u - floor(u) AS du, a.g AS a, b.g AS b, c.g AS c, d.g AS d FROM placed_px p
+      LEFT JOIN grid a ON a.i = floor(v)::BIGINT AND a.j = floor(u)::BIGINT LEFT JOIN grid b ON b.i = floor(v)::BIGINT AND b.j = floor(u)::BIGINT + 1
+      LEFT JOIN grid c ON c.i = floor(v)::BIGINT + 1 AND c.j = floor(u)::BIGINT LEFT JOIN grid d ON d.i = floor(v)::BIGINT + 1 AND d.j = floor(u)::BIGINT + 1),
+    weighed AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE (1 - dv) * (1 - du) END AS wa, CASE WHEN b IS NULL THEN 0 ELSE (1 - dv) * du END AS wb, CASE WHEN c IS NULL THEN 0 ELSE dv * (1 - du) END AS wc, CASE WHEN d IS NULL THEN 0 ELSE dv * du END AS wd FROM cornered),
+    ground AS (SELECT gx, gy, CASE WHEN wa + wb + wc + wd > 0 THEN (wa * coalesce(a, 0) + wb * coalesce(b, 0) + wc * coalesce(c, 0) + wd * coalesce(d, 0)) / (wa + wb + wc + wd) ELSE 0 END AS f FROM weighed),
+    land AS (SELECT gx, gy, round_even(f, 0)::INTEGER AS metres, max(f) OVER (PARTITION BY gx // {SIDE}, gy // {SIDE}) AS top FROM ground)"""
 FILTERED = "SELECT * FROM dem_cells WHERE abs(lat) < 86 AND abs(lat + 1) < 86"
 PRIORITY = "SELECT * FROM c WHERE resolution = 30 UNION ALL SELECT * FROM c WHERE resolution = 90 AND (lat, lon) NOT IN (SELECT (lat, lon) FROM c WHERE resolution = 30)"
 MAN = """+ m AS (SELECT event_id AS id, event_id % 11 AS k, 'v' || event_id AS version, 8 + event_id % 8 AS max_zoom FROM events) """
@@ -246,19 +277,21 @@ SQL = {
     "stage_upsert": "SELECT event_id % 500 AS tile_id, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     "terrarium_encode": "SELECT event_id, v >> 8 AS r, v & 255 AS g, 0 AS b FROM (SELECT event_id, (least(32767, greatest(-32768, round_even(value * 10 - 500, 0))) + 32768)::INTEGER AS v FROM events)",
     "terrarium_decode": "SELECT event_id, least(32767, greatest(-32768, round_even(value * 10 - 500, 0)))::DOUBLE + 0.0 AS metres FROM events",
-    "sea_filter": with_tables("pixels", "SELECT gx // 8 AS x, gy // 8 AS y, count(*) AS pixels FROM pixels GROUP BY 1, 2 HAVING max(metres) > 0.5"),
-    "pyramid_level": with_tables("pixels", "+" + ", ".join(LEVELS[:3]) + " SELECT * FROM k1"),
-    "pyramid_all": with_tables("pixels", "+" + ", ".join(LEVELS) + " SELECT z, count(*) AS pixels, sum(metres)::BIGINT AS total, max(metres) AS highest FROM (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(8)) + ") GROUP BY z"),
-    "pyramid_parents": with_tables("pixels", "SELECT DISTINCT 6 AS z, gx // 16 AS x, gy // 16 AS y FROM pixels"),
-    "pyramid_children": with_tables("pixels", """+ t AS (SELECT gx // 8 AS x, gy // 8 AS y, count(*) AS value FROM pixels GROUP BY ALL), p AS (SELECT DISTINCT x // 2 AS px, y // 2 AS py FROM t)
-        SELECT 6 AS pz, px, py, q::INTEGER AS q, coalesce(value, 0) AS value FROM p CROSS JOIN range(4) r(q) LEFT JOIN t ON t.x = px * 2 + q % 2 AND t.y = py * 2 + q // 2"""),
+    "sea_filter": with_tables("pixels", "SELECT gx // 8 AS x, gy // 8 AS y, count(*) FILTER (metres > 0) AS land FROM pixels GROUP BY 1, 2 HAVING max(metres) > 0.5"),
+    "pyramid_level": with_tables("pixels", "+" + levels_sql("pixels", 12, SIZE) + " SELECT * FROM k1"),
+    "pyramid_all": with_tables("pixels", "+" + levels_sql("pixels", 12, SIZE) + f" SELECT z, count(*) // 64 AS tiles, count(*) FILTER (metres > 0) AS land, sum(metres)::BIGINT AS total, max(metres) AS highest FROM ({every_level(12)}) GROUP BY z"),
+    "pyramid_parents": with_tables("pixels", "SELECT DISTINCT 11 AS z, gx // 16 AS x, gy // 16 AS y FROM pixels"),
+    "pyramid_children": with_tables("pixels", """+ t AS (SELECT gx // 8 AS x, gy // 8 AS y, sum(metres)::BIGINT AS value FROM pixels GROUP BY ALL), p AS (SELECT DISTINCT x // 2 AS px, y // 2 AS py FROM t)
+        SELECT 11 AS pz, px, py, q::INTEGER AS q, coalesce(value, 0) AS value FROM p CROSS JOIN range(4) r(q) LEFT JOIN t ON t.x = px * 2 + q % 2 AND t.y = py * 2 + q // 2"""),
     "scan_dem_listing": """SELECT name, count(*) AS lines FROM (SELECT 'Copernicus_DSM_COG_' || c || '_' || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || lpad(abs(lat)::VARCHAR, 2, '0') || '_00_' || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END || lpad(abs(lon)::VARCHAR, 3, '0') || '_00_DEM' AS name
         FROM (SELECT event_id % 180 - 90 AS lat, (event_id // 180) * 7 % 360 - 180 AS lon, unnest(CASE WHEN event_id % 3 <> 0 THEN [30, 10] ELSE [30] END) AS c FROM events)) GROUP BY name""",
-    "dem_halo": """WITH s AS (SELECT DISTINCT (event_id % 320) * 0.5 - 80 AS lat, ((event_id // 320) % 360) * 0.5 - 60 AS lon FROM events),
-        t AS (SELECT greatest(0, least(31, floor((lon - 1 + 180) / 360 * 32)))::BIGINT AS x0, greatest(0, least(31, floor((lon + 1 + 180) / 360 * 32)))::BIGINT AS x1,
-          greatest(0, least(31, floor((1 - ln(tan(radians(least(85.0511, lat + 1))) + 1 / cos(radians(least(85.0511, lat + 1)))) / pi()) / 2 * 32)))::BIGINT AS y0,
-          greatest(0, least(31, floor((1 - ln(tan(radians(greatest(-85.0511, lat - 1))) + 1 / cos(radians(greatest(-85.0511, lat - 1)))) / pi()) / 2 * 32)))::BIGINT AS y1 FROM s)
-        SELECT x, y, count(*) AS samples FROM (SELECT x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM t)) GROUP BY x, y""",
+    "dem_halo": with_tables("samples", TOUCHED + " SELECT x, y, count(*) AS samples FROM touched WHERE metres <> -32767 GROUP BY x, y"),
+    "dem_resample": with_tables("samples", TOUCHED + f", tiled_ground AS (SELECT x, y FROM touched), {BETWEEN} SELECT {ZOOM} AS z, gx, gy, metres FROM land WHERE top > 0.5"),
+    "dem_bake": with_tables(CELLS + " samples", TOUCHED + f""", wanted AS (SELECT DISTINCT lat, lon FROM (SELECT lat, lon FROM dem_cells UNION SELECT floor(lat)::INTEGER, floor(lon)::INTEGER FROM samples) WHERE abs(lat) < 86 AND abs(lat + 1) < 86),
+        tiled_ground AS (SELECT x, y FROM (SELECT DISTINCT x, y FROM touched) t JOIN wanted w ON w.lat = floor((degrees(atan(sinh(pi() * (1 - 2.0::DOUBLE * (y + 1) / {N})))) + degrees(atan(sinh(pi() * (1 - 2.0::DOUBLE * y / {N}))))) / 2)
+          AND w.lon = floor((x / {N} * 360 - 180 + (x + 1) / {N} * 360 - 180) / 2)),
+        {BETWEEN}, base AS (SELECT gx, gy, metres FROM land WHERE top > 0.5), {levels_sql("base", ZOOM, SIDE)}
+        SELECT z, gx, gy, (metres + 32768) >> 8 AS r, (metres + 32768) & 255 AS g, 0 AS b FROM ({every_level(ZOOM)})"""),
     "dem_name_parse": with_tables(CELLS, "SELECT * FROM dem_cells"),
     "dem_cell_filter": with_tables(CELLS, FILTERED + " AND lon < 100 AND lon + 1 > -100 AND lat < 60 AND lat + 1 > -60"),
     "dem_source_priority": with_tables(CELLS, f"+ c AS (SELECT * FROM dem_cells) {PRIORITY}"),
