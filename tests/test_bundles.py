@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import vector_tile as V
 from tilewright.operators import bundles as B
-from tilewright.plans.archives import small_archive
 from tilewright.sources import archive
 
 SCHEMA = "x10 long, y10 long, zoom int, slot long, payload binary"
@@ -111,29 +110,6 @@ def test_gzip_entries_pass_stored_members_on(spark):
     assert bytes(out[0]) == stored and gzip.decompress(out[1]) == b"raw" and out[2] is out[3] is out[4] is None
 
 
-def test_archive_runs_and_refusals(spark, tmp_path):
-    body = small_archive([1, 2, 3], [b"abc", b"abc", b"defg"])
-    (tmp_path / "a b.pmtiles").write_bytes(body)
-    found = archive.files(spark, str(tmp_path))
-    assert {(r["tile_id"], bytes(r["payload"])) for r in archive.scan(found).collect()} == {(1, b"abc"), (2, b"abc"), (3, b"defg")}
-    assert archive.scan(found, 2, 5).count() == 0 and archive.inventory(found).first()["has_vector_layers"]
-    head = archive.parse_header(body, len(body))
-    assert (head.kind, head.min_zoom, head.max_zoom) == ("mvt", 1, 1)
-    for bad in (b"PMTiles\x02" + body[8:], body[:99] + b"\x07" + body[100:], body[:97] + b"\x03" + body[98:], body[:100] + b"\x05\x02" + body[102:], body[:-2]):
-        with pytest.raises(ValueError):
-            archive.parse_header(bad, len(bad))
-    with pytest.raises(ValueError):
-        archive.parse_directory(b"\x01\x05\x01\x00\x01")
-
-
-def test_archives_of_many_leaves_are_read_by_ranges(spark, tmp_path):
-    want = {i: bytes([i % 7]) * (1 + i * 37 % 5000) for i in range(21, 900) if i % 10}
-    (tmp_path / "a.pmtiles").write_bytes(small_archive(list(want), list(want.values()), leaf=16))
-    (tmp_path / "b.pmtiles").write_bytes(small_archive([5, 6], [b"x", b"x"]))
-    got = archive.scan(archive.files(spark, str(tmp_path)), 3, 4).collect()
-    assert {r["tile_id"]: bytes(r["payload"]) for r in got} == {i: p for i, p in want.items() if i < archive.base(5)} and {r["z"] for r in got} == {3, 4}
-
-
 def test_metadata_of_archives():
     assert archive.described('{"name":"Planet OpenMapTiles","vector_layers":[]}') == ("openmaptiles", True)
     assert archive.described('{"name":"Hills","vector_layers":null}') == ("hills", False)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Iterable, Iterator
 
+from tilewright.functions.inflate import MAGIC, inflate
+
 MOST_BYTES = 16 << 20
 # The layers that the labels part carries.
 LABELS = frozenset({"housenumber", "poi"})
@@ -59,7 +60,8 @@ def fields(b: bytes) -> Iterator[tuple[int, int, int | bytes, bytes]]:
 
 
 def plain(payload: bytes) -> bytes:
-    return gzip.decompress(payload) if payload[:2] == b"\x1f\x8b" else payload
+    """The tile's own bytes; ValueError if a stored gzip is damaged or inflates to more than a tile may hold."""
+    return inflate(payload, MOST_BYTES) if payload[:2] == MAGIC else payload
 
 
 def layers(tile: bytes) -> list[tuple[str | None, bytes, bytes]]:

@@ -15,7 +15,7 @@ from tilewright.functions.vector_tile import put_varint
 from tilewright.operators import catalog
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, tiles, with_tables
-from tilewright.sources import archive
+from tilewright.sources import archive, archive_source
 from tilewright.sources.scratch import commit, scratch_path
 
 
@@ -69,27 +69,28 @@ def _archives(spark, d, raster=False):
         return pa.table({"x10": pa.array([x], pa.int64())})
 
     commit(t.groupBy("x10").applyInArrow(build, "x10 long"), "anchors")
-    return archive.files(spark, folder)
+    return folder
 
 
 def scan_tile_archive(spark, d):
-    return archive.scan(_archives(spark, d), 12, 14).select("tile_id", "z", "x", "y", F.octet_length("payload").alias("bytes"))
+    found = archive_source.scan(spark, _archives(spark, d)).where("z >= 12")
+    return found.select("tile_id", "z", "x", "y", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"))
 
 
 def archive_inventory(spark, d):
-    found = archive.inventory(_archives(spark, d))
+    found = archive_source.inventory(spark, _archives(spark, d))
     return found.withColumn("path", F.regexp_extract("path", "([^/]+)[.]pmtiles$", 1))
 
 
 def content_type(spark, d):
     """Raster archives, PNG or WebP by anchor, by the media type their headers give."""
-    found = archive.inventory(_archives(spark, d, raster=True))
+    found = archive_source.inventory(spark, _archives(spark, d, raster=True))
     return found.groupBy(catalog.content_type(F.col("kind")).alias("content_type")).agg(F.count("*").alias("archives"))
 
 
 QUERIES = {f.__name__: f for f in (scan_tile_archive, archive_inventory, content_type)}
 SQL = {
-    "scan_tile_archive": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + " SELECT tile_id, z, x, y, octet_length(encode(payload)) AS bytes FROM ided JOIN tiles ON k = doc_id WHERE z >= 12 AND payload <> ''", recursive=True),
+    "scan_tile_archive": with_tables(TILES, "+" + hilbert_sql("tiles", "doc_id") + " SELECT tile_id, z, x, y, octet_length(encode(payload)) AS bytes, sha256(payload) AS digest FROM ided JOIN tiles ON k = doc_id WHERE z >= 12 AND payload <> ''", recursive=True),
     "archive_inventory": with_tables(TILES, """SELECT 'anchor-' || x10 AS path, 'mvt' AS kind, 'gzip' AS internal, 'none' AS compression, min(z)::INTEGER AS min_zoom, max(z)::INTEGER AS max_zoom, 'openmaptiles' AS tile_schema, true AS has_vector_layers
         FROM tiles WHERE payload <> '' GROUP BY x10"""),
     "content_type": with_tables(TILES, "SELECT CASE WHEN x10 % 2 = 0 THEN 'image/png' ELSE 'image/webp' END AS content_type, count(DISTINCT x10) AS archives FROM tiles WHERE payload <> '' GROUP BY 1"),

@@ -1,25 +1,21 @@
-"""Tile archives (PMTiles version 3): inventory of headers and distributed scan of entries, by ranges of the files."""
+"""Tile archives (PMTiles version 3): header, directories and metadata, read by ranges of a file."""
 
 from __future__ import annotations
 
-import gzip
 import json
 import struct
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tilewright.functions import addressing as A
+from tilewright.functions.inflate import inflate
 from tilewright.functions.vector_tile import varint
 
 # Fixed values of the public format.
 HEADER, ROOT_LIMIT, MOST_ID = 127, 16_384, 1 << 63
 TYPES = {0: "unknown", 1: "mvt", 2: "png", 3: "jpeg", 4: "webp"}
 COMPRESSIONS = {0: "unknown", 1: "none", 2: "gzip"}
-MOST_DIRECTORY = 16 << 20
+MOST_DIRECTORY, MOST_ENTRIES, MOST_TILE = 8 << 20, 1 << 18, 16 << 20
 
 
 @dataclass
@@ -57,17 +53,17 @@ def parse_header(b: bytes, size: int | None = None) -> Header:
     return Header(*parts, COMPRESSIONS[internal], name, TYPES[kind], lo, hi)
 
 
-def inflate(b: bytes, how: str) -> bytes:
-    out = gzip.decompress(b) if how == "gzip" else b
-    if len(out) > MOST_DIRECTORY:
-        raise ValueError("directory too large")
-    return out
+def inflated(b: bytes, how: str, most: int = MOST_DIRECTORY) -> bytes:
+    """A stored object as plain bytes; ValueError if it is empty or larger than `most`, before or after inflating."""
+    if not b or len(b) > most + (1 << 20 if how == "gzip" else 0):
+        raise ValueError("object is empty or over its bound")
+    return inflate(b, most) if how == "gzip" else b
 
 
-def parse_directory(b: bytes) -> list[tuple[int, int, int, int]]:
-    """(tile_id, run, length, offset) rows; ids rise, runs do not overlap, lengths are not 0."""
+def parse_directory(b: bytes, leaf_bytes: int, data_bytes: int) -> list[tuple[int, int, int, int]]:
+    """(tile_id, run, length, offset) rows, at least one; ids rise, runs do not overlap, entries lie inside their section."""
     count, at = varint(b, 0)
-    if count > len(b):
+    if not 0 < count <= MOST_ENTRIES or count > (len(b) - at) // 4:
         raise ValueError("bad entry count")
     cols: list[list[int]] = []
     for _ in range(4):
@@ -81,21 +77,18 @@ def parse_directory(b: bytes) -> list[tuple[int, int, int, int]]:
     out, last, end = [], 0, 0
     for k, (step, run, length, offset) in enumerate(zip(*cols, strict=True)):
         tile = last + step
-        if k and step == 0 or tile >= MOST_ID or (out and out[-1][1] and out[-1][0] + out[-1][1] > tile):
+        if k and step == 0 or tile + run > MOST_ID or (out and out[-1][0] + out[-1][1] > tile):
             raise ValueError("entries are not in order")
         if length == 0 or (offset == 0 and k == 0):
             raise ValueError("bad entry")
         start = end if offset == 0 else offset - 1
+        if start + length > (data_bytes if run else leaf_bytes):
+            raise ValueError("entry outside its section")
         out.append((tile, run, length, start))
         last, end = tile, start + length
     return out
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files (path, size) by Spark's own listing. No content is read, so a file may be of any size."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
-
-
 def opened(path: str):
     """The file, open for reads of ranges, through Arrow's filesystems (local, HDFS, S3, GCS)."""
     at = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
@@ -118,124 +111,6 @@ def base(z: int) -> int:
     return ((1 << (2 * z)) - 1) // 3
 
 
-# Directory rows with what is needed to follow them: the last id under a row, and where the sections of its file are.
-ROWS = "path string, tile_id long, run long, length long, offset long, last long, leaves_at long, leaves_size long, data_at long, data_size long, internal string, gzipped boolean"
-ROW_TYPES = [pa.string(), *[pa.int64()] * 9, pa.string(), pa.bool_()]
-DEPTH = 3
-#: Bytes of tile data that are read at once, and that one block of entries spans.
-READ, GAP, BLOCK = 8 << 20, 64 << 10, 64 << 20
-
-
-def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
-
-def followed(rows: list[tuple], upper: int, low: int, high: int, where: tuple) -> list[tuple]:
-    """Rows of a directory that touch [low, high), with the last id under each; ValueError outside their section."""
-    path, leaves_at, leaves_size, data_at, data_size, internal, gzipped = where
-    out = []
-    for k, (tile, run, length, offset) in enumerate(rows):
-        after = rows[k + 1][0] if k + 1 < len(rows) else upper
-        if tile >= high or (tile + run if run else after) <= low:
-            continue
-        if offset + length > (data_size if run else leaves_size):
-            raise ValueError("entry outside its section" if run else "leaf outside its section")
-        out.append((path, tile, run, length, offset, after - 1, leaves_at, leaves_size, data_at, data_size, internal, gzipped))
-    return out
-
-
-def directory_rows(found: DataFrame, low: int, high: int) -> DataFrame:
-    """Entries of the files (path, size) that touch [low, high).
-
-    Headers and roots (under 16 KiB) are read first; the leaves they name are dealt out to all tasks, each
-    of which reads the ranges of its own leaves. A damaged archive raises.
-    """
-    names = [f.split()[0] for f in ROWS.split(", ")]
-
-    def roots(batches):
-        for b in batches:
-            for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), strict=True):
-                with opened(path) as f:
-                    h = read_header(f, size)
-                    root = parse_directory(inflate(span(f, *h.root), h.internal))
-                yield batch_of(followed(root, MOST_ID, low, high, (path, *h.leaves, *h.data, h.internal, h.compression == "gzip")), names, ROW_TYPES)
-
-    def leaves(batches):
-        for b in batches:
-            for path, tile, run, length, offset, last, *where in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                with opened(path) as f:
-                    todo = [(tile, run, length, offset, last, 0)]
-                    while todo:
-                        tile, run, length, offset, last, depth = todo.pop()
-                        if run:
-                            yield batch_of([(path, tile, run, length, offset, last, *where)], names, ROW_TYPES)
-                            continue
-                        if depth == DEPTH:
-                            raise ValueError("directories are too deep")
-                        leaf = parse_directory(inflate(span(f, where[0] + offset, length), where[4]))
-                        if leaf and (leaf[0][0] < tile or leaf[-1][0] > last):
-                            raise ValueError("leaf outside its interval")
-                        rows = followed(leaf, last + 1, low, high, (path, *where))
-                        yield batch_of([r for r in rows if r[2]], names, ROW_TYPES)
-                        todo += [(*r[1:6], depth + 1) for r in rows if not r[2]]
-
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.select("path", "size").mapInArrow(roots, ROWS).repartition(tasks, "path", "tile_id").mapInArrow(leaves, ROWS)
-
-
-def scan(found: DataFrame, min_zoom: int = 0, max_zoom: int = 31) -> DataFrame:
-    """tile_id, z, x, y, payload, gzipped of all entries of the zooms asked for, runs expanded.
-
-    found is (path, size) as files gives it. Tile data are dealt out in blocks of 64 MiB of a file and read
-    by ranges, neighbours together. A damaged archive raises; it never yields part of its rows silently.
-    """
-    low, high = base(min_zoom), base(max_zoom + 1)
-    names, types = ["tile_id", "payload", "gzipped"], [pa.int64(), pa.binary(), pa.bool_()]
-
-    def spans(rows):
-        """Neighbouring entries of a file that one read fetches: (path, start, end, rows)."""
-        path, start, end, held = None, 0, 0, []
-        for row in rows:
-            at, stop = row[5] + row[4], row[5] + row[4] + row[3]
-            if held and (row[0] != path or at > end + GAP or max(end, stop) - start > READ):
-                yield path, start, end, held
-                held = []
-            if not held:
-                path, start, end = row[0], at, stop
-            end = max(end, stop)
-            held.append(row)
-        if held:
-            yield path, start, end, held
-
-    def payloads(batches):
-        for b in batches:
-            f, name, rows, held_bytes = None, None, [], 0
-            for path, start, end, held in spans(zip(*[c.to_pylist() for c in b.columns], strict=True)):
-                if path != name:
-                    f, name = opened(path), path
-                data = span(f, start, end - start)
-                for _, tile, n, length, offset, data_at, gzipped in held:
-                    p = data[data_at + offset - start :][:length]
-                    for k in range(max(tile, low), min(tile + n, high)):
-                        rows.append((k, p, gzipped))
-                        held_bytes += length
-                        if len(rows) == 1024 or held_bytes >= READ:
-                            yield batch_of(rows, names, types)
-                            rows, held_bytes = [], 0
-            if rows:
-                yield batch_of(rows, names, types)
-
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = directory_rows(found, low, high).repartition(tasks, F.col("path"), F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("path", "offset", "tile_id")
-    out = dealt.select("path", "tile_id", "run", "length", "offset", "data_at", "gzipped").mapInArrow(payloads, "tile_id long, payload binary, gzipped boolean")
-    out = out.withColumn("z", A.hilbert_zoom(F.col("tile_id")))
-    out = out.withColumn("_t", A.hilbert_tile(F.col("tile_id"), F.col("z")))
-    return out.select("tile_id", "z", F.col("_t.x").alias("x"), F.col("_t.y").alias("y"), "payload", "gzipped")
-
-
-INVENTORY = "path string, kind string, internal string, compression string, min_zoom int, max_zoom int, tile_schema string, has_vector_layers boolean"
-
-
 def described(text: str) -> tuple[str, bool]:
     """Schema name and whether layers are described, by an archive's metadata; ("", False) where it is no such JSON."""
     try:
@@ -247,20 +122,8 @@ def described(text: str) -> tuple[str, bool]:
     return "openmaptiles" if "openmaptiles" in text.lower() else (meta.get("name") or "").lower(), meta.get("vector_layers") is not None
 
 
-def inventory(found: DataFrame) -> DataFrame:
-    """One row for each archive: type, compressions, zooms, schema name, whether layers are described.
-
-    found is (path, size) as files gives it; the header and the metadata are all that is read.
-    """
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), strict=True):
-                with opened(path) as f:
-                    h = read_header(f, size)
-                    text = inflate(span(f, *h.metadata), h.internal).decode("utf-8", "replace") if h.metadata[1] else ""
-                rows.append((path, h.kind, h.internal, h.compression, h.min_zoom, h.max_zoom, *described(text)))
-            yield batch_of(rows, [f.split()[0] for f in INVENTORY.split(", ")], [*[pa.string()] * 4, pa.int32(), pa.int32(), pa.string(), pa.bool_()])
-
-    return found.select("path", "size").mapInArrow(run, INVENTORY)
+def describe(f, size: int) -> tuple:
+    """kind, internal, compression, min_zoom, max_zoom, tile_schema, has_vector_layers: header and metadata are all that is read."""
+    h = read_header(f, size)
+    text = inflated(span(f, *h.metadata), h.internal).decode("utf-8", "replace") if h.metadata[1] else ""
+    return (h.kind, h.internal, h.compression, h.min_zoom, h.max_zoom, *described(text))
