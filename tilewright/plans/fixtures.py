@@ -54,17 +54,24 @@ def samples(spark, d) -> DataFrame:
     return table(spark, d, "events").select(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"), F.lit(1 / 64).alias("step"), metres.alias("metres"))
 
 
-def requests(spark, d) -> DataFrame:
+def request_log(spark, d) -> DataFrame:
+    """Requests as they arrive, with the cost that the bare bucket takes: raw tiles and bundles, some with bad zooms, queries, bodies or methods."""
     e, kind = F.col("event_id"), F.col("event_type")
     p = tiled_points(spark, d).select(F.col("event_id").alias("pid"), F.col("z").alias("pz"), F.col("x").alias("px"), F.col("y").alias("py"))
     out = table(spark, d, "events").join(p, F.col("event_id") == F.col("pid"))
     deep = F.col("pz").isin(11, 12, 13, 14) & kind.isin("click", "signup", "error")
     ax, ay = A.anchor(F.col("pz"), F.col("px"), F.col("py"))
+    z, x, y = F.when(e % 97 == 0, "bad").when(e % 7 == 0, F.concat(F.lit("%2B"), F.col("pz"))).otherwise(F.col("pz").cast("string")), F.when(deep, ax).otherwise(F.col("px")), F.when(deep, ay).otherwise(F.col("py"))
+    stem = F.when(kind == "view", "/planet").when(kind == "click", "/planet/bundle/v3").when((kind == "signup") & (e % 3 == 0), "/planet/bundle/v1").when(kind == "signup", "/planet/bundle/v2").when(kind == "purchase", "/terrain").otherwise("/terrain/bundle/v1")
+    raw = kind.isin("view", "purchase")
+    path = F.when(e % 211 == 0, "/planet/tiles.json").when(e % 223 == 0, "/livez").when(raw, F.concat_ws("/", stem, z, x, y)).otherwise(F.concat_ws("/", stem, x, y, z))
+    query = F.when(e % 178 == 0, "?").when(e % 89 == 0, "?v=1").otherwise("")
+    method = F.when(e % 131 == 0, "POST").when(e % 61 == 0, "OPTIONS").when(e % 10 == 0, "HEAD").otherwise("GET")
+    host = F.concat_ws(".", F.lit("10.0"), F.floor(F.col("user_id") / 256), F.col("user_id") % 256)
+    peer = F.when(F.col("user_id") % 9 == 0, F.concat(F.lit("[fd00::"), F.col("user_id"), F.lit("]:"), 1024 + e % 50000)).when(F.col("user_id") % 31 == 0, host).otherwise(F.concat(host, F.lit(":"), 1024 + e % 50000))
     return out.select(
-        "event_id", F.col("user_id").alias("client"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"),
-        F.when(kind == "view", "coarse").when(kind == "click", "bundle3").when(kind == "signup", "bundle2").when(kind == "purchase", "terrain").otherwise("terrain_bundle").alias("kind"),
-        F.when(e % 97 == 0, "bad").otherwise(F.col("pz").cast("string")).alias("z"), F.when(deep, ax).otherwise(F.col("px")).cast("string").alias("x"),
-        F.when(deep, ay).otherwise(F.col("py")).cast("string").alias("y"), F.pow(F.lit(2.0), e % 5).cast("long").alias("cost"), (e % 89 == 0).alias("has_query"),
+        "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"), peer.alias("peer"), method.alias("method"), F.concat(path, query).alias("target"),
+        F.when(e % 83 == 0, 5).when(e % 101 == 0, -1).otherwise(0).cast("long").alias("body_length"), F.pow(F.lit(2.0), e % 5).cast("long").alias("cost"),
     )
 
 
@@ -135,12 +142,23 @@ CTE = {
         FROM (SELECT *, event_id // 64 AS t, event_id % 64 AS p FROM events) GROUP BY ALL""",
     "samples": """SELECT (c // 2 + 78) % 160 - 80 + (p // 64) / 64.0::DOUBLE AS lat, c % 2 + 2 * (c // 320) - 180 + (p % 64) / 64.0::DOUBLE AS lon, max(metres) AS metres
         FROM (SELECT event_id // 4096 AS c, event_id % 4096 AS p, CASE WHEN event_id % 50 = 0 THEN -32767.0 ELSE round_even(value * 10 - 100, 0) END::DOUBLE AS metres FROM events) GROUP BY ALL""",
-    "requests": """SELECT e.event_id, user_id AS client, epoch_us(ts) // 1000 AS ms,
-        CASE event_type WHEN 'view' THEN 'coarse' WHEN 'click' THEN 'bundle3' WHEN 'signup' THEN 'bundle2' WHEN 'purchase' THEN 'terrain' ELSE 'terrain_bundle' END AS kind,
-        CASE WHEN e.event_id % 97 = 0 THEN 'bad' ELSE z::VARCHAR END AS z,
-        (CASE WHEN z BETWEEN 11 AND 14 AND event_type IN ('click', 'signup', 'error') THEN x >> (z - 10) ELSE x END)::VARCHAR AS x,
-        (CASE WHEN z BETWEEN 11 AND 14 AND event_type IN ('click', 'signup', 'error') THEN y >> (z - 10) ELSE y END)::VARCHAR AS y,
-        pow(2, e.event_id % 5)::BIGINT AS cost, e.event_id % 89 = 0 AS has_query FROM events e JOIN tiled t ON e.event_id = t.event_id""",
+    "arrived": """SELECT event_id, ms, CASE WHEN user_id % 9 = 0 THEN '[fd00::' || user_id || ']:' || port WHEN user_id % 31 = 0 THEN host ELSE host || ':' || port END AS peer,
+        CASE WHEN event_id % 131 = 0 THEN 'POST' WHEN event_id % 61 = 0 THEN 'OPTIONS' WHEN event_id % 10 = 0 THEN 'HEAD' ELSE 'GET' END AS method,
+        CASE WHEN event_id % 211 = 0 THEN '/planet/tiles.json' WHEN event_id % 223 = 0 THEN '/livez' WHEN event_type IN ('view', 'purchase') THEN stem || '/' || z || '/' || x || '/' || y ELSE stem || '/' || x || '/' || y || '/' || z END
+          || CASE WHEN event_id % 178 = 0 THEN '?' WHEN event_id % 89 = 0 THEN '?v=1' ELSE '' END AS target,
+        CASE WHEN event_id % 83 = 0 THEN 5 WHEN event_id % 101 = 0 THEN -1 ELSE 0 END::BIGINT AS body_length, pow(2, event_id % 5)::BIGINT AS cost
+        FROM (SELECT e.event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, '10.0.' || user_id // 256 || '.' || user_id % 256 AS host, 1024 + e.event_id % 50000 AS port,
+          CASE event_type WHEN 'view' THEN '/planet' WHEN 'click' THEN '/planet/bundle/v3' WHEN 'signup' THEN CASE WHEN e.event_id % 3 = 0 THEN '/planet/bundle/v1' ELSE '/planet/bundle/v2' END WHEN 'purchase' THEN '/terrain' ELSE '/terrain/bundle/v1' END AS stem,
+          CASE WHEN e.event_id % 97 = 0 THEN 'bad' WHEN e.event_id % 7 = 0 THEN '%2B' || z ELSE z::VARCHAR END AS z,
+          CASE WHEN z BETWEEN 11 AND 14 AND event_type IN ('click', 'signup', 'error') THEN x >> (z - 10) ELSE x END AS x,
+          CASE WHEN z BETWEEN 11 AND 14 AND event_type IN ('click', 'signup', 'error') THEN y >> (z - 10) ELSE y END AS y FROM events e JOIN tiled t ON e.event_id = t.event_id)""",
+    "routed": """SELECT *, split_part(target, '?', 1) AS path, contains(target, '?') OR body_length <> 0 AS extra,
+        CASE WHEN regexp_full_match(peer, '[^:]*:[0-9]+') THEN split_part(peer, ':', 1) WHEN peer LIKE '[%' THEN regexp_extract(peer, '^.(.*).:[0-9]+$', 1) ELSE peer END AS client,
+        str_split(split_part(target, '?', 1), '/') AS s FROM arrived""",
+    "kinds": """SELECT *, CASE WHEN path IN ('/livez', '/readyz', '/metrics') THEN 'service' WHEN len(s) = 7 AND s[2] = 'planet' AND s[3] = 'bundle' AND s[4] IN ('v1', 'v2', 'v3') THEN 'bundle' || substr(s[4], 2)
+          WHEN len(s) = 7 AND s[2] = 'terrain' AND s[3] = 'bundle' AND s[4] = 'v1' THEN 'terrain_bundle' WHEN len(s) = 5 AND s[2] = 'terrain' THEN 'terrain' WHEN len(s) = 5 AND s[2] = 'planet' THEN 'coarse' END AS kind FROM routed""",
+    "requests": """SELECT event_id, client, ms, kind, cost, extra, url_decode(CASE WHEN len(s) = 7 THEN s[7] ELSE s[3] END) AS z, CASE WHEN len(s) = 7 THEN s[5] ELSE s[4] END AS x, CASE WHEN len(s) = 7 THEN s[6] ELSE s[5] END AS y,
+        CASE WHEN kind IS NULL THEN 'unrouted' WHEN kind = 'service' THEN CASE WHEN method IN ('GET', 'HEAD') THEN 'service' ELSE 'bad_method' END WHEN method = 'OPTIONS' AND kind IN ('bundle2', 'bundle3') THEN 'preflight' WHEN method NOT IN ('GET', 'HEAD') THEN 'bad_method' END AS refused FROM kinds""",
     "layers": """SELECT z, x, y, l.ord, l.layer, n_chars % l.m AS bytes FROM tiles,
         (VALUES (0, 'building', 211), (1, 'poi', 97), (2, 'housenumber', 53), (3, 'transportation', 31)) l(ord, layer, m)""",
     "landcover": """SELECT (4 + doc_id % 4)::INTEGER AS z, doc_id % 3 AS x, (doc_id // 4) % 2 AS y, CASE WHEN doc_id % 4 = 0 AND lang = 'en' THEN NULL ELSE lang END AS class,
@@ -162,4 +180,4 @@ def with_tables(names: str, sql: str, recursive: bool = False) -> str:
 
 TILES = "placed slotted tiles"
 POINTS = "points tiled"
-REQUESTS = "points tiled requests"
+REQUESTS = "points tiled arrived routed kinds requests"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import gates as G
 from tilewright.operators import requests as R
-from tilewright.plans.fixtures import REQUESTS, TILES, releases, requests, tiles, with_tables
+from tilewright.plans.fixtures import REQUESTS, TILES, releases, request_log, tiles, with_tables
 from tilewright.sources import lines
 from tilewright.sources.scratch import scratch_path
 
@@ -14,18 +14,23 @@ CODEC, VERSION, DIGEST = "spark-scb1gz-r1", "2026 01/a*b~$&+:=@", "d0"
 RATE, BURST = 125, 16 * R.UNIT  # an eighth of a token a second
 
 
+def _requests(spark, d):
+    return R.parse(request_log(spark, d))
+
+
 def scan_request_log(spark, d):
+    """The log as it arrives, written, read back and parsed."""
     path = scratch_path(spark, "requests")
-    requests(spark, d).write.parquet(path)
-    return lines.request_log(spark, path)
+    request_log(spark, d).write.parquet(path)
+    return R.parse(lines.request_log(spark, path))
 
 
-def _have(spark, d):
+def have(spark, d):
     return tiles(spark, d).where("payload is not null").select(F.lit(8).alias("z"), (F.col("x") % 256).alias("x"), (F.col("y") % 256).alias("y"), "payload")
 
 
 def _answered(spark, d):
-    return R.answer(requests(spark, d), _have(spark, d), RATE, BURST)
+    return R.answer(_requests(spark, d), have(spark, d), RATE, BURST)
 
 
 def _gated(spark, d, kind):
@@ -37,7 +42,7 @@ def gate_coarse(spark, d):
 
 
 def gate_bundle(spark, d):
-    return _gated(spark, d, ["bundle2", "bundle3"])
+    return _gated(spark, d, ["bundle1", "bundle2", "bundle3"])
 
 
 def gate_terrain(spark, d):
@@ -45,16 +50,16 @@ def gate_terrain(spark, d):
 
 
 def request_cost(spark, d):
-    return R.gate(requests(spark, d)).where("outcome = 'pass'").select("event_id", G.request_cost(F.col("kind"), F.col("z")).alias("tokens"))
+    return R.gate(_requests(spark, d)).where("outcome = 'pass'").select("event_id", G.request_cost(F.col("kind"), F.col("z")).alias("tokens"))
 
 
 def representation_key(spark, d):
-    gated = R.gate(requests(spark, d)).where("outcome = 'pass' and kind = 'bundle3'")
+    gated = R.gate(_requests(spark, d)).where("outcome = 'pass' and kind = 'bundle3'")
     return gated.select("event_id", G.representation_key(CODEC, F.lit(VERSION), F.lit(DIGEST), F.col("x"), F.col("y"), F.col("z")).alias("key"))
 
 
 def etag_v1_terrain(spark, d):
-    gated = R.gate(requests(spark, d)).where("outcome = 'pass' and kind in ('bundle2', 'terrain_bundle')")
+    gated = R.gate(_requests(spark, d)).where("outcome = 'pass' and kind in ('bundle2', 'terrain_bundle')")
     args = (F.lit("v1"), F.col("x"), F.col("y"), F.col("z"))
     tag = F.when(F.col("kind") == "bundle2", G.etag(*args)).otherwise(G.etag(*args, prefix="terrain:"))
     seen = F.when(F.col("event_id") % 2 == 0, tag).otherwise(F.lit('"old"'))
@@ -66,23 +71,23 @@ def safe_version(spark, d):
 
 
 def expand_stages(spark, d):
-    gated = R.gate(requests(spark, d)).where("outcome = 'pass' and kind in ('bundle2', 'bundle3')")
+    gated = R.gate(_requests(spark, d)).where("outcome = 'pass' and kind in ('bundle2', 'bundle3')")
     two, three = R.stages_of(gated.where("kind = 'bundle2'"), 2), R.stages_of(gated.where("kind = 'bundle3'"), 3)
     return two.unionByName(three).select("event_id", "stage_ord", "stage_zoom", "part")
 
 
 def resolve_requests(spark, d):
-    return R.resolve(R.gate(requests(spark, d)), _have(spark, d)).select("event_id", "z", "x", "y", "result")
+    return R.resolve(R.gate(_requests(spark, d)), have(spark, d)).select("event_id", "z", "x", "y", "result")
 
 
 def build_queue(spark, d):
-    gated = R.gate(requests(spark, d))
+    gated = R.gate(_requests(spark, d))
     built = R.build_queue(gated.where("event_id % 3 = 0"), spark.createDataFrame([], "key string"), CODEC, VERSION, DIGEST)
     return R.build_queue(gated, built, CODEC, VERSION, DIGEST)
 
 
 def token_bucket_batch(spark, d):
-    return R.token_bucket(requests(spark, d), RATE, BURST)
+    return R.token_bucket(_requests(spark, d), RATE, BURST)
 
 
 def request_counters(spark, d):
@@ -92,14 +97,14 @@ def request_counters(spark, d):
 QUERIES = {f.__name__: f for f in (scan_request_log, gate_coarse, gate_bundle, gate_terrain, request_cost, representation_key, etag_v1_terrain, safe_version, expand_stages, resolve_requests, build_queue, token_bucket_batch, request_counters)}
 
 INT = "CASE WHEN regexp_full_match({0}, '[+-]?[0-9]+') THEN try_cast({0} AS BIGINT) END"
-GATED = f"""+ parsed AS (SELECT event_id, client, ms, kind, has_query, {INT.format('z')} AS z, {INT.format('x')} AS xi, {INT.format('y')} AS yi FROM requests),
-judged AS (SELECT *, CASE
+GATED = f"""+ parsed AS (SELECT event_id, client, ms, kind, extra, refused, {INT.format('z')} AS z, {INT.format('x')} AS xi, {INT.format('y')} AS yi FROM requests),
+judged AS (SELECT *, CASE WHEN refused IS NOT NULL THEN refused
   WHEN kind IN ('coarse', 'terrain') THEN CASE WHEN z IS NULL THEN 'bad_zoom' WHEN z < 0 OR z > 10 THEN 'blocked' WHEN xi IS NULL OR yi IS NULL THEN 'bad_tile'
     WHEN xi < 0 OR yi < 0 OR xi >= (1 << z) OR yi >= (1 << z) THEN 'range' WHEN kind = 'terrain' AND z > 12 THEN 'deep' ELSE 'pass' END
   WHEN kind = 'terrain_bundle' THEN CASE WHEN z IS NULL OR xi IS NULL OR yi IS NULL THEN 'bad_path' WHEN NOT (z IN (11, 12) AND xi BETWEEN 0 AND 1023 AND yi BETWEEN 0 AND 1023) THEN 'range' ELSE 'pass' END
-  ELSE CASE WHEN has_query THEN 'extra' WHEN z IS NULL OR xi IS NULL OR yi IS NULL THEN 'bad_path' WHEN NOT (z BETWEEN 11 AND 14 AND xi BETWEEN 0 AND 1023 AND yi BETWEEN 0 AND 1023) THEN 'invalid' ELSE 'pass' END
+  ELSE CASE WHEN extra THEN 'extra' WHEN z IS NULL OR xi IS NULL OR yi IS NULL THEN 'bad_path' WHEN NOT (z BETWEEN 11 AND 14 AND xi BETWEEN 0 AND 1023 AND yi BETWEEN 0 AND 1023) THEN 'invalid' ELSE 'pass' END
   END AS outcome FROM parsed),
-gated AS (SELECT event_id, client, ms, kind, z, outcome, CASE WHEN outcome IN ('blocked', 'range', 'deep') THEN 404 WHEN outcome <> 'pass' THEN 400 END AS status,
+gated AS (SELECT event_id, client, ms, kind, z, outcome, CASE WHEN outcome IN ('blocked', 'range', 'deep', 'unrouted') THEN 404 WHEN outcome = 'bad_method' THEN 405 WHEN outcome = 'preflight' THEN 204 WHEN outcome = 'service' THEN 200 WHEN outcome <> 'pass' THEN 400 END AS status,
   CASE WHEN outcome = 'pass' THEN xi END AS x, CASE WHEN outcome = 'pass' THEN yi END AS y FROM judged) """
 
 
@@ -116,7 +121,7 @@ f(client, event_id, k, last, tokens, allowed) AS (
 answered AS (SELECT event_id, kind, x, y, outcome, CASE outcome WHEN 'limited' THEN 429 WHEN 'empty' THEN 204 WHEN 'ok' THEN 200 WHEN 'cached' THEN 200 ELSE status END AS status FROM (
   SELECT g.event_id, kind, z, x, y, status, CASE WHEN outcome <> 'pass' THEN outcome WHEN NOT allowed THEN 'limited'
     WHEN kind IN ('coarse', 'terrain') AND NOT (z = 8 AND (x, y) IN (SELECT (x % 256, y % 256) FROM tiles WHERE octet_length(encode(payload)) > 0)) THEN 'empty'
-    WHEN kind IN ('bundle2', 'bundle3') AND row_number() OVER (PARTITION BY kind, z, x, y, allowed ORDER BY ms, g.event_id) > 1 THEN 'cached' ELSE 'ok' END AS outcome
+    WHEN kind IN ('bundle1', 'bundle2', 'bundle3') AND row_number() OVER (PARTITION BY kind, z, x, y, allowed ORDER BY ms, g.event_id) > 1 THEN 'cached' ELSE 'ok' END AS outcome
   FROM gated g LEFT JOIN f ON f.event_id = g.event_id)) """
 
 
@@ -130,9 +135,9 @@ QUEUE = f"""SELECT DISTINCT {KEY} || stage_zoom || ':' || part || ':stage' AS ke
   SELECT event_id, x, y, z::INTEGER AS stage_zoom, 0 AS part FROM gated WHERE kind = 'bundle3' AND outcome = 'pass' AND z < 14
   UNION ALL SELECT event_id, x, y, sz, s.part FROM gated, {STAGES} WHERE kind = 'bundle3' AND outcome = 'pass' AND z = 14)"""
 SQL = {
-    "scan_request_log": with_tables(REQUESTS, "SELECT event_id, client, ms, kind, z, x, y, has_query FROM requests"),
+    "scan_request_log": with_tables(REQUESTS, "SELECT event_id, ms, client, kind, CASE WHEN kind <> 'service' THEN z END AS z, CASE WHEN kind <> 'service' THEN x END AS x, CASE WHEN kind <> 'service' THEN y END AS y, extra, refused FROM requests"),
     "gate_coarse": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind = 'coarse'"),
-    "gate_bundle": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind IN ('bundle2', 'bundle3')"),
+    "gate_bundle": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind IN ('bundle1', 'bundle2', 'bundle3')"),
     "gate_terrain": answered("SELECT event_id, outcome, status, x, y FROM answered WHERE kind IN ('terrain', 'terrain_bundle')"),
     "request_cost": gated("SELECT event_id, CASE WHEN kind IN ('coarse', 'terrain') THEN 1 ELSE 1 << (z - 10) END::BIGINT AS tokens FROM gated WHERE outcome = 'pass'"),
     "representation_key": gated(f"SELECT event_id, {KEY} || z AS key FROM gated WHERE outcome = 'pass' AND kind = 'bundle3'"),
@@ -153,10 +158,6 @@ SQL = {
         SELECT client, event_id, allowed FROM f""", recursive=True),
     "request_counters": answered("""SELECT metric, count(*) AS value FROM (SELECT unnest(CASE WHEN kind IN ('coarse', 'terrain') AND outcome IN ('blocked', 'empty', 'ok') THEN ['mapapi_' || kind || '_' || outcome || '_total']
         WHEN kind = 'terrain_bundle' AND outcome = 'ok' THEN ['mapapi_terrain_bundle_ok_total']
-        WHEN kind IN ('bundle2', 'bundle3') AND outcome IN ('ok', 'cached') THEN list_concat(CASE kind WHEN 'bundle3' THEN ['mapapi_bundle_v3_total'] ELSE [] END, [CASE outcome WHEN 'ok' THEN 'mapapi_bundle_ok_total' ELSE 'mapapi_bundle_cache_hit_total' END])
+        WHEN kind IN ('bundle1', 'bundle2', 'bundle3') AND outcome IN ('ok', 'cached') THEN list_concat(CASE kind WHEN 'bundle3' THEN ['mapapi_bundle_v3_total'] ELSE [] END, [CASE outcome WHEN 'ok' THEN 'mapapi_bundle_ok_total' ELSE 'mapapi_bundle_cache_hit_total' END])
         ELSE [] END) AS metric FROM answered) GROUP BY metric"""),
 }
-
-# Counters of a log that is only gated, as the stream counts them.
-GATED_COUNTERS = gated("""SELECT metric, count(*) AS value FROM (SELECT CASE WHEN outcome = 'blocked' THEN 'mapapi_' || kind || '_blocked_total' WHEN outcome = 'pass' THEN
-        CASE kind WHEN 'bundle3' THEN 'mapapi_bundle_v3_total' WHEN 'bundle2' THEN 'mapapi_bundle_ok_total' ELSE 'mapapi_' || kind || '_ok_total' END END AS metric FROM gated) WHERE metric IS NOT NULL GROUP BY metric""")

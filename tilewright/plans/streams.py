@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import requests as R
 from tilewright.plans import fixtures as X
-from tilewright.plans.requests import BURST, CODEC, DIGEST, GATED_COUNTERS, RATE, SQL as BATCH, VERSION
+from tilewright.plans.requests import BURST, CODEC, DIGEST, RATE, SQL as BATCH, VERSION, have
 from tilewright.sources.scratch import scratch_path
 from tilewright.streaming import requests as S
 
@@ -15,7 +15,7 @@ BATCHES = 3
 
 def _source(spark, d, path):
     """The request log as files in order of time, one to a micro-batch."""
-    log = X.requests(spark, d).withColumn("ts", F.timestamp_millis("ms"))
+    log = R.parse(X.request_log(spark, d)).withColumn("ts", F.timestamp_millis("ms"))
     bounds = log.agg(F.percentile_approx("ms", [i / BATCHES for i in range(1, BATCHES)])).first()[0]
     edges = [None, *bounds, None]
     for lo, hi in zip(edges, edges[1:], strict=False):
@@ -24,45 +24,43 @@ def _source(spark, d, path):
     return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
+def _table(spark, path, schema):
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+def _into(path):
+    """Each micro-batch is a folder of its own, so one that runs again replaces what it wrote."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n:06d}")
+
+
 def token_bucket_stream(spark, d):
     path = scratch_path(spark, "bucket")
-    out = S.token_bucket(_source(spark, d, path), RATE, BURST)
-    S.drain(out, path, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"))
-    return spark.read.parquet(f"{path}/out").select("client", "event_id", "allowed")
+    S.drain(S.token_bucket(_source(spark, d, path), RATE, BURST), path, _into(path))
+    return _table(spark, path, "client string, event_id long, allowed boolean")
 
 
 def bucket_eviction(spark, d):
-    """The same stream with idle state dropped after a full refill's time: no decision changes."""
+    """The same stream with idle clients dropped by event time: no decision changes."""
     path = scratch_path(spark, "evict")
-    out = S.token_bucket(_source(spark, d, path), RATE, BURST, ttl_ms=max(600_000, BURST // RATE))
-    S.drain(out, path, "append", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), timed=True)
-    return spark.read.parquet(f"{path}/out").select("client", "event_id", "allowed")
+    S.drain(S.token_bucket(_source(spark, d, path), RATE, BURST, ttl_ms=max(600_000, BURST // RATE)), path, _into(path))
+    return _table(spark, path, "client string, event_id long, allowed boolean")
 
 
 def request_counters_stream(spark, d):
     path = scratch_path(spark, "counters")
-    out = S.counters(_source(spark, d, path))
-    S.drain(out, path, "complete", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out"))
-    return spark.read.parquet(f"{path}/out")
+    S.drain(S.counters(_source(spark, d, path), have(spark, d), RATE, BURST), path, _into(path))
+    return _table(spark, path, "metric string, value long").groupBy("metric").agg(F.max("value").alias("value"))
 
 
 def build_queue_stream(spark, d):
-    """Keys built by idempotent micro-batches: a key that comes again after the watermark is dropped against the built ones."""
     path = scratch_path(spark, "queue")
-    schema = "key string, x10 long, y10 long, stage_zoom int, part int"
-
-    def build(df, n):
-        built = df.sparkSession.read.schema(schema).option("ignoreMissingFiles", "true").parquet(f"{path}/out") if n else df.sparkSession.createDataFrame([], schema)
-        new = df.drop("ts").join(built.select("key"), "key", "left_anti").dropDuplicates(["key"])
-        new.write.mode("overwrite").parquet(f"{path}/out/batch={n:06d}")
-
-    S.drain(S.build_queue(_source(spark, d, path), CODEC, VERSION, DIGEST), path, "append", build)
-    return spark.read.schema(schema).parquet(f"{path}/out").select("key", "x10", "y10", "stage_zoom", "part")
+    S.drain(S.build_queue(_source(spark, d, path), CODEC, VERSION, DIGEST), path, _into(path))
+    return _table(spark, path, "key string, x10 long, y10 long, stage_zoom int, part int")
 
 
 QUERIES = {f.__name__: f for f in (token_bucket_stream, bucket_eviction, request_counters_stream, build_queue_stream)}
 ASKED = BATCH["build_queue"].split("SELECT * FROM (SELECT DISTINCT")
 SQL = {
-    "token_bucket_stream": BATCH["token_bucket_batch"], "bucket_eviction": BATCH["token_bucket_batch"], "request_counters_stream": GATED_COUNTERS,
+    "token_bucket_stream": BATCH["token_bucket_batch"], "bucket_eviction": BATCH["token_bucket_batch"], "request_counters_stream": BATCH["request_counters"],
     "build_queue_stream": (ASKED[0] + "SELECT DISTINCT" + ASKED[1]).rsplit(") WHERE key NOT IN", 1)[0],
 }

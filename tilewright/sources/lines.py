@@ -1,12 +1,12 @@
-"""Sources that are read with a fixed shape: lines of text, and the request log, whole or as a stream."""
+"""Sources that are read with a fixed shape: lines of text, and the log of requests as they arrive, whole or as a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed shape of the request log.
-REQUESTS = "event_id long, client long, ms long, kind string, z string, x string, y string, has_query boolean"
+# Fixed shape of the request log: as requests arrive. body_length is that of the header, -1 for a body of unknown length.
+REQUESTS = "event_id long, ms long, peer string, method string, target string, body_length long"
 
 
 def names(spark: SparkSession, path: str, column: str = "name") -> DataFrame:

@@ -1,94 +1,152 @@
-"""Request streams: a stateful token bucket, running counters, and a queue of builds."""
+"""Request streams: a stateful token bucket, whole answers with running counters, and a queue of builds."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tilewright.operators import requests as R
 
 
 class TokenBucket(StatefulProcessor):
-    """The bucket of one client: tokens and clock. Rows of a micro-batch are taken in order of time.
+    """The bucket of one client: tokens and clock. Rows of a micro-batch are taken in order of time, and keep their columns.
 
-    State idle for longer than the time to live is dropped, which loses nothing as long as a full refill
-    takes no longer: init raises otherwise.
+    With a time to live, a timer of event time drops state that has been idle for longer, which loses nothing as
+    long as a full refill takes no longer: init raises otherwise.
     """
 
-    def __init__(self, rate: int, burst: int, ttl_ms: int | None):
+    def __init__(self, rate: int, burst: int, ttl_ms: int | None = None):
         if ttl_ms is not None and burst > rate * ttl_ms:
             raise ValueError("a dropped bucket would not have been full")
         self.rate, self.burst, self.ttl_ms = rate, burst, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens long, last long", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "tokens long, last long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(rows).sort_values(["ms", "event_id"], kind="stable")
-        tokens, last = self.state.get() if self.state.exists() else (self.burst, None)
-        allowed = []
-        for ms, cost in zip(frame["ms"].tolist(), frame["cost"].tolist(), strict=True):
-            if last is not None and ms > last:
-                tokens = min(self.burst, tokens + (ms - last) * self.rate)
-            last = ms if last is None else max(last, ms)
-            ok = tokens >= cost * R.UNIT
-            tokens -= cost * R.UNIT if ok else 0
-            allowed.append(ok)
-        self.state.update((int(tokens), int(last)))
-        yield pd.DataFrame({"client": frame["client"].to_numpy(), "event_id": frame["event_id"].to_numpy(), "allowed": allowed})
+        bucket = R.Bucket(self.rate, self.burst, *(self.state.get() if self.state.exists() else (self.burst, None)))
+        frame["allowed"] = [bucket.take(ms, cost) for ms, cost in zip(frame["ms"].tolist(), frame["cost"].tolist(), strict=True)]
+        self.state.update((int(bucket.tokens), int(bucket.last)))
+        if self.ttl_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int(bucket.last) + self.ttl_ms)
+        yield frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def token_bucket(stream: DataFrame, rate: int, burst: int, ttl_ms: int | None = None) -> DataFrame:
-    """client, event_id, allowed: as the batch fold when rows arrive in order of time.
+class FirstOfKey(StatefulProcessor):
+    """Says of each row whether its key has come before, in this micro-batch in order of time or in an earlier one."""
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). A time to live needs a
-    processing-time mode.
-    """
-    mode = "None" if ttl_ms is None else "ProcessingTime"
-    return stream.groupBy("client").transformWithStateInPandas(
-        statefulProcessor=TokenBucket(rate, burst, ttl_ms), outputStructType="client long, event_id long, allowed boolean", outputMode="Append", timeMode=mode
-    )
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(rows).sort_values(["ms", "event_id"], kind="stable")
+        frame["again"] = [True] * len(frame)
+        if not self.seen.exists():
+            frame.iloc[0, frame.columns.get_loc("again")] = False
+            self.seen.update((True,))
+        yield frame
 
-def counters(stream: DataFrame) -> DataFrame:
-    """Running counters by name; write in complete or update mode."""
-    return R.counters(R.gate(stream))
+    def close(self) -> None:
+        pass
 
 
-def build_queue(stream: DataFrame, codec: str, version: str, digest: str, delay: str = "10 minutes") -> DataFrame:
-    """Stages asked for, each key once within the watermark's delay. stream has a timestamp column ts."""
-    gated = R.gate(stream.withWatermark("ts", delay))
-    asked = R.stages_of(gated.where("kind = 'bundle3' and outcome = 'pass'"), 3)
-    key = R.G.representation_key(codec, F.lit(version), F.lit(digest), F.col("x"), F.col("y"), F.col("stage_zoom"), F.col("part").cast("string"), F.lit("stage"))
-    return asked.select("ts", key.alias("key"), F.col("x").alias("x10"), F.col("y").alias("y10"), "stage_zoom", "part").dropDuplicatesWithinWatermark(["key"])
+class RunningTotal(StatefulProcessor):
+    """The total of a metric after each micro-batch that adds to it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "value long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total = (self.total.get()[0] if self.total.exists() else 0) + sum(len(frame) for frame in rows)
+        self.total.update((total,))
+        yield pd.DataFrame({"metric": [key[0]], "value": [total]})
+
+    def close(self) -> None:
+        pass
 
 
-def drain(stream: DataFrame, path: str, mode: str, into: Callable[[DataFrame, int], None], timed: bool = False) -> None:
-    """Run a stream over all that is there now, with its checkpoint beside the output.
+def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time)
 
-    timed: state expires by processing time; such a query always has a next batch, so it is stopped once
-    all that is there has been processed.
+
+def ddl(stream: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def token_bucket(stream: DataFrame, rate: int, burst: int, ttl_ms: int | None = None, delay: str = "1 minute") -> DataFrame:
+    """client, event_id, allowed of a stream (client of any type, ms, event_id, cost): as the batch fold when rows arrive in order of time.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). With a time to live, idle clients are
+    dropped by event time, once the watermark (ms, `delay` behind) has passed it.
+    """
+    rows = stream.select("client", *[F.col(c).cast("long").alias(c) for c in ("ms", "event_id", "cost")])
+    if ttl_ms is not None:
+        rows = rows.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay)
+    out = keyed(rows, ["client"], TokenBucket(rate, burst, ttl_ms), f"{ddl(rows, rows.columns)}, allowed boolean", "None" if ttl_ms is None else "EventTime")
+    return out.select("client", "event_id", "allowed")
+
+
+def answered(stream: DataFrame, tiles: DataFrame, rate: int, burst: int, terrain_zoom: int | None = 12) -> DataFrame:
+    """(kind, outcome) of each request of a parsed stream, as operators.requests.answer() gives them: gate, bucket, tile, first of its kind.
+
+    The states are keyed by client and by bundle; rows that a step has settled wait for no later one.
     """
+    gated = R.gate(stream, terrain_zoom).withColumn("cost", F.coalesce(R.G.request_cost(F.col("kind"), F.col("z")), F.lit(0)))
+    gated = gated.select("client", "ms", "event_id", "kind", "z", "x", "y", "cost", "outcome")
+    # a refused request keeps its client, but pays nothing: cost 0 is always allowed
+    paid = gated.withColumn("cost", F.when(F.col("outcome") == R.G.PASS, F.col("cost")).otherwise(0).cast("long"))
+    paid = keyed(paid, ["client"], TokenBucket(rate, burst), f"{ddl(paid, paid.columns)}, allowed boolean")
+    have = tiles.where(F.octet_length("payload") > 0).select("z", "x", "y", F.lit(True).alias("_have")).distinct()
+    found = paid.join(have, ["z", "x", "y"], "left")
+    passed, raw = F.col("outcome") == R.G.PASS, F.col("kind").isin("coarse", "terrain")
+    given = F.when(~passed, F.col("outcome")).when(~F.col("allowed"), "limited").when(raw & F.col("_have").isNull(), "empty").otherwise("ok")
+    # bundles that were given meet by place; every other row is a place of its own
+    place = F.when((given == "ok") & ~raw & (F.col("kind") != "terrain_bundle"), F.concat_ws("/", "kind", "z", "x", "y")).otherwise(F.concat(F.lit("#"), F.col("event_id").cast("string"), F.lit("#"), F.col("ms").cast("string")))
+    rows = found.select("ms", "event_id", "kind", given.alias("outcome"), place.alias("place"))
+    settled = F.startswith("place", F.lit("#"))
+    first = keyed(rows.where(~settled), ["place"], FirstOfKey(), f"{ddl(rows, rows.columns)}, again boolean")
+    bundles = first.select("kind", F.when(F.col("again"), "cached").otherwise(F.col("outcome")).alias("outcome"))
+    return bundles.unionByName(rows.where(settled).select("kind", "outcome"))
+
+
+def counters(stream: DataFrame, tiles: DataFrame, rate: int, burst: int) -> DataFrame:
+    """metric, value: the totals of all counters a micro-batch adds to, in append mode; the largest value of a metric is its last."""
+    metrics = R.metrics(answered(stream, tiles, rate, burst))
+    return keyed(metrics, ["metric"], RunningTotal(), "metric string, value long")
+
+
+def build_queue(stream: DataFrame, codec: str, version: str, digest: str) -> DataFrame:
+    """Stages asked for by a parsed stream, each key once for all time: what is built is state, keyed by the representation."""
+    asked = R.stages_of(R.gate(stream).where("kind = 'bundle3' and outcome = 'pass'"), 3)
+    key = R.G.representation_key(codec, F.lit(version), F.lit(digest), F.col("x"), F.col("y"), F.col("stage_zoom"), F.col("part").cast("string"), F.lit("stage"))
+    asked = asked.select("ms", "event_id", key.alias("key"), F.col("x").alias("x10"), F.col("y").alias("y10"), "stage_zoom", "part")
+    return keyed(asked, ["key"], FirstOfKey(), f"{ddl(asked, asked.columns)}, again boolean").where("not again").select("key", "x10", "y10", "stage_zoom", "part")
+
+
+def drain(stream: DataFrame, path: str, into: Callable[[DataFrame, int], None], checkpoint: str = "checkpoint") -> StreamingQuery:
+    """Run a stream over all that is there now, with its checkpoint beside the output. Returns the query, ended."""
     spark = stream.sparkSession
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        writer = stream.writeStream.outputMode(mode).foreachBatch(into).option("checkpointLocation", f"{path}/checkpoint")
-        if timed:
-            query = writer.start()
-            while query.isActive and (not query.lastProgress or query.lastProgress["numInputRows"] > 0):
-                time.sleep(0.5)
-            query.stop()
-        else:
-            writer.trigger(availableNow=True).start().awaitTermination()
+        query = stream.writeStream.outputMode("append").foreachBatch(into).option("checkpointLocation", f"{path}/{checkpoint}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
     finally:
         if kept is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
