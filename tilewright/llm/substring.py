@@ -26,28 +26,59 @@ class FingerprintIndex:
     An entry is (fingerprint, chunk of documents, number of unlike pieces and whether the chunk holds it
     more than once). Adding a batch merge-joins its entries with every run, reports the chunks, old and new,
     that share a fingerprint, and writes the batch as a new run; `fanout` runs of a level are merged into
-    one of the next. save() names the runs in a manifest, from which open() goes on in another session.
+    one of the next. save() names the runs in a manifest, from which open() goes on in another session; from then on
+    each batch ends with a new version of the manifest, and merged runs are deleted only after it. So a job lost
+    at any time leaves an index that opens, as it was before or after the batch. One session writes at a time.
     """
 
     def __init__(self, spark: SparkSession, buckets: int, bits: int = anchors.CHUNK_BITS, fanout: int = 2, hot: int = anchors.HOT):
         self.spark, self.buckets, self.bits, self.fanout, self.hot = spark, buckets, bits, fanout, hot
         self.runs: list[tuple[int, DataFrame]] = []
+        self.retired: list[DataFrame] = []
+        self.manifest, self.version = None, 0
+        self.last: int | None = None  # the largest doc_id
 
     def save(self, path: str) -> None:
-        """Write the manifest: a row for each run, with the index's parameters."""
-        rows = [(n, r.inputFiles()[0].rsplit("/", 1)[0], self.buckets, self.bits, self.fanout, self.hot) for n, r in self.runs]
-        self.spark.createDataFrame(rows, "level int, path string, buckets int, bits int, fanout int, hot int").coalesce(1).write.mode("overwrite").parquet(path)
+        """Write the manifest, a row for each run with the index's parameters, as the next version under path."""
+        self.version = self.version + 1 if path == self.manifest else max(self.versions(self.spark, path), default=0) + 1
+        self.manifest = path
+        rows = [(n, r.inputFiles()[0].rsplit("/", 1)[0], self.last, self.buckets, self.bits, self.fanout, self.hot) for n, r in self.runs]
+        rows = rows or [(None, None, self.last, self.buckets, self.bits, self.fanout, self.hot)]
+        self.spark.createDataFrame(rows, "level int, path string, last long, buckets int, bits int, fanout int, hot int").coalesce(1).write.parquet(f"{path}/version={self.version}")
+        self.clean()
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions of a manifest that were written to their end."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return [int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
-        rows = spark.read.parquet(path).collect()
-        out = cls(spark, *rows[0][2:])
-        out.runs = [(r["level"], spark.read.schema(RUN).parquet(r["path"])) for r in rows]
+        version = max(cls.versions(spark, path))
+        rows = spark.read.parquet(f"{path}/version={version}").collect()
+        out = cls(spark, *rows[0][3:])
+        out.runs = [(r["level"], spark.read.schema(RUN).parquet(r["path"])) for r in rows if r["path"]]
+        out.manifest, out.version, out.last = path, version, rows[0]["last"]
         return out
 
+    def clean(self) -> None:
+        """Delete runs that were merged into others and that the manifest, if there is one, no longer names."""
+        for r in self.retired:
+            drop_scratch(r)
+        self.retired = []
+
     def add(self, docs: DataFrame) -> DataFrame:
-        """Index a batch of documents; returns HITS: fingerprints that became shared."""
+        """Index a batch of documents; returns HITS: fingerprints that became shared.
+
+        Its doc_ids must follow those indexed before, and start a new chunk: ValueError otherwise.
+        """
         limit = self.hot
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.last is not None and low >> self.bits <= self.last >> self.bits:
+            raise ValueError(f"doc_id {low} does not follow the chunk of {self.last}")
         posts = anchors.post(docs, anchors.word_runs, self.buckets, within=False, bits=self.bits)
         past = None
         for _, run in self.runs:
@@ -76,7 +107,7 @@ class FingerprintIndex:
             n, made = len(found), int(len(keys) > 0)
             null, bucket = [None] * n, [new["bucket"][0].as_py()] * made if made else []
             return pa.table({
-                "kind": pa.array(["hit"] * n + ["run"] * made), "bucket": pa.array(null + bucket, pa.int32()),
+                "kind": pa.array(["hit"] * n + ["run"] * made, pa.string()), "bucket": pa.array(null + bucket, pa.int32()),
                 "chunk": pa.array([c for c, _, _ in found] + [None] * made, pa.int64()), "keys": pa.array([k for _, k, _ in found] + [keys.tobytes()] * made, pa.binary()),
                 "hot": pa.array([h for _, _, h in found] + [None] * made, pa.binary()), "chunks": pa.array(null + [chunks.tobytes()] * made, pa.binary()), "many": pa.array(null + [many.tobytes()] * made, pa.binary()),
             })
@@ -85,9 +116,13 @@ class FingerprintIndex:
         posts.groupBy("bucket").cogroup(past.groupBy("bucket")).applyInArrow(merge, MERGED).write.partitionBy("kind").option("compression", "zstd").parquet(path)
         kinds = {r["kind"] for r in self.spark.read.schema(MERGED).parquet(path).select("kind").distinct().collect()}
         read = lambda kind, schema: self.spark.read.schema(schema).parquet(f"{path}/kind={kind}") if kind in kinds else self.spark.createDataFrame([], schema)
+        self.last = self.last if high is None else high
         if "run" in kinds:
             self.runs.append((0, read("run", RUN)))
             self.compact()
+        if self.manifest:
+            self.save(self.manifest)
+        self.clean()
         return read("hit", anchors.HITS)
 
     def compact(self) -> None:
@@ -105,8 +140,7 @@ class FingerprintIndex:
             path = scratch_path(self.spark, "index")
             merged = every.groupBy("bucket").applyInArrow(merge, every.schema)
             merged.write.option("compression", "zstd").parquet(path)
-            for r in mine:
-                drop_scratch(r)
+            self.retired += mine
             self.runs = [(n, r) for n, r in self.runs if n != level] + [(level + 1, self.spark.read.schema(every.schema).parquet(path))]
             level += 1
 

@@ -58,10 +58,10 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs: int = 4, least_docs: int = 3, importance: float = 5.0, max_bytes: int = 512 << 20) -> dict[str, np.ndarray]:
     """Sparse weights {"at", "w"} from the labelled documents.
 
-    labels has doc_id and toxic (rows with a null in either are left out). At most max_per_class rows of
-    each class, those of the smallest hash of doc_id, are learnt from, and of those as many, in the same
-    order, as have max_bytes of features (four bytes each) in all: the documented bounds on what is
-    broadcast and on the one task that learns. Without labels of both classes all weights are 0. Features in fewer than least_docs of them are left out;
+    labels has doc_id and toxic (rows with a null in either are left out). The documents of at most max_per_class
+    labels of each class, those of the smallest hash of doc_id, are learnt from; equal rows are one row, and of
+    all these rows at most 2 * max_per_class are taken, in the order of their hashes, as long as they have max_bytes of
+    features (four bytes each) in all: the documented bounds on what is broadcast and on the one task that learns. Without labels of both classes all weights are 0. Features in fewer than least_docs of them are left out;
     toxic rows count `importance` times.
     """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -77,13 +77,15 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 8_000, epochs
             blobs = [np.unique(features(t)).astype(np.uint32).tobytes() for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(blobs, pa.binary())], ["doc_id", "y", "at"])
 
-    data = materialise(rows.mapInArrow(featurise, "doc_id long, y int, at binary"), "features")
-    # a window over 2 * max_per_class rows of sizes at most
-    sizes = data.select("doc_id", "y", F.octet_length("at").alias("_n")).distinct()
-    taken = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id", "_n"))
+    # equal rows are one; of unlike rows under one doc_id, as many as of doc_ids at most
+    data = rows.mapInArrow(featurise, "doc_id long, y int, at binary").distinct()
+    data = materialise(data.withColumn("row", F.xxhash64("doc_id", "y", "at")), "features")
+    sizes = data.select("row", F.octet_length("at").alias("_n")).distinct().orderBy("row", "_n").limit(2 * max_per_class)
+    taken = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("row", "_n"))
     within = sizes.withColumn("_taken", taken).where(F.col("_taken") <= max_bytes)
-    if within.count() < sizes.count():
-        data = data.join(F.broadcast(within.select("doc_id").distinct()), "doc_id", "left_semi")
+    if within.count() < data.count():
+        data = data.join(F.broadcast(within.select(F.col("row").alias("_row"), "_n")), (F.col("row") == F.col("_row")) & (F.octet_length("at") == F.col("_n")), "left_semi")
+    data = data.select("doc_id", "y", "at")
 
     def learn(table: pa.Table) -> pa.Table:
         model = Ftrl()
