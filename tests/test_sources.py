@@ -19,7 +19,7 @@ def test_names_of_a_listing(spark, tmp_path):
 
 def test_request_log_whole_and_as_a_stream(spark):
     path = scratch_path(spark, "log")
-    spark.createDataFrame([(1, 2, 3, "coarse", "8", "1", "1", False, "more")], lines.REQUESTS + ", other string").write.parquet(path)
+    spark.createDataFrame([(1, 2, "10.0.0.1:80", "GET", "/planet/8/1/1", 0, "more")], lines.REQUESTS + ", other string").write.parquet(path)
     whole, stream = lines.request_log(spark, path), lines.request_log(spark, path, stream=True)
     assert stream.isStreaming and whole.schema == stream.schema and whole.count() == 1 and "other" not in whole.columns
 

@@ -134,7 +134,7 @@ def test_one_busy_client_is_folded_as_a_stream(spark):
 
 def test_refused_requests_and_empty_tiles(spark):
     log = [(i, 1, 1_000 + i, "coarse", "5", "1", "1", False) for i in range(4)] + [(4, 1, 1_004, "coarse", "11", "9", "9", False), (5, 2, 1_000, "bundle2", "11", "1", "1", False), (6, 2, 1_001, "bundle2", "11", "1", "1", False), (7, 3, 1_000, "coarse", "5", "2", "2", False)]
-    requests = spark.createDataFrame(log, "event_id long, client long, ms long, kind string, z string, x string, y string, has_query boolean")
+    requests = spark.createDataFrame(log, "event_id long, client long, ms long, kind string, z string, x string, y string, extra boolean")
     tiles = spark.createDataFrame([(5, 1, 1, b"x")], "z int, x long, y long, payload binary")
     out = {r["event_id"]: (r["outcome"], r["status"]) for r in R.answer(requests, tiles, 0, 4 * R.UNIT - 1 + 1).collect()}
     assert [out[i] for i in range(4)] == [("ok", 200)] * 4 and out[4] == ("blocked", 404)

@@ -31,21 +31,65 @@ def run_length_directory(tiles: DataFrame) -> DataFrame:
     return parts.where(~(low | high)).select("tile_id", "run", "length", "digest").unionByName(joined.select("tile_id", "run", "length", "digest"))
 
 
-def expand_runs(directory: DataFrame) -> DataFrame:
-    return directory.withColumn("tile_id", F.explode(F.sequence("tile_id", F.col("tile_id") + F.col("run") - 1)))
+def pieces(directory: DataFrame, bits: int) -> DataFrame:
+    """Each entry cut at the borders of ranges of 2^bits ids: _low and _high (both in it) of each piece, with the entry's columns.
+
+    Long runs are cut first at the borders of ranges of 2^(bits + 16), so a row gives 65,536 pieces at most and a
+    run of any length is dealt out in between.
+    """
+    cols = directory.columns
+    out = directory.select(*cols, F.col("tile_id").alias("_low"), (F.col("tile_id") + F.col("run") - 1).alias("_high"))
+    for width in (bits + 16, bits):
+        piece = F.explode(F.sequence(F.shiftright("_low", width), F.shiftright("_high", width)))
+        edge = F.shiftleft(F.col("_k"), width)
+        out = out.withColumn("_k", piece).select(*cols, F.greatest("_low", edge).alias("_low"), F.least("_high", edge + (1 << width) - 1).alias("_high"))
+        if width > bits:
+            out = out.repartition(*cols, "_low")
+    return out
+
+
+def expand_runs(directory: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
+    """A row for each id of each entry. Runs are cut at range borders and dealt out before they are expanded."""
+    rest = [c for c in directory.columns if c != "tile_id"]
+    cut = pieces(directory.where("run > 0"), bits)
+    return cut.select(F.explode(F.sequence("_low", "_high")).alias("tile_id"), *rest).select(directory.columns)
+
+
+def dyadic_cover(directory: DataFrame) -> DataFrame:
+    """Each entry as dyadic intervals: _level and _node (the ids from _node * 2^_level on, 2^_level of them); at most two of a level.
+
+    The interval is eaten up from both ends: an odd start, or an end that leaves the first half of its parent, is a node
+    of its level; what is left goes on with the parents.
+    """
+    step = lambda acc, k: F.struct(
+        F.shiftright(acc["lo"] + 1, 1).alias("lo"), F.shiftright(acc["hi"], 1).alias("hi"),
+        F.concat(
+            acc["out"],
+            F.when((acc["lo"] < acc["hi"]) & (acc["lo"] % 2 == 1), F.array(F.struct(k.cast("int").alias("level"), acc["lo"].alias("node")))).otherwise(none),
+            F.when((acc["lo"] + acc["lo"] % 2 < acc["hi"]) & (acc["hi"] % 2 == 1), F.array(F.struct(k.cast("int").alias("level"), (acc["hi"] - 1).alias("node")))).otherwise(none),
+        ).alias("out"),
+    )
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    start = F.struct(F.col("tile_id").alias("lo"), (F.col("tile_id") + F.col("run")).alias("hi"), none.alias("out"))
+    # no level above the length of the run has a node
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("run").cast("double"))).cast("int"))
+    nodes = F.aggregate(levels, start, step, lambda acc: acc["out"])
+    return directory.where("run > 0").withColumn("_n", F.explode(nodes)).select(*directory.columns, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node"))
 
 
-def lookup(ids: DataFrame, directory: DataFrame, bits: int = 6) -> DataFrame:
+def lookup(ids: DataFrame, directory: DataFrame) -> DataFrame:
     """ids (tile_id) with the entry that holds them (null where none does).
 
-    Entries are posted under every bucket of 2^bits ids they touch and joined by bucket, so no join
-    compares all ids with all entries.
+    Entries are posted under the nodes of their dyadic cover, which grow as the logarithm of a run; an id asks for its
+    ancestor at each level that some entry has. A join of equal keys: no id meets an entry that does not hold it.
     """
-    first, last = F.shiftright("start", bits), F.shiftright(F.col("start") + F.col("run") - 1, bits)
-    posted = directory.withColumnRenamed("tile_id", "start").withColumn("_b", F.explode(F.sequence(first, last)))
-    keyed = ids.withColumn("_b", F.shiftright("tile_id", bits))
-    hit = (keyed["_b"] == posted["_b"]) & (posted["start"] <= keyed["tile_id"]) & (keyed["tile_id"] < posted["start"] + posted["run"])
-    return keyed.join(posted, hit, "left").select(*[keyed[c] for c in ids.columns], "start", "run", "length", "digest")
+    entries = commit(dyadic_cover(directory.select(F.col("tile_id"), "run", "length", "digest")), "cover")
+    levels = [r["_level"] for r in entries.select("_level").distinct().collect()]  # 63 rows at most
+    rows = commit(ids.withColumn("_row", F.monotonically_increasing_id()), "asked")
+    asked = rows.select("_row", "tile_id", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>")).alias("_level"))
+    asked = asked.select("_row", "_level", F.expr("shiftright(tile_id, _level)").alias("_node"))
+    hit = asked.join(entries.select("_level", "_node", F.col("tile_id").alias("start"), "run", "length", "digest"), ["_level", "_node"]).drop("_level", "_node")
+    return rows.join(hit, "_row", "left").drop("_row")
 
 
 def audit(directory: DataFrame, section: int) -> DataFrame:

@@ -25,7 +25,7 @@ def _source(spark, d, path):
 
 
 def _table(spark, path, schema):
-    return spark.read.schema(schema).parquet(f"{path}/out")
+    return spark.read.schema(schema).parquet(f"{path}/out").drop("batch")
 
 
 def _into(path):
