@@ -76,3 +76,32 @@ def test_many_matches_and_columns_of_any_name(spark):
     assert out[2][1:] == (None,) * 7
     base = secrets.scan_secrets(docs).where("doc_id = 1").first()["base"]
     assert [(b["start"], b["end"]) for b in base] == [(35 * k, 35 * k + 17) for k in range(2_000)]
+
+
+STYLES = {
+    "capitals": lambda r, w: "_".join(x.upper() for x in r.sample(w, r.randrange(3, 6))), "snake": lambda r, w: "_".join(x.lower() for x in r.sample(w, r.randrange(3, 7))),
+    "camel": lambda r, w: "".join(x.capitalize() for x in r.sample(w, r.randrange(3, 7))), "path": lambda r, w: "/".join([*(x.lower() for x in r.sample(w, r.randrange(3, 6))), f"v{r.randrange(9)}"]),
+    "numbered": lambda r, w: "-".join([*(x.lower() for x in r.sample(w, r.randrange(3, 6))), str(r.randrange(10, 2030))]),
+}
+WORDS = (
+    "maximum index buffer length default timeout handler request session cookie filter window element context factory visible screen height margin padding border quality export import legacy version"
+    " schema column vector matrix pixel kernel worker thread queue mutex socket proxy strasse zwischen gesellschaft wirklich zeitung schluessel quelque toujours beaucoup aujourdhui ventana izquierda quizas ejemplo"
+).split()
+
+
+@pytest.mark.parametrize("half", [True, False])
+def test_plain_tokens_of_every_style(spark, half):
+    """Under 5% of the reported are plain tokens if half of all are random, of each style; if none is, none is reported."""
+    r, rows = random.Random(12), []
+    for style, made in STYLES.items():
+        tokens = [t for t in (made(r, WORDS) for _ in range(700)) if len(t) >= 20][:400]
+        rows += [(style, False, t) for t in tokens]
+        rows += [(style, True, "".join(r.choice(BASE62) for _ in t)) for t in tokens] if half else []
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, style string, secret boolean, text string")
+    hit = [x for x in secrets.scan_secrets(docs, ["doc_id", "style", "secret"]).collect() if any(s["kind"] == 3 for s in x["spans"])]
+    if not half:
+        assert hit == []
+        return
+    for style in STYLES:
+        false, true = (sum(x["style"] == style and x["secret"] == k for x in hit) for k in (False, True))
+        assert false <= 0.05 * (false + true) and true >= 0.8 * sum(x[0] == style and x[1] for x in rows), (style, false, true)
