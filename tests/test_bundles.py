@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import vector_tile as V
 from tilewright.operators import bundles as B
+from tilewright.operators import landcover
 from tilewright.sources import archive
 
 SCHEMA = "x10 long, y10 long, zoom int, slot long, payload binary"
@@ -79,7 +80,7 @@ def test_split_and_join():
     assert [n for n, _, _ in V.layers(structure)] == ["building", "transportation"] and [n for n, _, _ in V.layers(labels)] == ["poi", "housenumber"]
     assert sorted(r for _, _, r in V.layers(structure) + V.layers(labels)) == sorted(r for _, _, r in V.layers(tile))
     assert V.split(V.encode_layer("poi", []))[0] is None and V.split(b"") == (None, None)
-    assert V.attributes(V.layers(tile)[0][1]) == [{"class": "a"}]
+    assert [f[0] for f in V.features(V.layers(tile)[0][1])] == [{"class": "a"}]
 
 
 MALFORMED = [
@@ -114,3 +115,41 @@ def test_metadata_of_archives():
     assert archive.described('{"name":"Planet OpenMapTiles","vector_layers":[]}') == ("openmaptiles", True)
     assert archive.described('{"name":"Hills","vector_layers":null}') == ("hills", False)
     assert archive.described("") == archive.described('["openmaptiles"]') == archive.described('{"name":3}') == ("", False)
+
+
+def test_sizes_come_from_drawing_commands():
+    assert V.measure(V.square(32, 4)) == (4, 1024.0) and V.measure(V.square(32, 9)) == (9, 1024.0) and V.measure(b"") == (0, 0.0)
+    z = V.zigzag
+    hole = [9, z(8), z(8), 26, z(0), z(8), z(8), z(0), z(0), z(-8), 15]  # the other way round, from the last point (0, 32)
+    ring = b"".join(V.put_varint(v) for v in [9, 0, 0, 26, z(32), 0, 0, z(32), z(-32), 0, 15, *hole])
+    assert V.measure(ring) == (8, 1024.0 - 64.0)
+    for bad in (b"\x09", b"\x09\x00", b"\x0c\x00\x00", b"\x01", b"\xff"):
+        with pytest.raises(ValueError):
+            V.measure(bad)
+    layer = V.layers(V.encode_layer("landcover", [{"class": "wood"}, {}], geometries=[V.square(160, 5), V.square(0, 4)]))[0][1]
+    assert V.features(layer) == [({"class": "wood"}, 3, 5, 10.0), ({}, 3, 4, 0.0)]
+
+
+def test_damaged_bytes_are_rows_with_errors(spark):
+    good = V.encode_layer("landcover", [{"class": "wood"}], geometries=[V.square(16, 4)])
+    bad = [
+        good[:-1], b"\x1a\x02\x0a", b"\x18\x01", b"\x1a\x00", b"\xff" * 11, gzip.compress(good)[:-3], b"\x1f\x8bxx", V.message(3, V.message(1, b"landcover") + V.message(2, V.message(2, b"\x00\x07") + b"\x18\x03")),
+        V.message(3, V.message(1, b"landcover") + V.message(2, b"\x18\x03" + V.message(4, b"\x09"))), V.message(3, V.message(1, b"landcover") + b"\x10\x01"),
+    ]
+    tiles = spark.createDataFrame([(9, k, 0, p) for k, p in enumerate([good, gzip.compress(good), None, b"", *bad])], "z int, x long, y long, payload binary")
+    rows = {r["x"]: r for r in B.explode_features(tiles, "landcover").collect()}
+    assert rows[0]["pixels"] == rows[1]["pixels"] == 1.0 and rows[0]["attributes"] == {"class": "wood"} and not {2, 3} & set(rows)
+    assert all(rows[4 + k]["error"] and rows[4 + k]["attributes"] is None for k in range(len(bad)))
+    stored = spark.createDataFrame([(k, p, True) for k, p in enumerate([gzip.compress(b"abc"), b"no gzip", b"\x1f\x8b", gzip.compress(b"")[:-1] + b"\0" * 5])], "x long, payload binary, gzipped boolean")
+    assert {r["x"]: (r["payload"] is not None, r["error"] is not None) for r in B.gzip_entries(stored).collect()} == {0: (True, False), 1: (False, True), 2: (False, True), 3: (False, True)}
+    body = B.assemble(spark.createDataFrame([(1, 2, 11, k, b"x") for k in range(4)], "x10 long, y10 long, zoom int, slot long, payload binary")).first()["body"]
+    bodies = spark.createDataFrame([(1, 2, 11, body), (1, 3, 11, body), (1, 2, 11, body[:-1]), (1, 2, 11, None)], "x10 long, y10 long, zoom int, body binary")
+    out = B.explode_bodies(bodies).collect()
+    assert [r["slot"] for r in out if not r["error"]] == [0, 1, 2, 3] and sum(r["error"] is not None for r in out) == 3
+
+
+def test_drawn_woods_merge_as_zooms_say(spark):
+    rows = [(z, 0, 0, {"subclass": s, "class": "c", "source": "osm"}, p, 9) for z in (4, 5, 6, 7, 9, 12) for s in ("dune", "wood") for p in (48, 301)]
+    drawn = B.draw_tiles(spark.createDataFrame(rows, "z int, x long, y long, attributes map<string,string>, points long, pixels long"), "landcover")
+    got = {(r["z"], r["subclass"], r["parts"]) for r in landcover.merge(landcover.of_tiles(B.explode_features(drawn, "landcover"))).collect()}
+    assert {(z, s, 2) for z in (5, 6, 7) for s in ("dune", "wood")} | {(z, s, 1) for z in (4, 9, 12) for s in ("dune", "wood")} == got

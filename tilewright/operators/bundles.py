@@ -10,9 +10,11 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions import addressing as A
 from tilewright.functions import vector_tile as V
+from tilewright.functions.inflate import MAGIC, inflate
 
 # Fixed values of the bundle format.
 HEADER, MOST_BYTES, NONE = 20, 64 << 20, "FFFFFFFF"
@@ -70,20 +72,36 @@ def completeness(entries: DataFrame) -> DataFrame:
 
 
 def gzip_entries(tiles: DataFrame) -> DataFrame:
-    """tiles with payload as one gzip member (no time, default level); stored gzip stays; nothing inside is null."""
+    """tiles with payload as one gzip member (no time, default level); stored gzip stays; nothing inside is null.
+
+    Adds error: a stored payload that is no whole gzip member within a tile's bound is null, and says why.
+    """
+    whole = T.StructType([*tiles.schema.fields, T.StructField("error", T.StringType())])
+
+    def member(p: bytes | None, stored: bool) -> bytes | None:
+        if not p or not stored:
+            return gzip.compress(p, mtime=0) if p else None
+        if p[:2] != MAGIC or len(p) < 18:
+            raise ValueError("stored payload is not gzip")
+        # only a member that says it is empty has to be looked into
+        return None if p[-4:] == b"\0\0\0\0" and not inflate(p, V.MOST_BYTES) else p
 
     def run(batches):
         for b in batches:
-            out = []
+            out, errors = [], []
             for p, stored in zip(b.column("payload").to_pylist(), b.column("gzipped").to_pylist(), strict=True):
-                if not p or (stored and p[-4:] == b"\0\0\0\0" and not gzip.decompress(p)):
-                    out.append(None)
-                else:
-                    out.append(p if stored else gzip.compress(p, mtime=0))
-            at = b.schema.get_field_index("payload")
-            yield b.set_column(at, "payload", pa.array(out, pa.binary())).set_column(b.schema.get_field_index("gzipped"), "gzipped", pa.array([True] * len(out)))
+                packed, error = None, None
+                try:
+                    packed = member(p, stored)
+                except ValueError as e:
+                    error = str(e)
+                out.append(packed)
+                errors.append(error)
+            b = b.set_column(b.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
+            b = b.set_column(b.schema.get_field_index("gzipped"), "gzipped", pa.array([True] * len(out), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(errors, pa.string())], names=[*b.schema.names, "error"])
 
-    return tiles.mapInArrow(run, tiles.schema)
+    return tiles.mapInArrow(run, whole)
 
 
 def split_tiles(tiles: DataFrame) -> DataFrame:
@@ -263,18 +281,26 @@ def explode_streams(streams: DataFrame, column: str = "stream") -> DataFrame:
 
 
 def explode_bodies(bodies: DataFrame) -> DataFrame:
-    """Entries of bundle bodies (x10, y10, zoom, body): x10, y10, zoom, slot, payload, gzip members inflated."""
+    """Entries of bundle bodies (x10, y10, zoom, body): x10, y10, zoom, slot, payload (gzip members inflated), error.
+
+    A body that is not the anchor's bundle gives one row with an error, and none of its entries.
+    """
 
     def run(batches):
-        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("zoom", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("x10", pa.int64()), ("y10", pa.int64()), ("zoom", pa.int32()), ("slot", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
         for b in batches:
             for x, y, zoom, body in zip(*[b.column(c) for c in ("x10", "y10", "zoom", "body")], strict=True):
-                body = body.as_py() or b""
-                rows = [whole_member(e) if body[7] & GZIP_ENTRIES and e else e for e in check_body(body, x.as_py(), y.as_py(), zoom.as_py(), body[7] if len(body) > 7 else 0)]
+                body, slots, error = body.as_py() or b"", [None], None
+                try:
+                    flags = body[7] if len(body) > 7 else 0
+                    rows = [whole_member(e) if flags & GZIP_ENTRIES and e else e for e in check_body(body, x.as_py(), y.as_py(), zoom.as_py(), flags)]
+                    slots = list(range(len(rows)))
+                except ValueError as e:
+                    rows, error = [None], str(e)
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int64()), pa.array([zoom.as_py()] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(rows, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * n, pa.int64()), pa.array([y.as_py()] * n, pa.int64()), pa.array([zoom.as_py()] * n, pa.int32()), pa.array(slots, pa.int64()), pa.array(rows, pa.binary()), pa.array([error] * n, pa.string())], schema=schema)
 
-    return bodies.select("x10", "y10", F.col("zoom").cast("int").alias("zoom"), "body").mapInArrow(run, "x10 long, y10 long, zoom int, slot long, payload binary")
+    return bodies.select("x10", "y10", F.col("zoom").cast("int").alias("zoom"), "body").mapInArrow(run, "x10 long, y10 long, zoom int, slot long, payload binary, error string")
 
 
 def explode_layers(tiles: DataFrame) -> DataFrame:
@@ -297,17 +323,25 @@ def explode_layers(tiles: DataFrame) -> DataFrame:
 
 
 def explode_features(tiles: DataFrame, layer: str) -> DataFrame:
-    """Attributes of the features of one layer: z, x, y, ord, attributes; no geometry is read."""
+    """Features of one layer: z, x, y, ord, attributes, points, pixels (square root of the area), error.
+
+    A tile that is malformed anywhere, also in another layer, gives one row with an error and none of its features.
+    """
 
     def run(batches):
+        kinds = [("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("ord", pa.int32()), ("attributes", pa.map_(pa.string(), pa.string())), ("points", pa.int64()), ("pixels", pa.float64()), ("error", pa.string())]
         for b in batches:
             rows = []
             for z, x, y, p in zip(*[b.column(c).to_pylist() for c in ("z", "x", "y", "payload")], strict=True):
-                found = [f for n, v, _ in (V.layers(V.plain(p)) if p else []) if n == layer for f in V.attributes(v)]
-                rows += [{"z": z, "x": x, "y": y, "ord": k, "attributes": list(f.items())} for k, f in enumerate(found)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("ord", pa.int32()), ("attributes", pa.map_(pa.string(), pa.string()))]))
+                at = {"z": z, "x": x, "y": y}
+                try:
+                    found = [f for n, v, _ in (V.layers(V.plain(p)) if p else []) if n == layer for f in V.features(v)]
+                    rows += [{**at, "ord": k, "attributes": list(f.items()), "points": points, "pixels": pixels} for k, (f, _, points, pixels) in enumerate(found)]
+                except ValueError as e:
+                    rows.append({**at, "error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
-    return tiles.select("z", "x", "y", "payload").mapInArrow(run, "z int, x long, y long, ord int, attributes map<string,string>")
+    return tiles.select("z", "x", "y", "payload").mapInArrow(run, "z int, x long, y long, ord int, attributes map<string,string>, points long, pixels double, error string")
 
 
 def encode_tiles(rows: DataFrame) -> DataFrame:
@@ -327,3 +361,15 @@ def encode_tiles(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("z").cast(pa.int32()), b.column("x"), b.column("y"), pa.array(out, pa.binary()), pa.array([False] * len(out))], ["z", "x", "y", "payload", "gzipped"])
 
     return tiles.mapInArrow(build, "z int, x long, y long, payload binary, gzipped boolean")
+
+
+def draw_tiles(features: DataFrame, layer: str) -> DataFrame:
+    """Vector tiles of one layer from (z, x, y, attributes, points, pixels): each feature a square of so many pixels and points."""
+    tiles = features.groupBy("z", "x", "y").agg(F.collect_list(F.struct(F.map_filter("attributes", lambda _, v: v.isNotNull()).alias("attributes"), "points", "pixels")).alias("parts"))
+
+    def build(batches):
+        for b in batches:
+            out = [V.encode_layer(layer, [dict(p["attributes"]) for p in parts], geometries=[V.square(16 * p["pixels"], p["points"]) for p in parts]) for parts in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("z").cast(pa.int32()), b.column("x"), b.column("y"), pa.array(out, pa.binary()), pa.array([False] * len(out))], ["z", "x", "y", "payload", "gzipped"])
+
+    return tiles.mapInArrow(build, "z int, x long, y long, payload binary, gzipped boolean")

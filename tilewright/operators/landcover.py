@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def of_tiles(exploded: DataFrame) -> DataFrame:
+    """Features (z, x, y, class, subclass, source, points, pixels) of rows of bundles.explode_features(), points and size from their geometry.
+
+    Rows with an error are left out; a feature without a source is the map's ("osm").
+    """
+    value = lambda k: F.try_element_at("attributes", F.lit(k))
+    return exploded.where("error is null").select("z", "x", "y", value("class").alias("class"), value("subclass").alias("subclass"), F.coalesce(value("source"), F.lit("osm")).alias("source"), "points", "pixels")
+
+
 def counts(features: DataFrame) -> DataFrame:
     return features.groupBy("z", "x", "y", F.coalesce("class", F.lit("")).alias("class")).agg(F.count("*").alias("features"))
 

@@ -60,7 +60,7 @@ def payload_digest(spark, d):
 def bundle_assemble_gzip(spark, d):
     """Bundles of gzip members; what they hold, inflated and assembled again, as their bytes depend on the library."""
     packed = B.assemble(B.complete(anchors(spark, d), B.gzip_entries(tiles(spark, d).select("z", "x", "y", "payload", "gzipped"))), flags=1)
-    out = B.assemble(B.explode_bodies(packed))
+    out = B.assemble(B.explode_bodies(packed).where("error is null"))
     return out.select("x10", "y10", "zoom", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("digest"))
 
 
@@ -163,7 +163,7 @@ def compression_report(spark, d):
 
 def explode_landcover(spark, d):
     t = B.encode_tiles(landcover(spark, d).withColumn("layer", F.lit("landcover")).withColumn("bytes", F.lit(0).cast("long")))
-    return B.explode_features(t, "landcover").groupBy("z", "x", "y", F.coalesce(F.col("attributes")["class"], F.lit("")).alias("class")).agg(F.count("*").alias("features"))
+    return B.explode_features(t, "landcover").where("error is null").groupBy("z", "x", "y", F.coalesce(F.col("attributes")["class"], F.lit("")).alias("class")).agg(F.count("*").alias("features"))
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
 from tilewright.functions import terrain as T
-from tilewright.operators import blocks, catalog, dem, directories, landcover, pyramid
+from tilewright.operators import blocks, bundles, catalog, dem, directories, landcover, pyramid
 from tilewright.plans import fixtures as X
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, with_tables
@@ -175,7 +175,9 @@ def expand_landcover_zooms(spark, d):
 
 
 def landcover_merge(spark, d):
-    return landcover.merge(X.landcover(spark, d).drop("z").withColumnRenamed("deep", "z"))
+    """Land cover drawn into vector tiles, and merged by what their bytes say: attributes, points and areas."""
+    drawn = X.landcover(spark, d).select(F.col("deep").alias("z"), "x", "y", F.create_map(*[v for c in ("class", "subclass", "source") for v in (F.lit(c), F.col(c))]).alias("attributes"), "points", "pixels")
+    return landcover.merge(landcover.of_tiles(bundles.explode_features(bundles.draw_tiles(drawn, "landcover"), "landcover")))
 
 
 def landcover_probe(spark, d):
