@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import addressing as A
+from tilewright.operators import rollup
 from tilewright.plans.fixtures import POINTS, TILES, tiled_points, tiles, with_tables
 
 
@@ -67,12 +68,10 @@ def valid_xyz(spark, d):
 
 
 def tile_pyramid_rollup(spark, d):
-    """Counts of points for every ancestor: points are summed by tile first, so ancestors are listed once a tile."""
+    """Counts of points for every ancestor, at all zooms."""
     z, x, y = zxy()
-    p = tiled_points(spark, d).where(A.valid_xyz(z, x, y))
-    p = p.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
-    levels = p.withColumn("up", F.explode(F.sequence(F.lit(0), z))).select((z - F.col("up")).alias("z"), A.ancestor(x, F.col("up")).alias("x"), A.ancestor(y, F.col("up")).alias("y"), "n")
-    return levels.groupBy("z", "x", "y").agg(F.sum("n").alias("points"))
+    p = tiled_points(spark, d).where(A.valid_xyz(z, x, y)).select("z", "x", "y", F.lit(1).alias("n"))
+    return rollup.rollup(p).withColumnRenamed("total", "points")
 
 
 QUERIES = {f.__name__: f for f in (lonlat_to_tile, tile_bounds, tile_owner_cell, tile_parent, anchor_quantize, anchor_demand, bundle_slot, tile_hilbert_id, hilbert_id_to_tile, valid_xyz, tile_pyramid_rollup)}

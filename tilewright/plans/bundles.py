@@ -26,7 +26,7 @@ def _entries(spark, d):
 
 
 def _vector_tiles(spark, d):
-    return B.encode_tiles(layers(spark, d).withColumn("class", F.lit("c")).where("z = 14"))
+    return B.encode_tiles(layers(spark, d).withColumn("class", F.lit("c")))
 
 
 def expand_descendants(spark, d):
@@ -69,7 +69,7 @@ def explode_layers(spark, d):
 
 
 def _parts(spark, d):
-    t = B.split_tiles(_vector_tiles(spark, d)).where("error is null")
+    t = B.split_tiles(_vector_tiles(spark, d).where("z = 14")).where("error is null")
     asked = anchors(spark, d).where("zoom = 14").withColumn("part", F.explode(F.array(F.lit(1), F.lit(2))))
     have = t.select(F.col("z").alias("zoom"), "x", "y", "part", "payload")
     return B.expand_descendants(asked).join(have, ["zoom", "x", "y", "part"], "left")
@@ -179,8 +179,8 @@ slots AS (SELECT x10, y10, zoom, slot, x10 * (1 << (zoom - 10)) + slot % (1 << (
 entries AS (SELECT s.*, nullif(payload, '') AS payload FROM slots s LEFT JOIN tiles t ON s.zoom = t.z AND s.x = t.x AND s.y = t.y) """
 BYTES = "octet_length(encode(payload))"
 # Sizes of the vector tiles of the fixture: a layer's payload, the layer, and the parts of every slot.
-VECTOR = f""", vector AS (SELECT *, 2 + length(layer) + 8 + 7 + 5 + CASE WHEN bytes = 0 THEN 0 WHEN bytes < 128 THEN bytes + 3 ELSE bytes + 4 END + 2 AS body FROM layers WHERE z = 14),
-cut AS (SELECT x, y, CASE WHEN layer IN ('poi', 'housenumber') THEN 2 ELSE 1 END AS part, sum(body + 1 + CASE WHEN body < 128 THEN 1 ELSE 2 END)::BIGINT AS bytes FROM vector GROUP BY ALL),
+VECTOR = f""", vector AS (SELECT *, 2 + length(layer) + 8 + 7 + 5 + CASE WHEN bytes = 0 THEN 0 WHEN bytes < 128 THEN bytes + 3 ELSE bytes + 4 END + 2 AS body FROM layers),
+cut AS (SELECT x, y, CASE WHEN layer IN ('poi', 'housenumber') THEN 2 ELSE 1 END AS part, sum(body + 1 + CASE WHEN body < 128 THEN 1 ELSE 2 END)::BIGINT AS bytes FROM vector WHERE z = 14 GROUP BY ALL),
 every AS (SELECT DISTINCT 164 + doc_id // 340 AS x10, 357 AS y10 FROM documents),
 parts AS (SELECT x10, y10, part, slot, e.x, e.y, bytes FROM (SELECT x10, y10, unnest(range(256)) AS slot, x10 * 16 + slot % 16 AS x, y10 * 16 + slot // 16 AS y FROM every) e CROSS JOIN (VALUES (1), (2)) v(part) LEFT JOIN cut USING (x, y, part)),
 stages AS (SELECT x10, y10, 13 AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom = 13 GROUP BY ALL
@@ -202,7 +202,7 @@ SQL = {
     "layer_report": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, round(sum(bytes) / sum(sum(bytes)) OVER (PARTITION BY z), 9) AS share FROM layers GROUP BY z, layer"),
     "layer_rank": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, row_number() OVER (PARTITION BY z ORDER BY sum(bytes) DESC, layer) AS rank FROM layers GROUP BY z, layer"),
     "explode_landcover": with_tables("landcover", "SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL"),
-    "explode_layers": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT z, x, y, (row_number() OVER (PARTITION BY x, y ORDER BY layer) - 1)::INTEGER AS ord, layer, body AS bytes, NULL::VARCHAR AS error FROM vector"),
+    "explode_layers": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT z, x, y, (row_number() OVER (PARTITION BY z, x, y ORDER BY layer) - 1)::INTEGER AS ord, layer, body AS bytes, NULL::VARCHAR AS error FROM vector"),
     "bundle_split": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT x10, y10, 14 AS zoom, part, (20 + sum(4 + coalesce(bytes, 0)))::BIGINT AS bytes FROM parts GROUP BY ALL"),
     "stream_frame": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + f"""SELECT 2 AS version, x10, y10, zoom AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom >= 13 GROUP BY ALL
         UNION ALL SELECT 3 AS version, x10, y10, stage_zoom, part, entries, non_empty, bytes FROM stages"""),
@@ -210,6 +210,6 @@ SQL = {
         UNION ALL SELECT NULL, NULL, NULL, NULL, true, count(DISTINCT x10), 0, NULL FROM stages WHERE x10 % 7 = 0 HAVING count(*) > 0"""),
     "explode_bundle_entries": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + f"""SELECT zoom AS stage_zoom, 0 AS part, slot, x, y, {BYTES} AS bytes FROM entries WHERE zoom = 13
         UNION ALL SELECT 14, part, slot, x, y, bytes FROM parts"""),
-    "split_roundtrip": with_tables(TILES, "SELECT true AS equal, count(DISTINCT (x, y)) AS tiles FROM tiles WHERE z = 14"),
+    "split_roundtrip": with_tables(TILES, "SELECT true AS equal, count(DISTINCT (z, x, y)) AS tiles FROM tiles"),
 }
 SQL["bundle_assemble_gzip"] = SQL["bundle_assemble"]
