@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest doc_id; one row of equal ones.
+    """One document of each near-duplicate component, that of the smallest doc_id; the least row of equal ones.
 
     Unlike rows of a doc_id are judged apart. Rows of a null doc_id belong to no component and stay.
     """
@@ -30,7 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"))
     out = rows.join(kept, key, "left_semi")
     if not kept.where("n > 1").isEmpty():
-        out = rows.join(kept.where("n = 1"), key, "left_semi").unionByName(rows.join(kept.where("n > 1"), key, "left_semi").dropDuplicates(key))
+        # of rows equal in both and unlike in other columns the least one stays, so that reruns agree
+        least = rows.join(kept.where("n > 1"), key, "left_semi").groupBy(key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = rows.join(kept.where("n = 1"), key, "left_semi").unionByName(least.select(rows.columns))
     return out.unionByName(rows.where("doc_id is null")).select("row.*")
 
 
