@@ -50,8 +50,31 @@ def small_archive(ids: list[int], payloads: list[bytes], leaf: int = 32, metadat
     return head.ljust(archive.HEADER, b"\0") + root_bytes + meta + leaves + data
 
 
+def put(folder: str, name: str, body: bytes) -> None:
+    """Write a file and move it into place once whole, so that a task may be run again."""
+    fs, root = FileSystem.from_uri("/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder)
+    fs.create_dir(root)
+    part = f"{root}/_{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(body)
+    fs.move(part, f"{root}/{name}")
+
+
+def archives_to_zoom(spark, zooms):
+    """The folder of an archive for each zoom of the table (zoom): the world's tile and one of that zoom, z<zoom>.pmtiles."""
+    folder = scratch_path(spark, "archives")
+
+    def build(g: pa.Table) -> pa.Table:
+        z = g["zoom"][0].as_py()
+        put(folder, f"z{z}.pmtiles", small_archive([0, archive.base(z)], [b"a", b"b"]))
+        return pa.table({"zoom": pa.array([z], pa.int32())})
+
+    commit(zooms.select(F.col("zoom").cast("int").alias("zoom")).distinct().groupBy("zoom").applyInArrow(build, "zoom int"), "zooms")
+    return folder
+
+
 def _archives(spark, d, raster=False):
-    """A file for each anchor, moved into place once whole, so that a task may be run again."""
+    """The folder of a file for each anchor."""
     t = tiles(spark, d).where("octet_length(payload) > 0")
     x10, _ = A.anchor(F.col("z"), F.col("x"), F.col("y"))
     t = t.select(x10.alias("x10"), A.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
@@ -60,12 +83,7 @@ def _archives(spark, d, raster=False):
     def build(g: pa.Table) -> pa.Table:
         x = g["x10"][0].as_py()
         body = small_archive(g["tile_id"].to_pylist(), g["payload"].to_pylist(), kind=(2 if x % 2 == 0 else 4) if raster else 1)
-        fs, root = FileSystem.from_uri("/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder)
-        fs.create_dir(root)
-        part, whole = f"{root}/_{uuid.uuid4().hex}", f"{root}/anchor-{x}.pmtiles"
-        with fs.open_output_stream(part) as f:
-            f.write(body)
-        fs.move(part, whole)
+        put(folder, f"anchor-{x}.pmtiles", body)
         return pa.table({"x10": pa.array([x], pa.int64())})
 
     commit(t.groupBy("x10").applyInArrow(build, "x10 long"), "anchors")

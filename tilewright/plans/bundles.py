@@ -157,8 +157,11 @@ def layer_rank(spark, d):
 
 
 def compression_report(spark, d):
-    """Stages of version-2 streams: tiles deflated one by one against whole stages."""
-    return R.compression_report(B.explode_streams(_streams(spark, d, 2)).where("error is null"))
+    """Stages of version-2 streams: tiles deflated one by one, and whole stages. How small both get hangs on the library, so they are held against the bound of deflate."""
+    entries = commit(B.explode_streams(_streams(spark, d, 2)).where("error is null"), "entries")
+    found = R.compression_report(entries).join(entries.groupBy("stage_zoom").agg(F.count("*").alias("tiles")), "stage_zoom")
+    within = lambda c: (F.col(c) > 0) & (F.col(c) <= F.col("raw_bytes") * 1.001 + 40 * F.col("tiles"))
+    return found.select("stage_zoom", "raw_bytes", within("deflate_bytes").alias("deflate_within"), within("wire_bytes").alias("wire_within"))
 
 
 def explode_landcover(spark, d):
@@ -203,6 +206,8 @@ SQL = {
     "layer_rank": with_tables(TILES + " layers", "SELECT z, layer, sum(bytes)::BIGINT AS bytes, row_number() OVER (PARTITION BY z ORDER BY sum(bytes) DESC, layer) AS rank FROM layers GROUP BY z, layer"),
     "explode_landcover": with_tables("landcover", "SELECT z, x, y, coalesce(class, '') AS class, count(*) AS features FROM landcover GROUP BY ALL"),
     "explode_layers": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT z, x, y, (row_number() OVER (PARTITION BY z, x, y ORDER BY layer) - 1)::INTEGER AS ord, layer, body AS bytes, NULL::VARCHAR AS error FROM vector"),
+    "write_bundles": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT 14 AS stage_zoom, part, count(*) AS bundles, sum(bytes)::BIGINT AS bytes, 0 AS damaged FROM (SELECT x10, y10, part, (20 + sum(4 + coalesce(bytes, 0)))::BIGINT AS bytes FROM parts GROUP BY ALL) GROUP BY part"),
+    "compression_report": with_tables(TILES, ALL + f"SELECT zoom AS stage_zoom, sum({BYTES})::BIGINT AS raw_bytes, true AS deflate_within, true AS wire_within FROM entries WHERE zoom >= 13 GROUP BY zoom"),
     "bundle_split": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + "SELECT x10, y10, 14 AS zoom, part, (20 + sum(4 + coalesce(bytes, 0)))::BIGINT AS bytes FROM parts GROUP BY ALL"),
     "stream_frame": with_tables(TILES + " layers", ALL.rstrip() + VECTOR + f"""SELECT 2 AS version, x10, y10, zoom AS stage_zoom, 0 AS part, count(*) AS entries, count(payload) AS non_empty, sum({BYTES})::BIGINT AS bytes FROM entries WHERE zoom >= 13 GROUP BY ALL
         UNION ALL SELECT 3 AS version, x10, y10, stage_zoom, part, entries, non_empty, bytes FROM stages"""),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tilewright.functions import addressing as A
 from tilewright.functions import terrain as T
 from tilewright.operators import blocks, bundles, catalog, dem, directories, landcover, pyramid
+from tilewright.plans import archives
 from tilewright.plans import fixtures as X
 from tilewright.plans.addressing import hilbert_sql
 from tilewright.plans.fixtures import TILES, with_tables
-from tilewright.sources import lines, tile_table
+from tilewright.sources import archive_source, lines, tile_table
 from tilewright.sources.scratch import commit, scratch_path
 
 SIZE = 8
@@ -207,9 +208,12 @@ def serving_eligible(spark, d):
 
 
 def zoom_range_check(spark, d):
+    """Manifests against the headers and metadata of the archives that they stand for; every fourth archive is deeper than it says."""
     m = catalog.audit(_manifests(spark, d)).where("reason is null")
-    seen = m.select("version", F.lit(0).alias("a_min"), F.when(F.col("id") % 4 == 0, 14).otherwise(F.col("max_zoom")).alias("a_max"), F.lit("openmaptiles").alias("a_schema"))
-    return catalog.zoom_agreement(seen, m).select("version", "agrees")
+    held = m.select("version", F.when(F.col("id") % 4 == 0, 14).otherwise(F.col("max_zoom")).alias("zoom"))
+    found = archive_source.inventory(spark, archives.archives_to_zoom(spark, held))
+    found = found.select(F.regexp_extract("path", "z([0-9]+)[.]pmtiles$", 1).cast("int").alias("zoom"), F.col("min_zoom").alias("a_min"), F.col("max_zoom").alias("a_max"), F.col("tile_schema").alias("a_schema"))
+    return catalog.zoom_agreement(held.join(found, "zoom"), m).select("version", "agrees")
 
 
 def retention_plan(spark, d):
