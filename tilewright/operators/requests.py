@@ -157,7 +157,7 @@ def answer(requests: DataFrame, tiles: DataFrame, rate: int, burst: int, terrain
     Only requests that pass the gate pay. A raw tile is ok (200) or empty (204), a vector bundle ok or, if it was
     given before, cached (200); a request that the bucket refuses is limited (429). Rows that are refused take part in no join.
     """
-    gated = gate(requests, terrain_zoom)
+    gated = commit(gate(requests, terrain_zoom), "gated")
     names = gated.columns
     passed = F.col("outcome") == G.PASS
     paid = folded(gated.where(passed).withColumn("cost", G.request_cost(F.col("kind"), F.col("z"))), rate, burst)

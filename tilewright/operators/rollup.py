@@ -63,8 +63,10 @@ def rollup(tiles: DataFrame, measure: str = "n") -> DataFrame:
     """
     z = F.col("z").cast("int")
     key = F.expr(f"shiftleft(_d, 2 * ({DEEPEST} - z))")
-    rows = tiles.select(z.alias("z"), (A.hilbert_id(z, F.col("x"), F.col("y")) - A.level_base(z)).alias("_d"), F.col(measure).cast("long").alias("n")).where("_d is not null")
-    rows = rows.select("z", key.alias("key"), "n", F.monotonically_increasing_id().alias("_salt"))
+    # rows by way of inline: the optimizer would put the expressions of x and y, and those of the id, into every place that names them
+    plain = tiles.select(F.inline(F.array(F.struct(z.alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(measure).cast("long").alias("n")))))
+    rows = plain.select(F.inline(F.array(F.struct("z", (A.hilbert_id(F.col("z"), F.col("x"), F.col("y")) - A.level_base(F.col("z"))).alias("_d"), "n"))))
+    rows = rows.where("_d is not null").select("z", key.alias("key"), "n", F.monotonically_increasing_id().alias("_salt"))
     parts = rows.repartitionByRange("key", "_salt").sortWithinPartitions("key").select("z", "key", "n").mapInArrow(_prefix_sums, PARTS)
     parts = commit(parts, "rollup")
     seams = parts.where("seam").groupBy("z", "node").agg(F.sum("total").alias("total"))
