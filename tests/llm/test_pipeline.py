@@ -125,3 +125,13 @@ def test_unlike_rows_of_a_doc_id_stay(spark, folder):
     docs = spark.createDataFrame([(1, words(30, 1)), (1, words(30, 2)), (1, words(30, 2)), (2, words(30, 2)), (None, "x"), (None, "x")], "doc_id long, text string")
     kept = sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()))
     assert kept == sorted(map(str, [docs.collect()[0], docs.collect()[1], docs.collect()[4], docs.collect()[5]]))
+
+
+def test_the_least_of_unlike_rows_stays_in_any_order(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "en", s, 39) for s in ("b", None, "a", "c")]
+    kept = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept.append([tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()])
+    assert kept[0] == kept[1] and len(kept[0]) == 1
