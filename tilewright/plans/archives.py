@@ -14,7 +14,7 @@ from tilewright.functions import addressing as A
 from tilewright.functions.vector_tile import put_varint
 from tilewright.operators import catalog
 from tilewright.plans.addressing import hilbert_sql
-from tilewright.plans.fixtures import TILES, tiles, with_tables
+from tilewright.plans.fixtures import TILES, map_tiles, with_tables
 from tilewright.sources import archive, archive_source
 from tilewright.sources.scratch import commit, scratch_path
 
@@ -74,10 +74,10 @@ def archives_to_zoom(spark, zooms):
 
 
 def _archives(spark, d, raster=False):
-    """The folder of a file for each anchor."""
-    t = tiles(spark, d).where("octet_length(payload) > 0")
+    """The folder of a file for each anchor; those past the date line are numbered on, and hold ids of the map."""
+    t = map_tiles(spark, d).where("octet_length(payload) > 0")
     x10, _ = A.anchor(F.col("z"), F.col("x"), F.col("y"))
-    t = t.select(x10.alias("x10"), A.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
+    t = t.select(A.off_map(x10, F.lit(A.ANCHOR_ZOOM), F.col("world")).alias("x10"), A.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
     folder = scratch_path(spark, "archives")
 
     def build(g: pa.Table) -> pa.Table:
