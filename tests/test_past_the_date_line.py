@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 SHIFTS = (0, 340 * 1024, 340 * 1024 * 3 - 85)  # the first world, and two more with the same tiles or some of them
 CASES = [
     "archive_inventory",
+    "content_type",
 ]
 
 
