@@ -9,6 +9,7 @@ SHIFTS = (0, 340 * 1024, 340 * 1024 * 3 - 85)  # the first world, and two more w
 CASES = [
     "archive_inventory",
     "content_type",
+    "scan_tile_archive",
 ]
 
 

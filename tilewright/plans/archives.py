@@ -91,8 +91,9 @@ def _archives(spark, d, raster=False):
 
 
 def scan_tile_archive(spark, d):
-    found = archive_source.scan(spark, _archives(spark, d)).where("z >= 12")
-    return found.select("tile_id", "z", "x", "y", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"))
+    found = archive_source.scan(spark, _archives(spark, d), named=True).where("z >= 12")
+    world = A.world(F.regexp_extract("path", "anchor-([0-9]+)[.]pmtiles$", 1).cast("long"), F.lit(A.ANCHOR_ZOOM))
+    return found.select("tile_id", "z", A.off_map(F.col("x"), F.col("z"), world).alias("x"), "y", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("digest"))
 
 
 def archive_inventory(spark, d):

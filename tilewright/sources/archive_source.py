@@ -86,8 +86,8 @@ def coordinates(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class TileArchive(DataSource):
     """Rows of SCHEMA: the tiles of archives, runs expanded, in the order of their ids within a file.
 
-    Options: path, a file or a folder; payload ("true"): with "false" no tile data are read and payload is null. A
-    damaged archive raises; it never yields part of its rows silently.
+    Options: path, a file or a folder; payload ("true"): with "false" no tile data are read and payload is null; named
+    ("false"): with "true" each row also names its file (path). A damaged archive raises; it never yields part of its rows silently.
     """
 
     @classmethod
@@ -95,15 +95,19 @@ class TileArchive(DataSource):
         return "tile_archive"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, path string" if self.named else SCHEMA
+
+    @property
+    def named(self) -> bool:
+        return self.options.get("named", "false").lower() == "true"
 
     def reader(self, schema) -> TileArchiveReader:
-        return TileArchiveReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return TileArchiveReader(self.options["path"], self.options.get("payload", "true").lower() != "false", named=self.named)
 
 
 class TileArchiveReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool = True, block: int = BLOCK):
-        self.path, self.payload, self.block = path, payload, block
+    def __init__(self, path: str, payload: bool = True, block: int = BLOCK, named: bool = False):
+        self.path, self.payload, self.block, self.named = path, payload, block, named
         self.low, self.high = 0, A.MOST_ID
 
     def pushFilters(self, filters):
@@ -153,7 +157,8 @@ class TileArchiveReader(DataSourceReader):
                     entries = within(root, A.MOST_ID, self.low, self.high)
                 else:
                     h, entries = A.read_header(f, size), partition.entries
-                yield from self.tiles(f, h, self.tile_entries(f, h, entries))
+                for batch in self.tiles(f, h, self.tile_entries(f, h, entries)):
+                    yield batch.append_column("path", pa.array([path] * batch.num_rows, pa.string())) if self.named else batch
 
     def tile_entries(self, f, h: A.Header, entries: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
         """(tile_id, run, length, offset) of tiles in the order of ids; leaves are read when their turn comes."""
@@ -246,9 +251,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TileArchiveInventory)
 
 
-def scan(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def scan(spark: SparkSession, path: str, payload: bool = True, named: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("tile_archive").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("tile_archive").option("payload", str(payload).lower()).option("named", str(named).lower()).load(path)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
