@@ -11,6 +11,10 @@ CASES = [
     "content_type",
     "scan_tile_archive",
     "hilbert_id_to_tile",
+    "run_length_directory",
+    "directory_lookup",
+    "expand_runs",
+    "tile_order",
 ]
 
 

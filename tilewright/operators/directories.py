@@ -12,23 +12,23 @@ from tilewright.sources.scratch import commit
 RANGE_BITS = 16
 
 
-def run_length_directory(tiles: DataFrame) -> DataFrame:
-    """(tile_id, run, length, digest): consecutive ids of equal content as one entry.
+def run_length_directory(tiles: DataFrame, *keys: str) -> DataFrame:
+    """(tile_id, run, length, digest): consecutive ids of equal content as one entry; with keys, a directory for each of their values.
 
-    tiles has tile_id, digest and length. Runs are first found inside ranges of ids, so no window spans
-    the table; then the runs of neighbouring ranges that touch and have equal content become one.
+    tiles has the keys, tile_id, digest and length. An entry is what has the same difference of id and rank among the ids of
+    its content. Ranks are those inside a range of ids and the counts of the ranges before it, so no window spans the table.
+    An id that comes more than once is as many ranks, and moves the entries after it: only ids that come once are sure to be
+    those that expand_runs() gives back.
     """
-    keyed = tiles.withColumn("_r", F.shiftright("tile_id", RANGE_BITS))
-    inside = Window.partitionBy("_r", "digest").orderBy("tile_id")
-    island = F.col("tile_id") - F.row_number().over(inside)
-    parts = keyed.withColumn("_i", island).groupBy("_r", "digest", "length", "_i").agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run"))
-    # only runs that begin or end at a seam can join others
-    low, high = F.col("tile_id") == F.shiftleft("_r", RANGE_BITS), F.col("tile_id") + F.col("run") == F.shiftleft(F.col("_r") + 1, RANGE_BITS)
-    seam = parts.where(low | high)
-    chain = Window.partitionBy("digest", "length").orderBy("tile_id")
-    starts = F.when(F.lag(F.col("tile_id") + F.col("run")).over(chain) == F.col("tile_id"), 0).otherwise(1)
-    joined = seam.withColumn("_s", starts).withColumn("_g", F.sum("_s").over(chain)).groupBy("digest", "length", "_g").agg(F.min("tile_id").alias("tile_id"), F.sum("run").alias("run"))
-    return parts.where(~(low | high)).select("tile_id", "run", "length", "digest").unionByName(joined.select("tile_id", "run", "length", "digest"))
+    ids = tiles.groupBy(*keys, "digest", "tile_id", "length").agg(F.count("*").alias("_n")).withColumn("_r", F.shiftright("tile_id", RANGE_BITS))
+    content = [*keys, "digest"]
+    earlier = Window.partitionBy(*content).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = ids.groupBy(*content, "_r").agg(F.sum("_n").alias("_c")).select(*content, "_r", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy(*content, "_r").orderBy("tile_id", "length").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ids.withColumn("_upto", upto).join(before, [*content, "_r"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    rank = F.explode(F.sequence(F.col("_upto") - F.col("_n") + 1, F.col("_upto")))
+    runs = ranked.withColumn("_rank", rank).groupBy(*content, "length", (F.col("tile_id") - F.col("_rank")).alias("_i")).agg(F.min("tile_id").alias("tile_id"), F.count("*").alias("run"))
+    return runs.select(*keys, "tile_id", "run", "length", "digest")
 
 
 def pieces(directory: DataFrame, bits: int) -> DataFrame:
