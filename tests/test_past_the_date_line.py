@@ -15,6 +15,12 @@ CASES = [
     "directory_lookup",
     "expand_runs",
     "tile_order",
+    "write_tile_table",
+    "stream_frame",
+    "scan_bundle_streams",
+    "stage_report",
+    "compression_report",
+    "explode_bundle_entries",
 ]
 
 
