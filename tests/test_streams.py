@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import requests as R
+from tilewright.plans import streams
 from tilewright.streaming import requests as S
 
 BUCKET = "client string, ms long, event_id long, cost long"
@@ -66,3 +67,20 @@ def test_answers_of_a_stream_equal_the_batch(spark, tmp_path):
     batch = R.answer(R.parse(spark.createDataFrame(rows, LOG)), tiles, 4000, 6 * R.UNIT)
     assert got == {r["metric"]: r["value"] for r in R.counters(batch).collect()}
     assert {r["outcome"] for r in batch.collect()} >= {"limited", "cached", "ok", "empty", "bad_method", "extra", "blocked"}
+
+
+def test_arrivals_are_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    """A micro-batch is as many files as there are tasks, yet one batch; none goes through a single task."""
+    rows = [(i, 1000 * i, "h:1", "GET", f"/planet/bundle/v3/{i % 5}/2/14", 0) for i in range(300)]
+    monkeypatch.setattr(streams.X, "request_log", lambda *_: spark.createDataFrame(rows, LOG).repartition(8))
+    monkeypatch.setattr(streams, "scratch_path", lambda *_: str(tmp_path / "queue"))
+    found = streams.build_queue_stream(spark, "")
+    assert found.count() == 15 and len(list((tmp_path / "queue" / "in").glob("part-*"))) > 2 * streams.BATCHES
+
+
+def test_totals_come_from_counts_of_tasks(spark, tmp_path):
+    rows = [(i, i, f"h{i}:1", "GET" if i % 2 else "POST", "/planet/5/1/1", 0) for i in range(40)]
+    source = arrive(spark, str(tmp_path), rows, LOG)
+    tiles = spark.createDataFrame([(5, 1, 1, b"x")], "z int, x long, y long, payload binary")
+    S.drain(S.counters(R.parse(source), tiles, 1, R.UNIT), str(tmp_path), into(str(tmp_path)))
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("mapapi_coarse_ok_total", 20)]

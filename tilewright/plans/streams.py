@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 from tilewright.operators import requests as R
 from tilewright.plans import fixtures as X
 from tilewright.plans.requests import BURST, CODEC, DIGEST, RATE, SQL as BATCH, VERSION, have
-from tilewright.sources.scratch import scratch_path
+from tilewright.sources.scratch import commit, scratch_path
 from tilewright.streaming import requests as S
 
 BATCHES = 3
 
 
-def _source(spark, d, path):
-    """The request log as files in order of time, one to a micro-batch."""
-    log = R.parse(X.request_log(spark, d)).withColumn("ts", F.timestamp_millis("ms"))
-    bounds = log.agg(F.percentile_approx("ms", [i / BATCHES for i in range(1, BATCHES)])).first()[0]
+def _drained(spark, d, name, job):
+    """The folder of what a job makes of the request log: it arrives in order of time, in files of many tasks, and each arrival is a micro-batch."""
+    path = scratch_path(spark, name)
+    log = commit(R.parse(X.request_log(spark, d)).withColumn("ts", F.timestamp_millis("ms")), "log")
+    bounds = log.agg(F.percentile_approx("ms", [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
     edges = [None, *bounds, None]
     for lo, hi in zip(edges, edges[1:], strict=False):
         part = log if lo is None else log.where(F.col("ms") >= lo)
-        (part if hi is None else part.where(F.col("ms") < hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        (part if hi is None else part.where(F.col("ms") < hi)).write.mode("append").parquet(f"{path}/in")
+        S.drain(job(spark.readStream.schema(log.schema).parquet(f"{path}/in")), path, _into(path))
+    return path
 
 
 def _table(spark, path, schema):
@@ -34,27 +36,23 @@ def _into(path):
 
 
 def token_bucket_stream(spark, d):
-    path = scratch_path(spark, "bucket")
-    S.drain(S.token_bucket(_source(spark, d, path), RATE, BURST), path, _into(path))
+    path = _drained(spark, d, "bucket", lambda source: S.token_bucket(source, RATE, BURST))
     return _table(spark, path, "client string, event_id long, allowed boolean")
 
 
 def bucket_eviction(spark, d):
     """The same stream with idle clients dropped by event time: no decision changes."""
-    path = scratch_path(spark, "evict")
-    S.drain(S.token_bucket(_source(spark, d, path), RATE, BURST, ttl_ms=max(600_000, BURST // RATE)), path, _into(path))
+    path = _drained(spark, d, "evict", lambda source: S.token_bucket(source, RATE, BURST, ttl_ms=max(600_000, BURST // RATE)))
     return _table(spark, path, "client string, event_id long, allowed boolean")
 
 
 def request_counters_stream(spark, d):
-    path = scratch_path(spark, "counters")
-    S.drain(S.counters(_source(spark, d, path), have(spark, d), RATE, BURST), path, _into(path))
+    path = _drained(spark, d, "counters", lambda source: S.counters(source, have(spark, d), RATE, BURST))
     return _table(spark, path, "metric string, value long").groupBy("metric").agg(F.max("value").alias("value"))
 
 
 def build_queue_stream(spark, d):
-    path = scratch_path(spark, "queue")
-    S.drain(S.build_queue(_source(spark, d, path), CODEC, VERSION, DIGEST), path, _into(path))
+    path = _drained(spark, d, "queue", lambda source: S.build_queue(source, CODEC, VERSION, DIGEST))
     return _table(spark, path, "key string, x10 long, y10 long, stage_zoom int, part int")
 
 

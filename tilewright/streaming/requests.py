@@ -66,13 +66,13 @@ class FirstOfKey(StatefulProcessor):
 
 
 class RunningTotal(StatefulProcessor):
-    """The total of a metric after each micro-batch that adds to it."""
+    """The total of a metric (metric, n) after each micro-batch that adds to it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", "value long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        total = (self.total.get()[0] if self.total.exists() else 0) + sum(len(frame) for frame in rows)
+        total = (self.total.get()[0] if self.total.exists() else 0) + sum(int(frame["n"].sum()) for frame in rows)
         self.total.update((total,))
         yield pd.DataFrame({"metric": [key[0]], "value": [total]})
 
@@ -112,7 +112,8 @@ def answered(stream: DataFrame, tiles: DataFrame, rate: int, burst: int, terrain
     paid = gated.withColumn("cost", F.when(F.col("outcome") == R.G.PASS, F.col("cost")).otherwise(0).cast("long"))
     paid = keyed(paid, ["client"], TokenBucket(rate, burst), f"{ddl(paid, paid.columns)}, allowed boolean")
     have = tiles.where(F.octet_length("payload") > 0).select("z", "x", "y", F.lit(True).alias("_have")).distinct()
-    found = paid.join(have, ["z", "x", "y"], "left")
+    # refused requests have no x; a number of their own deals them out
+    found = paid.withColumn("_x", F.coalesce("x", -1 - F.col("event_id"))).join(have.withColumnRenamed("x", "_x"), ["z", "_x", "y"], "left")
     passed, raw = F.col("outcome") == R.G.PASS, F.col("kind").isin("coarse", "terrain")
     given = F.when(~passed, F.col("outcome")).when(~F.col("allowed"), "limited").when(raw & F.col("_have").isNull(), "empty").otherwise("ok")
     # bundles that were given meet by place; every other row is a place of its own
@@ -126,7 +127,13 @@ def answered(stream: DataFrame, tiles: DataFrame, rate: int, burst: int, terrain
 
 def counters(stream: DataFrame, tiles: DataFrame, rate: int, burst: int) -> DataFrame:
     """metric, value: the totals of all counters a micro-batch adds to, in append mode; the largest value of a metric is its last."""
-    metrics = R.metrics(answered(stream, tiles, rate, burst))
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby("metric", as_index=False).size().rename(columns={"size": "n"})
+
+    # counted before they are dealt out: a metric is a few rows of each task
+    metrics = R.metrics(answered(stream, tiles, rate, burst)).mapInPandas(counted, "metric string, n long")
     return keyed(metrics, ["metric"], RunningTotal(), "metric string, value long")
 
 
