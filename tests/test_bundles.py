@@ -1,5 +1,6 @@
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,19 @@ def test_drawn_woods_merge_as_zooms_say(spark):
     drawn = B.draw_tiles(spark.createDataFrame(rows, "z int, x long, y long, attributes map<string,string>, points long, pixels long"), "landcover")
     got = {(r["z"], r["subclass"], r["parts"]) for r in landcover.merge(landcover.of_tiles(B.explode_features(drawn, "landcover"))).collect()}
     assert {(z, s, 2) for z in (5, 6, 7) for s in ("dune", "wood")} | {(z, s, 1) for z in (4, 9, 12) for s in ("dune", "wood")} == got
+
+
+def test_a_crowded_tile_is_drawn_in_bounded_rows(spark, monkeypatch):
+    rows = [(9, 0, 0, {"subclass": "wood", "source": "osm"}, 4 + k % 50, 3) for k in range(3000)] + [(9, 1, 0, {"source": "osm"}, 9, 3)]
+    table = spark.createDataFrame(rows, "z int, x long, y long, attributes map<string,string>, points long, pixels long")
+    monkeypatch.setattr(B, "DRAWN", 1 << 14)
+    drawn = B.draw_tiles(table, "landcover").cache()
+    assert drawn.where("x = 0").count() > 10 and drawn.where("x = 1").count() == 1
+    assert max(len(r["payload"]) for r in drawn.collect()) < 1 << 15
+    got = B.explode_features(drawn, "landcover")
+    assert got.where("error is null").count() == 3001 and got.agg(F.sum("points")).first()[0] == sum(r[4] for r in rows)
+
+
+def test_steps_take_few_tiles_at_once():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000))})
+    assert [b.num_rows for b in B.sliced([batch, batch.slice(0, 3)])] == [256, 256, 256, 232, 3] and list(B.sliced([batch.slice(0, 0)])) == []
