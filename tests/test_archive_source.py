@@ -4,11 +4,13 @@ import gzip
 import random
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan, Not
 
+import __spark_entry__ as entry
 from tilewright.functions import addressing
 from tilewright.functions.inflate import inflate
 from tilewright.plans.archives import directory, small_archive
@@ -116,3 +118,19 @@ def test_coordinates_of_ids_equal_the_expressions(spark):
     z, x, y = archive_source.coordinates(np.array(ids, np.int64))
     table = spark.createDataFrame(list(zip(ids, z.tolist(), x.tolist(), y.tolist(), strict=True)), "i long, z int, x long, y long")
     assert table.where(addressing.hilbert_id(F.col("z"), F.col("x"), F.col("y")) != F.col("i")).count() == 0
+
+
+def test_nothing_to_read_is_no_rows(spark, tmp_path):
+    assert archive_source.scan(spark, str(tmp_path)).count() == 0 and archive_source.inventory(spark, str(tmp_path)).count() == 0
+    (tmp_path / "a.pmtiles").write_bytes(small_archive([1, 2, 3], [b"abc", b"abc", b"defg"]))
+    assert archive_source.scan(spark, str(tmp_path)).where("z > 5 and z < 3").count() == 0
+
+
+@pytest.mark.parametrize("name", ["content_type", "archive_inventory", "scan_tile_archive"])
+def test_no_tile_with_bytes_is_no_archive(spark, tmp_path, name):
+    rows = [(k, "" if k % 2 else None, "de", 0) for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found.collect() == con.execute(entry.oracle_sql()[name]).fetchall() == []

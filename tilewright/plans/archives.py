@@ -50,10 +50,23 @@ def small_archive(ids: list[int], payloads: list[bytes], leaf: int = 32, metadat
     return head.ljust(archive.HEADER, b"\0") + root_bytes + meta + leaves + data
 
 
-def put(folder: str, name: str, body: bytes) -> None:
-    """Write a file and move it into place once whole, so that a task may be run again."""
+def created(folder: str) -> tuple[FileSystem, str]:
+    """The folder's filesystem and its path there; the folder is made if it is missing."""
     fs, root = FileSystem.from_uri("/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder)
     fs.create_dir(root)
+    return fs, root
+
+
+def new_folder(spark) -> str:
+    """A new folder for archives; it is there even if no task writes one, so that it can be read as empty."""
+    folder = scratch_path(spark, "archives")
+    created(folder)
+    return folder
+
+
+def put(folder: str, name: str, body: bytes) -> None:
+    """Write a file and move it into place once whole, so that a task may be run again."""
+    fs, root = created(folder)
     part = f"{root}/_{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
         f.write(body)
@@ -62,7 +75,7 @@ def put(folder: str, name: str, body: bytes) -> None:
 
 def archives_to_zoom(spark, zooms):
     """The folder of an archive for each zoom of the table (zoom): the world's tile and one of that zoom, z<zoom>.pmtiles."""
-    folder = scratch_path(spark, "archives")
+    folder = new_folder(spark)
 
     def build(g: pa.Table) -> pa.Table:
         z = g["zoom"][0].as_py()
@@ -78,7 +91,7 @@ def _archives(spark, d, raster=False):
     t = map_tiles(spark, d).where("octet_length(payload) > 0")
     x10, _ = A.anchor(F.col("z"), F.col("x"), F.col("y"))
     t = t.select(A.off_map(x10, F.lit(A.ANCHOR_ZOOM), F.col("world")).alias("x10"), A.hilbert_id(F.col("z"), F.col("x"), F.col("y")).alias("tile_id"), "payload")
-    folder = scratch_path(spark, "archives")
+    folder = new_folder(spark)
 
     def build(g: pa.Table) -> pa.Table:
         x = g["x10"][0].as_py()

@@ -57,6 +57,11 @@ class Files(InputPartition):
     entries: list[tuple] | None = None
 
 
+def files_of(partition: Files | None) -> list[tuple[str, int]]:
+    """The files of a partition; where partitions() finds none, Spark reads one that is None."""
+    return [] if partition is None else partition.files
+
+
 def within(rows: list[tuple], upper: int, low: int, high: int) -> list[tuple]:
     """Directory rows that touch the ids [low, high), each with the last id under it."""
     out = []
@@ -149,8 +154,8 @@ class TileArchiveReader(DataSourceReader):
         h = A.read_header(f, size)
         return h, A.parse_directory(A.inflated(A.span(f, *h.root), h.internal), h.leaves[1], h.data[1])
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        for path, size in partition.files:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        for path, size in files_of(partition):
             with A.opened(path) as f:
                 if partition.entries is None:
                     h, root = self.root(f, size)
@@ -238,8 +243,8 @@ class InventoryReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         return [Files(held) for held in grouped(listed(self.path), lambda _: 1, self.FILES)]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for path, size in partition.files:
+    def read(self, partition: Files | None) -> Iterator[tuple]:
+        for path, size in files_of(partition):
             with A.opened(path) as f:
                 yield (path, *A.describe(f, size))
 
