@@ -1,5 +1,8 @@
 """Streams of requests: state that goes with the watermark, builds asked for once, answers as of the batch."""
 
+import itertools
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,70 @@ def test_totals_come_from_counts_of_tasks(spark, tmp_path):
     tiles = spark.createDataFrame([(5, 1, 1, b"x")], "z int, x long, y long, payload binary")
     S.drain(S.counters(R.parse(source), tiles, 1, R.UNIT), str(tmp_path), into(str(tmp_path)))
     assert [tuple(r)[:2] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("mapapi_coarse_ok_total", 20)]
+
+
+class Held:
+    """The state of one key and its timers, without a stream."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.exists, self.get, self.update, self.clear = lambda: self.value is not None, lambda: self.value, lambda v: setattr(self, "value", v), lambda: setattr(self, "value", None)
+        self.getValueState, self.listTimers, self.registerTimer, self.deleteTimer = lambda *_: self, lambda: self.timers, self.timers.add, self.timers.discard
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: min(self.timers)
+
+
+def test_a_place_is_first_once_whatever_the_frames(spark):
+    held, step = Held(), S.FirstOfPlace()
+    step.init(held)
+
+    def firsts(*frames):
+        rows = pd.concat(step.handleInputRows(("k",), (pd.DataFrame(f, columns=["slot", "n"]) for f in frames), None))
+        return list(rows[["slot", "first", "again"]].itertuples(index=False, name=None))
+
+    assert firsts([(-1, 5), (-1, 2)]) == [(-1, 5, 0), (-1, 2, 0)] and not held.exists()
+    assert firsts([(9, 3), (0, 1), (9, 2)], [(9, 1), (40, 2), (-1, 4)]) == [(9, 1, 2), (0, 1, 0), (9, 0, 2), (9, 0, 1), (40, 1, 1), (-1, 4, 0)]
+    assert firsts([(40, 1), (1, 1), (32767, 2)]) == [(40, 0, 1), (1, 1, 0), (32767, 1, 1)]
+
+
+def test_clients_of_a_shard_go_one_by_one(spark):
+    held, step = Held(), S.TokenBucket(1, 10, ttl_ms=10)
+    step.init(held)
+    frame = pd.DataFrame([("a", 1, 5, 0), ("b", 2, 3, 0), ("a", 3, 8, 0), (None, 4, 6, 0)], columns=["client", "event_id", "ms", "cost"])
+    list(step.handleInputRows((0,), iter([frame]), held))
+    assert dict(zip(held.value[0], held.value[2], strict=True)) == {"a": 8, "b": 3, None: 6} and held.timers == {13}
+    for left in ({"a", None}, {"a"}, set()):
+        list(step.handleExpiredTimer((0,), held, held))
+        assert left == set(held.value[0] if held.exists() else [])
+    assert not held.timers
+
+
+def test_states_grow_by_shards_and_the_bucket_is_one_step(spark, tmp_path):
+    """Many clients are few calls and few states, no step of a state runs twice, and the state has as many partitions as were asked for."""
+    path, clients = str(tmp_path), S.SHARDS + 500
+    rows = [(i, i, f"c{i % clients}:1", "GET", f"/planet/bundle/v{1 + i % 3}/{i * 7 % 300}/{i * 11 % 250}/{11 + i % 4}", 0) for i in range(2 * clients)]
+    tiles = spark.createDataFrame([(5, 1, 1, b"x")], "z int, x long, y long, payload binary")
+    source = arrive(spark, path, rows, LOG)
+    query = S.drain(S.counters(R.parse(source), tiles, 1000, 20 * R.UNIT), path, into(path), partitions=2)
+    states = query.lastProgress["stateOperators"]
+    assert len(states) == 3 and max(o["numRowsTotal"] for o in states) <= S.SHARDS and {o["numShufflePartitions"] for o in states} == {2}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    got = {r["metric"]: r["value"] for r in spark.read.parquet(f"{path}/out").collect()}
+    batch = R.answer(R.parse(spark.createDataFrame(rows, LOG)), tiles, 1000, 20 * R.UNIT)
+    assert got == {r["metric"]: r["value"] for r in R.counters(batch).collect()} and "mapapi_bundle_cache_hit_total" in got
+
+
+def test_tiles_are_read_once_for_all_arrivals(spark, monkeypatch, tmp_path):
+    read, path = spark.sparkContext.accumulator(0), itertools.count()
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, 1000 * i, f"h{i}:1", "GET", f"/planet/8/{i % 5}/2", 0) for i in range(30)]
+    tiles = spark.createDataFrame([(8, x, 2, b"x") for x in range(3)], "z int, x long, y long, payload binary")
+    monkeypatch.setattr(streams.X, "request_log", lambda *_: spark.createDataFrame(rows, LOG))
+    monkeypatch.setattr(streams, "have", lambda *_: tiles.mapInArrow(seen, tiles.schema))
+    monkeypatch.setattr(streams, "scratch_path", lambda *_: str(tmp_path / f"{next(path)}"))
+    found = {r["metric"]: r["value"] for r in streams.request_counters_stream(spark, "").collect()}
+    assert found == {"mapapi_coarse_ok_total": 18, "mapapi_coarse_empty_total": 12} and read.value == 3

@@ -22,7 +22,7 @@ def _drained(spark, d, name, job):
     for lo, hi in zip(edges, edges[1:], strict=False):
         part = log if lo is None else log.where(F.col("ms") >= lo)
         (part if hi is None else part.where(F.col("ms") < hi)).write.mode("append").parquet(f"{path}/in")
-        S.drain(job(spark.readStream.schema(log.schema).parquet(f"{path}/in")), path, _into(path))
+        S.drain(job(spark.readStream.schema(log.schema).parquet(f"{path}/in")), path, _into(path), partitions=spark.sparkContext.defaultParallelism)
     return path
 
 
@@ -47,7 +47,8 @@ def bucket_eviction(spark, d):
 
 
 def request_counters_stream(spark, d):
-    path = _drained(spark, d, "counters", lambda source: S.counters(source, have(spark, d), RATE, BURST))
+    tiles = commit(R.holding(have(spark, d)), "holding")  # once, not for each arrival
+    path = _drained(spark, d, "counters", lambda source: S.counters(source, tiles, RATE, BURST))
     return _table(spark, path, "metric string, value long").groupBy("metric").agg(F.max("value").alias("value"))
 
 
